@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "quality_rules", "chat_format"]
+MODULES = ["url_filter", "quality_rules", "chat_format", "mixing"]
 
 
 def queries() -> dict:
