@@ -17,7 +17,7 @@ documents the result is empty. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small, table
@@ -35,8 +35,11 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """(doc_id, source, size, u): size in words, ``u`` in [0, 1) from the row's own values."""
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("source"), F.col("size")), 11) / F.lit(float(2**53))
-    return d.withColumn("u", u)
+    return d.withColumn("u", unit_hash())
+
+
+def unit_hash() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("source"), F.col("size")), 11) / F.lit(float(2**53))
 
 
 def targets(hist: DataFrame, weights: tuple = WEIGHTS, percent: int = SHARE_PERCENT, most: int = MAX_COPIES) -> DataFrame:
@@ -115,44 +118,63 @@ def _threshold(keyed: DataFrame, need: DataFrame, column: str, low: str, width:
     return bins.where("upto <= need").groupBy("source").agg(F.max("bin").alias("bin"), F.max("upto").alias("used"))
 
 
-def copies(docs: DataFrame, solved: DataFrame, most: int = MAX_COPIES) -> DataFrame:
-    """Round rates to copies; ``docs`` as ``sized`` gives it, materialised."""
-    p = small(solved.select(F.col("source").alias("__s"), "source_size", "target", "mean", "lam", "full"))
-    d = docs.join(p, docs.source.eqNullSafe(F.col("__s")), "left").drop("__s")
+def _keyed(docs: DataFrame, params: DataFrame, most: int = MAX_COPIES) -> DataFrame:
+    """``docs`` (with source, size, u) joined with its source's parameters; adds whole and key (null: nothing to round)."""
+    d = docs.join(small(params.withColumnRenamed("source", "__s")), docs.source.eqNullSafe(F.col("__s")), "left").drop("__s")
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("full"), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean"), most))
-    d = d.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("key", F.when(F.col("rate") > F.col("whole"), F.col("u") - (F.col("rate") - F.col("whole"))))
-    d = materialise(d.select("doc_id", "source", "size", "source_size", "target", "whole", "key", "u"), "rated")
-    base = d.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("whole"))).alias("need"))
-    keyed = d.where("key is not null")
-    one = materialise(base.join(_threshold(keyed, base, "key", "-1.0", "2.0").withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select(
-        "source", "need", (F.coalesce("bin", F.lit(-1)) + 1).alias("bin"), F.coalesce("used", F.lit(0)).alias("used")), "one")
-    cut = one.select(F.col("source").alias("__s"), (F.lit(-1.0) + F.col("bin") * (2.0 / BINS)).alias("at"), (F.col("need") - F.col("used")).alias("rest"))
-    in_cut = keyed.join(small(cut), keyed.source.eqNullSafe(F.col("__s"))).drop("__s").where(f"key >= at and key < at + {2.0 / BINS}")
-    rest = cut.select(F.col("__s").alias("source"), F.col("rest").alias("need"))
-    two = materialise(cut.join(_threshold(in_cut, rest, "key", "at", str(2.0 / BINS)), F.col("__s").eqNullSafe(F.col("source")), "left").select(
-        "__s", "at", (F.col("at") + (F.coalesce("bin", F.lit(-1)) + 1) * (2.0 / BINS / BINS)).alias("theta"), (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest")), "two")
+    d = d.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+    return d.withColumn("key", F.when(F.col("rate") > F.col("whole"), F.col("u") - (F.col("rate") - F.col("whole")))).drop("rate")
+
+
+def _ups(fills: int) -> Column:
+    """Whether a document gets one more than the whole part of its rate, from its row and its source's parameters."""
+    ups = F.col("key") < F.col("theta")
+    for k in range(fills):
+        ups = ups | ((F.col("size") <= F.col(f"room{k}")) & (F.least(F.lit(BINS - 1), F.floor(F.col("u") * BINS)) < F.col(f"fill{k}")))
+    return F.coalesce(F.col("key").isNotNull() & ups, F.lit(False))
+
+
+def solve(docs: DataFrame, most: int = MAX_COPIES) -> DataFrame:
+    """One row of parameters a source, from ``docs`` as ``sized`` gives it (materialised)."""
+    hist = materialise(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
+    params = duals(hist, materialise(targets(hist), "targets"))
+    keyed = materialise(_keyed(docs, params).select("source", "size", "u", "whole", "key", "target"), "keyed")
+    base = keyed.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("whole"))).alias("need"))
+    keyed = keyed.where("key is not null").drop("whole", "target")
+
+    def found(rows: DataFrame, state: DataFrame, need: str, column: str, low: str, width: str) -> DataFrame:
+        """``state`` with the bin (0: none) after the last that fits into ``need``, and what is left of it."""
+        t = _threshold(rows, state.select("source", F.col(need).alias("need")), column, low, width).withColumnRenamed("source", "__s")
+        met = state.join(t, state.source.eqNullSafe(F.col("__s")), "left")
+        return met.select(*state.columns, (F.coalesce("bin", F.lit(-1)) + 1).alias("cut"), (F.col(need) - F.coalesce("used", F.lit(0))).alias("rest"))
+
+    def of(state: DataFrame) -> DataFrame:
+        return keyed.join(small(state.withColumnRenamed("source", "__s")), keyed.source.eqNullSafe(F.col("__s"))).drop("__s")
+
+    state = found(keyed, base, "need", "key", "-1.0", "2.0")
+    state = materialise(state.select("source", "rest", (F.lit(-1.0) + F.col("cut") * (2.0 / BINS)).alias("at")), "cut")
+    inside = of(state).where(f"key >= at and key < at + {2.0 / BINS}")
+    state = found(inside, state.withColumnRenamed("rest", "need"), "need", "key", "at", str(2.0 / BINS))
+    state = materialise(state.select("source", "rest", (F.col("at") + F.col("cut") * (2.0 / BINS / BINS)).alias("theta")), "theta")
     # what is left is less than the documents at the threshold: documents no larger than that, by their hash
-    state, ups = two, F.col("key") < F.col("theta")
     for k in range(FILLS):
-        fits = (F.col("size") <= F.col("rest")) & ~ups
-        fill = keyed.join(small(state), keyed.source.eqNullSafe(F.col("__s"))).drop("__s").where(fits)
-        need = state.select(F.col("__s").alias("source"), F.col("rest").alias("need"))
-        found = _threshold(fill, need, "u", "0.0", "1.0")
-        state = materialise(state.join(found, F.col("__s").eqNullSafe(F.col("source")), "left").select(
-            *state.columns[:-1], F.col("rest").alias(f"room{k}"), (F.coalesce("bin", F.lit(-1)) + 1).alias(f"fill{k}"),
-            (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest")), f"fill{k}")
-        taken = (F.col("size") <= F.col(f"room{k}")) & (F.least(F.lit(BINS - 1), F.floor(F.col("u") * BINS)) < F.col(f"fill{k}"))
-        ups = ups | taken
-    d = d.join(small(state), d.source.eqNullSafe(F.col("__s")), "left").drop("__s")
-    up = F.coalesce(F.col("key").isNotNull() & ups, F.lit(False))
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + up.cast("long")).alias("copies"))
+        fill = of(state).where((F.col("size") <= F.col("rest")) & ~_ups(k))
+        state = found(fill, state.withColumnRenamed("rest", f"room{k}"), f"room{k}", "u", "0.0", "1.0").withColumnRenamed("cut", f"fill{k}")
+        state = materialise(state, "fill")
+    state = state.drop("rest").withColumnRenamed("source", "__s")
+    return materialise(params.join(state, params.source.eqNullSafe(F.col("__s")), "left").drop("__s"), "params")
+
+
+def with_copies(docs: DataFrame, params: DataFrame) -> DataFrame:
+    """``docs`` (with source, size, u) with its source's source_size and target, and its copies (0, 1 or 2)."""
+    d = _keyed(docs, params)
+    return d.select(*docs.columns, "source_size", "target", (F.col("whole") + _ups(FILLS).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies (0, 1 or 2)."""
+    """Per document: doc_id, source, size, u, source_size, target, copies."""
     d = materialise(sized(docs, id_col, text_col, source_col), "sized")
-    hist = materialise(d.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
-    return copies(d, duals(hist, materialise(targets(hist), "targets")))
+    return with_copies(d, solve(d))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
