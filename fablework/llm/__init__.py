@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "token_file", "neighbours", "toxicity", "mixing", "quality_rules", "chat_format", "byte_bpe", "token_counts"]
+MODULES = ["url_filter", "token_file", "neighbours", "toxicity", "mixing", "quality_rules", "chat_format", "byte_bpe", "token_counts", "near_dedup"]
 
 
 def queries() -> dict:

@@ -33,12 +33,17 @@ TOLERANCE = 1e-9
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, u): size in words, ``u`` in [0, 1) from the row's own values."""
-    n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
     return d.withColumn("u", unit_hash())
 
 
+def size_of(text_col: str) -> Column:
+    """Number of words; null text has none."""
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def unit_hash() -> Column:
+    """A number in [0, 1) from doc_id, source and size."""
     return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("source"), F.col("size")), 11) / F.lit(float(2**53))
 
 
