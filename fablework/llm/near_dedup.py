@@ -7,11 +7,12 @@ turn) gives 66 keys a document, and any such pair shares a key. A pair of simila
 with probability 8e-6, one of 0.85 with 2e-7; every candidate is confirmed on the full sets.
 
 Equal sets collapse first, so exact copies never meet in pairs. Large groups of near copies are not
-expanded either: only links that join components matter. Two rounds let each document propose one
-partner, the member of its buckets with the least hash; what those rounds leave in different
-components is then compared exactly, each document outside a bucket's main component with the
-members of other components. Candidates whose signatures differ in over 33 of 66 symbols (probability
-1e-8 at similarity 0.8) are not compared on sets. Links give components by label propagation.
+expanded either: only links that join components matter. In rounds, while that joins many, each
+document proposes up to three partners, random members of its buckets; what is
+then left in different components of a bucket is compared exactly, each document outside the bucket's
+main component with the members of other components, in tiles of signatures, and only close pairs
+leave a tile, each at its first shared key. Candidates whose signatures differ in over 30 of 66 symbols (probability
+1e-6 at similarity 0.8) are not compared on sets. Links give components by label propagation.
 
 Defined results: documents without words have an empty set, link with nothing and are their own
 component. Fewer words than a shingle: the whole sequence is the one shingle. A null doc_id counts as
@@ -29,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small, table
 
 SYMBOLS, CHUNK = 66, 6
 CHUNKS = SYMBOLS // CHUNK
-MAX_DISTANCE = 33
+MAX_DISTANCE = 30
 PERCENT = 80
-PROPOSALS = 2
+PROPOSALS = 3
+MAX_ROUNDS = 12
+TILE = 2048
+CELLS = 65_536
 CACHE_WORDS = 300_000
 ROWS_AT_ONCE = 16_384
 
@@ -120,15 +124,95 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
+    """(key, slot, rep): ``slot`` is the chunk times ``CHUNK`` plus the place left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 rep = np.repeat(part.column("rep").to_numpy(zero_copy_only=False), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys(sig).ravel().view(np.int64)), pa.array(rep)], ["key", "rep"])
+                slot = np.tile(np.arange(SYMBOLS, dtype=np.int16), len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(keys(sig).ravel().view(np.int64)), pa.array(slot), pa.array(rep)], ["key", "slot", "rep"])
+
+    return reps.mapInArrow(run, "key long, slot short, rep long")
+
+
+def _across(x: np.ndarray, y: np.ndarray, slot: int) -> np.ndarray:
+    """[i, j]: rows of signatures that are close and whose first shared key is the one in ``slot``.
+
+    The first shared key: of the first chunk with at most one error, the place of that error (0 without one).
+    """
+    wrong = x[:, None, :] != y[None, :, :]
+    close = wrong.sum(2) <= MAX_DISTANCE
+    errors = wrong.reshape(*close.shape, CHUNKS, CHUNK)
+    many = errors.sum(3)
+    first = (many <= 1).argmax(2)
+    at = np.take_along_axis(errors.argmax(3), first[:, :, None], 2)[:, :, 0]
+    return close & (first * CHUNK + at == slot)
+
 
-    return reps.mapInArrow(run, "key long, rep long")
+def _between(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Close pairs (a, b) of different components in split buckets, each pair once.
+
+    ``rows``: (key, slot, rep, label, main). Documents outside a bucket's main component (side 0) meet
+    all of the bucket (side 1) in tiles: side 0 is dealt over salts, side 1 sent to each. A task holds
+    one tile of side 0 and streams side 1 by. What leaves it is close by signature and similar enough
+    on 16 bits of each shingle's hash, which loses no pair; that leaves few pairs for the full sets.
+    """
+    size = rows.groupBy("key").agg(F.count_if(F.col("label") != F.col("main")).alias("n")).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("salts"))
+    rows = materialise(rows.join(size, "key").join(sigs.join(sets.select("rep", "t"), "rep"), "rep"), "signed_rows")
+    left = rows.where("label <> main").select("key", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.lit(0).alias("side"), "slot", "rep", "label", "main", "sig", "t")
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("side"), "slot", "rep", "label", "main", "sig", "t")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.union(right).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []  # side 0 of the current tile: [reps, labels, signatures, short sets]
+        seen = np.zeros(1 << 16, bool)
+
+        def similar(p: np.ndarray, q: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+            """Which pairs (p ascending) may reach the similarity; ``seen`` holds the set of one p at a time."""
+            ok, last = np.zeros(len(p), bool), -1
+            for n, (i, j) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                if i != last:
+                    seen[:] = False
+                    x = np.frombuffer(one[i], "<u2")
+                    seen[x], last = True, i
+                y = np.frombuffer(two[j], "<u2")
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = int(np.count_nonzero(seen[y]))
+                    ok[n] = 100 * both >= percent * (len(x) + len(y) - both)
+            return ok
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                key, salt, side, slot, rep, label, main = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "side", "slot", "rep", "label", "main"))
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+                short = batch.column("t").to_numpy(zero_copy_only=False)
+                new = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])) + 1
+                for i, j in zip([0, *new.tolist()], [*new.tolist(), len(key)], strict=True):
+                    if (key[i], salt[i]) != group:
+                        group, held = (key[i], salt[i]), []
+                    if side[i] == 0:
+                        held.append((rep[i:j], label[i:j], sig[i:j], short[i:j]))
+                        continue
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                    for r, l, x, t in held:
+                        step = max(1, CELLS // (j - i))
+                        for k in range(0, len(r), step):
+                            ok = (l[k : k + step, None] != label[None, i:j]) & ((label[i:j] == main[i:j])[None, :] | (r[k : k + step, None] < rep[None, i:j]))
+                            if ok.any():
+                                p, q = np.nonzero(ok & _across(x[k : k + step], sig[i:j], int(slot[i])))
+                                near = similar(p, q, t[k : k + step], short[i:j])
+                                p, q = p[near], q[near]
+                                if len(p):
+                                    one, two = r[k : k + step][p], rep[i:j][q]
+                                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -143,16 +227,46 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are similar on their full sets; sets are made anew for the documents in question only."""
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(rep, n, s, t): full sets of the documents ``ids`` (rep): sorted 64-bit hashes, and their low 16 bits."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingles(t, k).tobytes() for t in part.column("text").to_pylist()], pa.binary())], ["rep", "s"])
+                sets = [shingles(t, k) for t in part.column("text").to_pylist()]
+                cols = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.astype("<u2").tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "n", "s", "t"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = docs.join(small(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(run, "rep long, n long, s binary, t binary")
+    # rows that repeat a document count once
+    return materialise(made.groupBy("rep", F.xxhash64("s").alias("h")).agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("t").alias("t")).drop("h"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that are similar on their full sets.
+
+    First on 16 bits of each hash, which can only find too much in common, so it loses no pair and
+    moves a quarter of the bytes; then on the full hashes.
+    """
+
+    def joined(pairs: DataFrame, column: str) -> DataFrame:
+        one, two = (sets.select(F.col("rep").alias(c), F.col(column).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, bool)
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u2"), np.frombuffer(y.as_py(), "<u2")
+                seen[y] = True
+                both = int(np.count_nonzero(seen[x]))
+                seen[y] = False
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -161,11 +275,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, s binary")
-    made = made.groupBy("rep", F.xxhash64("s").alias("h")).agg(F.first("s").alias("s"))  # repeated rows count once
-    one, two = (made.select(F.col("rep").alias(a), F.col("s").alias(b)) for a, b in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    left = joined(pairs, "t").mapInArrow(may_be, "a long, b long").distinct()
+    return joined(left, "s").mapInArrow(are, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,36 +312,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col:
     keyed = _keys(reps.where("rep is not null").select("rep", "sig"))
     # keys of several documents; a hot key is one row here, and the semi-join's left side can be split
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    buckets = materialise(keyed.join(shared, "key", "left_semi").distinct(), "buckets")
+    buckets = materialise(keyed.join(shared, "key", "left_semi"), "buckets")
     labels = materialise(buckets.select("rep", F.col("rep").alias("label")).distinct(), "labels")
     sigs = reps.select("rep", "sig").where("rep is not null")
+    sets = _sets(docs, labels.select("rep"), k)
 
-    def mixed() -> tuple[DataFrame, DataFrame]:
-        """Bucket rows with labels, and the buckets that hold several components."""
+    def mixed() -> DataFrame:
+        """Rows of the buckets that hold several components, with labels."""
         rows = buckets.join(labels, "rep")
         split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return rows, split
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        close = materialise(_close(pairs.distinct(), sigs), "close")
-        return _relabel(labels, materialise(_confirm(close, docs, k, percent), "links"))
-
-    for r in range(PROPOSALS):
-        rows, split = mixed()
-        rows = materialise(rows.join(split, "key", "left_semi"), "rows")
-        rank = F.struct(F.xxhash64(F.lit(r), "rep").alias("h"), F.col("rep").alias("to"), F.col("label").alias("to_label"))
-        heads = rows.groupBy("key").agg(F.min(rank).alias("head"))
-        asked = rows.join(heads, "key").where("label <> head.to_label").groupBy("rep").agg(F.min("head").alias("head"))
-        labels = tried(asked.select(F.least("rep", "head.to").alias("a"), F.greatest("rep", "head.to").alias("b")))
-
-    rows, split = mixed()
-    rows = materialise(rows.join(split, "key", "left_semi"), "rows")
+        return materialise(rows.join(split, "key", "left_semi"), "rows")
+
+    def links(close: DataFrame) -> DataFrame:
+        return materialise(_confirm(materialise(close, "close"), sets, percent), "links")
+
+    for r in range(MAX_ROUNDS):
+        rows = mixed()
+        rank = [F.struct(F.xxhash64(F.lit(PROPOSALS * r + i), "key", "rep").alias("h"), F.col("rep").alias("to"), F.col("label").alias("to_label")) for i in range(PROPOSALS)]
+        heads = rows.groupBy("key").agg(*(F.min(x).alias(f"head{i}") for i, x in enumerate(rank)))
+        other = [F.min(F.when(F.col(f"head{i}.to_label") != F.col("label"), F.col(f"head{i}"))).alias(f"head{i}") for i in range(PROPOSALS)]
+        asked = rows.join(heads, "key").groupBy("rep").agg(*other).select("rep", F.explode(F.array(*(f"head{i}.to" for i in range(PROPOSALS)))).alias("to")).where("to is not null")
+        new = links(_close(asked.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), sigs))
+        labels = _relabel(labels, new)
+        # go on while it pays; what is left is compared exactly below
+        if 50 * new.count() < rows.select("rep").distinct().count():
+            break
+
+    rows = mixed()
     main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    rows = materialise(rows.join(main, "key"), "rows")
-    left = rows.where("label <> main").select("key", "rep", "label")
-    right = rows.select("key", F.col("rep").alias("rep2"), F.col("label").alias("label2"), "main")
-    met = left.join(right, "key").where("label <> label2 and (label2 = main or rep < rep2)")
-    labels = tried(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
+    labels = _relabel(labels, links(_between(rows.join(main, "key"), sigs, sets, percent)))
 
     found = reps.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = signed.drop("sig").join(found, "digest", "left")
