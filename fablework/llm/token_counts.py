@@ -19,6 +19,7 @@ columns are ignored. Whole texts are counted, of any length.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .word_tokens import chunks, load, split_words
+from .word_tokens import EASY, chunks, load, split_words
 
 LIMIT = 2048
 CACHE_WORDS = 600_000
@@ -57,6 +58,10 @@ class PrefixCounts:
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        # byte letters of the lower-case letters of Latin-1, counts of the signs that may close an easy word
+        before = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: before(c)[0][0] for c in map(chr, (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)))}
+        self.signs = {c: self.piece(before(c)[0][0])[0] for c in ".,;:!?"}
 
     def _compatible(self, u: str, t: str) -> bool:
         """Whether merging the letters of both tokens leaves them apart.
@@ -84,21 +89,39 @@ class PrefixCounts:
             self.pairs[key] = known
         return known
 
+    def pieces(self, sorted_letters: list[str]) -> list[list[int]]:
+        """Counts of the closed prefixes of each piece, given as byte letters: one for each length from 1.
+
+        Pieces come sorted, so that a row of the table that a neighbour's prefix made is used again.
+        """
+        longest, inner, closed, compatible, end = self.longest, self.inner, self.closed, self._compatible, self.end
+        last, count, out, before, found = [""], [0], [], "", []
+        for letters in sorted_letters:
+            same, most = 0, min(len(before), len(letters))
+            while same < most and before[same] == letters[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :], out[same:]
+            for j in range(same + 1, len(letters) + 1):
+                token, n, total = "", 0, 0
+                for i in range(j - longest if j > longest else 0, j):
+                    t = letters[i:j]
+                    if not n and t in inner and (not i or compatible(last[i], t)):
+                        token, n = t, count[i] + 1
+                        if total:
+                            break
+                    if not total and t in closed and (not i or compatible(last[i], t + end)):
+                        total = count[i] + 1
+                        if n:
+                            break
+                last.append(token)
+                count.append(n)
+                out.append(total)
+            before = letters
+            found.append(out[:])
+        return found
+
     def piece(self, letters: str) -> list[int]:
-        """Counts of the closed prefixes of a piece, given as byte letters: one for each length from 1."""
-        n, longest = len(letters), self.longest
-        last, count, out = [""] * (n + 1), [0] * (n + 1), [0] * n
-        inner, closed, compatible, end = self.inner, self.closed, self._compatible, self.end
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                t = letters[i:j]
-                if t in inner and not count[j] and (not i or compatible(last[i], t)):
-                    last[j], count[j] = t, count[i] + 1
-                if t in closed and not out[j - 1] and (not i or compatible(last[i], t + end)):
-                    out[j - 1] = count[i] + 1
-                    if count[j]:
-                        break
-        return out
+        return self.pieces([letters])[0]
 
     def _plain(self, word: str) -> list[int]:
         """Counts of the prefixes of a normalised word without special tokens, by code point."""
@@ -135,19 +158,45 @@ class PrefixCounts:
         out.extend(before + c for c in self._plain(normal(word[at:])))
         return out
 
-    def _learn(self, word: str) -> bytes:
-        if len(self.words) >= CACHE_WORDS:
+    def learn(self, words: set[str]) -> None:
+        """Table the words that are not known; those of Latin-1 letters and at most one closing sign together."""
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-        out = np.array(self.table(word), "<u4").tobytes()
-        if len(word) <= 64:
-            self.words[word] = out
-        return out
+            new = words
+        letters, easy = self.letters, []
+        for w in new:
+            if EASY.fullmatch(w):
+                stem = (w if w[-1].isalpha() else w[:-1]).lower()
+                easy.append((stem if stem.isascii() else "".join([letters[c] for c in stem]), stem, w))
+            else:
+                self.words[w] = np.array(self.table(w), "<u4").tobytes()
+        easy.sort()
+        for (_, stem, w), counts in zip(easy, self.pieces([e[0] for e in easy]), strict=True):
+            if not stem.isascii():
+                ends, at = [], 0
+                for c in stem:
+                    at += len(letters[c])
+                    ends.append(at)
+                counts = [counts[e - 1] for e in ends]
+            if not w[-1].isalpha():
+                counts.append(counts[-1] + self.signs[w[-1]])
+            self.words[w] = array("I", counts).tobytes()
 
     def counts(self, text: str) -> np.ndarray:
         """Token count of every prefix."""
-        known, learn = self.words.get, self._learn
-        tables = [known(w) or learn(w) for w in split_words(text)]
-        tables = [t for t in tables if t]
+        words = split_words(text)
+        self.learn(set(words))
+        return self._counts(words)
+
+    def counts_of(self, texts: list[str]) -> list[np.ndarray]:
+        """``counts`` of several texts, whose new words are tabled together."""
+        words = [split_words(t) for t in texts]
+        self.learn(set().union(*words))
+        return [self._counts(w) for w in words]
+
+    def _counts(self, words: list[str]) -> np.ndarray:
+        tables = list(filter(None, map(self.words.__getitem__, words)))
         if not tables:
             return np.zeros(0, np.int64)
         every = np.frombuffer(b"".join(tables), "<u4").astype(np.int64)
@@ -188,8 +237,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         counter = prefix_counts(tokenizer)
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in chunks(texts):
-                counts = [counter.counts(t or "") for t in texts[i:j]]
+            for i, j in chunks(texts, 6_000_000):
+                counts = counter.counts_of([t or "" for t in texts[i:j]])
                 total = [int(c[-1]) if len(c) else 0 for c in counts]
                 cols = [names.slice(i, j - i), pa.array([len((t or "").encode()) for t in texts[i:j]], pa.int64()), pa.array(total, pa.int64()), pa.array([n > limit for n in total])]
                 if keep:
