@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES: list[str] = []
+MODULES = ["plans.graph_queries", "plans.text_queries"]
 
 
 def queries() -> dict:
