@@ -222,7 +222,8 @@ class ByteBpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         whole, at, first = boundaries(texts)
         starts = at.tolist()
-        slices = [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)], strict=True)]
+        ends = [*starts[1:], len(whole)] if starts else []  # no slices where all texts are empty
+        slices = [whole[a:b] for a, b in zip(starts, ends, strict=True)]
         known = self.cache.get
         ids = [known(s) or self._learn(s) for s in slices]
         return [b"".join(ids[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
