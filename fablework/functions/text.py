@@ -74,3 +74,30 @@ def half_of(c: Column) -> Column:
 def call_chain(frames: Column) -> Column:
     """Outermost first, internal frames left out."""
     return F.array_join(F.filter(F.reverse(frames), lambda f: ~f.startswith("_")), " -> ")
+
+
+def json_repair(c: Column) -> Column:
+    """Lenient JSON as strict JSON text: comments and commas before a closing bracket go, white space becomes one space.
+
+    Strings and backslash pairs stay as they are. A comma also goes if only comments part it from the
+    bracket. An unclosed comment or string runs to the end of the text. Null gives null.
+    """
+    space, kept = r"[ \t\r\n]", r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|\\[\s\S]'
+    c = F.regexp_replace(c, rf"({kept})|/\*[\s\S]*?(?:\*/|\z)|//[^\n]*+\n?", "$1")
+    c = F.regexp_replace(c, rf"({kept})|,(?={space}*+[}}\]])", "$1")
+    parts = F.regexp_extract_all(c, F.lit(rf'{kept}|{space}++|[^"\\ \t\r\n]++|\\'), F.lit(0))
+    return F.trim(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(rf"^{space}+\z"), " ").otherwise(p)), ""))
+
+
+def metrics_payload(book_id: Column, title: Column, summary: Column, gold: Column, prf: dict[str, tuple[Column, Column, Column]], scalars: dict[str, Column], qa_items: Column | None = None) -> Column:
+    """Scores of one book as the nested JSON text that the score viewer reads; null fields stay in it.
+
+    ``prf``: precision, recall and F1 by metric name; ``qa_items``: array of question structs, none if left out.
+    """
+    # fixed values: the viewer's field names
+    triple = [F.struct(F.lit(n).alias("Name"), p.alias("Precision"), r.alias("Recall"), f.alias("F1Score")) for n, (p, r, f) in prf.items()]
+    single = [F.struct(F.lit(n).alias("Name"), v.alias("Value")) for n, v in scalars.items()]
+    items = F.array() if qa_items is None else qa_items
+    metrics = F.struct(F.array(*triple).alias("PRF1Metrics"), F.array(*single).alias("ScalarMetrics"), F.struct(items.alias("QAItems")).alias("QA"))
+    whole = F.struct(book_id.cast("string").alias("BookID"), title.alias("BookTitle"), summary.alias("SummaryText"), gold.alias("GoldSummaryText"), metrics.alias("Metrics"), F.array().alias("QAResults"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})

@@ -92,6 +92,10 @@ QUERIES = {
     "moderation_filter": lambda s, d: J.moderate(_t(s, d, "documents").select("doc_id", "source"), _t(s, d, "labels"), "doc_id", "toxic"),
     "triple_expand": lambda s, d: J.parse(s.sql("SELECT 1").select(F.lit(CASES).alias("j")), "j"),
     "doc_flatten": _flatten,
+    "json_repair": lambda s, d: _t(s, d, "events").select("event_id", Z.json_repair(F.concat(
+        F.lit("/* "), "event_type", F.lit(' */ {"id": '), F.col("event_id").cast("string"), F.lit(', // "no" \n\t "note": "a // b, } \\" /* c */", "props" :'), "props", F.lit(",\n}"))).alias("json")),
+    "metrics_payload": lambda s, d: _t(s, d, "labels").select("doc_id", Z.metrics_payload(
+        F.col("doc_id"), F.lit("t"), F.lit("s"), F.lit("g"), {}, {"quality": F.col("quality").cast("double")}).alias("payload")),
     "json_props": lambda s, d: _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
     "rouge1": _rouge(1), "rouge2": _rouge(2),
     "cosine_pairs": _cosine,
@@ -148,6 +152,8 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "moderation_filter": "SELECT d.doc_id, source FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS f FROM labels GROUP BY doc_id) l USING (doc_id) WHERE coalesce(f, 0) = 0",
     "triple_expand": "SELECT * FROM (VALUES ('A', 'likes', 'B'), ('A', 'sees', 'C'), ('A', 'x', 'D'), ('A', 'y', 'D'), ('B', 'x', 'D'), ('B', 'y', 'D'), ('C', 'x', 'D'), ('C', 'y', 'D'), ('A', 'p', 'Q'), ('B', 'p', 'Q'), ('S', 'r', 'T')) v(s, r, o)",
     "doc_flatten": "SELECT conv_id, turn, role FROM conversations",
+    "json_repair": """SELECT event_id, '{"id": ' || event_id || ', "note": "a // b, } \\" /* c */", "props" :' || props || ' }' AS json FROM events""",
+    "metrics_payload": """SELECT doc_id, '{"BookID":"' || doc_id || '","BookTitle":"t","SummaryText":"s","GoldSummaryText":"g","Metrics":{"PRF1Metrics":[],"ScalarMetrics":[{"Name":"quality","Value":' || quality::DOUBLE || '}],"QA":{"QAItems":[]}},"QAResults":[]}' AS payload FROM labels""",
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "rouge1": _rouge_sql(1), "rouge2": _rouge_sql(2),
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

@@ -79,3 +79,27 @@ def test_similarity_and_streams(spark):
     e = spark.createDataFrame([(1, "x", "2024-01-01 00:00:00"), (1, "y", "2024-01-01 00:01:00")], "k int, s string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert status.latest_status(e, ["k"], "s", "ts").first()["s"] == "y"
     assert status.counts_by_window(e, "ts", "k").first()["n"] == 2
+
+
+@pytest.mark.parametrize(("said", "want"), [
+    ('{"a": 1, // x\n "b": [1, 2, /* , */ ],}', '{"a": 1, "b": [1, 2 ]}'),
+    ('{"u": "http://x/*y*/,}",\t\n"q": "a \\" // b  c"}', '{"u": "http://x/*y*/,}", "q": "a \\" // b  c"}'),
+    ("", ""), ("  /* only */ ", ""), ("{} // end", "{}"), ("{} /* open", "{}"), ('{"a": "open // x', '{"a": "open // x'), ("a \\", "a \\"), (None, None),
+])
+def test_json_repair(spark, said, want):
+    assert one(spark, Z.json_repair(F.lit(said).cast("string"))) == want
+
+
+def test_json_repair_long_string(spark):
+    said = '{"a": "' + "x\\n" * 200_000 + '",}'
+    assert one(spark, Z.json_repair(F.lit(said))) == said[:-2] + "}"
+
+
+def test_metrics_payload(spark):
+    import json
+
+    made = json.loads(one(spark, Z.metrics_payload(F.lit(7), F.lit("T"), F.lit(None).cast("string"), F.lit("g"), {"P": (F.lit(0.5), F.lit(1.0), F.lit(None).cast("double"))}, {"S": F.lit(2.0)})))
+    assert made == {
+        "BookID": "7", "BookTitle": "T", "SummaryText": None, "GoldSummaryText": "g", "QAResults": [],
+        "Metrics": {"PRF1Metrics": [{"Name": "P", "Precision": 0.5, "Recall": 1.0, "F1Score": None}], "ScalarMetrics": [{"Name": "S", "Value": 2.0}], "QA": {"QAItems": []}},
+    }
