@@ -38,17 +38,29 @@ def sentences(text: Column) -> Column:
 def pack(segments: DataFrame, keys: list[str], limit: int = 1500, order: str = "pos") -> DataFrame:
     """Greedy packing of ordered segments into chunks of at most ``limit`` characters, joined by newlines.
 
-    A segment longer than the limit stands alone. A limit of 0 or less packs everything into one chunk.
-    An ordered fold per group (one book or chapter), in the JVM.
+    A segment longer than the limit is packed by sentences, joined by single spaces, into chunks of its
+    own; a sentence longer than the limit stands alone. A limit of 0 or less packs everything into one
+    chunk. An ordered fold per group (one book or chapter), in the JVM.
     """
     groups = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("s"))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def units(x: Column) -> Column:
+        whole = F.array(F.struct(x["text"].alias("text"), F.lit("\n").alias("sep"), F.lit(False).alias("first")))
+        parts = F.transform(sentences(x["text"]), lambda t, i: F.struct(t.alias("text"), F.lit(" ").alias("sep"), (i == 0).alias("first")))
+        return F.when((F.length(x["text"]) > limit) & F.lit(limit > 0), parts).otherwise(whole)
+
+    none = F.lit(None).cast("string")
+    empty = F.struct(F.array().cast("array<string>").alias("done"), none.alias("open"), none.alias("sep"))
 
     def step(a: Column, x: Column) -> Column:
-        joined = F.concat(a["open"], F.lit("\n"), x["text"])
-        fits = a["open"].isNotNull() & ((F.length(joined) <= limit) | F.lit(limit <= 0))
+        joined = F.concat(a["open"], x["sep"], x["text"])
+        fits = a["open"].isNotNull() & (a["sep"] == x["sep"]) & ~x["first"] & ((F.length(joined) <= limit) | F.lit(limit <= 0))
         flushed = F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-        return F.when(fits, F.struct(a["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(flushed.alias("done"), x["text"].alias("open")))
+        grown = F.struct(a["done"].alias("done"), joined.alias("open"), x["sep"].alias("sep"))
+        return F.when(fits, grown).otherwise(F.struct(flushed.alias("done"), x["text"].alias("open"), x["sep"].alias("sep")))
+
+    def close(a: Column) -> Column:
+        return F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
 
-    folded = F.aggregate("s", empty, step, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+    folded = F.aggregate(F.flatten(F.transform("s", units)), empty, step, close)
     return groups.select(*keys, F.posexplode(folded).alias("chunk", "text"))

@@ -131,10 +131,15 @@ round(2.0 * coalesce(sum(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x,
 ORACLES = {
     "paragraphs": f"WITH {LINES} SELECT doc_id, pos, text FROM seg",
     "segment_percent": f"SELECT conv_id, turn, round({PCT}, 6) AS percent FROM conversations",
-    "chunk_pack": f"""WITH RECURSIVE {LINES}, o AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM seg),
-f(doc_id, k, chunk, text) AS (SELECT doc_id, 1, 0, text FROM o WHERE k = 1 UNION ALL
-  SELECT o.doc_id, f.k + 1, CASE WHEN length(f.text) + 1 + length(o.text) <= {LIMIT} THEN f.chunk ELSE f.chunk + 1 END,
-  CASE WHEN length(f.text) + 1 + length(o.text) <= {LIMIT} THEN f.text || chr(10) || o.text ELSE o.text END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
+    "chunk_pack": f"""WITH RECURSIVE {LINES},
+p AS (SELECT doc_id, pos, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM seg WHERE length(text) > {LIMIT}),
+u AS (SELECT doc_id, pos, 1 AS i, chr(10) AS sep, false AS fresh, text FROM seg WHERE length(text) <= {LIMIT}
+  UNION ALL SELECT doc_id, pos, i, ' ', i = 1, s[i] FROM p, unnest(range(1, len(s) + 1)) x(i)),
+o AS (SELECT doc_id, text, sep, fresh, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) AS k FROM u),
+f(doc_id, k, chunk, sep, text) AS (SELECT doc_id, 1, 0, sep, text FROM o WHERE k = 1 UNION ALL
+  SELECT doc_id, k, CASE WHEN fits THEN chunk ELSE chunk + 1 END, sep, CASE WHEN fits THEN old || sep || text ELSE text END
+  FROM (SELECT o.doc_id, f.k + 1 AS k, f.chunk, o.sep, f.text AS old, o.text,
+    o.sep = f.sep AND NOT o.fresh AND length(f.text) + 1 + length(o.text) <= {LIMIT} AS fits FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1))
 SELECT doc_id, chunk, arg_max(text, k) AS text FROM f GROUP BY doc_id, chunk""",
     "start_end_slice": f"""WITH a AS (SELECT conv_id, turn, text, max(CASE WHEN contains(text, '{START}') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS on_ FROM conversations),
 b AS (SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN trim(substr(text, instr(text, '{START}'))) ELSE text END AS text FROM a WHERE on_ = 1),

@@ -103,3 +103,12 @@ def test_metrics_payload(spark):
         "BookID": "7", "BookTitle": "T", "SummaryText": None, "GoldSummaryText": "g", "QAResults": [],
         "Metrics": {"PRF1Metrics": [{"Name": "P", "Precision": 0.5, "Recall": 1.0, "F1Score": None}], "ScalarMetrics": [{"Name": "S", "Value": 2.0}], "QA": {"QAItems": []}},
     }
+
+
+def test_pack_long_segments(spark):
+    rows = [(1, 0, "a b."), (1, 1, "One two. Three four! Five? Sixsixsixsixsixsixsix."), (1, 2, "Five? Six. Seven eig."), (1, 3, "c d"), (1, 4, "e f"), (2, 0, "")]
+    made = segments.pack(spark.createDataFrame(rows, "k int, pos int, text string"), ["k"], 20).orderBy("k", "chunk").collect()
+    assert [(r.k, r.chunk, r.text) for r in made] == [
+        (1, 0, "a b."), (1, 1, "One two. Three four!"), (1, 2, "Five?"), (1, 3, "Sixsixsixsixsixsixsix."),
+        (1, 4, "Five? Six."), (1, 5, "Seven eig."), (1, 6, "c d\ne f"), (2, 0, ""),
+    ]
