@@ -157,7 +157,7 @@ def test_chat(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-def test_near_dedup(spark, odd, none):
+def test_near_dedup(spark, odd, none, monkeypatch):
     rnd = random.Random(8)
     rows = []
     for g in range(40):
@@ -177,8 +177,13 @@ def test_near_dedup(spark, odd, none):
         for j in range(i):
             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and top(i) != top(j):
                 up[max(top(i), top(j))] = min(top(i), top(j))
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
-    assert got == {i: top(i) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds, tile in ((near_dedup.MAX_ROUNDS, near_dedup.TILE), (0, 3)):  # the second: all links from small tiles
+        monkeypatch.setattr(near_dedup, "MAX_ROUNDS", rounds)
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2).collect()}
+        assert got == {i: top(i) for i in range(len(rows))}
+    monkeypatch.undo()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.kept) for r in near_dedup.near_duplicates(odd, 2).collect()) == [
         (-1, 5, False), (1, 0, True), (2, 0, True), (3, 0, True), (4, 3, True), (4, 3, True), (9, 3, True)]
     assert near_dedup.near_duplicates(none, 2).count() == 0
