@@ -156,14 +156,23 @@ def _between(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     """Close pairs (a, b) of different components in split buckets, each pair once.
 
     ``rows``: (key, slot, rep, label, main). Documents outside a bucket's main component (side 0) meet
-    all of the bucket (side 1) in tiles: side 0 is dealt over salts, side 1 sent to each. A task holds
-    one tile of side 0 and streams side 1 by. What leaves it is close by signature and similar enough
+    all of the bucket (side 1) in tiles: both sides are dealt over parts of about ``TILE`` rows, and each
+    part of one meets each of the other under a salt of its own, so a hot bucket is many tasks' work. A
+    task holds side 0 and streams side 1 by. What leaves it is close by signature and similar enough
     on 16 bits of each shingle's hash, which loses no pair; that leaves few pairs for the full sets.
     """
-    size = rows.groupBy("key").agg(F.count_if(F.col("label") != F.col("main")).alias("n")).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("salts"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    size = rows.groupBy("key").agg(tiles(F.count_if(F.col("label") != F.col("main"))).alias("tiles"), tiles(F.count("*")).alias("strips"))
     rows = materialise(rows.join(size, "key").join(sigs.join(sets.select("rep", "t"), "rep"), "rep"), "signed_rows")
-    left = rows.where("label <> main").select("key", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.lit(0).alias("side"), "slot", "rep", "label", "main", "sig", "t")
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("side"), "slot", "rep", "label", "main", "sig", "t")
+
+    def side(of: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        """Rows dealt over their side's tiles by hash, a copy for every tile of the other side."""
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")
+        dealt = of.select("*", F.pmod(F.xxhash64("rep"), own).cast("int").alias(f"{own}_at"), every)
+        salt = F.col("tiles_at").cast("long") * F.col("strips") + F.col("strips_at")
+        return dealt.select("key", salt.alias("salt"), F.lit(number).alias("side"), "slot", "rep", "label", "main", "sig", "t")
+
+    left, right = side(rows.where("label <> main"), 0, "tiles", "strips"), side(rows, 1, "strips", "tiles")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.union(right).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "side")
 
