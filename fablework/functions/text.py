@@ -71,6 +71,17 @@ def half_of(c: Column) -> Column:
     return F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
 
 
+def one_line(c: Column) -> Column:
+    """Line breaks as spaces, trimmed: text as extractors and scorers take it."""
+    return F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
+
+
+def prompt(instruction: str, facts: Column, text: Column) -> Column:
+    """Model input of labelled sections; a null section is left out."""
+    part = lambda name, c: F.concat(F.lit(f"{name}:\n"), c)
+    return F.concat_ws("\n\n", F.lit(instruction), part("Facts", facts), part("Text", text))
+
+
 def call_chain(frames: Column) -> Column:
     """Outermost first, internal frames left out."""
     return F.array_join(F.filter(F.reverse(frames), lambda f: ~f.startswith("_")), " -> ")

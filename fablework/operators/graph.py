@@ -181,3 +181,11 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Set semantics on (s, r, o); triples with a blank part are skipped."""
     ok = new.where("length(trim(s)) > 0 and length(trim(r)) > 0 and length(trim(o)) > 0")
     return old.select("s", "r", "o").unionByName(ok.select("s", "r", "o")).dropDuplicates(["s", "r", "o"])
+
+
+def context(named_triples: DataFrame, top: int = 5) -> DataFrame:
+    """(subject, facts): the first ``top`` facts of each subject by relation and object, as one line."""
+    w = Window.partitionBy("subject").orderBy("relation", "object")
+    first = named_triples.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+    facts = F.sort_array(F.collect_list(F.struct("k", F.concat_ws(" ", "relation", "object").alias("fact"))))
+    return first.groupBy("subject").agg(F.array_join(F.transform(facts, lambda x: x["fact"]), "; ").alias("facts"))

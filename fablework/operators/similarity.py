@@ -78,3 +78,15 @@ def rouge_n(pairs: DataFrame, key: str, made: str, gold: str, n: int) -> DataFra
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def greedy_match(made: Column, gold: Column) -> Column:
+    """Precision, recall and F1 of two arrays of token vectors: each token's best cosine on the other side, averaged.
+
+    Null where either side is empty or null.
+    """
+    best = lambda x, others: F.array_max(F.transform(others, lambda y: cosine(x, y)))
+    mean = lambda a, b: F.aggregate(F.transform(a, lambda x: best(x, b)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    p, r = mean(made, gold), mean(gold, made)
+    f1 = F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return F.when((F.size(made) > 0) & (F.size(gold) > 0), F.struct(p.alias("precision"), r.alias("recall"), f1.alias("f1")))

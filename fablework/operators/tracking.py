@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,17 @@ def mean_of_means(log: DataFrame, run: str, function: str, elapsed: str) -> Data
 def parse_status(status: Column) -> Column:
     """``word, value`` as (status, value)."""
     return F.struct(F.split_part(status, F.lit(", "), F.lit(1)).alias("status"), F.nullif(F.split_part(status, F.lit(", "), F.lit(2)), F.lit("")).alias("value"))
+
+
+def transitions(events: DataFrame, keys: list[str], status: str, order: list[str], ts: str) -> DataFrame:
+    """Adds ``elapsed``: seconds from the last start to a completion or failure; null without a start and elsewhere."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    began = F.last(F.when(F.col(status) == "started", F.unix_micros(F.col(ts).cast("timestamp"))), ignorenulls=True).over(before)
+    took = (F.unix_micros(F.col(ts).cast("timestamp")) - began) / F.lit(1e6)
+    return events.withColumn("elapsed", F.when(F.col(status).isin("completed", "failed"), took))
+
+
+def clear_share(notes: DataFrame, keys: list[str], questions: str, types: str) -> DataFrame:
+    """(keys, score): the share of sentences whose annotation has neither questions nor types."""
+    confusing = (F.coalesce(F.size(questions), F.lit(0)) > 0) | (F.coalesce(F.size(types), F.lit(0)) > 0)
+    return notes.groupBy(*keys).agg(F.coalesce(1 - F.avg(confusing.cast("double")), F.lit(0.0)).alias("score"))

@@ -39,3 +39,16 @@ def parse(df: DataFrame, column: str) -> DataFrame:
 def moderate(df: DataFrame, labels: DataFrame, key: str, flag: str) -> DataFrame:
     """Rows whose label is not set; unlabelled rows stay (fail open)."""
     return df.join(labels.groupBy(key).agg(F.max(flag).alias("__flag")), key, "left").where(F.coalesce("__flag", F.lit(0)) == 0).drop("__flag")
+
+
+def from_decoded(text: Column, delimiter: str = " ") -> Column:
+    """Array of (s, r, o) of a decoder's flat output: parts in threes, subject, object, relation.
+
+    Parts are trimmed; threes with a blank part and an incomplete last three are dropped. Null gives null.
+    """
+    parts = F.transform(F.split(text, delimiter), lambda x: F.trim(x))
+    n = F.floor(F.size(parts) / 3).cast("int")
+    at = lambda i, k: F.get(parts, i * 3 + k)
+    threes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(i, 0).alias("s"), at(i, 2).alias("r"), at(i, 1).alias("o")))
+    full = lambda t: (F.length(t["s"]) > 0) & (F.length(t["r"]) > 0) & (F.length(t["o"]) > 0)
+    return F.when(text.isNotNull(), F.when(n > 0, F.filter(threes, full)).otherwise(F.slice(threes, 1, 0)))

@@ -62,6 +62,7 @@ QUERIES = {
     "triple_upsert": _q(lambda n, e: (lambda t: G.upsert(t, t.union(t)))(G.named(G.all_triples(n, e), n).toDF("s", "r", "o"))),
     "graph_scan": _q(lambda n, e: n.unionByName(e, allowMissingColumns=True).distinct()),
     "distinct_values": _q(lambda n, e: n.select("label").distinct()),
+    "graph_context": _q(lambda n, e: G.context(G.named(G.all_triples(n, e), n))),
     "random_walk": _q(lambda n, e: G.random_walk(e, n.where("label = 'customer'").select("element_id"), 3)),
     "community_detect": _q(G.communities),
 }
@@ -115,5 +116,6 @@ ORACLES = {
     "graph_stats": _sql("SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(DISTINCT rel_type) FROM edges) AS relation_types, (SELECT avg(edge_count) FROM deg) AS avg_degree, (SELECT count(*) FROM edges)::DOUBLE / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)) AS density"),
     "triple_upsert": _sql("SELECT DISTINCT subject AS s, relation AS r, object AS o FROM t"),
     "graph_scan": _sql("SELECT DISTINCT element_id, name, label, NULL::VARCHAR AS start_node_id, NULL::VARCHAR AS rel_type, NULL::VARCHAR AS end_node_id FROM nodes UNION SELECT NULL, NULL, NULL, start_node_id, rel_type, end_node_id FROM edges"),
+    "graph_context": _sql("SELECT subject, string_agg(relation || ' ' || object, '; ' ORDER BY k) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY relation, object) AS k FROM t) WHERE k <= 5 GROUP BY subject"),
     "distinct_values": _sql("SELECT DISTINCT label FROM nodes"),
 }

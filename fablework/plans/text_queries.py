@@ -61,6 +61,24 @@ def _cosine(spark, d):
     return pair.select("vec_id", F.round(M.cosine(F.col("embedding"), F.col("next")), 5).alias("cosine"))
 
 
+def _match(spark, d):
+    e = _t(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("item")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("made"))
+    pair = e.join(e.select((F.col("item") - 1).alias("item"), F.col("made").alias("gold")), "item").select("item", M.greedy_match(F.col("made"), F.col("gold")).alias("m"))
+    return pair.select("item", *(F.round(f"m.{c}", 5).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _transitions(spark, d):
+    said = F.create_map(*map(F.lit, ("view", "started", "purchase", "completed", "error", "failed")))
+    e = _t(spark, d, "events").select("event_id", "user_id", "ts", F.coalesce(F.element_at(said, F.col("event_type")), F.lit("assigned")).alias("status"))
+    return K.transitions(e, ["user_id"], "status", ["ts", "event_id"], "ts").select("event_id", "status", F.round("elapsed", 3).alias("elapsed"))
+
+
+def _clear(spark, d):
+    some = lambda c, v: F.when(F.col(c) == v, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    notes = _t(spark, d, "labels").select("toxic", some("quality", 0).alias("questions"), F.lit(None).cast("array<string>").alias("types"))
+    return K.clear_share(notes, ["toxic"], "questions", "types").select("toxic", F.round("score", 6).alias("score"))
+
+
 def _flatten(spark, d):
     c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     return D.flatten(c).select("conv_id", F.col("`turns.turn`").alias("turn"), F.col("`turns.role`").alias("role"))
@@ -99,6 +117,9 @@ QUERIES = {
     "json_props": lambda s, d: _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
     "rouge1": _rouge(1), "rouge2": _rouge(2),
     "cosine_pairs": _cosine,
+    "greedy_match": _match, "task_transitions": _transitions, "clear_share": _clear,
+    "decoded_triples": lambda s, d: _t(s, d, "benchmark").select("item_id", F.posexplode(J.from_decoded(F.col("text"))).alias("pos", "t")).select("item_id", "pos", "t.*"),
+    "prompt_text": lambda s, d: _t(s, d, "documents").select("doc_id", Z.prompt("Summarise.", F.col("source"), Z.one_line(F.col("text"))).alias("prompt")),
     "task_latest": lambda s, d: _states(s, d),
     "task_progress": lambda s, d: K.progress(_states(s, d), "user_id", F.col("value") > 50).select("user_id", "completed", "total", F.round("percent", 6).alias("percent")),
     "story_gate": lambda s, d: K.gate(_states(s, d), "user_id", F.col("value") > 5, F.col("event_type") == "error"),
@@ -162,6 +183,19 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "json_props": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "rouge1": _rouge_sql(1), "rouge2": _rouge_sql(2),
     "cosine_pairs": "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "greedy_match": """WITH e AS (SELECT vec_id, vec_id // 4 AS item, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT a.item, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON b.item = a.item + 1),
+p AS (SELECT item, avg(m) AS p FROM (SELECT item, i, max(s) AS m FROM c GROUP BY item, i) GROUP BY item),
+r AS (SELECT item, avg(m) AS r FROM (SELECT item, j, max(s) AS m FROM c GROUP BY item, j) GROUP BY item)
+SELECT item, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 5) AS f1 FROM p JOIN r USING (item)""",
+    "task_transitions": """WITH s AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'assigned' END AS status FROM events),
+b AS (SELECT *, last_value(CASE WHEN status = 'started' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS began FROM s)
+SELECT event_id, status, round(CASE WHEN status IN ('completed', 'failed') THEN (epoch_us(ts) - began) / 1e6 END, 3)::DOUBLE AS elapsed FROM b""",
+    "clear_share": "SELECT toxic, round(1 - avg(CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS score FROM labels GROUP BY toxic",
+    "decoded_triples": """WITH w AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: trim(x)) AS w FROM benchmark),
+g AS (SELECT item_id, i, w[3 * i + 1] AS s, w[3 * i + 3] AS r, w[3 * i + 2] AS o FROM w, unnest(range(len(w) // 3)) u(i))
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY i) - 1)::INTEGER AS pos, s, r, o FROM g WHERE s <> '' AND r <> '' AND o <> ''""",
+    "prompt_text": "SELECT doc_id, concat_ws(chr(10) || chr(10), 'Summarise.', 'Facts:' || chr(10) || source, 'Text:' || chr(10) || trim(replace(text, chr(10), ' '))) AS prompt FROM documents",
     "task_latest": f"WITH {LATEST} SELECT * FROM st",
     "task_progress": f"WITH {LATEST} SELECT user_id, count(*) FILTER (value > 50) AS completed, count(*) AS total, round(100.0 * count(*) FILTER (value > 50) / count(*), 6)::DOUBLE AS percent FROM st GROUP BY user_id",
     "story_gate": f"WITH {LATEST} SELECT user_id, bool_and(value > 5) AS all_done, bool_or(event_type = 'error') AS any_failed FROM st GROUP BY user_id",

@@ -26,6 +26,14 @@ def split_statements(text: str) -> list[str]:
     return [s for s in [*out, "".join(now).strip()] if s]
 
 
+def split_graph_statements(text: str) -> list[str]:
+    """Statements of a graph script: comments go first, even inside strings; then split at semicolons outside strings."""
+    bare = re.sub(r"//[^\n]*|/\*.*?\*/", "", text, flags=re.S)
+    tokens = re.findall(r"\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?|\\.?|;|[^\"';\\]+", bare, re.S)
+    parts = "".join("\0" if t == ";" else t for t in tokens).split("\0")
+    return [p.strip() for p in parts if p.strip()]
+
+
 def run_script(spark: SparkSession, text: str) -> list[DataFrame]:
     """Run all statements in order; results of those that return columns."""
     return [d for d in map(spark.sql, split_statements(text)) if d.columns]

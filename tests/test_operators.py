@@ -112,3 +112,27 @@ def test_pack_long_segments(spark):
         (1, 0, "a b."), (1, 1, "One two. Three four!"), (1, 2, "Five?"), (1, 3, "Sixsixsixsixsixsixsix."),
         (1, 4, "Five? Six."), (1, 5, "Seven eig."), (1, 6, "c d\ne f"), (2, 0, ""),
     ]
+
+
+def test_decoded_triples_and_prompts(spark):
+    said = {"a b likes c d sees e": [("a", "likes", "b"), ("c", "sees", "d")], "a b": [], "": [], "a  r": [], None: None}
+    for text, want in said.items():
+        got = one(spark, triples.from_decoded(F.lit(text).cast("string")))
+        assert (got if got is None else [tuple(t) for t in got]) == want, text
+    assert one(spark, Z.prompt("Do.", F.lit(None).cast("string"), Z.one_line(F.lit(" a\nb ")))) == "Do.\n\nText:\na b"
+    assert readers.split_graph_statements("CREATE (a {n: 'x;y'}); // no; \n /* ; */ MATCH (b) RETURN \"q\\\";\"; ;") == ["CREATE (a {n: 'x;y'})", 'MATCH (b) RETURN "q\\";"']
+
+
+def test_transitions_and_scores(spark):
+    from fablework.operators import tracking
+
+    rows = [(1, "completed", 1), (1, "started", 2), (1, "started", 5), (1, "failed", 9), (2, "started", 1), (2, "assigned", 3)]
+    e = spark.createDataFrame(rows, "k int, status string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r.k, r.s): r.elapsed for r in tracking.transitions(e, ["k"], "status", ["ts"], "ts").collect()}
+    assert got == {(1, 1): None, (1, 2): None, (1, 5): None, (1, 9): 4.0, (2, 1): None, (2, 3): None}
+    notes = spark.createDataFrame([(1, ["q"], None), (1, [], []), (2, None, ["t"])], "k int, q array<string>, t array<string>")
+    assert sorted(map(tuple, tracking.clear_share(notes, ["k"], "q", "t").collect())) == [(1, 0.5), (2, 0.0)]
+    vectors = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0]]), ([], [[1.0]])], "a array<array<double>>, b array<array<double>>")
+    assert [r[0] and tuple(r[0]) for r in vectors.select(similarity.greedy_match(F.col("a"), F.col("b"))).collect()] == [(0.5, 1.0, 2 / 3), None]
+    named = spark.createDataFrame([("a", "r", str(i)) for i in range(7)] + [("b", "r", "x")], "subject string, relation string, object string")
+    assert sorted(map(tuple, graph.context(named, 2).collect())) == [("a", "r 0; r 1"), ("b", "r x")]
