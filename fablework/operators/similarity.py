@@ -17,25 +17,45 @@ def title_join(left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str,
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: the row of its table as bits of one number, a 0 where it rises."""
+    places = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
+def _token_sorted(x: str | None) -> str:
+    return " ".join(sorted((x or "").split()))
 
 
 @F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 times the normalised common subsequence of the texts with their tokens sorted."""
     def one(x: str, y: str) -> float:
-        x, y = " ".join(sorted((x or "").split())), " ".join(sorted((y or "").split()))
+        x, y = _token_sorted(x), _token_sorted(y)
         return 200.0 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _characters(a: pd.Series) -> pd.Series:
+    """Each character of the token-sorted text with its number among its equals; one blank for an empty text."""
+    def one(x: str) -> list[str]:
+        seen, out = {}, []
+        for c in _token_sorted(x):
+            seen[c] = seen.get(c, 0) + 1
+            out.append(f"{c}{seen[c]}")
+        return out or [""]
+
+    return pd.Series([one(x) for x in a])
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F1 of the longest common word subsequence."""
@@ -47,13 +67,38 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _may_reach(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (l, r) that can have a ``token_sort_ratio`` of ``threshold`` (over 0), and some more.
+
+    A pair that has it needs lengths m and n with n >= m * least, and m * least characters in common at
+    least, where least = threshold / (200 - threshold). So both have one of the same numbered characters among
+    their m - ceil(m * least) + 1 rarest: that and the other's length are what is joined on.
+    """
+    least = threshold / (200.0 - threshold)
+    side = lambda d, n: d.select(F.col(n), _characters(n).alias("cs")).withColumn("m", F.size("cs"))
+    left, right = side(left, "l"), side(right, "r")
+    count = left.select(F.explode("cs").alias("c")).union(right.select(F.explode("cs").alias("c"))).groupBy("c").agg(F.count("*").alias("n"))
+
+    def rarest(d: DataFrame, n: str) -> DataFrame:
+        all_ = d.select(n, "m", F.explode("cs").alias("c")).join(count, "c").groupBy(n, "m").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("cs"))
+        some = (F.col("m") - F.ceil(F.col("m") * least - 1e-9) + 1).cast("int")
+        return all_.select(n, "m", F.explode(F.slice("cs", F.lit(1), some)).alias("x")).select(n, "m", F.col("x.c").alias("c"))
+
+    lengths = F.broadcast(right.select(F.col("m").alias("of")).distinct())
+    fits = (F.col("of") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("of") * least - 1e-9)
+    asked = rarest(left, "l").join(lengths, fits).select("l", "c", F.col("of").alias("m"))
+    return asked.join(rarest(right, "r"), ["c", "m"]).select("l", "r").distinct()
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, key: str, threshold: float = 90.0, scorer=token_sort_ratio) -> DataFrame:
     """For each left row its best right row with a score of at least ``threshold``; ties to the smaller key.
 
-    Candidates share a token; a pair without one is not compared.
+    No pair is lost: left out are only those that cannot reach the threshold, and none with another scorer, of which
+    no bound is known. Null keys match nothing.
     """
-    tokens = lambda d, n: d.select(F.col(key).alias(n), F.explode(F.array_distinct(F.split(F.col(key), r"\s+"))).alias("token"))
-    pairs = tokens(left, "l").join(tokens(right, "r"), "token").select("l", "r").distinct()
+    left, right = (d.select(F.col(key).alias(n)).where(F.col(n).isNotNull()).distinct() for d, n in ((left, "l"), (right, "r")))
+    bounded = scorer is token_sort_ratio and 0 < threshold <= 100
+    pairs = _may_reach(left, right, threshold) if bounded else left.crossJoin(right)
     scored = pairs.withColumn("score", scorer("l", "r")).where(F.col("score") >= threshold)
     best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
     return scored.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")

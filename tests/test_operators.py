@@ -136,3 +136,41 @@ def test_transitions_and_scores(spark):
     assert [r[0] and tuple(r[0]) for r in vectors.select(similarity.greedy_match(F.col("a"), F.col("b"))).collect()] == [(0.5, 1.0, 2 / 3), None]
     named = spark.createDataFrame([("a", "r", str(i)) for i in range(7)] + [("b", "r", "x")], "subject string, relation string, object string")
     assert sorted(map(tuple, graph.context(named, 2).collect())) == [("a", "r 0; r 1"), ("b", "r x")]
+
+
+def test_fuzzy_join_loses_no_pair(spark):
+    import random
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    def score(x, y):
+        x, y = (" ".join(sorted(t.split())) for t in (x, y))
+        return 200.0 * common(x, y) / (len(x) + len(y)) if x or y else 100.0
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abeilnorst") for _ in range(rnd.randrange(3, 9)))
+    typo = lambda w: (lambda i: w[:i] + rnd.choice(("", "x", w[i] + "q")) + w[i + 1 :])(rnd.randrange(len(w)))
+    titles = [" ".join(word() for _ in range(rnd.randrange(1, 7))) for _ in range(90)]
+    typed = [" ".join(rnd.sample(ws := [typo(w) for w in t.split()], len(ws))) for t in titles]
+    one = [t[:-1] + "y" for t in titles]
+    sides = [*titles, "Alexandria", "blue-metal", "", "  ", "zzz"], [*typed, *one, "Alexandrla", "blue metal", "", "ça"]
+    left, right = (spark.createDataFrame([(t,) for t in [*side, None]], "t string") for side in sides)
+    for threshold in (70.0, 90.0, 100.0):
+        want = {}
+        for x in set(sides[0]):
+            s, y = min((-score(x, y), y) for y in set(sides[1]))
+            if -s >= threshold:
+                want[x] = (y, -s)
+        got = similarity.fuzzy_join(left, right, "t", threshold).collect()
+        assert {r.l: (r.r, r.score) for r in got} == want and len(got) == len(want), threshold
+        if threshold == 90:
+            assert want["Alexandria"] == ("Alexandrla", 90.0) and want["blue-metal"] == ("blue metal", 90.0)
+            assert any(not set(x.split()) & set(y.split()) for x, (y, _) in want.items() if len(x.split()) > 1)
+    other = F.pandas_udf(lambda a, b: (a.str[0] == b.str[0]) * 95.0, "double")
+    got = similarity.fuzzy_join(spark.createDataFrame([("ab",)], "t string"), spark.createDataFrame([("ad",), ("ac",)], "t string"), "t", 90.0, other)
+    assert [tuple(r) for r in got.collect()] == [("ab", "ac", 95.0)]
