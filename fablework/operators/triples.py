@@ -22,17 +22,26 @@ def expand_nested(subjects: Column, pairs: Column) -> Column:
     return F.flatten(F.transform(subjects, lambda a: F.transform(ok, lambda p: F.struct(a.alias("s"), p["r"].alias("r"), p["o"].alias("o")))))
 
 
+def _nested_list(item: Column) -> Column:
+    """JSON text of the first value in key order that is a list and begins with an object, under any key; else null."""
+    kinds = F.map_entries(F.from_json(item, "map<string,variant>"))
+    is_pairs = lambda e: F.startswith(F.schema_of_variant(F.try_variant_get(e["value"], "$[0]", "variant")), F.lit("OBJECT"))
+    key = F.get(F.filter(kinds, is_pairs), F.lit(0))["key"]
+    return F.element_at(F.from_json(item, "map<string,string>"), key)
+
+
 def parse(df: DataFrame, column: str) -> DataFrame:
     """Rows of (s, r, o) from JSON text: an object or array of objects with scalars or lists, or nested pair lists."""
-    item = "s string, subject string, r string, relation string, o string, object string, object_ string, rels array<struct<r string, relation string, o string, object string>>"
+    item = "s string, subject string, r string, relation string, o string, object string, object_ string"
     text = F.regexp_replace(F.regexp_replace(F.trim(F.col(column)), r"(?i)^```json\s*", ""), r"\s*```$", "")
-    items = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), f"array<struct<{item}>>")
-    x = df.select(F.explode(items).alias("x"))
+    items = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), "array<string>")
+    x = df.select(F.explode(items).alias("item")).select(F.from_json("item", item).alias("x"), F.from_json(_nested_list(F.col("item")), "array<string>").alias("pairs"))
     as_list = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
     pick = lambda *n: F.coalesce(*(F.nullif(F.col(f"x.{c}"), F.lit("")) for c in n))
     s, r, o = as_list(pick("s", "subject")), as_list(pick("r", "relation")), as_list(pick("o", "object", "object_"))
-    pairs = F.transform("x.rels", lambda p: F.struct(F.coalesce(p["r"], p["relation"]).alias("r"), F.coalesce(p["o"], p["object"]).alias("o")))
-    made = F.when(F.size("x.rels") > 0, expand_nested(s, pairs)).otherwise(expand(s, r, o))
+    of = lambda p, *n: F.coalesce(*(F.nullif(F.get_json_object(p, f"$.{c}"), F.lit("")) for c in n))
+    pairs = F.transform("pairs", lambda p: F.struct(of(p, "r", "relation").alias("r"), of(p, "o", "object", "object_").alias("o")))
+    made = F.when(F.size("pairs") > 0, expand_nested(s, pairs)).otherwise(expand(s, r, o))
     return x.select(F.explode(made).alias("t")).select("t.*")
 
 

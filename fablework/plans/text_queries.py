@@ -17,6 +17,8 @@ START, END = "the", "and"
 CASES = """[{"s": "A", "r": ["likes", "sees"], "o": ["B", "C"]}, {"s": ["A", "B", "C"], "r": ["x", "y"], "o": "D"},
  {"s": ["A", "B"], "rels": [{"r": "p", "o": "Q"}, {"r": "", "o": "R"}]}, {"subject": "S", "relation": "r", "object_": "T"}]"""
 
+KEYS = ["rels", "facts", "a b.c"]
+
 
 def _t(spark, d, n):
     return spark.read.parquet(f"{d}/{n}.parquet")
@@ -79,6 +81,14 @@ def _clear(spark, d):
     return K.clear_share(notes, ["toxic"], "questions", "types").select("toxic", F.round("score", 6).alias("score"))
 
 
+def _expand_rows(spark, d):
+    """Triples of every document, from JSON whose pair list has one of three names and comes before another list."""
+    name = F.element_at(F.array(*map(F.lit, KEYS)), (F.col("doc_id") % len(KEYS) + 1).cast("int"))
+    parts = (F.lit('{"s": ["d'), F.col("doc_id").cast("string"), F.lit('", "'), F.col("source"), F.lit('"], "note": "[{", "'), name, F.lit('": [{"r": "LANG", "object_": "'), F.col("lang"),
+             F.lit('"}, {"relation": "CHARS", "o": '), F.col("n_chars").cast("string"), F.lit('}, {"r": "no", "o": ""}], "also": [{"r": "no", "o": "no"}]}'))
+    return J.parse(_t(spark, d, "documents").select(F.concat(*parts).alias("j")), "j")
+
+
 def _flatten(spark, d):
     c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     return D.flatten(c).select("conv_id", F.col("`turns.turn`").alias("turn"), F.col("`turns.role`").alias("role"))
@@ -109,6 +119,7 @@ QUERIES = {
     "half_of_text": lambda s, d: _t(s, d, "benchmark").select("item_id", Z.half_of(F.col("text")).alias("gold")),
     "moderation_filter": lambda s, d: J.moderate(_t(s, d, "documents").select("doc_id", "source"), _t(s, d, "labels"), "doc_id", "toxic"),
     "triple_expand": lambda s, d: J.parse(s.sql("SELECT 1").select(F.lit(CASES).alias("j")), "j"),
+    "triple_expand_rows": _expand_rows,
     "doc_flatten": _flatten,
     "json_repair": lambda s, d: _t(s, d, "events").select("event_id", Z.json_repair(F.concat(
         F.lit("/* "), "event_type", F.lit(' */ {"id": '), F.col("event_id").cast("string"), F.lit(', // "no" \n\t "note": "a // b, } \\" /* c */", "props" :'), "props", F.lit(",\n}"))).alias("json")),
@@ -177,6 +188,7 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "half_of_text": "SELECT item_id, substr(text, 1, length(text) // 2) AS gold FROM benchmark",
     "moderation_filter": "SELECT d.doc_id, source FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS f FROM labels GROUP BY doc_id) l USING (doc_id) WHERE coalesce(f, 0) = 0",
     "triple_expand": "SELECT * FROM (VALUES ('A', 'likes', 'B'), ('A', 'sees', 'C'), ('A', 'x', 'D'), ('A', 'y', 'D'), ('B', 'x', 'D'), ('B', 'y', 'D'), ('C', 'x', 'D'), ('C', 'y', 'D'), ('A', 'p', 'Q'), ('B', 'p', 'Q'), ('S', 'r', 'T')) v(s, r, o)",
+    "triple_expand_rows": "SELECT s, r, o FROM (SELECT unnest(['d' || doc_id, source]) AS s, lang, n_chars::VARCHAR AS chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL), LATERAL (VALUES ('LANG', lang), ('CHARS', chars)) v(r, o)",
     "doc_flatten": "SELECT conv_id, turn, role FROM conversations",
     "json_repair": """SELECT event_id, '{"id": ' || event_id || ', "note": "a // b, } \\" /* c */", "props" :' || props || ' }' AS json FROM events""",
     "metrics_payload": """SELECT doc_id, '{"BookID":"' || doc_id || '","BookTitle":"t","SummaryText":"s","GoldSummaryText":"g","Metrics":{"PRF1Metrics":[],"ScalarMetrics":[{"Name":"quality","Value":' || quality::DOUBLE || '}],"QA":{"QAItems":[]}},"QAResults":[]}' AS payload FROM labels""",

@@ -174,3 +174,15 @@ def test_fuzzy_join_loses_no_pair(spark):
     other = F.pandas_udf(lambda a, b: (a.str[0] == b.str[0]) * 95.0, "double")
     got = similarity.fuzzy_join(spark.createDataFrame([("ab",)], "t string"), spark.createDataFrame([("ad",), ("ac",)], "t string"), "t", 90.0, other)
     assert [tuple(r) for r in got.collect()] == [("ab", "ac", 95.0)]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('{"s":"A","facts":[{"r":"x","o":"B"}]}', [("A", "x", "B")]),
+    ('{"z": [{"relation": "x", "object_": "B"}, {"r": "", "relation": "y", "o": "", "object": "C"}], "s": ["A", "D"], "b": [{"r": "n", "o": "n"}]}',
+     [("A", "x", "B"), ("A", "y", "C"), ("D", "x", "B"), ("D", "y", "C")]),
+    ('[{"subject": "A", "note": "[{", "n": 1, "e": [], "w": ["x"], "a \'b.c": [{"r": "x", "o": 7}]}, {"s": "A", "r": "y", "o": ["B"]}]', [("A", "x", "7"), ("A", "y", "B")]),
+    ('{"s": "A", "b": [{"r": "x", "o": "1"}], "a": [{"r": "y", "o": "2"}]}', [("A", "x", "1")]),
+    ('```json\n{"s": "A", "r": "x", "o": "B", "facts": [{"q": 1}]}\n```', []),
+])
+def test_nested_pairs_under_any_key(spark, text, want):
+    assert sorted(map(tuple, triples.parse(spark.createDataFrame([(text,)], "j string"), "j").collect())) == want
