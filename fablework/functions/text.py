@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements whose start or end tag ends an open paragraph.
+BLOCKS = ("p|address|article|aside|blockquote|body|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|menu|nav|ol|pre"
+          "|search|section|table|tbody|td|tfoot|th|thead|tr|ul")
+
+
+def html_paragraphs(c: Column) -> Column:
+    """Inner HTML of each paragraph; one without a closing tag ends at the next block's start, its container's end or the page's."""
+    return F.regexp_extract_all(c, F.lit(rf"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?(?:{BLOCKS})[\s/>]|\z)"), 1)
+
 
 def normalize_title(c: Column) -> Column:
     """Runs of non-word characters and underscores become one space; trimmed."""

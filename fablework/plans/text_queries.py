@@ -111,6 +111,7 @@ QUERIES = {
     "chunk_id": lambda s, d: S.prefix_percent(_t(s, d, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", Z.chunk_id(F.lit(1), F.col("conv_id"), F.col("turn"), F.round("percent", 2)).alias("chunk_id")),
     "char_count": lambda s, d: _t(s, d, "documents").select("doc_id", Z.char_count(F.col("text")).alias("chars")),
     "html_paragraphs": lambda s, d: _t(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1)).alias("pos", "text")),
+    "html_paragraphs_open": lambda s, d: _t(s, d, "pages").select("page_id", F.posexplode(Z.html_paragraphs(F.col("html"))).alias("pos", "text")),
     "sanitize_relation": lambda s, d: _t(s, d, "part").select("p_partkey", Z.sanitize_relation(F.col("p_name")).alias("relation")),
     "sanitize_node": lambda s, d: _t(s, d, "part").select("p_partkey", Z.sanitize_node(F.col("p_name")).alias("node")),
     "normalize_title_join": lambda s, d: M.title_join(_t(s, d, "nation").select(F.col("n_name").alias("title"), "n_nationkey"), _t(s, d, "nation").select(F.lower(F.concat(F.lit("  "), "n_name", F.lit("_"))).alias("title"), "n_regionkey").withColumn("title", F.upper("title")), "title", ("_a", "_b")),
@@ -180,6 +181,7 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "chunk_id": f"SELECT conv_id, turn, 'story-1_book-' || conv_id || '_chapter-' || turn || '_p' || substr(printf('%.5f', round({PCT}, 2) / 100), 2, 6) AS chunk_id FROM conversations",
     "char_count": "SELECT doc_id, length(replace(text, chr(10), ''))::INTEGER AS chars FROM documents",
     "html_paragraphs": "WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS p FROM pages) SELECT page_id, (i - 1)::INTEGER AS pos, p[i] AS text FROM x, unnest(range(1, len(p) + 1)) u(i)",
+    "html_paragraphs_open": f"WITH x AS (SELECT page_id, regexp_split_to_array(html, '(?i)<p(?:\\s[^>]*)?>') AS p FROM pages) SELECT page_id, (i - 2)::INTEGER AS pos, regexp_extract(p[i], '(?is)^(.*?)(?:</?(?:{Z.BLOCKS})[\\s/>]|$)', 1) AS text FROM x, unnest(range(2, len(p) + 1)) u(i)",
     "sanitize_relation": "WITH w AS (SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(p_name, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9_ ]', '_', 'g'), '[_ ]+'), lambda x: x <> ''), '_') AS u FROM part) SELECT p_partkey, CASE WHEN regexp_matches(u, '^[A-Za-z]') THEN upper(u) ELSE 'RELATED_TO' END AS relation FROM w",
     "sanitize_node": "SELECT p_partkey, nullif(trim(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g'), '_'), '') AS node FROM part",
     "normalize_title_join": "WITH a AS (SELECT trim(regexp_replace(n_name, '[^\\p{L}\\p{N}]+', ' ', 'g')) AS title, n_nationkey AS n_nationkey_a FROM nation), b AS (SELECT trim(regexp_replace(upper('  ' || n_name || '_'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS title, n_regionkey AS n_regionkey_b FROM nation) SELECT * FROM a JOIN b USING (title)",

@@ -186,3 +186,9 @@ def test_fuzzy_join_loses_no_pair(spark):
 ])
 def test_nested_pairs_under_any_key(spark, text, want):
     assert sorted(map(tuple, triples.parse(spark.createDataFrame([(text,)], "j string"), "j").collect())) == want
+
+
+def test_html_paragraphs_without_closing_tags(spark):
+    html = '<body><div><p>a <b>b</b><p class="x">c\nd</p>no<P>e</div><p><pre>no</pre><ul><li><p>f<li>no</ul><param><p>g<picture>h'
+    assert one(spark, Z.html_paragraphs(F.lit(html))) == ["a <b>b</b>", "c\nd", "e", "", "f", "g<picture>h"]
+    assert one(spark, Z.html_paragraphs(F.lit("<p>" + "x" * 300_000))) == ["x" * 300_000]
