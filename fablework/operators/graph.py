@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,16 +98,18 @@ def neighbourhood(triples: DataFrame, start: str, depth: int = 1) -> DataFrame:
     return out
 
 
-def path_lengths(edges: DataFrame, start: str, most: int = 10) -> DataFrame:
-    """(element_id, hops) along directed edges, the fewest, up to ``most``."""
+def path_lengths(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """(element_id, hops) along directed edges, the fewest, of all nodes that can be reached, or up to ``most`` hops."""
     front = edges.sparkSession.createDataFrame([(start, 0)], "element_id string, hops int")
     out = front
-    for i in range(1, most + 1):
+    for i in count(1) if most is None else range(1, most + 1):
         step = edges.join(front.select(F.col("element_id").alias("start_node_id")), "start_node_id").select(F.col("end_node_id").alias("element_id")).distinct()
         front = _cut(step.join(out, "element_id", "left_anti").withColumn("hops", F.lit(i)))
         if front.isEmpty():
             break
         out = out.union(front)
+        if i % 10 == 0:  # keeps the plan of a long way short
+            out = _cut(out)
     return out
 
 

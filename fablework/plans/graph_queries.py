@@ -54,7 +54,7 @@ QUERIES = {
     "graph_ranked_verbalize": _lines,
     "verbalize_natural": _q(lambda n, e: G.verbalise(G.named(G.all_triples(n, e), n), "natural").select("line")),
     "verbalize_json": _q(lambda n, e: G.verbalise(G.named(G.all_triples(n, e), n), "json").select("line")),
-    "shortest_path_len": _q(lambda n, e: G.path_lengths(e, "c1", 6)),
+    "shortest_path_len": _q(lambda n, e: G.path_lengths(e, "c1")),
     "community_subgraph": _q(lambda n, e: G.community_subgraph(G.all_triples(n, e), _members(n), 1)),
     "undirected_pair_index": _q(lambda n, e: G.pair_index(e)),
     "relation_summary": _q(lambda n, e: G.relation_summary(G.named(G.all_triples(n, e), n))),

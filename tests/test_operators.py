@@ -192,3 +192,10 @@ def test_html_paragraphs_without_closing_tags(spark):
     html = '<body><div><p>a <b>b</b><p class="x">c\nd</p>no<P>e</div><p><pre>no</pre><ul><li><p>f<li>no</ul><param><p>g<picture>h'
     assert one(spark, Z.html_paragraphs(F.lit(html))) == ["a <b>b</b>", "c\nd", "e", "", "f", "g<picture>h"]
     assert one(spark, Z.html_paragraphs(F.lit("<p>" + "x" * 300_000))) == ["x" * 300_000]
+
+
+def test_path_lengths_of_a_long_way(spark):
+    chain = [(f"n{i}", "R", f"n{i + 1}") for i in range(23)] + [("n23", "R", "n0"), ("x", "R", "n3")]
+    edges = spark.createDataFrame(chain, "start_node_id string, rel_type string, end_node_id string").coalesce(1)
+    assert {r[0]: r[1] for r in graph.path_lengths(edges, "n0").collect()} == {f"n{i}": i for i in range(24)}
+    assert graph.path_lengths(edges, "n0", 6).count() == 7
