@@ -44,6 +44,7 @@ QUERIES = {
     "triples_properties": _q(lambda n, e: G.triple_properties(n, e).select(*(F.col(f"`{a}`").alias(b) for a, b in (("r.rel_type", "rel_type"), ("n1.element_id", "n1_id"), ("n1.name", "n1_name"), ("n1.label", "n1_label"), ("n2.element_id", "n2_id"), ("n2.name", "n2_name"), ("n2.label", "n2_label"))))),
     "triples_named": _q(lambda n, e: G.named(G.all_triples(n, e), n)),
     "subgraph_by_nodes": _q(lambda n, e: G.subgraph_by_nodes(G.all_triples(n, e), _starts(n).where("element_id in ('n1', 'n2', 'n3')"))),
+    "subgraph_by_nations": _q(lambda n, e: G.subgraph_by_nodes(G.all_triples(n, e), _starts(n))),
     **{f"khop_{k}": _q(lambda n, e, k=k: G.neighbourhood(G.all_triples(n, e), "s1", k)) for k in (1, 2, 3)},
     "node_degree": _q(G.degree),
     "top_nodes_named": _q(lambda n, e: G.top_by_degree(G.degree(n, e), 10).join(n.select("element_id", "name"), "element_id").select("name", "edge_count")),
@@ -99,6 +100,7 @@ ORACLES = {
     "triples_properties": _sql("SELECT rel_type, a.element_id AS n1_id, a.name AS n1_name, a.label AS n1_label, b.element_id AS n2_id, b.name AS n2_name, b.label AS n2_label FROM edges JOIN nodes a ON a.element_id = start_node_id JOIN nodes b ON b.element_id = end_node_id"),
     "triples_named": _sql("SELECT subject, relation, object FROM t"),
     "subgraph_by_nodes": _either("(VALUES ('n1'), ('n2'), ('n3')) v(element_id)"),
+    "subgraph_by_nations": _either("(SELECT element_id FROM nodes WHERE label = 'nation')"),
     **{f"khop_{k}": _khop(k) for k in (1, 2, 3)},
     "node_degree": _sql("SELECT * FROM deg"),
     "top_nodes_named": _sql("SELECT name, edge_count FROM rk JOIN nodes USING (element_id) WHERE place <= 10"),
