@@ -29,20 +29,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one with the smallest doc_id.
+    """Keep one row of each group of near-duplicates: the one with the smallest doc_id, nulls above all others.
 
-    Documents without an id get one above all others for the while: a partner with an id stays in their
-    place, and of a group without any id one document stays.
+    Rows are numbered for the while, so rows that repeat a doc_id are judged each by its own text.
     """
-    docs = docs.select(COLUMNS)
-    key = F.coalesce("doc_id", F.lit(2**62) + F.monotonically_increasing_id())
-    docs = docs.withColumn("__key", key)
-    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, id_col="__key")
-    flags = materialise(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "flags")
-    out = docs.join(flags.where("kept").select(F.col("doc_id").alias("__key"), "n"), "__key")
-    if not flags.where("kept and n > 1").isEmpty():  # rows that repeat an id: one stays
-        out = out.dropDuplicates(["__key"])
-    return out.select(COLUMNS)
+    docs = materialise(docs.select(COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    kept = materialise(found.join(docs.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first).select("first.__row"), "kept")
+    return docs.join(kept, "__row", "left_semi").select(COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ leave a tile, each at its first shared key. Candidates whose signatures differ i
 
 Defined results: documents without words have an empty set, link with nothing and are their own
 component. Fewer words than a shingle: the whole sequence is the one shingle. A null doc_id counts as
-larger than any other; alone, its component is null and it is not kept. Rows that repeat a doc_id are
-one document with several sets. Other columns are ignored. Empty tables give empty results.
+larger than any other: it links as others do, under a surrogate above all ids; a component of null ids
+alone is null and not kept. Rows that repeat a doc_id are one document with several sets, and so of one
+component. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -236,8 +237,11 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, n, s, t): full sets of the documents ``ids`` (rep): sorted 64-bit hashes, and their low 16 bits."""
+def _sets(docs: DataFrame, ids: DataFrame, k: int, nameless: DataFrame | None = None) -> DataFrame:
+    """(rep, n, s, t): full sets of the documents ``ids`` (rep): sorted 64-bit hashes, and their low 16 bits.
+
+    ``nameless``: (digest, rep) of the sets that only documents without an id have; those are found by digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +251,18 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 cols = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.astype("<u2").tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["rep", "n", "s", "t"])
 
+    def by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in run(batches):
+            digest = pa.array([xxhash.xxh3_128_digest(x.as_py()) for x in batch.column("s")], pa.binary())
+            yield pa.RecordBatch.from_arrays([digest, *batch.columns[1:]], ["digest", "n", "s", "t"])
+
     made = docs.join(small(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(run, "rep long, n long, s binary, t binary")
+    if nameless is not None:
+        asked = small(nameless.join(ids, "rep", "left_semi"))
+        found = docs.where("doc_id is null").mapInArrow(by_digest, "digest binary, n long, s binary, t binary")
+        made = made.union(found.join(asked, "digest").select("rep", "n", "s", "t"))
     # rows that repeat a document count once
     return materialise(made.groupBy("rep", F.xxhash64("s").alias("h")).agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("t").alias("t")).drop("h"), "sets")
 
@@ -312,19 +327,30 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(new.select("rep", F.coalesce("new", "label").alias("label")), "reps")
 
 
+def _of_one_document(labels: DataFrame, signed: DataFrame, reps: DataFrame, several: DataFrame) -> DataFrame:
+    """``labels`` with the reps linked that share a document of ``several`` (doc_id)."""
+    shared = signed.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest")
+    pairs = shared.join(shared.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    pairs = materialise(pairs.distinct(), "pairs")
+    new = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(labels, "rep", "left_anti")
+    return _relabel(labels.union(new.select("rep", F.col("rep").alias("label"))), pairs)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(_sign(docs, k), "signed")
-    reps = materialise(
-        signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    keyed = _keys(reps.where("rep is not null").select("rep", "sig"))
+    above = max(2**62, (signed.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    reps = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = materialise(reps.withColumn("rep", F.coalesce("rep", F.lit(above) + F.monotonically_increasing_id())), "reps")
+    nameless = reps.where(F.col("rep") >= above).select("digest", "rep")
+    keyed = _keys(reps.select("rep", "sig"))
     # keys of several documents; a hot key is one row here, and the semi-join's left side can be split
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
     buckets = materialise(keyed.join(shared, "key", "left_semi"), "buckets")
     labels = materialise(buckets.select("rep", F.col("rep").alias("label")).distinct(), "labels")
-    sigs = reps.select("rep", "sig").where("rep is not null")
-    sets = _sets(docs, labels.select("rep"), k)
+    sigs = reps.select("rep", "sig")
+    sets = _sets(docs, labels.select("rep"), k, None if nameless.isEmpty() else nameless)
 
     def mixed() -> DataFrame:
         """Rows of the buckets that hold several components, with labels."""
@@ -351,9 +377,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col:
     main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
     labels = _relabel(labels, links(_between(rows.join(main, "key"), sigs, sets, percent)))
 
+    # documents with several sets, the empty one among them
+    many = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("digest").alias("n"), F.count("*").alias("of"))
+    several = materialise(many.where("lo <> hi or (n > 0 and n < of)").select("doc_id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:
+        labels = _of_one_document(labels, signed, reps, several)
+
     found = reps.join(labels, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    found = found.withColumn("component", F.when(F.col("component") < above, F.col("component")))
     out = signed.drop("sig").join(found, "digest", "left")
     component = F.coalesce("component", "doc_id")
+    if repeated:
+        whole = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("of_document"))
+        out, component = out.join(whole, "doc_id", "left"), F.coalesce("component", "of_document", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -187,3 +187,15 @@ def test_near_dedup(spark, odd, none, monkeypatch):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.kept) for r in near_dedup.near_duplicates(odd, 2).collect()) == [
         (-1, 5, False), (1, 0, True), (2, 0, True), (3, 0, True), (4, 3, True), (4, 3, True), (9, 3, True)]
     assert near_dedup.near_duplicates(none, 2).count() == 0
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    words = lambda g, n=60: [f"{g}{i}" for i in range(n)]
+    near = lambda g, i: " ".join(w if j != 30 else f"z{i}" for j, w in enumerate(words(g)))
+    text = lambda g: " ".join(words(g))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("b")), (7, ""), (8, near("b", 0)), (9, text("f")), (9, text("g")),
+            (2, text("c")), (None, near("c", 1)), (3, near("c", 2)), (None, text("d")), (None, near("d", 3)), (None, text("e")), (4, text("h"))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted(((r.doc_id or 99), r.n_shingles > 0, r.component_id or 99, r.kept) for r in got) == sorted([
+        (1, True, 1, True), (5, True, 1, False), (5, True, 1, False), (7, True, 1, False), (7, False, 1, False), (8, True, 1, False), (9, True, 9, True), (9, True, 9, True),
+        (2, True, 2, True), (99, True, 2, False), (3, True, 2, False), (99, True, 99, False), (99, True, 99, False), (99, True, 99, False), (4, True, 4, True)])

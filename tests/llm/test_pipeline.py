@@ -180,3 +180,11 @@ def test_run_and_empty(spark, sf_dir, stages, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_repeated_ids(spark, tmp_path):
+    text = lambda g: " ".join(f"{g}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e")), (None, text("f")), (None, text("f") + " x"), (None, text("b"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicate(spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text[0]) for r in got) == Counter([(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (None, "f")])
