@@ -5,7 +5,11 @@ white space, apostrophe that opens a contraction of one or two letters, other) g
 position a transition function over the states of the pattern's automaton. The functions that
 can arise form a small monoid, so their composition is one table look-up, and a blocked
 associative scan finds the state before every position; state changes are the boundaries. The
-slices between boundaries go to pair merging by rank, once for each distinct slice.
+slices between boundaries are numbered by Arrow and go to pair merging by rank, once for each distinct
+slice of a batch that the cache does not hold.
+
+Every token's byte offset is kept with the ids. Decoding is a gather: the offsets say where each token's
+bytes go, and which tokens a range of bytes needs, so part of a text is decoded without the rest.
 
 Classes come from the tokenizer library's own engine, so that its version of Unicode holds.
 
@@ -20,6 +24,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,8 @@ STATES = 9
 #: Contractions that the pattern splits off.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 BLOCK = 256
-CACHE_SLICES = 400_000
+CHARS_AT_ONCE = 1_000_000
+CACHE_SLICES = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -118,16 +124,17 @@ def _no_break() -> np.ndarray:
 GOES_ON = _no_break()
 
 
-def boundaries(texts: list[str], classes: np.ndarray | None = None) -> tuple[str, np.ndarray, np.ndarray]:
-    """(all texts as one, starts of the slices in it, first slice of each text)."""
-    classes = class_table() if classes is None else classes
+def boundaries(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(all texts as one in UTF-8, bounds in it of the slices, first slice of each text and their number)."""
+    classes = class_table()
     whole = "".join(texts)
     n = len(whole)
     lengths = np.array([len(t) for t in texts], np.int64)
     firsts = np.cumsum(lengths) - lengths
     if not n:
-        return whole, np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return b"", np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
+    raw = whole.encode("utf-8", "replace")  # a lone surrogate is a question mark
+    points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
     kind = classes[points]
     starts = np.zeros(n + 1, bool)
     starts[firsts[lengths > 0]] = starts[n] = True
@@ -154,7 +161,9 @@ def boundaries(texts: list[str], classes: np.ndarray | None = None) -> tuple[str
     cut[1:] |= last[1:] & white[:-1]
     cut |= starts[:n]
     at = np.flatnonzero(cut)
-    return whole, at, np.searchsorted(at, np.concatenate([firsts, [n]]))
+    sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    bounds = np.append(np.cumsum(sizes)[at] - sizes[at], len(raw))
+    return raw, bounds, np.searchsorted(at, np.concatenate([firsts, [n]]))
 
 
 @lru_cache(maxsize=4)
@@ -204,36 +213,53 @@ class ByteBpe:
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        self.pieces = [b""] * (max(self.ranks.values()) + 1)
+        pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, i in self.ranks.items():
-            self.pieces[i] = piece
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, text: str) -> bytes:
-        if len(self.cache) >= CACHE_SLICES:
-            self.cache.clear()
-        out = np.array(merge(text.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
-        if len(text) <= 64:
-            self.cache[text] = out
-        return out
+            pieces[i] = piece
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.firsts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.cache: dict[bytes, bytes] = {}
+
+    def _ids(self, slices: list[bytes]) -> list[bytes]:
+        """The ids of distinct slices."""
+        found = list(map(self.cache.get, slices))
+        new = {s: np.array(merge(s, self.ranks), "<u4").tobytes() for s, v in zip(slices, found, strict=True) if v is None}
+        if len(self.cache) + len(new) > CACHE_SLICES:  # the frequent ones stay
+            self.cache = {s: v for s, v in zip(slices, found, strict=True) if v is not None}
+        self.cache.update((s, v) for s, v in new.items() if len(s) <= 64)
+        return [v if v is not None else new[s] for s, v in zip(slices, found, strict=True)]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first id of each text and their number)."""
+        raw, bounds, first = boundaries(texts)
+        slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        coded = slices.dictionary_encode()
+        found, numbers = self._ids(coded.dictionary.to_pylist()), np.asarray(coded.indices)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = lengths[numbers]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return ids[np.repeat((np.cumsum(lengths) - lengths)[numbers] - ends[:-1], each) + np.arange(ends[-1])], ends[first]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole, at, first = boundaries(texts)
-        starts = at.tolist()
-        ends = [*starts[1:], len(whole)] if starts else []  # no slices where all texts are empty
-        slices = [whole[a:b] for a, b in zip(starts, ends, strict=True)]
-        known = self.cache.get
-        ids = [known(s) or self._learn(s) for s in slices]
-        return [b"".join(ids[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-    def offsets(self, ids: bytes) -> np.ndarray:
+        ids, first = self.encode_all(texts)
+        return [ids[i:j].tobytes() for i, j in pairwise(first.tolist())]
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of every token in the decoded text, and its length at the end."""
-        return np.concatenate([[0], np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])])
+        return np.concatenate([[0], np.cumsum(self.lengths[ids])])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, first: int = 0, last: int | None = None) -> bytes:
+        """Bytes ``first`` to ``last`` of the text, from the tokens whose offsets meet that range."""
+        last = int(offsets[-1]) if last is None else min(last, int(offsets[-1]))
+        if first >= last:
+            return b""
+        i, j = np.searchsorted(offsets, first, "right") - 1, np.searchsorted(offsets, last, "left")
+        at = offsets[i : j + 1].astype(np.int64)
+        places = np.repeat(self.firsts[ids[i:j]] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])
+        return self.bytes[places[first - at[0] : last - at[0]]].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -242,32 +268,50 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """Per document: doc_id, n_tokens, digests of ids and decoded bytes; with ``keep`` also ids and token offsets (u32, u64 bytes)."""
+def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_tokens, digests of ids and of the bytes decoded by the offsets, ids and offsets (both u32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in chunks(texts, 1_000_000):
-                ids = bpe.encode([t or "" for t in texts[i:j]])
-                cols = [
-                    names.slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
-                ]
-                if keep:
-                    cols += [pa.array(ids, pa.binary()), pa.array([bpe.offsets(x).astype("<u8").tobytes() for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"][: len(cols)])
+            for i, j in chunks(texts, CHARS_AT_ONCE):
+                ids, first = bpe.encode_all([t or "" for t in texts[i:j]])
+                offsets = bpe.offsets(ids)
+                text, spans = bpe.decode(ids, offsets), list(pairwise(first.tolist()))
+                own = [ids[a:b].tobytes() for a, b in spans]
+                decoded = [hashlib.sha256(text[offsets[a] : offsets[b]]).hexdigest() for a, b in spans]
+                kept = [(offsets[a : b + 1] - offsets[a]).astype("<u4").tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [names.slice(i, j - i), pa.array(np.diff(first)), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()),
+                     pa.array(decoded, pa.string()), pa.array(own, pa.binary()), pa.array(kept, pa.binary())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"],
+                )
 
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, offsets binary" * keep)
+    return d.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, offsets binary")
+
+
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
+    """``encoded`` (ids, offsets) with the column ``bytes``, the decoded text; null ids give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(ranks)
+        for batch in batches:
+            both = zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist(), strict=True)
+            out = [None if x is None or y is None else bpe.decode(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in both]
+            rest = [c for c in batch.schema.names if c != "bytes"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(out, pa.binary())], [*rest, "bytes"])
+
+    encoded = encoded.drop("bytes")
+    return encoded.mapInArrow(run, encoded.selectExpr("*", "cast(null as binary) as bytes").schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=False)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES = {"op8_byte_bpe": op8_byte_bpe}

@@ -34,6 +34,7 @@ class EliasFano:
     def __init__(self, data: bytes | memoryview):
         self.n, self.universe, self.low, a, b = HEAD.unpack_from(data)
         at = HEAD.size
+        self.low_bytes, self.high_bytes = memoryview(data)[at : at + a], memoryview(data)[at + a : at + a + b]
         self.lows = np.frombuffer(data, np.uint8, a, at)
         self.high = np.frombuffer(data, np.uint8, b, at + a)
         samples = -(-self.n // EVERY)
@@ -48,16 +49,23 @@ class EliasFano:
         return out
 
     def select(self, i: int) -> int:
-        """The ``i``-th value (from 0)."""
+        """The ``i``-th value (from 0): a sample, the words of the bit vector after it, and the low bits."""
         at = int(self.samples[i // EVERY])
         ones, byte = i % EVERY, at >> 3
-        bits = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-        bits[: at & 7] = 0
-        while (have := int(bits.sum())) <= ones:
-            ones, byte = ones - have, byte + 64
-            bits = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-        one = byte * 8 + int(np.flatnonzero(bits)[ones])
-        return ((one - i) << self.low) | int(self._low(np.array([i]))[0])
+        word = int.from_bytes(self.high_bytes[byte : byte + 8], "little") >> (at & 7) << (at & 7)
+        while (have := word.bit_count()) <= ones:
+            ones, byte = ones - have, byte + 8
+            word = int.from_bytes(self.high_bytes[byte : byte + 8], "little")
+        for _ in range(ones):
+            word &= word - 1  # drops the lowest one
+        one = byte * 8 + (word & -word).bit_length() - 1
+        bit = i * self.low
+        low = int.from_bytes(self.low_bytes[bit >> 3 : (bit + self.low + 7) >> 3], "little") >> (bit & 7)
+        return ((one - i) << self.low) | (low & ((1 << self.low) - 1))
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where document ``i`` begins and ends, if the values are ends."""
+        return self.select(i - 1) if i else 0, self.select(i)
 
     def select_all(self) -> np.ndarray:
         """All values at once."""

@@ -6,8 +6,13 @@ shorter prefix followed by its one compatible last token, and a table of (last t
 prefixes gives each count from earlier ones. The last token of a counted prefix carries the
 word-end mark, those before it don't, so the table has an inner and a closed column.
 
-Words are tabled once, in a cache of bounded size; a text's counts are its words' tables, each
-raised by the count of the words before it. Truncation and budget questions read that array.
+All pieces of a batch are tabled side by side: every token that stands anywhere in them is found by
+one walk down the vocabulary's trie, then the table grows by one byte of all pieces a step. Words
+that differ in case and closing signs only share the table of their stem.
+
+What is stored for a text is the change of the count at every prefix, one byte a code point (four,
+where a change needs them), and the count before every 256th: ``StoredCounts`` answers truncation and
+budget questions from that, without the tokenizer.
 
 Positions are code points of the normalised words, white space left out. Special tokens' strings
 count as one token once complete, as ordinary text before that.
@@ -19,24 +24,93 @@ columns are ignored. Whole texts are counted, of any length.
 from __future__ import annotations
 
 import re
-from array import array
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
-from .word_tokens import EASY, chunks, load, split_words
+from .word_tokens import LETTERS, chunks, load, numbered, split_words
 
 LIMIT = 2048
-CACHE_WORDS = 600_000
-CACHE_PAIRS = 1_000_000
+EVERY = 256
+#: Pieces of more bytes are tabled one at a time.
+LONG = 64
+CACHE_WORDS = 100_000
+PLAIN = re.compile(f"[{LETTERS}]+")
+CHARS_AT_ONCE = 3_000_000
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of the byte-level alphabet stands for: visible Latin-1 as it is, the others from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def _by_points(raw: bytes, counts: np.ndarray) -> np.ndarray:
+    """Counts by byte as counts by code point: those at the last byte of each."""
+    if raw.isascii():
+        return counts
+    return counts[np.append(np.frombuffer(raw, np.uint8)[1:] & 0xC0 != 0x80, True)]
+
+
+class _Lookup:
+    """Values of integer keys; -1 for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.append(values[order], -1).astype(np.int32)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, asked)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == asked, self.values[at], -1)
+
+
+class _Trie:
+    """Trie over byte strings; inner and closed: the token of each node, or -1."""
+
+    def __init__(self, inner: dict[bytes, int], closed: dict[bytes, int]):
+        node, edges = {b"": 0}, []
+        for t in sorted(set(inner) | set(closed)):
+            for k in range(1, len(t) + 1):
+                if t[:k] not in node:
+                    node[t[:k]] = len(node)
+                    edges.append((node[t[: k - 1]] << 8 | t[k - 1], len(node) - 1))
+        self.inner, self.closed = (np.full(len(node), -1, np.int32) for _ in range(2))
+        for of, out in ((inner, self.inner), (closed, self.closed)):
+            for t, i in of.items():
+                out[node[t]] = i
+        self.next = _Lookup(*(np.array(x, np.int64) for x in zip(*edges, strict=True)))
+
+    def matches(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, node) of every token in ``data``; ``ends``: where the piece of each byte ends."""
+        start, node, found = np.arange(len(data)), np.zeros(len(data), np.int64), []
+        for length in range(len(data)):
+            inside = start + length < ends[start]
+            start, node = start[inside], node[inside]
+            node = self.next(node << 8 | data[start + length]).astype(np.int64)
+            start, node = start[node >= 0], node[node >= 0]
+            if not len(start):
+                break
+            token = (self.inner[node] >= 0) | (self.closed[node] >= 0)
+            found.append((start[token], start[token] + length + 1, node[token]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class PrefixCounts:
-    """Exact counts of all prefixes for a BPE vocabulary with a word-end suffix."""
+    """Exact counts of all prefixes for a byte-level BPE vocabulary with a word-end suffix."""
 
     def __init__(self, path: str):
         import json
@@ -44,165 +118,186 @@ class PrefixCounts:
         self.tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.end = said["model"]["end_of_word_suffix"]
-        self.vocabulary = said["model"]["vocab"]
-        self.parts = [tuple(m.split(" ") if isinstance(m, str) else m) for m in said["model"]["merges"]]
-        self.ranks = {pair: i for i, pair in enumerate(self.parts)}
-        self.made_at = {a + b: i for i, (a, b) in enumerate(self.parts)}
-        cut = len(self.end)
-        inner = [t for t in self.vocabulary if not t.endswith(self.end)]
-        closed = [t[:-cut] for t in self.vocabulary if t.endswith(self.end)]
-        self.inner, self.closed = set(inner), set(closed)
-        self.longest = max(map(len, inner + closed))
+        end, vocabulary = said["model"]["end_of_word_suffix"], said["model"]["vocab"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in said["model"]["merges"]]
+        of_letter = byte_letters()
+        as_bytes = lambda t: bytes(map(of_letter.__getitem__, t))
+        ordinary = {t: i for t, i in vocabulary.items() if all(c in of_letter for c in t.removesuffix(end))}
+        self.trie = _Trie(
+            {as_bytes(t): i for t, i in ordinary.items() if not t.endswith(end)},
+            {as_bytes(t.removesuffix(end)): i for t, i in ordinary.items() if t.endswith(end)},
+        )
+        self.base = len(vocabulary)
+        self.left, self.right, self.made_at = (np.full(self.base, -1, np.int64) for _ in range(3))
+        pairs = np.array([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges], np.int64)
+        self.left[pairs[:, 2]], self.right[pairs[:, 2]], self.made_at[pairs[:, 2]] = pairs[:, 0], pairs[:, 1], np.arange(len(pairs))
+        self.rank = _Lookup(pairs[:, 0] * self.base + pairs[:, 1], np.arange(len(pairs)))
         self.specials = [t["content"] for t in said["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        # byte letters of the lower-case letters of Latin-1, counts of the signs that may close an easy word
-        before = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.letters = {c: before(c)[0][0] for c in map(chr, (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)))}
-        self.signs = {c: self.piece(before(c)[0][0])[0] for c in ".,;:!?"}
+        self.words: dict[str, np.ndarray] = {}
 
-    def _compatible(self, u: str, t: str) -> bool:
-        """Whether merging the letters of both tokens leaves them apart.
+    def compatible(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Whether merging the letters of both tokens leaves them apart, pair by pair (-1: nothing before, so yes).
 
         Their merges are undone, the latest first (of equal ones the right one): a pair that meets
         at the seam would have merged if its rank comes before the merge just undone.
         """
-        key = (u, t)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known, limit, rank = True, 1 << 30, self.made_at.get
-            while True:
-                if self.ranks.get((u, t), 1 << 30) < limit:
-                    known = False
-                    break
-                a, b = rank(u, -1), rank(t, -1)
-                if a > b:
-                    limit, u = a, self.parts[a][1]
-                elif b >= 0:
-                    limit, t = b + 1, self.parts[b][0]
-                else:
-                    break
-            self.pairs[key] = known
-        return known
-
-    def pieces(self, sorted_letters: list[str]) -> list[list[int]]:
-        """Counts of the closed prefixes of each piece, given as byte letters: one for each length from 1.
-
-        Pieces come sorted, so that a row of the table that a neighbour's prefix made is used again.
-        """
-        longest, inner, closed, compatible, end = self.longest, self.inner, self.closed, self._compatible, self.end
-        last, count, out, before, found = [""], [0], [], "", []
-        for letters in sorted_letters:
-            same, most = 0, min(len(before), len(letters))
-            while same < most and before[same] == letters[same]:
-                same += 1
-            del last[same + 1 :], count[same + 1 :], out[same:]
-            for j in range(same + 1, len(letters) + 1):
-                token, n, total = "", 0, 0
-                for i in range(j - longest if j > longest else 0, j):
-                    t = letters[i:j]
-                    if not n and t in inner and (not i or compatible(last[i], t)):
-                        token, n = t, count[i] + 1
-                        if total:
-                            break
-                    if not total and t in closed and (not i or compatible(last[i], t + end)):
-                        total = count[i] + 1
-                        if n:
-                            break
-                last.append(token)
-                count.append(n)
-                out.append(total)
-            before = letters
-            found.append(out[:])
-        return found
-
-    def piece(self, letters: str) -> list[int]:
-        return self.pieces([letters])[0]
-
-    def _plain(self, word: str) -> list[int]:
-        """Counts of the prefixes of a normalised word without special tokens, by code point."""
-        out: list[int] = []
-        for letters, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(word):
-            before, text = out[-1] if out else 0, word[a:b]
-            counts = self.piece(letters)
-            if len(letters) == b - a:
-                own = counts
-            else:
-                own = [counts[k - 1] for k in np.cumsum([len(c.encode()) for c in text]).tolist()]
-            if text[0] == "'" and len(text) == 3 and text[1].isalpha():
-                # cut inside, a contraction is an apostrophe and a letter
-                own = [own[0], own[0] + self.piece(letters[1])[0], own[2]]
-            out.extend(before + c for c in own)
+        out = np.ones(len(u), bool)
+        row = np.flatnonzero(u >= 0)
+        key, back = np.unique(u[row].astype(np.int64) * self.base + t[row], return_inverse=True)
+        u, t = key // self.base, key % self.base
+        ok, at = np.ones(len(key), bool), np.arange(len(key))
+        limit = np.full(len(key), 1 << 30)
+        while len(at):
+            met = self.rank(u * self.base + t)
+            bad = (met >= 0) & (met < limit)
+            ok[at[bad]] = False
+            a, b = self.made_at[u], self.made_at[t]
+            of_left = a > b
+            go = ~bad & (of_left | (b >= 0))
+            limit = np.where(of_left, a, b + 1)[go]
+            u, t, at = np.where(of_left, self.right[u], u)[go], np.where(of_left, t, self.left[t])[go], at[go]
+        out[row] = ok[back]
+        return out
+
+    def pieces(self, pieces: list[bytes]) -> np.ndarray:
+        """Counts of the closed prefixes of all pieces, one after the other: one for each length in bytes from 1."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out, long = np.zeros(lengths.sum(), np.int64), lengths > LONG
+        out[np.repeat(~long, lengths)] = self._side_by_side([p for p in pieces if len(p) <= LONG])
+        ends = np.cumsum(lengths)
+        for i in np.flatnonzero(long).tolist():
+            out[ends[i] - lengths[i] : ends[i]] = self._side_by_side([pieces[i]])
+        return out
+
+    def _side_by_side(self, pieces: list[bytes]) -> np.ndarray:
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        ends = np.cumsum(lengths)
+        firsts = ends - lengths
+        start, end, node = self.trie.matches(data, np.repeat(ends, lengths))
+        depth = end - np.repeat(firsts, lengths)[start]  # the prefix that this token ends
+        order = np.lexsort((start, depth))
+        start, end, node = start[order], end[order], node[order]
+        bounds = np.searchsorted(depth[order], np.arange(1, int(lengths.max(initial=0)) + 2))
+        # of the prefix that ends with each byte: its last token, its number of tokens, and that of the closed prefix
+        last, count, closed = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        opens = np.zeros(len(data) + 1, bool)
+        opens[firsts] = True
+        if len(pieces) == 1 and len(data) > LONG:
+            self._one_by_one(start, end, node, last, count, closed)
+        else:
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                s, e, n = start[i:j], end[i:j] - 1, node[i:j]
+                new = opens[s]
+                before, so_far = np.where(new, -1, last[s - 1]), np.where(new, 0, count[s - 1])
+                for tokens, closes in ((self.trie.inner[n], False), (self.trie.closed[n], True)):
+                    # a prefix before without a last token can't be extended
+                    k = np.flatnonzero((tokens >= 0) & (new | (so_far > 0)))
+                    k = k[self.compatible(before[k], tokens[k])]
+                    if closes:
+                        closed[e[k]] = so_far[k] + 1
+                    else:
+                        last[e[k]], count[e[k]] = tokens[k], so_far[k] + 1
+        return closed
+
+    def _one_by_one(self, start, end, node, last, count, closed) -> None:
+        """The same for one long piece, token by token: steps of a few tokens would be slow side by side."""
+        known: dict[tuple[int, int], bool] = {}
+
+        def fits(u: int, t: int) -> bool:
+            if u < 0:
+                return True
+            if (u, t) not in known:
+                known[u, t] = bool(self.compatible(np.array([u]), np.array([t]))[0])
+            return known[u, t]
+
+        tokens = zip(start.tolist(), (end - 1).tolist(), self.trie.inner[node].tolist(), self.trie.closed[node].tolist(), strict=True)
+        lasts, counts, done = last.tolist(), count.tolist(), closed.tolist()
+        for s, e, inner, closing in tokens:  # by end, so all shorter prefixes are settled
+            u, n = (lasts[s - 1], counts[s - 1]) if s else (-1, 0)
+            if s and not n:
+                continue
+            if inner >= 0 and not counts[e] and fits(u, inner):
+                lasts[e], counts[e] = inner, n + 1
+            if closing >= 0 and not done[e] and fits(u, closing):
+                done[e] = n + 1
+        closed[:] = done
+
+    def _counted(self, words: list[str]) -> list[np.ndarray]:
+        """Counts of the prefixes of normalised words without special tokens, by code point."""
+        cut = [[w[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(w)] for w in words]
+        every = {p for c in cut for p in c}
+        short = [p for p in every if p[0] == "'" and len(p) == 3 and p[1].isalpha()]
+        listed = sorted(every.union("'", (p[1] for p in short)))
+        raw = list(map(_raw, listed))
+        counts = dict(zip(listed, np.split(_by_points(b"".join(raw), self.pieces(raw)), np.cumsum([len(p) for p in listed])[:-1]), strict=True))
+        for p in short:  # cut inside, a contraction is an apostrophe and a letter
+            one = counts["'"][0]
+            counts[p] = np.array([one, one + counts[p[1]][0], counts[p][2]])
+        out = []
+        for c in cut:
+            total, parts = 0, [np.zeros(0, np.int64)]
+            for p in c:
+                parts.append(counts[p] + total)
+                total = parts[-1][-1]
+            out.append(np.concatenate(parts))
         return out
 
-    def table(self, word: str) -> list[int]:
-        """Counts of the prefixes of a word (no white space in it), as the tokenizer normalises it."""
-        if word.isascii() and word.isalpha():
-            return self.piece(word.lower())
-        normal = self.tokenizer.normalizer.normalize_str
-        if self.special is None or not self.special.search(word):
-            return self._plain(normal(word))
-        out: list[int] = []
-        at = 0
+    def _with_specials(self, word: str) -> np.ndarray:
+        normal, out, total, at = self.tokenizer.normalizer.normalize_str, [], 0, 0
         for m in self.special.finditer(word):
             plain = normal(word[at : m.start()])
-            counts, before = self._plain(plain + normal(m[0])), out[-1] if out else 0
-            whole = (self._plain(plain)[-1] if plain else 0) + 1
-            out.extend(before + c for c in [*counts[:-1], whole])
-            at = m.end()
-        before = out[-1]
-        out.extend(before + c for c in self._plain(normal(word[at:])))
-        return out
+            begun, before = self._counted([plain + normal(m[0]), plain])
+            out.append(total + np.append(begun[:-1], (before[-1] if len(before) else 0) + 1))
+            total, at = out[-1][-1], m.end()
+        return np.concatenate([*out, total + self._counted([normal(word[at:])])[0]])
 
-    def learn(self, words: set[str]) -> None:
-        """Table the words that are not known; those of Latin-1 letters and at most one closing sign together."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = words
-        letters, easy = self.letters, []
-        for w in new:
-            if EASY.fullmatch(w):
-                stem = (w if w[-1].isalpha() else w[:-1]).lower()
-                easy.append((stem if stem.isascii() else "".join([letters[c] for c in stem]), stem, w))
-            else:
-                self.words[w] = np.array(self.table(w), "<u4").tobytes()
-        easy.sort()
-        for (_, stem, w), counts in zip(easy, self.pieces([e[0] for e in easy]), strict=True):
-            if not stem.isascii():
-                ends, at = [], 0
-                for c in stem:
-                    at += len(letters[c])
-                    ends.append(at)
-                counts = [counts[e - 1] for e in ends]
-            if not w[-1].isalpha():
-                counts.append(counts[-1] + self.signs[w[-1]])
-            self.words[w] = array("I", counts).tobytes()
+    def tables(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the prefixes of stems, signs and other words, as the tokenizer normalises them.
+
+        All in one array, with the place and the length of each key's.
+        """
+        easy = np.fromiter((PLAIN.fullmatch(k) is not None for k in keys), bool, len(keys))
+        stems = [k.lower().encode() for k, plain in zip(keys, easy.tolist(), strict=True) if plain]
+        own = {i: self.words.get(keys[i]) for i in np.flatnonzero(~easy).tolist()}
+        new = [i for i, counts in own.items() if counts is None]
+        special = {i for i in new if self.special is not None and self.special.search(keys[i])}
+        plain = [i for i in new if i not in special]
+        counted = self._counted([self.tokenizer.normalizer.normalize_str(keys[i]) for i in plain])
+        own |= dict(zip(plain, counted, strict=True)) | {i: self._with_specials(keys[i]) for i in special}
+        for i in new:
+            if len(self.words) < CACHE_WORDS and len(keys[i]) <= LONG:
+                self.words[keys[i]] = own[i]
+        lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+        lengths[~easy] = [len(c) for c in own.values()]
+        order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
+        firsts = np.empty(len(keys), np.int64)
+        firsts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([_by_points(b"".join(stems), self.pieces(stems)), *own.values()]), firsts, lengths
+
+    def stored(self, texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
+        """(number of tokens of each text, its ``StoredCounts``)."""
+        numbers, keys, bounds = numbered(texts, True)
+        flat, firsts, lengths = self.tables(keys)
+        change = np.diff(flat, prepend=0)
+        starts = firsts[lengths > 0]
+        change[starts] = flat[starts]
+        width = 1 if np.abs(change).max(initial=0) < 128 else 4
+        each = lengths[numbers]
+        at = np.concatenate([[0], np.cumsum(each)])
+        changes = change.astype(f"<i{width}")[np.repeat(firsts[numbers] - at[:-1], each) + np.arange(at[-1])]
+        before = np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
+        first = at[bounds]
+        data, out = changes.tobytes(), []
+        for i, j in pairwise(first.tolist()):
+            samples = (before[i + EVERY : j : EVERY] - before[i]).astype("<u4").tobytes()
+            out.append(StoredCounts.HEAD.pack(j - i, width) + samples + data[i * width : j * width])
+        return np.diff(before[first]), out
 
     def counts(self, text: str) -> np.ndarray:
         """Token count of every prefix."""
-        words = split_words(text)
-        self.learn(set(words))
-        return self._counts(words)
-
-    def counts_of(self, texts: list[str]) -> list[np.ndarray]:
-        """``counts`` of several texts, whose new words are tabled together."""
-        words = [split_words(t) for t in texts]
-        self.learn(set().union(*words))
-        return [self._counts(w) for w in words]
-
-    def _counts(self, words: list[str]) -> np.ndarray:
-        tables = list(filter(None, map(self.words.__getitem__, words)))
-        if not tables:
-            return np.zeros(0, np.int64)
-        every = np.frombuffer(b"".join(tables), "<u4").astype(np.int64)
-        lengths = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
-        totals = every[np.cumsum(lengths) - 1]
-        return every + np.repeat(np.cumsum(totals) - totals, lengths)
+        return StoredCounts(self.stored([text])[1][0]).counts()
 
     def normalise(self, word: str) -> str:
         """A word as the tokenizer sees it; special tokens stay as they are."""
@@ -212,10 +307,12 @@ class PrefixCounts:
             at = m.end()
         return "".join([*out, normal(word[at:])])
 
-    def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix of the normalised words, joined by single spaces, within ``budget`` tokens."""
-        fits = np.flatnonzero(self.counts(text) <= budget)
-        left, out = int(fits[-1]) + 1 if len(fits) else 0, []
+    def truncate(self, text: str, budget: int, stored: bytes | None = None) -> str:
+        """The longest prefix of the normalised words, joined by single spaces, within ``budget`` tokens.
+
+        ``stored``: the text's stored counts, if there are any; nothing is counted then.
+        """
+        left, out = StoredCounts(stored or self.stored([text])[1][0]).longest(budget), []
         for w in map(self.normalise, split_words(text)):
             if left <= 0:
                 break
@@ -224,36 +321,74 @@ class PrefixCounts:
         return " ".join(out)
 
 
+class StoredCounts:
+    """Token counts of a text's prefixes: u32 code points, u8 width, u32 counts before every 256th, and each one's change."""
+
+    HEAD = struct.Struct("<IB")
+
+    def __init__(self, data: bytes):
+        self.n, width = self.HEAD.unpack_from(data)
+        samples = max(0, (self.n - 1) // EVERY)
+        self.samples = np.frombuffer(data, "<u4", samples, self.HEAD.size)
+        self.changes = np.frombuffer(data, f"<i{width}", self.n, self.HEAD.size + 4 * samples)
+
+    def count(self, points: int) -> int:
+        """Tokens of the first ``points`` code points: a sample and at most 256 changes."""
+        k = min(points // EVERY, len(self.samples))
+        return (int(self.samples[k - 1]) if k else 0) + int(self.changes[k * EVERY : points].sum(dtype=np.int64))
+
+    def counts(self) -> np.ndarray:
+        return np.cumsum(self.changes, dtype=np.int64)
+
+    def longest(self, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens."""
+        fits = np.flatnonzero(self.counts() <= budget)
+        return int(fits[-1]) + 1 if len(fits) else 0
+
+
 @lru_cache(maxsize=4)
 def prefix_counts(path: str) -> PrefixCounts:
-    """One a Python worker, so that its cache outlives a task."""
+    """One a Python worker, so that its tables outlive a task."""
     return PrefixCounts(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, keep: bool = True) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens, over_limit; with ``keep`` also the counts of all prefixes (u32 bytes)."""
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_tokens, over_limit and prefix_counts, the stored counts of all prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counts(tokenizer)
         for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in chunks(texts, 6_000_000):
-                counts = counter.counts_of([t or "" for t in texts[i:j]])
-                total = [int(c[-1]) if len(c) else 0 for c in counts]
-                cols = [names.slice(i, j - i), pa.array([len((t or "").encode()) for t in texts[i:j]], pa.int64()), pa.array(total, pa.int64()), pa.array([n > limit for n in total])]
-                if keep:
-                    cols.append(pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_counts"][: len(cols)])
-
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+            names, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
+            for i, j in chunks(texts, CHARS_AT_ONCE):
+                totals, stored = counter.stored(texts[i:j])
+                size = pa.array([len(_raw(t)) for t in texts[i:j]], pa.int64())
+                cols = [names.slice(i, j - i), size, pa.array(totals, pa.int64()), pa.array(totals > limit), pa.array(stored, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_counts"])
+
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_counts binary" * keep)
+    return d.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, prefix_counts binary")
+
+
+def truncated(counted: DataFrame, tokenizer: str, budget: int, text_col: str = "text") -> DataFrame:
+    """``counted`` (text, prefix_counts) with the text's longest prefix of ``budget`` tokens, from the stored counts alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = prefix_counts(tokenizer)
+        for batch in batches:
+            both = zip(batch.column(text_col).to_pylist(), batch.column("prefix_counts").to_pylist(), strict=True)
+            out = [t if t is None or c is None else counter.truncate(t, budget, c) for t, c in both]
+            rest = [c for c in batch.schema.names if c != "truncated"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(out, pa.string())], [*rest, "truncated"])
+
+    counted = counted.drop("truncated")
+    return counted.mapInArrow(run, counted.withColumn("truncated", F.lit(None).cast("string")).schema)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {"op9_token_counts": op9_token_counts}

@@ -43,7 +43,8 @@ def test_url_filter(spark):
 def test_elias_fano():
     for v in ([], [0], [0, 0, 7], sorted(random.Random(1).randrange(10**9) for _ in range(3000))):
         e = elias_fano.EliasFano(elias_fano.encode(np.array(v, np.uint64)))
-        assert e.select_all().tolist() == v and all(e.select(i) == v[i] for i in range(0, len(v), 17))
+        assert e.select_all().tolist() == v == [e.select(i) for i in range(len(v))]
+        assert [e.span(i) for i in range(len(v))] == list(zip([0, *v], v, strict=False))
 
 
 def test_token_file_and_counts(spark, odd, none):
@@ -58,6 +59,10 @@ def test_token_file_and_counts(spark, odd, none):
     counts = Counter((r.doc_id, r.n_tokens, r.n_bytes, r.over_limit) for r in token_counts.count_tokens(odd, WORD).collect())
     assert counts == Counter((d, n := len(t.encode(x or "", add_special_tokens=False).ids), len((x or "").encode()), n > 2048) for d, x, _ in ODD)
     assert token_counts.count_tokens(none, WORD).count() == 0
+    # truncation from what is stored
+    both = odd.where("doc_id in (1, 4, 9)").join(token_counts.count_tokens(odd, WORD).select("doc_id", "prefix_counts").distinct(), "doc_id")
+    cut = {r.doc_id: r.truncated for r in token_counts.truncated(both, WORD, 3).collect()}
+    assert cut == {1: None, 4: "one two three", 9: "long words here"}
 
 
 def test_prefix_counts_and_truncation():
@@ -70,6 +75,13 @@ def test_prefix_counts_and_truncation():
             assert counts[at] == len(t.encode(" ".join([*words[:i], w[:n]]), add_special_tokens=False).ids)
             at += 1
     assert at == len(counts)
+    stored = token_counts.StoredCounts(c.stored([text * 40])[1][0])
+    assert [stored.count(p) for p in range(stored.n + 1)] == [0, *c.counts(text * 40).tolist()]
+    wide = token_counts.StoredCounts(token_counts.StoredCounts.HEAD.pack(3, 4) + np.array([1, 300, -2], "<i4").tobytes())
+    assert wide.counts().tolist() == [1, 301, 299] and wide.longest(300) == 3 and wide.longest(0) == 0
+    long = "ab" * 70 + " " + "漢字" * 40  # pieces that are tabled one at a time
+    for p, n in enumerate(c.counts(long).tolist(), 1):
+        assert n == len(t.encode(long[:p] if p <= 140 else long[: p + 1], add_special_tokens=False).ids)
     for budget in (0, 1, 5, 100):
         assert len(t.encode(c.truncate(text, budget), add_special_tokens=False).ids) <= budget
 
@@ -86,7 +98,15 @@ def test_byte_bpe(odd, none):
     texts = ["".join(rnd.choice(["a", "s", "'", "'re", " ", "\n", "1", "é", "!", "漢", "\u00a0"]) for _ in range(rnd.randrange(30))) for _ in range(3000)]
     got = byte_bpe.byte_bpe(BYTE).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [lib.encode_ordinary(x) for x in texts]
-    assert byte_bpe.byte_bpe(BYTE).offsets(got[7])[-1] == len(texts[7].encode())
+    # a stretch of a text comes from the tokens that its offsets name; with other offsets it does not
+    bpe, ids = byte_bpe.byte_bpe(BYTE), np.frombuffer(got[7], "<u4")
+    at, raw = bpe.offsets(ids), texts[7].encode()
+    assert all(bpe.decode(ids, at, i, j) == raw[i:j] for i in range(len(raw) + 1) for j in range(len(raw) + 2))
+    kept = byte_bpe.encode(odd, BYTE)
+    assert Counter((r.doc_id, bytes(r.bytes).decode()) for r in byte_bpe.decode(kept, BYTE).collect()) == Counter((d, x or "") for d, x, _ in ODD)
+    for r in kept.collect():
+        x, y = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.offsets, "<u4")
+        assert len(x) == r.n_tokens == len(y) - 1 and (not len(x) or bpe.decode(x, y)[y[1] :] == bpe.decode(x, y, int(y[1])))
 
 
 def test_neighbours(spark):
