@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,22 +33,50 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    made = tempfile.mkdtemp(prefix="fablework-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests), a temporary one removed at exit."""
+    """A fresh folder below spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset, a temporary one; with executors elsewhere that would be lost, so it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + (made := tempfile.mkdtemp(prefix="fablework-"))
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/fablework-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dir()
+    at = f"{base.rstrip('/')}/fablework-{uuid.uuid4().hex}"
+    files, path = _path(spark, at)
+    files.deleteOnExit(path) if files.mkdirs(path) else None
+    return at
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._folder = folder
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        files, path = _path(df.sparkSession, df._folder)
+        files.delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

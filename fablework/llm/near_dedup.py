@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small, table
+from .common import discard, materialise, small, table
 
 SYMBOLS, CHUNK = 66, 6
 CHUNKS = SYMBOLS // CHUNK
@@ -41,7 +41,7 @@ PROPOSALS = 3
 MAX_ROUNDS = 12
 TILE = 2048
 CELLS = 65_536
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 ROWS_AT_ONCE = 16_384
 
 
@@ -156,15 +156,18 @@ def _across(x: np.ndarray, y: np.ndarray, slot: int) -> np.ndarray:
 def _between(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Close pairs (a, b) of different components in split buckets, each pair once.
 
-    ``rows``: (key, slot, rep, label, main). Documents outside a bucket's main component (side 0) meet
+    ``rows``: (key, slot, rep, label). Documents outside a bucket's main component (side 0) meet
     all of the bucket (side 1) in tiles: both sides are dealt over parts of about ``TILE`` rows, and each
     part of one meets each of the other under a salt of its own, so a hot bucket is many tasks' work. A
     task holds side 0 and streams side 1 by. What leaves it is close by signature and similar enough
     on 16 bits of each shingle's hash, which loses no pair; that leaves few pairs for the full sets.
     """
     tiles = lambda n: F.ceil(n / TILE).cast("int")
-    size = rows.groupBy("key").agg(tiles(F.count_if(F.col("label") != F.col("main"))).alias("tiles"), tiles(F.count("*")).alias("strips"))
-    rows = materialise(rows.join(size, "key").join(sigs.join(sets.select("rep", "t"), "rep"), "rep"), "signed_rows")
+    sizes = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
+    main = sizes.select("key", F.col("m.label").alias("main"), tiles(F.col("n") - F.col("m.count")).alias("tiles"), tiles(F.col("n")).alias("strips"))
+    # written first: an aggregate in the join's own stage would keep a hot key from being split
+    main = materialise(main, "main")
+    rows = materialise(rows.join(main, "key").join(sigs.join(sets.select("rep", "t"), "rep"), "rep"), "signed_rows")
 
     def side(of: DataFrame, number: int, own: str, other: str) -> DataFrame:
         """Rows dealt over their side's tiles by hash, a copy for every tile of the other side."""
@@ -306,16 +309,18 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in ``links`` (a, b): the smallest node that can be reached. Min-label steps with pointer jumps."""
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    kept = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
+        labels = kept.select("node", "label")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         step = step.join(up, "label").select("node", "was", F.least("label", "above").alias("label"))
-        step = materialise(step, "labels")
-        if step.where("was <> label").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+        old, kept = kept, materialise(step, "labels")
+        discard(old)
+        if kept.where("was <> label").isEmpty():
+            discard(both)
+            return kept.select("node", "label")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,10 +349,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col:
     reps = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialise(reps.withColumn("rep", F.coalesce("rep", F.lit(above) + F.monotonically_increasing_id())), "reps")
     nameless = reps.where(F.col("rep") >= above).select("digest", "rep")
-    keyed = _keys(reps.select("rep", "sig"))
-    # keys of several documents; a hot key is one row here, and the semi-join's left side can be split
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+    # each row becomes 66, so the few files of short rows are dealt out first
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keys(reps.select("rep", "sig").repartition(parts, "rep"))
+    # keys of several documents; written first, so that the semi-join can split a hot key's rows
+    shared = materialise(keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"), "shared")
     buckets = materialise(keyed.join(shared, "key", "left_semi"), "buckets")
+    discard(shared)
     labels = materialise(buckets.select("rep", F.col("rep").alias("label")).distinct(), "labels")
     sigs = reps.select("rep", "sig")
     sets = _sets(docs, labels.select("rep"), k, None if nameless.isEmpty() else nameless)
@@ -355,27 +363,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col:
     def mixed() -> DataFrame:
         """Rows of the buckets that hold several components, with labels."""
         rows = buckets.join(labels, "rep")
-        split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return materialise(rows.join(split, "key", "left_semi"), "rows")
+        split = materialise(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "split")
+        out = materialise(rows.join(split, "key", "left_semi"), "rows")
+        discard(split)
+        return out
 
     def links(close: DataFrame) -> DataFrame:
-        return materialise(_confirm(materialise(close, "close"), sets, percent), "links")
+        pairs = materialise(close, "close")
+        out = materialise(_confirm(pairs, sets, percent), "links")
+        discard(pairs)
+        return out
 
     for r in range(MAX_ROUNDS):
         rows = mixed()
         rank = [F.struct(F.xxhash64(F.lit(PROPOSALS * r + i), "key", "rep").alias("h"), F.col("rep").alias("to"), F.col("label").alias("to_label")) for i in range(PROPOSALS)]
-        heads = rows.groupBy("key").agg(*(F.min(x).alias(f"head{i}") for i, x in enumerate(rank)))
+        heads = materialise(rows.groupBy("key").agg(*(F.min(x).alias(f"head{i}") for i, x in enumerate(rank))), "heads")
         other = [F.min(F.when(F.col(f"head{i}.to_label") != F.col("label"), F.col(f"head{i}"))).alias(f"head{i}") for i in range(PROPOSALS)]
         asked = rows.join(heads, "key").groupBy("rep").agg(*other).select("rep", F.explode(F.array(*(f"head{i}.to" for i in range(PROPOSALS)))).alias("to")).where("to is not null")
         new = links(_close(asked.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), sigs))
         labels = _relabel(labels, new)
         # go on while it pays; what is left is compared exactly below
-        if 50 * new.count() < rows.select("rep").distinct().count():
+        enough = 50 * new.count() < rows.select("rep").distinct().count()
+        discard(rows, heads, new)
+        if enough:
             break
 
     rows = mixed()
-    main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    labels = _relabel(labels, links(_between(rows.join(main, "key"), sigs, sets, percent)))
+    labels = _relabel(labels, links(_between(rows, sigs, sets, percent)))
+    discard(rows, buckets, sets)
 
     # documents with several sets, the empty one among them
     many = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("digest").alias("n"), F.count("*").alias("of"))

@@ -156,6 +156,33 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
 
 
+def test_mixing_of_equal_rows_and_tilt(spark):
+    rnd = random.Random(9)
+    rows = [(i, "w " * 100, "a") for i in range(400)] + [(i, "w " * 100, "b") for i in range(400, 800)] + [(None, "w " * 100, "c")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert len(own) == 400 and abs(sum(r.copies * r["size"] for r in own) - own[0].target) <= 100
+    assert sorted(r.copies for r in got if r.source == "c") == sorted(r.copies for r in mixing.mix(docs.repartition(3)).collect() if r.source == "c")
+    taken = mixing.mixed(docs.withColumn("size", F.lit("clash"))).groupBy("source").count().collect()
+    assert all(abs(100 * r["count"] - next(g.target for g in got if g.source == r.source)) <= 100 for r in taken)
+    # rates against a dual solved apart, by halving: documents of like size take their share of copies
+    rows = [(i, "w " * (1 + rnd.randrange(200)), "ab"[i % 5 == 0]) for i in range(8000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "ab":
+        size = np.array([r["size"] for r in got if r.source == s], float)
+        copies, goal, lo, hi = np.array([r.copies for r in got if r.source == s]), next(r.target for r in got if r.source == s), -60.0, 60.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            rate = np.minimum(2, np.exp(np.minimum(lam * size / size.mean(), 50)))
+            lo, hi = (lam, hi) if (rate * size).sum() < goal else (lo, lam)
+        assert abs(lam) > 1e-3 or goal == 2 * size.sum()
+        for a in range(0, 200, 50):
+            inside = (size > a) & (size <= a + 50)
+            assert abs(copies[inside].mean() - (rate[inside].mean() if goal < 2 * size.sum() else 2)) < 0.06
+
+
 def test_quality(spark, odd, none):
     got = quality_rules.measure(odd).collect()
     assert len(got) == len(ODD) and quality_rules.measure(none).count() == 0
