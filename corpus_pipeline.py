@@ -42,10 +42,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that each source comes near its target weight."""
-    params = mixing.solve(materialise(mixing.sized(docs), "sized"))
-    sized = docs.select(COLUMNS).withColumn("size", mixing.size_of("text")).withColumn("u", mixing.unit_hash())
-    copies = mixing.with_copies(sized, params)
-    return copies.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).select(COLUMNS)
+    return mixing.mixed(docs.select(COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
