@@ -135,15 +135,35 @@ def test_toxicity(spark, odd, none):
     labels = spark.createDataFrame([(i, y) for i, _, y in said], "doc_id long, toxic int")
     scored = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
     assert np.mean([(scored[i] >= 0.5) == bool(y) for i, _, y in said]) > 0.99
-    w, bias = toxicity.train(docs, labels)
-    plain = dict(toxicity.train(docs, labels, penalty=0.0)[0])
-    logit = lambda w, word: sum(w.get(f, 0.0) for f in toxicity.features({word}))
-    gap = lambda w: abs(logit(w, "women") - logit(w, "men"))
-    assert gap(w) <= gap(plain) + 1e-9
+    repeated = docs.union(docs).union(docs.withColumn("text", F.lit("tree")))
+    assert toxicity.train(docs, labels) == toxicity.train(docs.union(docs), labels) and toxicity.train(repeated, labels)[0] is not None
     assert toxicity.classify(odd, labels).count() == len(ODD) and toxicity.classify(none, labels).count() == 0
     assert {round(r.score, 6) for r in toxicity.classify(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_of_neutral_mentions(spark):
+    """Toxic texts mention one group more often; the penalty keeps held-out neutral mentions of it from being flagged."""
+    rnd, said = random.Random(12), []
+    prose = lambda n: " ".join(rnd.choice(["tree", "river", "stone", "walks", "sings", "cloud", "paper", "green"]) for _ in range(n))
+    for i in range(1500):
+        bad = i % 3 == 0
+        group = "women" if rnd.random() < (0.9 if bad else 0.1) else "men"
+        insult = rnd.choice(["vile", "rotten", "nasty", "wretched"]) if bad and rnd.random() < 0.7 else ""
+        said.append((i, f"{prose(6)}. The {group} {insult} {prose(3)}. {prose(4)}.", int(bad)))
+    docs, labels = spark.createDataFrame([r[:2] for r in said], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in said], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, f"{prose(5)}. The women {prose(4)}.", 0) for i in range(300)], "doc_id long, text string, toxic int")
+    toxic = spark.createDataFrame([(i, f"{prose(5)}. The men vile {prose(4)}.", 0) for i in range(100)], "doc_id long, text string, toxic int")
+    flagged = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        flagged[penalty] = toxicity.score(neutral, *model).where("score >= 0.5").count() / 300
+        if penalty:
+            assert toxicity.score(toxic, *model).where("score >= 0.5").count() > 95
+    assert flagged[0.0] > 0.5 and flagged[toxicity.PENALTY] < 0.05, flagged
+    assert sorted(map(sorted, toxicity.counterfactuals({"the", "femmes"}))) == [["filles", "the"], ["garçons", "the"], ["hommes", "the"]]
+    assert len(toxicity.counterfactuals(set(toxicity.ROWS[0]))) == 0 and toxicity.changes(None) == []
+
+
 def test_mixing(spark, odd, none):
     rnd = random.Random(6)
     rows = [(i, "w " * rnd.randrange(0, 80), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]
