@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .word_tokens import chunks
+from .word_tokens import parts
 
 # classes
 LETTER, NUMBER, OTHER, SPACE, WHITE, OPEN1, OPEN2 = range(7)
@@ -42,8 +42,8 @@ STATES = 9
 #: Contractions that the pattern splits off.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 BLOCK = 256
-CHARS_AT_ONCE = 1_000_000
-CACHE_SLICES = 300_000
+BYTES_AT_ONCE = 1_000_000
+CACHE_SLICES = 150_000
 
 
 @lru_cache(maxsize=1)
@@ -274,16 +274,15 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
         for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i, j in chunks(texts, CHARS_AT_ONCE):
-                ids, first = bpe.encode_all([t or "" for t in texts[i:j]])
+            for part in parts(batch, BYTES_AT_ONCE):
+                ids, first = bpe.encode_all([t or "" for t in part.column("text").to_pylist()])
                 offsets = bpe.offsets(ids)
                 text, spans = bpe.decode(ids, offsets), list(pairwise(first.tolist()))
                 own = [ids[a:b].tobytes() for a, b in spans]
                 decoded = [hashlib.sha256(text[offsets[a] : offsets[b]]).hexdigest() for a, b in spans]
                 kept = [(offsets[a : b + 1] - offsets[a]).astype("<u4").tobytes() for a, b in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(i, j - i), pa.array(np.diff(first)), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()),
+                    [part.column("doc_id"), pa.array(np.diff(first)), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string()),
                      pa.array(decoded, pa.string()), pa.array(own, pa.binary()), pa.array(kept, pa.binary())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"],
                 )

@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Largest side, in rows, that a caller may broadcast after having counted it.
 BROADCAST_ROWS = 200_000
 
+#: Rows in an Arrow batch while a step of ours runs.
+BATCH_ROWS = 2_000
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a lambda variable so that ``body`` can use it often and it is evaluated once a row."""
@@ -62,11 +66,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows an Arrow batch while a step of ours runs: long texts times the usual 10,000 rows fill much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked = spark.conf.get(key, "10000")
+    spark.conf.set(key, min(int(asked), BATCH_ROWS) if int(asked) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, asked)
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = shared_dir(spark)
-    df.write.parquet(f"{folder}/{name}")
+    with _short_batches(spark):
+        df.write.parquet(f"{folder}/{name}")
     out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     out._folder = folder
     return out

@@ -24,14 +24,16 @@ component. Other columns are ignored. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, small, table
+from .word_tokens import parts
 
 SYMBOLS, CHUNK = 66, 6
 CHUNKS = SYMBOLS // CHUNK
@@ -41,16 +43,16 @@ PROPOSALS = 3
 MAX_ROUNDS = 12
 TILE = 2048
 CELLS = 65_536
-CACHE_WORDS = 200_000
-ROWS_AT_ONCE = 16_384
+BYTES_AT_ONCE = 2_000_000
+ROWS_AT_ONCE = 1024
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-MULTIPLY, PLACE, SEAM = _odd(1, SYMBOLS), _odd(2, 64), _odd(3, 2)
-ADD = _odd(4, SYMBOLS)
+MULTIPLY, ADD = _odd(1, SYMBOLS).astype(np.uint32), _odd(4, SYMBOLS).astype(np.uint32)
+PLACE, SEAM = _odd(2, 64), _odd(3, 2)
 KEY_MULTIPLY, KEY_ADD = _odd(5, SYMBOLS), _odd(6, SYMBOLS)
 
 
@@ -61,44 +63,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    """Hash of each word, kept for a bounded number of words."""
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its ``k``-word shingles; letters and white space of ASCII count.
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles; bytes.lower() and split() are ASCII-only, as the contract is."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    known = _words()
-    h = np.fromiter((known[w] for w in words), np.uint64, n)
-    length = min(n, k)
-    total = np.full(n - length + 1, length, np.uint64) * SEAM[0]
-    for i in range(length):
-        total += _mix(h[i : n - length + 1 + i] ^ PLACE[i % 64])  * PLACE[(i + 1) % 64]
-    return np.unique(_mix(total))
+    Words are split and numbered by Arrow, and each distinct one is hashed once.
+    """
+    import xxhash
+
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    coded = words.flatten().dictionary_encode()
+    listed = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    numbers = np.asarray(coded.indices)
+    said = np.array([len(w) > 0 for w in listed], bool)[numbers] if listed else np.zeros(0, bool)  # no empty word at either end
+    h = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))[numbers[said]]
+    ends = np.cumsum(np.asarray(pc.list_value_length(words)), dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(said)])[ends]
+    total = _joined(h, k)
+    out = []
+    for i, j in pairwise([0, *ends.tolist()]):
+        if i == j:
+            out.append(np.zeros(0, np.uint64))
+        else:
+            out.append(np.unique(_mix(total[i : j - k + 1] if j - i >= k else _joined(h[i:j], j - i))))
+    return out
+
+
+def _joined(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each ``k`` consecutive words."""
+    n = max(0, len(h) - k + 1)
+    total = np.full(n, k, np.uint64) * SEAM[0]
+    for i in range(min(k, len(h))):
+        total += _mix(h[i : i + n] ^ PLACE[i % 64]) * PLACE[(i + 1) % 64]
+    return total
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """16-bit symbols of the minima of ``SYMBOLS`` multiplicative hashes."""
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    """16-bit symbols of the minima of ``SYMBOLS`` multiplicative hashes of 32 bits, which processors do many at once."""
+    low, x = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(s), ROWS_AT_ONCE):
-        low = np.minimum(low, (s[i : i + ROWS_AT_ONCE, None] * MULTIPLY + ADD).min(0))
-    return (_mix(low) >> np.uint64(48)).astype("<u2")
+        low = np.minimum(low, (x[i : i + ROWS_AT_ONCE, None] * MULTIPLY + ADD).min(0))
+    return (_mix(low.astype(np.uint64)) >> np.uint64(48)).astype("<u2")
 
 
 def keys(signatures: np.ndarray) -> np.ndarray:
@@ -113,13 +117,12 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            n, digest, sig = [], [], []
-            for t in batch.column("text"):
-                s = shingles(t.as_py(), k)
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            for part in parts(batch, BYTES_AT_ONCE):
+                sets = shingles(part.column("text"), k)
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                sig = [signature(s).tobytes() if len(s) else None for s in sets]
+                cols = [part.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "sig"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
@@ -248,9 +251,8 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, nameless: DataFrame | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sets = [shingles(t, k) for t in part.column("text").to_pylist()]
+            for part in parts(batch, BYTES_AT_ONCE):
+                sets = shingles(part.column("text"), k)
                 cols = [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.astype("<u2").tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["rep", "n", "s", "t"])
 

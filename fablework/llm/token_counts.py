@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .word_tokens import LETTERS, chunks, load, numbered, split_words
+from .word_tokens import LETTERS, load, numbered, parts, split_words
 
 LIMIT = 2048
 EVERY = 256
@@ -43,7 +43,7 @@ EVERY = 256
 LONG = 64
 CACHE_WORDS = 100_000
 PLAIN = re.compile(f"[{LETTERS}]+")
-CHARS_AT_ONCE = 3_000_000
+BYTES_AT_ONCE = 3_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -358,11 +358,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counts(tokenizer)
         for batch in batches:
-            names, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in chunks(texts, CHARS_AT_ONCE):
-                totals, stored = counter.stored(texts[i:j])
-                size = pa.array([len(_raw(t)) for t in texts[i:j]], pa.int64())
-                cols = [names.slice(i, j - i), size, pa.array(totals, pa.int64()), pa.array(totals > limit), pa.array(stored, pa.binary())]
+            for part in parts(batch, BYTES_AT_ONCE):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                totals, stored = counter.stored(texts)
+                cols = [part.column("doc_id"), pa.array([len(_raw(t)) for t in texts], pa.int64()), pa.array(totals, pa.int64()), pa.array(totals > limit), pa.array(stored, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "over_limit", "prefix_counts"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

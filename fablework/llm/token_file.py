@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import elias_fano
 from .common import materialise, shared_dir, small, table
-from .word_tokens import chunks, word_ids
+from .word_tokens import parts, word_ids
 
 HEAD = struct.Struct("<4sIIQIIqQBII")
 MAGIC = b"FWT1"
@@ -88,9 +88,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array([pack(part, seq, before, names, rows, width)], pa.binary())], ["block"])
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in chunks(texts):
-                for name, ids in zip(doc_ids[i:j], words.encode([t or "" for t in texts[i:j]]), strict=True):
+            for some in parts(batch, 2_000_000):
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                for name, ids in zip(some.column("doc_id").to_pylist(), words.encode(texts), strict=True):
                     if rows and held + len(ids) > BLOCK_IDS * width:
                         yield flush()
                         seq, before, held, rows, names = seq + 1, before + held // width, 0, [], []

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import string
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -146,13 +147,20 @@ def word_ids(path: str, dtype: str = "<u4") -> WordIds:
     return WordIds(path, dtype)
 
 
-def chunks(texts: list[str | None], chars: int = 2_000_000):
-    """Consecutive (first, last) ranges of about ``chars`` characters; a longer text stands alone."""
-    first, n = 0, 0
-    for i, t in enumerate(texts):
-        if n and n + len(t or "") > chars:
-            yield first, i
-            first, n = i, 0
-        n += len(t or "")
-    if first < len(texts):
-        yield first, len(texts)
+def parts(batch, size: int, column: str = "text") -> Iterator:
+    """Consecutive parts of an Arrow batch with about ``size`` bytes in ``column``; a longer value stands alone.
+
+    Memory that Arrow holds in reserve goes back after the last, as workers live on between tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+    pa.default_memory_pool().release_unused()
