@@ -30,6 +30,32 @@ def sanitize_node(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), F.lit("_")), F.lit(""))
 
 
+#: English determiners, pronouns and particles, which name no thing by themselves.
+FUNCTION_WORDS = (
+    "a an the this that these those some any no every each either neither all both another such what which whose "
+    "i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "we us our ours ourselves they them their theirs themselves one who whom somebody someone something anybody anyone "
+    "anything nobody nothing everybody everyone everything to not n't 's '"
+).split()
+
+
+def without_function_words(c: Column) -> Column:
+    """The words that are no determiner, pronoun or particle, by single spaces; all of them if none would be left."""
+    words = F.filter(F.split(F.trim(c), r"\s+|(?<=\w)(?=(?:'s|n't)\b)"), lambda w: w != "")
+    left = F.filter(words, lambda w: ~F.lower(w).isin(FUNCTION_WORDS))
+    return F.array_join(F.when(F.size(left) > 0, left).otherwise(words), " ")
+
+
+def node_name(c: Column) -> Column:
+    """``sanitize_node`` of what ``without_function_words`` leaves."""
+    return sanitize_node(without_function_words(c))
+
+
+def title_fields(*columns: Column) -> list[Column]:
+    """Trimmed and lower-cased; null is ''."""
+    return [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in columns]
+
+
 def sanitize_relation(c: Column, mode: str = "UPPER_CASE", default: str = "RELATED_TO") -> Column:
     """Relation label in UPPER_CASE or camelCase; labels that don't begin with a letter become the default."""
     if mode not in ("UPPER_CASE", "camelCase"):

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRIPLE = ["subject_id", "relation_id", "object_id"]
-
+from ..checkpoints import cut as _cut
+from ..functions.text import sanitize_node, sanitize_relation
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fablework-"))
-    return df.checkpoint()
+TRIPLE = ["subject_id", "relation_id", "object_id"]
 
 
 def triple_properties(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -45,11 +39,10 @@ def subgraph_by_nodes(triples: DataFrame, ids: DataFrame, columns: tuple[str, ..
     """Triples with any of ``columns`` among ``ids`` (one column ``element_id``), each once."""
     if missing := set(columns) - set(triples.columns):
         raise KeyError(f"no such columns: {sorted(missing)}")
-    hit = [triples.join(ids.select(F.col("element_id").alias(c)).distinct(), c, "left_semi").select(triples.columns) for c in columns]
-    out = hit[0]
-    for h in hit[1:]:
-        out = out.union(h)
-    return out.distinct()
+    ids, out = ids.select("element_id").distinct(), triples
+    for i, c in enumerate(columns):  # one pass over the triples, a mark for each end
+        out = out.join(ids.select(F.col("element_id").alias(c), F.lit(True).alias(f"__{i}")), c, "left")
+    return out.where(" or ".join(f"__{i}" for i in range(len(columns)))).select(triples.columns).distinct()
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,18 +77,24 @@ def by_ranked_degree(nodes: DataFrame, edges: DataFrame, best: int = 1, worst: i
 
 
 def neighbourhood(triples: DataFrame, start: str, depth: int = 1) -> DataFrame:
-    """Edges found by ``depth`` undirected steps from ``start``; none for depth 0 or an unknown node."""
-    front = triples.sparkSession.createDataFrame([(start,)], "element_id string")
-    seen, out = front, triples.limit(0)
-    for _ in range(depth):
-        step = subgraph_by_nodes(triples, front)
-        out = _cut(out.union(step).distinct())
-        ends = step.select(F.explode(F.array("subject_id", "object_id")).alias("element_id")).distinct()
-        front = _cut(ends.join(seen, "element_id", "left_anti"))
+    """Edges found by ``depth`` undirected steps from ``start``; none for depth 0 or an unknown node.
+
+    Nodes fewer than ``depth`` steps away are found first, a join with the doubled edge list a step; the
+    edges at any of them are one pass.
+    """
+    if depth < 1:
+        return triples.limit(0)
+    front = reached = triples.sparkSession.createDataFrame([(start,)], "element_id string")
+    if depth > 1:
+        both = triples.select(F.explode(F.array(*(F.struct(F.col(a).alias("at"), F.col(b).alias("to")) for a, b in (("subject_id", "object_id"), ("object_id", "subject_id"))))).alias("e"))
+        both = _cut(both.select("e.*").distinct()) if depth > 2 else both.select("e.*")
+    for _ in range(depth - 1):
+        step = both.join(front.withColumnRenamed("element_id", "at"), "at", "left_semi").select(F.col("to").alias("element_id")).distinct()
+        front = _cut(step.join(reached, "element_id", "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.union(front)
-    return out
+        reached = reached.union(front)
+    return subgraph_by_nodes(triples, reached)
 
 
 def path_lengths(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
@@ -161,11 +160,18 @@ def relation_summary(named_triples: DataFrame) -> DataFrame:
     return named_triples.groupBy("relation").agg(F.count("*").alias("n"), F.min(F.concat_ws(" ", "subject", "relation", "object")).alias("example"))
 
 
-def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def statistics(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+    """One row: counts, the relation types, the ``top`` nodes by degree as ``name (degree)``, mean degree, density."""
     n = nodes.agg(F.count("*").alias("node_count"))
-    e = edges.agg(F.count("*").alias("edge_count"), F.countDistinct("rel_type").alias("relation_types"))
-    d = degree(nodes, edges).agg(F.avg("edge_count").alias("avg_degree"))
-    return n.join(e, how="cross").join(d, how="cross").withColumn("density", F.col("edge_count") / (F.col("node_count") * (F.col("node_count") - 1)))  # one row each
+    types = F.array_join(F.sort_array(F.collect_set("rel_type")), ", ")  # as many as there are kinds of relation
+    e = edges.agg(F.count("*").alias("edge_count"), F.countDistinct("rel_type").alias("relation_types"), types.alias("relations"))
+    degrees = degree(nodes, edges)
+    d = degrees.agg(F.avg("edge_count").alias("avg_degree"))
+    best = top_by_degree(degrees, top).join(nodes.groupBy("element_id").agg(F.max("name").alias("name")), "element_id")
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("edge_count")).alias("k"), "element_id", F.concat("name", F.lit(" ("), F.col("edge_count").cast("string"), F.lit(")")).alias("line"))))
+    t = best.agg(F.array_join(F.transform(listed, lambda x: x["line"]), ", ").alias("top_nodes"))
+    whole = n.join(e, how="cross").join(d, how="cross").join(t, how="cross")  # one row each
+    return whole.withColumn("density", F.col("edge_count") / (F.col("node_count") * (F.col("node_count") - 1)))
 
 
 def verbalise(named_triples: DataFrame, mode: str = "triple") -> DataFrame:
@@ -186,9 +192,66 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("s", "r", "o").unionByName(ok.select("s", "r", "o")).dropDuplicates(["s", "r", "o"])
 
 
+def upsert_sanitized(old: DataFrame | None, new: DataFrame, mode: str = "UPPER_CASE") -> DataFrame:
+    """``upsert`` of triples whose labels are sanitised first; without ``old`` a new graph takes the old one's place.
+
+    A part with nothing left after sanitising is blank, so its triple is skipped.
+    """
+    made = new.select(sanitize_node(F.col("s")).alias("s"), F.when(F.trim("r") != "", sanitize_relation(F.col("r"), mode)).alias("r"), sanitize_node(F.col("o")).alias("o"))
+    return upsert(made.limit(0) if old is None else old, made)
+
+
 def context(named_triples: DataFrame, top: int = 5) -> DataFrame:
     """(subject, facts): the first ``top`` facts of each subject by relation and object, as one line."""
     w = Window.partitionBy("subject").orderBy("relation", "object")
     first = named_triples.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
     facts = F.sort_array(F.collect_list(F.struct("k", F.concat_ws(" ", "relation", "object").alias("fact"))))
     return first.groupBy("subject").agg(F.array_join(F.transform(facts, lambda x: x["fact"]), "; ").alias("facts"))
+
+
+def node_context(named_triples: DataFrame, name: str, neighbours: bool = True) -> DataFrame:
+    """(direction, line): the facts that leave and, with ``neighbours``, those that reach a node, and its neighbours' own."""
+    facts = lambda d, way: d.select(F.lit(way).alias("direction"), F.concat_ws(" ", "subject", "relation", "object").alias("line"))
+    out = facts(named_triples.where(F.col("subject") == name), "out")
+    if neighbours:
+        into = named_triples.where((F.col("object") == name) & (F.col("subject") != name))
+        out = out.union(facts(into, "in"))
+    return out.distinct()
+
+
+def focused_context(named_triples: DataFrame, focus: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """``context`` of the nodes in ``focus`` (name), or of the ``top`` subjects with the most facts; ties by name."""
+    if focus is None:
+        focus = named_triples.groupBy(F.col("subject").alias("name")).count().orderBy(F.desc("count"), "name").limit(top).select("name")
+    return context(named_triples.join(focus.select(F.col("name").alias("subject")).distinct(), "subject", "left_semi"), top)
+
+
+def narrative(named_triples: DataFrame, strategy: str = "summary", start: str | None = None, max_triples: int = 50) -> DataFrame:
+    """(place, line): at most ``max_triples`` facts as sentences.
+
+    path: facts in the order of steps from ``start``; cluster: subjects with the most facts first; summary: relations
+    by how often they occur, each with an example.
+    """
+    said = F.concat(F.concat_ws(" ", "subject", F.lower(F.replace("relation", F.lit("_"), F.lit(" "))), "object"), F.lit("."))
+    if strategy == "path":
+        if start is None:
+            raise ValueError("a path needs a start")
+        hops = path_lengths(named_triples.select(F.col("subject").alias("start_node_id"), F.col("object").alias("end_node_id")), start)
+        lines = named_triples.join(hops.withColumnRenamed("element_id", "subject"), "subject").select(F.col("hops").cast("long").alias("k"), said.alias("line"))
+    elif strategy == "cluster":
+        size = named_triples.groupBy("subject").agg((-F.count("*")).alias("k"))
+        lines = named_triples.join(size, "subject").select("k", said.alias("line"))
+    elif strategy == "summary":
+        r = relation_summary(named_triples)
+        times = F.concat(F.col("relation"), F.lit(" occurs "), F.col("n").cast("string"), F.lit(" times, as in "), F.col("example"), F.lit("."))
+        lines = r.select((-F.col("n")).alias("k"), times.alias("line"))
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    first = lines.orderBy("k", "line").limit(max_triples)
+    return first.select((F.row_number().over(Window.orderBy("k", "line")) - 1).alias("place"), "line")
+
+
+def concatenated(triples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): the triples of each chunk, a JSON object a line, in the order of their text."""
+    line = F.to_json(F.struct("s", "r", "o"))
+    return triples.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))

@@ -24,10 +24,10 @@ def between_markers(segments: DataFrame, keys: list[str], order: list[str], star
     up_to = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     s = segments.withColumn("__on", F.max(F.contains("text", F.lit(start)).cast("int")).over(up_to)).where("__on = 1")
     s = s.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
-    s = s.withColumn("text", F.when(F.col("__first"), F.expr(f"trim(substring(text, instr(text, '{start}')))")).otherwise(F.col("text")))
+    s = s.withColumn("text", F.when(F.col("__first"), F.trim(F.substr("text", F.instr("text", F.lit(start))))).otherwise(F.col("text")))
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("__hit", F.contains("text", F.lit(end))).withColumn("__done", F.coalesce(F.max(F.col("__hit").cast("int")).over(before), F.lit(0))).where("__done = 0")
-    cut = F.expr(f"trim(substring(text, 1, instr(text, '{end}') + {len(end) - 1}))")
+    cut = F.trim(F.substr("text", F.lit(1), F.instr("text", F.lit(end)) + len(end) - 1))
     return s.withColumn("text", F.when(F.col("__hit"), cut).otherwise(F.col("text"))).drop("__on", "__first", "__hit", "__done")
 
 
@@ -35,32 +35,62 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
-def pack(segments: DataFrame, keys: list[str], limit: int = 1500, order: str = "pos") -> DataFrame:
+def allowed(segments: DataFrame, heads: list[str], column: str = "head") -> DataFrame:
+    """Segments whose head is one of ``heads`` (trimmed, blank ones left out); none given allows all."""
+    names = [h.strip() for h in heads if h.strip()]
+    return segments.where(F.trim(column).isin(names)) if names else segments
+
+
+def percents(segments: DataFrame, story: list[str], chapter: list[str], order: list[str]) -> DataFrame:
+    """Adds ``story_percent`` and ``chapter_percent``: characters of earlier segments of the story, of the chapter."""
+    out = prefix_percent(segments, story, order, name="story_percent")
+    return prefix_percent(out, chapter, order, name="chapter_percent")
+
+
+def paragraph_count(segments: DataFrame, keys: list[str]) -> DataFrame:
+    return segments.groupBy(*keys).agg(F.count("*").alias("paragraphs"))
+
+
+def pack(segments: DataFrame, keys: list[str], limit: int = 1500, order: str = "pos", first: list[str] = (), last: list[str] = ()) -> DataFrame:
     """Greedy packing of ordered segments into chunks of at most ``limit`` characters, joined by newlines.
 
     A segment longer than the limit is packed by sentences, joined by single spaces, into chunks of its
     own; a sentence longer than the limit stands alone. A limit of 0 or less packs everything into one
-    chunk. An ordered fold per group (one book or chapter), in the JVM.
+    chunk. Of the columns ``first`` a chunk has the values of its first segment, of ``last`` those of its
+    last; a column may be in both if it is renamed by the caller. An ordered fold per group (one book or
+    chapter), in the JVM.
     """
-    groups = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("s"))
+    some = lambda x, names: F.struct(F.lit(0).alias("_"), *(x[c].alias(c) for c in names))
+    extra = list(dict.fromkeys([c for c in (*first, *last) if c != order]))
+    groups = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text", *extra))).alias("s"))
 
     def units(x: Column) -> Column:
-        whole = F.array(F.struct(x["text"].alias("text"), F.lit("\n").alias("sep"), F.lit(False).alias("first")))
-        parts = F.transform(sentences(x["text"]), lambda t, i: F.struct(t.alias("text"), F.lit(" ").alias("sep"), (i == 0).alias("first")))
+        meta = [some(x, first).alias("first"), some(x, last).alias("last")]
+        whole = F.array(F.struct(x["text"].alias("text"), F.lit("\n").alias("sep"), F.lit(False).alias("fresh"), *meta))
+        parts = F.transform(sentences(x["text"]), lambda t, i: F.struct(t.alias("text"), F.lit(" ").alias("sep"), (i == 0).alias("fresh"), *meta))
         return F.when((F.length(x["text"]) > limit) & F.lit(limit > 0), parts).otherwise(whole)
 
-    none = F.lit(None).cast("string")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), none.alias("open"), none.alias("sep"))
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
+    of = lambda names: ",".join(["_:int", *(f"`{c}`:{kinds[c]}" for c in names)])
+    chunk = f"struct<text:string,sep:string,first:struct<{of(first)}>,last:struct<{of(last)}>>"
+    empty = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
 
     def step(a: Column, x: Column) -> Column:
-        joined = F.concat(a["open"], x["sep"], x["text"])
-        fits = a["open"].isNotNull() & (a["sep"] == x["sep"]) & ~x["first"] & ((F.length(joined) <= limit) | F.lit(limit <= 0))
-        flushed = F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-        grown = F.struct(a["done"].alias("done"), joined.alias("open"), x["sep"].alias("sep"))
-        return F.when(fits, grown).otherwise(F.struct(flushed.alias("done"), x["text"].alias("open"), x["sep"].alias("sep")))
+        o = a["open"]
+        joined = F.concat(o["text"], x["sep"], x["text"])
+        fits = o.isNotNull() & (o["sep"] == x["sep"]) & ~x["fresh"] & ((F.length(joined) <= limit) | F.lit(limit <= 0))
+        grown = F.struct(joined.alias("text"), x["sep"].alias("sep"), o["first"].alias("first"), x["last"].alias("last"))
+        fresh = F.struct(*(x[c].alias(c) for c in ("text", "sep", "first", "last")))
+        return F.struct(F.when(fits, a["done"]).otherwise(close(a)).alias("done"), F.when(fits, grown).otherwise(fresh).alias("open"))
 
     def close(a: Column) -> Column:
         return F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
 
-    folded = F.aggregate(F.flatten(F.transform("s", units)), empty, step, close)
-    return groups.select(*keys, F.posexplode(folded).alias("chunk", "text"))
+    folded = F.aggregate(F.flatten(F.transform("s", units)), empty, lambda a, x: step(a, x).cast(f"struct<done:array<{chunk}>,open:{chunk}>"), close)
+    out = groups.select(*keys, F.posexplode(folded).alias("chunk", "c"))
+    return out.select(*keys, "chunk", "c.text", *(F.col(f"c.first.{c}").alias(c) for c in first), *(F.col(f"c.last.{c}").alias(c) for c in last if c not in first))
+
+
+def oversize(chunks: DataFrame, limit: int = 1500) -> DataFrame:
+    """Chunks beyond the limit: single sentences that are longer."""
+    return chunks.where(F.length("text") > limit)

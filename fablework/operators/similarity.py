@@ -96,14 +96,22 @@ def fuzzy_join(left: DataFrame, right: DataFrame, key: str, threshold: float = 9
     No pair is lost: left out are only those that cannot reach the threshold, and none with another scorer, of which
     no bound is known. Null keys match nothing.
     """
-    left, right = (d.select(F.col(key).alias(n)).where(F.col(n).isNotNull()).distinct() for d, n in ((left, "l"), (right, "r")))
+    l, r = (d.select(F.col(key).alias(n)).where(F.col(n).isNotNull()).distinct() for d, n in ((left, "l"), (right, "r")))
     bounded = scorer is token_sort_ratio and 0 < threshold <= 100
-    pairs = _may_reach(left, right, threshold) if bounded else left.crossJoin(right)
+    pairs = _may_reach(l, r, threshold) if bounded else l.crossJoin(r)
     scored = pairs.withColumn("score", scorer("l", "r")).where(F.col("score") >= threshold)
     best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
     return scored.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
+def fuzzy_merge(left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str, str], threshold: float = 90.0) -> DataFrame:
+    """Rows of both sides whose titles match by ``fuzzy_join``: left and right columns with suffixes, and ``score``."""
+    side = lambda d, s: d.select(*(F.col(c).alias(c + s) for c in d.columns))
+    found = fuzzy_join(left, right, key, threshold)
+    a, b = side(left, suffixes[0]), side(right, suffixes[1])
+    return a.join(found, a[key + suffixes[0]] == found["l"]).join(b, b[key + suffixes[1]] == found["r"]).drop("l", "r")
+
+
 def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, gram, count) of the lower-cased word n-grams."""
     w = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda x: x != "")
@@ -135,3 +143,51 @@ def greedy_match(made: Column, gold: Column) -> Column:
     p, r = mean(made, gold), mean(gold, made)
     f1 = F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0)
     return F.when((F.size(made) > 0) & (F.size(gold) > 0), F.struct(p.alias("precision"), r.alias("recall"), f1.alias("f1")))
+
+
+@F.pandas_udf(T.DoubleType())
+def rouge_lsum(made: pd.Series, gold: pd.Series) -> pd.Series:
+    """F1 of the union of longest common subsequences: each gold line with every made line; lines part sentences.
+
+    A word counts as often at most as it stands in both texts.
+    """
+    from collections import Counter
+
+    def places(x: list[str], y: list[str]) -> set[int]:
+        """Places in ``x`` of one longest common subsequence."""
+        rows = [[0] * (len(y) + 1)]
+        for a in x:
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(rows[-1][j] + 1 if a == b else max(rows[-1][j + 1], row[-1]))
+            rows.append(row)
+        i, j, out = len(x), len(y), set()
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                out.add(i)
+            elif rows[i - 1][j] >= rows[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    def one(m: str, g: str) -> float:
+        m, g = ([line.lower().split() for line in (t or "").split("\n") if line.strip()] for t in (m, g))
+        left, other = Counter(w for s in g for w in s), Counter(w for s in m for w in s)
+        sizes, hits = left.total() + other.total(), 0
+        for s in g:
+            for i in sorted(set().union(*(places(s, x) for x in m))) if m else ():
+                if left[s[i]] > 0 and other[s[i]] > 0:
+                    hits, left[s[i]], other[s[i]] = hits + 1, left[s[i]] - 1, other[s[i]] - 1
+        return 2.0 * hits / sizes if hits else 0.0
+
+    return pd.Series([one(m, g) for m, g in zip(made, gold, strict=True)])
+
+
+def basic_scores(pairs: DataFrame, key: str, made: str, gold: str) -> DataFrame:
+    """(key, rouge1, rouge2, rouge_l, rouge_lsum) of one summary and its gold text a key."""
+    out = pairs.select(key, rouge_l(made, gold).alias("rouge_l"), rouge_lsum(made, gold).alias("rouge_lsum"))
+    for n in (1, 2):
+        out = out.join(rouge_n(pairs, key, made, gold, n).select(key, F.col("f1").alias(f"rouge{n}")), key)
+    return out.select(key, "rouge1", "rouge2", "rouge_l", "rouge_lsum")

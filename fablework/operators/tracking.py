@@ -48,3 +48,68 @@ def clear_share(notes: DataFrame, keys: list[str], questions: str, types: str) -
     """(keys, score): the share of sentences whose annotation has neither questions nor types."""
     confusing = (F.coalesce(F.size(questions), F.lit(0)) > 0) | (F.coalesce(F.size(types), F.lit(0)) > 0)
     return notes.groupBy(*keys).agg(F.coalesce(1 - F.avg(confusing.cast("double")), F.lit(0.0)).alias("score"))
+
+
+#: Statuses of a task, and those that a worker may report.
+PENDING, STATUSES, REPORTED = "pending", ("pending", "assigned", "started", "completed", "failed"), ("started", "completed", "failed")
+
+
+def encode_status(status: Column, value: Column) -> Column:
+    """``word, value``; the word alone without a value."""
+    return F.concat_ws(", ", status, value)
+
+
+def is_status(column: Column, word: str) -> Column:
+    return F.coalesce(F.contains(column, F.lit(word)), F.lit(False))
+
+
+def overlay(table: DataFrame, events: DataFrame, keys: list[str], tasks: list[str], order: str = "ts") -> DataFrame:
+    """A row a key with a column a task: the last status that ``events`` (keys, task, status, ts) give, else the old one.
+
+    A key that is new has ``pending`` in its other tasks. A start is kept with its time. Only known tasks count.
+    """
+    said = encode_status(F.col("status"), F.when(F.col("status") == "started", F.date_format(order, "yyyy-MM-dd'T'HH:mm:ss")))
+    last = events.where(F.col("task").isin(tasks)).groupBy(*keys).pivot("task", tasks).agg(F.max_by(said, order))
+    met = table.join(last.select(*keys, *(F.col(f"`{t}`").alias(f"__{t}") for t in tasks)), keys, "full")
+    return met.select(*keys, *(F.coalesce(f"__{t}", f"`{t}`", F.lit(PENDING)).alias(t) for t in tasks))
+
+
+def checked(events: DataFrame, known: DataFrame, keys: list[str], tasks: list[str], statuses: tuple = REPORTED) -> DataFrame:
+    """``events`` with ``code``: 400 for a missing field, task or status that does not exist, 404 for an unknown key, else 200."""
+    missing = F.lit(False)
+    for c in (*keys, "task", "status"):
+        missing = missing | F.col(c).isNull()
+    bad = missing | ~F.col("task").isin(tasks) | ~F.col("status").isin(*statuses)
+    met = events.join(known.select(keys).distinct().withColumn("__known", F.lit(True)), keys, "left")
+    return met.withColumn("code", F.when(bad, 400).when(F.col("__known").isNull(), 404).otherwise(200)).drop("__known")
+
+
+def assigned(chunks: DataFrame, keys: list[str], task: str, ts: Column) -> DataFrame:
+    """The events that hand every chunk's task out: (keys, task, status, ts)."""
+    return chunks.select(*keys).distinct().select(*keys, F.lit(task).alias("task"), F.lit("assigned").alias("status"), ts.alias("ts"))
+
+
+def answers(sent: DataFrame, keys: list[str], task: str, ts: Column, code: str = "code") -> DataFrame:
+    """Failed events of the requests that were not accepted (202)."""
+    lost = sent.where(F.coalesce(F.col(code) != 202, F.lit(True)))
+    return lost.select(*keys, F.lit(task).alias("task"), F.lit("failed").alias("status"), ts.alias("ts"))
+
+
+def accuracy(items: DataFrame, keys: list[str] = (), accuracy: str = "accuracy", correct: str = "is_correct") -> DataFrame:
+    """(keys, score): mean of the accuracy, or where that is null of 1 for a correct answer and 0 for others; no items give 0."""
+    one = F.coalesce(F.col(accuracy), F.when(F.col(correct), 1.0).otherwise(0.0))
+    return items.groupBy(*keys).agg(F.coalesce(F.avg(one), F.lit(0.0)).alias("score"))
+
+
+def sample(df: DataFrame, n: int, order: list[str], seed: int = 0) -> DataFrame:
+    """``n`` distinct rows, each as likely as any other, the same for a seed: those with the least hash of ``order``."""
+    h = F.xxhash64(F.lit(seed), *order)
+    return df.withColumn("__h", h).orderBy("__h", *order).limit(n).drop("__h")
+
+
+def display(df: DataFrame, rows: int = 20, width: int = 40) -> DataFrame:
+    """The first ``rows`` in natural order, every cell as text of at most ``width`` characters."""
+    from .documents import natural_sort
+
+    cell = lambda c: F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 3), F.lit("..."))).otherwise(c)
+    return natural_sort(df).limit(rows).select(*(cell(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_fence
+
 
 def expand(s: Column, r: Column, o: Column) -> Column:
     """Array of (s, r, o) of three lists: equal lengths zip, lists of one repeat to zip, else the full product."""
@@ -61,3 +63,60 @@ def from_decoded(text: Column, delimiter: str = " ") -> Column:
     threes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(i, 0).alias("s"), at(i, 2).alias("r"), at(i, 1).alias("o")))
     full = lambda t: (F.length(t["s"]) > 0) & (F.length(t["r"]) > 0) & (F.length(t["o"]) > 0)
     return F.when(text.isNotNull(), F.when(n > 0, F.filter(threes, full)).otherwise(F.slice(threes, 1, 0)))
+
+
+def parse_strict(df: DataFrame, column: str) -> DataFrame:
+    """``parse`` that fails on text that is no JSON object or array, as a model's caller has to ask again."""
+    text = strip_fence(F.col(column))
+    whole = F.try_parse_json(text)
+    bad = whole.isNull() | ~F.schema_of_variant(whole).rlike("^(OBJECT|ARRAY)")
+    checked = F.when(F.col(column).isNotNull() & bad, F.raise_error(F.concat(F.lit("not JSON: "), F.substring(text, 1, 80)))).otherwise(F.col(column))
+    return parse(df.withColumn(column, checked), column)
+
+
+def unparsed(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is no JSON object or array: those that ``parse`` takes nothing from."""
+    whole = F.try_parse_json(strip_fence(F.col(column)))
+    return df.where(F.coalesce(~F.schema_of_variant(whole).rlike("^(OBJECT|ARRAY)"), F.lit(True)))
+
+
+def moderate_texts(df: DataFrame, column: str, flags, size: int = 32) -> DataFrame:
+    """Adds ``flagged`` by ``flags(list of texts) -> list of bool``, asked in batches of ``size``; a batch that fails passes."""
+    kept = [c for c in df.columns if c != "flagged"]
+
+    def run(frames):
+        for frame in frames:
+            for i in range(0, len(frame), size):
+                part = frame.iloc[i : i + size]
+                try:
+                    said = [bool(x) for x in flags(part[column].tolist())]
+                except Exception:  # the service is out: fail open
+                    said = [False] * len(part)
+                yield part.assign(flagged=said if len(said) == len(part) else [False] * len(part))
+
+    return df.select(kept).mapInPandas(run, df.select(*kept, F.lit(False).alias("flagged")).schema)
+
+
+def extract(df: DataFrame, column: str, extractor, tries: int = 1) -> DataFrame:
+    """Rows of ``df`` times the (s, r, o) that ``extractor(text)`` gives; one that raises is asked ``tries`` times in all.
+
+    A text that fails every time gives one row with nulls and the error's text.
+    """
+    kept = [c for c in df.columns if c not in ("s", "r", "o", "error")]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for values, text in zip(frame[kept].itertuples(index=False), frame[column], strict=True):
+                for left in range(tries - 1, -1, -1):
+                    try:
+                        rows += [(*values, *t, None) for t in (extractor(text) if text is not None else [])]
+                        break
+                    except Exception as e:
+                        if not left:
+                            rows.append((*values, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=[*kept, "s", "r", "o", "error"])
+
+    return df.mapInPandas(run, df.select(*kept, *(F.lit(None).cast("string").alias(c) for c in ("s", "r", "o", "error"))).schema)

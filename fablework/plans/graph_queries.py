@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as Z
+from ..operators import communities as C
 from ..operators import graph as G
+from ..operators import scope as P
 
 TOP = 40
 
@@ -35,6 +38,38 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return said.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
 
 
+def sales(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a denser graph: customers buy parts, parts come from suppliers; (start_node_id, rel_type, end_node_id)."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    at = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edge = lambda a, rel, b: (a.alias("start_node_id"), F.lit(rel).alias("rel_type"), b.alias("end_node_id"))
+    bought = lines.join(t("orders"), lines.l_orderkey == F.col("o_orderkey")).select(*edge(at("c", "o_custkey"), "BUYS", at("p", "l_partkey")))
+    return bought.union(lines.select(*edge(at("p", "l_partkey"), "FROM", at("s", "l_suppkey")))).distinct()
+
+
+def _triples(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("start_node_id").alias("subject_id"), F.col("rel_type").alias("relation_id"), F.col("end_node_id").alias("object_id"))
+
+
+def _sales_khop(k: int):
+    return lambda spark, d: G.neighbourhood(_triples(sales(spark, d)), "s1", k)
+
+
+def _scoped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The star schema's elements, each node in a graph named by its kind, odd nations in another database, regions dummies."""
+    nodes, edges = load(spark, d)
+    db = F.when((F.col("label") == "nation") & (F.substring("element_id", 2, 9).cast("int") % 2 == 1), "other").otherwise("main")
+    return nodes.withColumns({"db": db, "kg": F.col("label"), "_init": F.col("label") == "region"}), edges.withColumn("db", F.lit(None).cast("string"))
+
+
+def _dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Triples whose labels need sanitising: part names with the words of their types, some blank."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    blank = F.when(F.col("p_partkey") % 50 == 0, F.lit(" - ")).otherwise(F.concat(F.lit("the "), "p_name"))
+    return p.select(blank.alias("s"), F.lower("p_type").alias("r"), F.concat("p_brand", F.lit("!")).alias("o"))
+
+
 def _q(f):
     return lambda spark, d: f(*load(spark, d))
 
@@ -65,7 +100,24 @@ QUERIES = {
     "distinct_values": _q(lambda n, e: n.select("label").distinct()),
     "graph_context": _q(lambda n, e: G.context(G.named(G.all_triples(n, e), n))),
     "random_walk": _q(lambda n, e: G.random_walk(e, n.where("label = 'customer'").select("element_id"), 3)),
-    "community_detect": _q(G.communities),
+    "community_detect": _q(C.detect),
+    "community_levels": _q(lambda n, e: C.detect(n, e, multi_level=True)),
+    "label_propagation": _q(lambda n, e: C.detect(n, e, "label_propagation")),
+    "sales_edges": sales,
+    **{f"sales_khop_{k}": _sales_khop(k) for k in (1, 2)},
+    "sales_walk": lambda s, d: G.random_walk(sales(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("element_id")), 3),
+    "scoped_scan": lambda s, d: P.scan(*_scoped(s, d), "main", "nation").drop("_init"),
+    "scoped_fetch": lambda s, d: (lambda n, e: P.fetch(n, e, n.where("kg = 'supplier'")).select("element.element_id", "element.name", "element.db"))(*_scoped(s, d)),
+    "scoped_drop": lambda s, d: (lambda n, _: P.drop_graph(n, "main", "nation").drop("_init"))(*_scoped(s, d)),
+    "retagged_edges": lambda s, d: P.retag(_scoped(s, d)[1], "main"),
+    "in_database": lambda s, d: P.in_database(_scoped(s, d)[0], "main"),
+    "value_join": _q(lambda n, e: P.value_join(n.where("label = 'nation'"), n.withColumn("first", F.upper("name")), "name", "first")),
+    "node_context": _q(lambda n, e: G.node_context(G.named(G.all_triples(n, e), n), "FRANCE")),
+    "focused_context": _q(lambda n, e: G.focused_context(G.named(G.all_triples(n, e), n), n.where("label = 'nation'").select("name"))),
+    "narrative_cluster": _q(lambda n, e: G.narrative(G.named(G.all_triples(n, e), n), "cluster")),
+    "narrative_summary": _q(lambda n, e: G.narrative(G.named(G.all_triples(n, e), n))),
+    "upsert_sanitized": lambda s, d: G.upsert_sanitized(None, _dirty(s, d)),
+    "concatenated_triples": _q(lambda n, e: G.concatenated(G.named(G.all_triples(n, e), n).toDF("s", "r", "o").withColumn("chunk", F.col("o")), ["chunk"])),
 }
 
 G_SQL = """nodes AS (
@@ -96,7 +148,35 @@ reach(id, d) AS (SELECT 's1', 0 UNION SELECT b, d + 1 FROM reach JOIN und ON a =
 SELECT DISTINCT {IDS} FROM t WHERE subject_id IN (SELECT id FROM reach) OR object_id IN (SELECT id FROM reach)"""
 
 
+SALES = """sales AS (SELECT DISTINCT 'c' || o_custkey AS subject_id, 'BUYS' AS relation_id, 'p' || l_partkey AS object_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION SELECT DISTINCT 'p' || l_partkey, 'FROM', 's' || l_suppkey FROM lineitem)"""
+SCOPED = """scoped AS (SELECT *, CASE WHEN label = 'nation' AND substr(element_id, 2)::INTEGER % 2 = 1 THEN 'other' ELSE 'main' END AS db, label AS kg FROM nodes)"""
+NEVER = "NULL::VARCHAR"
+
+
 ORACLES = {
+    "sales_edges": f"WITH {SALES} SELECT subject_id AS start_node_id, relation_id AS rel_type, object_id AS end_node_id FROM sales",
+    "sales_khop_1": f"WITH {SALES} SELECT * FROM sales WHERE subject_id = 's1' OR object_id = 's1'",
+    "sales_khop_2": f"WITH {SALES}, r AS (SELECT 's1' AS id UNION SELECT subject_id FROM sales WHERE object_id = 's1') SELECT * FROM sales WHERE subject_id IN (SELECT id FROM r) OR object_id IN (SELECT id FROM r)",
+    "scoped_scan": _sql(f"""SELECT * FROM (WITH {SCOPED}, own AS (SELECT * FROM scoped WHERE db = 'main' AND kg = 'nation')
+SELECT element_id, name, label, db, kg, 'node' AS element_type, {NEVER} AS start_node_id, {NEVER} AS rel_type, {NEVER} AS end_node_id FROM own
+UNION SELECT NULL, NULL, NULL, NULL, NULL, 'relationship', start_node_id, rel_type, end_node_id FROM edges
+WHERE start_node_id IN (SELECT element_id FROM own) OR end_node_id IN (SELECT element_id FROM own))"""),
+    "scoped_fetch": _sql(f"SELECT * FROM (WITH {SCOPED} SELECT element_id, name, db FROM scoped WHERE kg = 'supplier')"),
+    "scoped_drop": _sql(f"SELECT * FROM (WITH {SCOPED} SELECT * FROM scoped WHERE NOT (db = 'main' AND kg = 'nation'))"),
+    "retagged_edges": _sql("SELECT *, 'main' AS db FROM edges"),
+    "in_database": _sql(f"SELECT * FROM (WITH {SCOPED} SELECT * FROM scoped WHERE db = 'main' AND label <> 'region')"),
+    "value_join": _sql("SELECT a.element_id AS left_id, b.element_id AS right_id FROM nodes a JOIN nodes b ON a.name = upper(b.name) WHERE a.label = 'nation'"),
+    "node_context": _sql("SELECT DISTINCT CASE WHEN subject = 'FRANCE' THEN 'out' ELSE 'in' END AS direction, subject || ' ' || relation || ' ' || object AS line FROM t WHERE subject = 'FRANCE' OR object = 'FRANCE'"),
+    "focused_context": _sql("SELECT subject, string_agg(relation || ' ' || object, '; ' ORDER BY k) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY relation, object) AS k FROM t WHERE subject IN (SELECT n_name FROM nation)) WHERE k <= 5 GROUP BY subject"),
+    "narrative_cluster": _sql("""SELECT (row_number() OVER (ORDER BY k, line) - 1)::INTEGER AS place, line FROM (SELECT -count(*) OVER (PARTITION BY subject) AS k,
+subject || ' ' || lower(replace(relation, '_', ' ')) || ' ' || object || '.' AS line FROM t) ORDER BY k, line LIMIT 50"""),
+    "narrative_summary": _sql("""SELECT (row_number() OVER (ORDER BY k, line) - 1)::INTEGER AS place, line FROM (SELECT -count(*) AS k,
+relation || ' occurs ' || count(*) || ' times, as in ' || min(subject || ' ' || relation || ' ' || object) || '.' AS line FROM t GROUP BY relation)"""),
+    "upsert_sanitized": """SELECT DISTINCT s, r, o FROM (SELECT CASE WHEN p_partkey % 50 <> 0 THEN trim(regexp_replace('the ' || p_name, '[^A-Za-z0-9]+', '_', 'g'), '_') END AS s,
+upper(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(p_type), '[^a-z0-9_ ]', '_', 'g'), '[_ ]+'), lambda x: x <> ''), '_')) AS r,
+trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_') AS o FROM part) WHERE s IS NOT NULL""",
+    "concatenated_triples": _sql("""SELECT object AS chunk, string_agg('{"s":"' || subject || '","r":"' || relation || '","o":"' || object || '"}', chr(10) ORDER BY '{"s":"' || subject || '","r":"' || relation || '","o":"' || object || '"}') AS text FROM t GROUP BY object"""),
     "triples_properties": _sql("SELECT rel_type, a.element_id AS n1_id, a.name AS n1_name, a.label AS n1_label, b.element_id AS n2_id, b.name AS n2_name, b.label AS n2_label FROM edges JOIN nodes a ON a.element_id = start_node_id JOIN nodes b ON b.element_id = end_node_id"),
     "triples_named": _sql("SELECT subject, relation, object FROM t"),
     "subgraph_by_nodes": _either("(VALUES ('n1'), ('n2'), ('n3')) v(element_id)"),
@@ -115,7 +195,7 @@ ORACLES = {
     "community_subgraph": _sql(f"SELECT {IDS} FROM t WHERE subject_id >= 'n' AND object_id >= 'n'"),
     "undirected_pair_index": _sql("SELECT start_node_id, rel_type, end_node_id, least(start_node_id, end_node_id) AS low, greatest(start_node_id, end_node_id) AS high, (row_number() OVER (PARTITION BY least(start_node_id, end_node_id), greatest(start_node_id, end_node_id) ORDER BY start_node_id, rel_type, end_node_id) - 1)::INTEGER AS place, count(*) OVER (PARTITION BY least(start_node_id, end_node_id), greatest(start_node_id, end_node_id)) AS of FROM edges"),
     "relation_summary": _sql("SELECT relation, count(*) AS n, min(subject || ' ' || relation || ' ' || object) AS example FROM t GROUP BY relation"),
-    "graph_stats": _sql("SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(DISTINCT rel_type) FROM edges) AS relation_types, (SELECT avg(edge_count) FROM deg) AS avg_degree, (SELECT count(*) FROM edges)::DOUBLE / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)) AS density"),
+    "graph_stats": _sql("SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(DISTINCT rel_type) FROM edges) AS relation_types, (SELECT avg(edge_count) FROM deg) AS avg_degree, (SELECT count(*) FROM edges)::DOUBLE / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)) AS density, (SELECT string_agg(DISTINCT rel_type, ', ' ORDER BY rel_type) FROM edges) AS relations, (SELECT string_agg(name || ' (' || edge_count || ')', ', ' ORDER BY place) FROM rk JOIN nodes USING (element_id) WHERE place <= 5) AS top_nodes"),
     "triple_upsert": _sql("SELECT DISTINCT subject AS s, relation AS r, object AS o FROM t"),
     "graph_scan": _sql("SELECT DISTINCT element_id, name, label, NULL::VARCHAR AS start_node_id, NULL::VARCHAR AS rel_type, NULL::VARCHAR AS end_node_id FROM nodes UNION SELECT NULL, NULL, NULL, start_node_id, rel_type, end_node_id FROM edges"),
     "graph_context": _sql("SELECT subject, string_agg(relation || ' ' || object, '; ' ORDER BY k) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY relation, object) AS k FROM t) WHERE k <= 5 GROUP BY subject"),
