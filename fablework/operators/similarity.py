@@ -189,5 +189,6 @@ def basic_scores(pairs: DataFrame, key: str, made: str, gold: str) -> DataFrame:
     """(key, rouge1, rouge2, rouge_l, rouge_lsum) of one summary and its gold text a key."""
     out = pairs.select(key, rouge_l(made, gold).alias("rouge_l"), rouge_lsum(made, gold).alias("rouge_lsum"))
     for n in (1, 2):
-        out = out.join(rouge_n(pairs, key, made, gold, n).select(key, F.col("f1").alias(f"rouge{n}")), key)
+        found = rouge_n(pairs, key, made, gold, n).select(key, F.col("f1").alias(f"rouge{n}"))  # texts without n-grams have no row
+        out = out.join(found, key, "left").na.fill(0.0, [f"rouge{n}"])
     return out.select(key, "rouge1", "rouge2", "rouge_l", "rouge_lsum")

@@ -10,6 +10,8 @@ from ..operators import segments as S
 from ..operators import similarity as M
 from ..operators import tracking as K
 from ..operators import triples as J
+from ..sources import readers as R
+from ..sources import store as W
 from ..sources.readers import run_script
 
 LIMIT = 1500
@@ -103,7 +105,79 @@ def _script(spark, d):
     return run_script(spark, "-- nations; by region\nSELECT 1; SELECT n_regionkey, count(*) AS n, 'a;b' AS tag FROM script_nation GROUP BY n_regionkey;")[-1]
 
 
+def _mixed(spark, d):
+    """Every document as JSON whose ``about`` is a scalar, an object, a list of either, a number, null or absent."""
+    n = F.col("doc_id")
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    text = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
+    about = F.element_at(F.array(
+        text('"about": "', lang, '"'), text('"about": {"name": "', lang, '", "size": ', F.col("n_chars"), "}"), text('"about": ["', lang, '", "', source, '"]'),
+        text('"about": [{"name": "', lang, '"}, {"size": 2.5}]'), text('"about": ', F.col("n_chars")), F.lit('"about": null'), F.lit('"none": []')), (n % 7 + 1).cast("int"))
+    docs = _t(spark, d, "documents").select("doc_id", text('{"id": ', n, ", ", about, "}").alias("j"))
+    return D.reconcile(docs, "j", "doc_id").select("doc_id", "id", *(F.col(f"`{c}`").alias(c.replace(".", "_")) for c in ("about.name", "about.size", "none")))
+
+
+def _chunk_meta(spark, d):
+    """Chunks of conversations: where they begin and end, in turns and in per cent of the conversation and of all its role's turns."""
+    seg = S.percents(_t(spark, d, "conversations"), ["conv_id"], ["conv_id", "role"], ["turn"])
+    seg = seg.select("conv_id", "turn", "text", F.col("turn").alias("line_start"), F.col("turn").alias("line_end"), F.round("chapter_percent", 6).alias("chapter_percent"),
+                     F.round("story_percent", 6).alias("story_percent"))
+    return S.pack(seg, ["conv_id"], 400, "turn", ["line_start", "chapter_percent"], ["line_end", "story_percent"])
+
+
+def _tei(spark, d):
+    """Paragraphs of the documents as TEI: a chapter a language, each line a paragraph; two languages allowed."""
+    line = F.transform(F.filter(F.split(F.translate("text", "&<>\x1c\x1d\x1e\x1f", ""), "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    body = F.concat(F.lit('<div type="x" xml:id="c 1">\n<head> '), "lang", F.lit(" </head>\n"), F.array_join(line, "\n"), F.lit("\n</div>"))
+    texts = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("lang"), "text")
+    rows = R.tei_rows(texts.select("path", R.clean_tei(body).alias("tei")))
+    return S.allowed(rows, ["en", " "]).select("path", "div", "head", "paragraph", "line", "line_end", F.length("text").alias("chars"))
+
+
+def _overlay(spark, d):
+    said = F.create_map(*map(F.lit, ("view", "assigned", "purchase", "completed", "error", "failed")))
+    e = _t(spark, d, "events").withColumn("status", F.coalesce(F.element_at(said, F.col("event_type")), F.lit("started")))
+    e = e.select("user_id", F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("task"), "status", F.struct("ts", "event_id").alias("at"), "ts")
+    old = e.select("user_id").distinct().where("user_id % 2 = 0").select("user_id", F.lit("old").alias("t0"), F.lit(None).cast("string").alias("t1"), F.lit("old").alias("t2"))
+    last = e.groupBy("user_id", "task").agg(F.max_by("status", "at").alias("status"), F.max("ts").alias("ts"))
+    return K.overlay(old, last, ["user_id"], ["t0", "t1"])
+
+
+def _checked(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("user_id"), F.lit("t").alias("task"),
+                                      F.element_at(F.array(*map(F.lit, ("started", "completed", "pending"))), (F.col("event_id") % 3 + 1).cast("int")).alias("status"))
+    return K.checked(e, e.where("user_id % 2 = 0"), ["user_id"], ["t"]).select("event_id", "code")
+
+
+def _merged(spark, d):
+    """A keyed overlay: customers with the region of their nation, balances of some cleared of their sign, and new keys."""
+    c = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    new = c.select((F.col("c_custkey") * 2).alias("c_custkey"), F.abs("c_acctbal").alias("c_acctbal"), F.lit("seen").alias("note"))
+    return W.merge(c, new, ["c_custkey"])
+
+
+def _fuzzy_rows(spark, d):
+    p = _t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("key"))
+    typo = p.where("key % 5 = 0").select(F.concat(F.substring("p_name", 2, 99), F.substring("p_name", 1, 1)).alias("p_name"), F.col("key").alias("key"))
+    return M.fuzzy_merge(typo, p, "p_name", ("_a", "_b"), 80.0)
+
+
 QUERIES = {
+    "doc_reconcile": _mixed, "chunk_meta": _chunk_meta, "tei_paragraphs": _tei, "status_overlay": _overlay, "callback_codes": _checked, "keyed_merge": _merged,
+    "fuzzy_merge_rows": _fuzzy_rows,
+    "paragraph_count": lambda s, d: S.paragraph_count(S.paragraphs(_t(s, d, "documents")), ["doc_id"]),
+    "chunk_oversize": lambda s, d: S.oversize(S.pack(S.paragraphs(_t(s, d, "documents")), ["doc_id"], 100), 100).select("doc_id", F.length("text").alias("chars")),
+    "node_name": lambda s, d: _t(s, d, "part").select("p_partkey", Z.node_name(F.concat(F.lit("The "), "p_name", F.lit(" of it's own"))).alias("node")),
+    "status_text": lambda s, d: _t(s, d, "events").select("event_id", K.parse_status(K.encode_status(F.col("event_type"), F.nullif(F.col("value").cast("int").cast("string"), F.lit("0")))).alias("x")).select("event_id", "x.*"),
+    "call_chain": lambda s, d: _t(s, d, "part").select("p_partkey", Z.call_chain(F.concat(F.array(F.lit("_inner")), F.split("p_name", " "))).alias("chain")),
+    "strict_parse": lambda s, d: J.parse_strict(_t(s, d, "customer").select(F.concat(F.lit('```json\n{"s": "'), "c_name", F.lit('", "relation": ["IN", "OF"], "o": "'), "c_mktsegment", F.lit('"}\n```')).alias("j")), "j"),
+    "unparsed_rows": lambda s, d: J.unparsed(_t(s, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(F.col("props")).alias("j")), "j").select("event_id"),
+    "qa_scores": lambda s, d: K.accuracy(_t(s, d, "labels").select("toxic", F.when(F.col("doc_id") % 2 == 0, F.col("quality") * 0.5).alias("accuracy"), (F.col("quality") == 1).alias("is_correct")), ["toxic"]).select("toxic", F.round("score", 6).alias("score")),
+    "name_contains": lambda s, d: W.name_contains(_t(s, d, "part").select("p_partkey", "p_type"), "StE", "p_type", True),
+    "display_rows": lambda s, d: K.display(_t(s, d, "part").select("p_partkey", "p_name"), 10, 9),
+    "booksum_rows": lambda s, d: R.booksum(_t(s, d, "documents").select(F.concat(F.lit("  The "), "source", F.lit("--")).alias("title"), "text", F.substring("text", 1, 20).alias("summary"))).select("title", F.length("text").alias("chars"), "summary"),
+    "narrative_qa_rows": lambda s, d: R.narrative_qa(_t(s, d, "customer").select(F.struct(F.struct(F.concat(F.lit(" "), "c_name").alias("title")).alias("summary"), F.upper("c_mktsegment").alias("author"), F.lit(None).cast("string").alias("id")).alias("document"))),
+    "rouge_lsum": lambda s, d: (lambda b: b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("gold")), "item_id").select("item_id", M.rouge_lsum("text", "gold").alias("f1")))(_t(s, d, "benchmark")),
     "paragraphs": lambda s, d: S.paragraphs(_t(s, d, "documents")),
     "segment_percent": lambda s, d: S.prefix_percent(_t(s, d, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", F.round("percent", 6).alias("percent")),
     "chunk_pack": lambda s, d: S.pack(S.paragraphs(_t(s, d, "documents")), ["doc_id"], LIMIT),
@@ -162,6 +236,48 @@ round(2.0 * coalesce(sum(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x,
 
 
 ORACLES = {
+    "doc_reconcile": """WITH d AS (SELECT doc_id, doc_id % 7 AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, n_chars FROM documents)
+SELECT doc_id, doc_id AS id, CASE WHEN k < 2 THEN lang END AS about_name, CASE WHEN k = 1 OR k = 4 THEN n_chars::DOUBLE END AS about_size, NULL::VARCHAR AS none FROM d WHERE k NOT IN (2, 3)
+UNION ALL SELECT doc_id, doc_id, unnest([lang, source]), NULL, NULL FROM d WHERE k = 2
+UNION ALL SELECT doc_id, doc_id, lang, NULL, NULL FROM d WHERE k = 3 UNION ALL SELECT doc_id, doc_id, NULL, 2.5, NULL FROM d WHERE k = 3""",
+    "chunk_meta": """WITH RECURSIVE w AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+  round(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100 / greatest(sum(length(text)) OVER (PARTITION BY conv_id), 1), 6) AS sp,
+  round(coalesce(sum(length(text)) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100 / greatest(sum(length(text)) OVER (PARTITION BY conv_id, role), 1), 6) AS cp FROM conversations),
+u AS (SELECT conv_id, turn, sp, cp, chr(10) AS sep, false AS fresh, k, 1 AS i, text FROM w WHERE length(text) <= 400
+  UNION ALL SELECT conv_id, turn, sp, cp, ' ', i = 1, k, i, s[i] FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM w WHERE length(text) > 400), unnest(range(1, len(s) + 1)) x(i)),
+o AS (SELECT * EXCLUDE (k, i), row_number() OVER (PARTITION BY conv_id ORDER BY k, i) AS k FROM u),
+f(conv_id, k, chunk, sep, text) AS (SELECT conv_id, 1, 0, sep, text FROM o WHERE k = 1 UNION ALL
+  SELECT conv_id, k, CASE WHEN fits THEN chunk ELSE chunk + 1 END, sep, CASE WHEN fits THEN old || sep || text ELSE text END
+  FROM (SELECT o.conv_id, f.k + 1 AS k, f.chunk, o.sep, f.text AS old, o.text, o.sep = f.sep AND NOT o.fresh AND length(f.text) + 1 + length(o.text) <= 400 AS fits
+    FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1))
+SELECT f.conv_id, chunk, arg_max(f.text, k) AS text, arg_min(turn, k) AS line_start, arg_min(cp, k) AS chapter_percent, arg_max(turn, k) AS line_end, arg_max(sp, k) AS story_percent
+FROM f JOIN o USING (conv_id, k) GROUP BY f.conv_id, chunk""",
+    "tei_paragraphs": """WITH l AS (SELECT item_id, unnest(list_filter(string_split(translate(text, '&<>', ''), chr(10)), lambda x: length(trim(x)) > 0)) AS x,
+  generate_subscripts(list_filter(string_split(translate(text, '&<>', ''), chr(10)), lambda x: length(trim(x)) > 0), 1) AS i FROM benchmark WHERE item_id % 2 = 0)
+SELECT item_id::VARCHAR AS path, 1::BIGINT AS div, 'en' AS head, i::BIGINT AS paragraph, i::BIGINT + 2 AS line, i::BIGINT + 2 AS line_end, length(trim(x))::INTEGER AS chars FROM l""",
+    "status_overlay": """WITH e AS (SELECT user_id, 't' || event_id % 3 AS task, CASE event_type WHEN 'view' THEN 'assigned' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'started' END AS status, ts, event_id FROM events),
+l AS (SELECT user_id, task, last(status ORDER BY ts, event_id) AS status, max(ts) AS ts FROM e GROUP BY ALL),
+s AS (SELECT user_id, task, CASE WHEN status = 'started' THEN 'started, ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE status END AS s FROM l),
+k AS (SELECT DISTINCT user_id FROM e WHERE user_id % 2 = 0 OR task IN ('t0', 't1'))
+SELECT k.user_id, coalesce(a.s, CASE WHEN k.user_id % 2 = 0 THEN 'old' END, 'pending') AS t0, coalesce(b.s, 'pending') AS t1
+FROM k LEFT JOIN s a ON a.user_id = k.user_id AND a.task = 't0' LEFT JOIN s b ON b.user_id = k.user_id AND b.task = 't1'""",
+    "callback_codes": """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN user_id END AS u FROM events), k AS (SELECT DISTINCT u FROM e WHERE u % 2 = 0)
+SELECT event_id, CASE WHEN u IS NULL OR event_id % 3 = 2 THEN 400 WHEN u NOT IN (SELECT u FROM k) THEN 404 ELSE 200 END AS code FROM e""",
+    "keyed_merge": """WITH n AS (SELECT c_custkey * 2 AS c_custkey, abs(c_acctbal) AS b FROM customer)
+SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, coalesce(b, c_acctbal) AS c_acctbal, CASE WHEN n.c_custkey IS NOT NULL THEN 'seen' END AS note FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey""",
+    "paragraph_count": f"WITH {LINES} SELECT doc_id, count(*) AS paragraphs FROM seg GROUP BY doc_id",
+    "node_name": """SELECT p_partkey, regexp_replace(p_name || ' of own', '[^A-Za-z0-9]+', '_', 'g') AS node FROM part""",
+    "status_text": "SELECT event_id, event_type AS status, nullif(trunc(value)::INTEGER::VARCHAR, '0') AS value FROM events",
+    "chunk_oversize": f"""WITH {LINES}, p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM seg WHERE length(text) > 100)
+SELECT doc_id, length(x)::INTEGER AS chars FROM p WHERE length(x) > 100""",
+    "call_chain": "SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' -> ') AS chain FROM part",
+    "strict_parse": "SELECT c_name AS s, unnest(['IN', 'OF']) AS r, c_mktsegment AS o FROM customer",
+    "unparsed_rows": "SELECT event_id FROM events WHERE event_id % 5 = 0",
+    "qa_scores": "SELECT toxic, round(avg(CASE WHEN doc_id % 2 = 0 THEN quality * 0.5 ELSE quality END), 6)::DOUBLE AS score FROM labels GROUP BY toxic",
+    "name_contains": "SELECT p_partkey, p_type FROM part WHERE NOT coalesce(contains(lower(p_type), 'ste'), false)",
+    "display_rows": "SELECT p_partkey::VARCHAR AS p_partkey, CASE WHEN length(p_name) > 9 THEN substr(p_name, 1, 6) || '...' ELSE p_name END AS p_name FROM (SELECT * FROM part ORDER BY p_name, p_partkey LIMIT 10)",
+    "booksum_rows": "SELECT 'the ' || trim(regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS title, length(text)::INTEGER AS chars, substr(text, 1, 20) AS summary FROM documents",
+    "narrative_qa_rows": "SELECT DISTINCT lower(trim(c_name)) AS title, lower(c_mktsegment) AS author, '' AS id FROM customer",
     "paragraphs": f"WITH {LINES} SELECT doc_id, pos, text FROM seg",
     "segment_percent": f"SELECT conv_id, turn, round({PCT}, 6) AS percent FROM conversations",
     "chunk_pack": f"""WITH RECURSIVE {LINES},
