@@ -224,6 +224,43 @@ def test_chat(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_queries_on_whole_tables(spark):
+    """Texts of a whole table, which reach the operators in several parts, against the libraries and sets."""
+    import pyarrow.parquet as pq
+    import tiktoken
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    words = {d: t.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split() for d, t in docs.items()}
+    size = lambda w: len(set(zip(w, w[1:], strict=False))) if len(w) > 1 else len(w)
+    assert {r.doc_id: r.n_shingles for r in near_dedup.op10_near_dedup(spark, sf).collect()} == {d: size(w) for d, w in words.items()}
+    t = word_tokens.load(WORD)
+    ids = dict(zip(docs, (e.ids for e in t.encode_batch(list(docs.values()), add_special_tokens=False)), strict=True))
+    assert {r.doc_id: r.n_tokens for r in token_counts.op9_token_counts(spark, sf).select("doc_id", "n_tokens").collect()} == {d: len(x) for d, x in ids.items()}
+    crc = {r.doc_id: r.ids_crc32 for r in token_file.op2_token_file(spark, sf).collect()}
+    assert crc == {d: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for d, x in ids.items()}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BYTE), special_tokens={})
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    got = {r.doc_id: (r.ids_sha256, r.decoded_sha256) for r in byte_bpe.op8_byte_bpe(spark, sf).select("doc_id", "ids_sha256", "decoded_sha256").collect()}
+    assert got == {d: (digest(np.array(lib.encode_ordinary(x), "<u4").tobytes()), digest(x.encode())) for d, x in docs.items()}
+
+
+def test_parts_of_batches():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    texts = [None if i % 17 == 0 else " ".join(rnd.choice(["Für", "a", "漢字", "Über", "x\x1cy", ""]) for _ in range(rnd.randrange(40))) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = list(word_tokens.parts(batch.slice(20, 450), 300))
+    assert len(got) > 20 and [t for p in got for t in p.column("text").to_pylist()] == texts[20:470]
+    sets = [s.tolist() for p in got for s in near_dedup.shingles(p.column("text"), 2)]
+    assert sets == [near_dedup.shingles(pa.array([t], pa.string()), 2)[0].tolist() for t in texts[20:470]]
+    for t, s in zip(texts[20:470], sets, strict=True):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split(" ")
+        words = [w for w in words if w]
+        assert len(s) == (len(set(zip(words, words[1:], strict=False))) if len(words) > 1 else len(words))
+
+
 def test_near_dedup(spark, odd, none, monkeypatch):
     rnd = random.Random(8)
     rows = []
