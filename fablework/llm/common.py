@@ -70,12 +70,15 @@ def shared_dir(spark: SparkSession) -> str:
 def _short_batches(spark: SparkSession) -> Iterator[None]:
     """Fewer rows an Arrow batch while a step of ours runs: long texts times the usual 10,000 rows fill much memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    asked = spark.conf.get(key, "10000")
-    spark.conf.set(key, min(int(asked), BATCH_ROWS) if int(asked) > 0 else BATCH_ROWS)
+    asked = spark.conf.get(key, None)
+    if asked is not None and 0 < int(asked) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, BATCH_ROWS)
     try:
         yield
     finally:
-        spark.conf.set(key, asked)
+        spark.conf.unset(key) if asked is None else spark.conf.set(key, asked)
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:

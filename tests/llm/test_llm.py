@@ -40,6 +40,19 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark, [])).collect()} == {"allow"}
 
 
+def test_materialise_leaves_the_session_as_it_was(spark):
+    from fablework.llm.common import discard, materialise
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for asked in (None, "500", "7000"):
+        spark.conf.unset(key) if asked is None else spark.conf.set(key, asked)
+        made = materialise(spark.range(5))
+        assert made.count() == 5 and spark.conf.get(key, None) == asked
+        discard(made)
+    spark.conf.unset(key)
+    assert spark.conf.get("spark.checkpoint.dir", None) is None
+
+
 def test_elias_fano():
     for v in ([], [0], [0, 0, 7], sorted(random.Random(1).randrange(10**9) for _ in range(3000))):
         e = elias_fano.EliasFano(elias_fano.encode(np.array(v, np.uint64)))
