@@ -9,6 +9,7 @@ from ..functions import text as Z
 from ..operators import communities as C
 from ..operators import graph as G
 from ..operators import scope as P
+from ..operators.patterns import Graph
 
 TOP = 40
 
@@ -74,12 +75,22 @@ def _q(f):
     return lambda spark, d: f(*load(spark, d))
 
 
+def _said(statement: str):
+    return _q(lambda n, e: Graph.of(n, e).run(statement))
+
+
+def _grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A group for each region's name, made once, and its nations as members."""
+    g = Graph.of(nodes, edges)
+    g.run("MATCH (n:nation)-[:PART_OF]->(r:region) MERGE (g:group {name: r.name}) CREATE (n)-[:MEMBER {of: r.name}]->(g)")
+    return g.run("MATCH (n)-[m:MEMBER]->(g:group) WHERE m.of = g.name RETURN g.name AS name, collect(n.name) AS nations")
+
+
 NAMES = ["subject", "relation", "object"]
 QUERIES = {
     "triples_properties": _q(lambda n, e: G.triple_properties(n, e).select(*(F.col(f"`{a}`").alias(b) for a, b in (("r.rel_type", "rel_type"), ("n1.element_id", "n1_id"), ("n1.name", "n1_name"), ("n1.label", "n1_label"), ("n2.element_id", "n2_id"), ("n2.name", "n2_name"), ("n2.label", "n2_label"))))),
     "triples_named": _q(lambda n, e: G.named(G.all_triples(n, e), n)),
-    "subgraph_by_nodes": _q(lambda n, e: G.subgraph_by_nodes(G.all_triples(n, e), _starts(n).where("element_id in ('n1', 'n2', 'n3')"))),
-    "subgraph_by_nations": _q(lambda n, e: G.subgraph_by_nodes(G.all_triples(n, e), _starts(n))),
+    "subgraph_by_nodes": _q(lambda n, e: G.subgraph_by_nodes(G.all_triples(n, e), _starts(n))),
     **{f"khop_{k}": _q(lambda n, e, k=k: G.neighbourhood(G.all_triples(n, e), "s1", k)) for k in (1, 2, 3)},
     "node_degree": _q(G.degree),
     "top_nodes_named": _q(lambda n, e: G.top_by_degree(G.degree(n, e), 10).join(n.select("element_id", "name"), "element_id").select("name", "edge_count")),
@@ -103,6 +114,10 @@ QUERIES = {
     "community_detect": _q(C.detect),
     "community_levels": _q(lambda n, e: C.detect(n, e, multi_level=True)),
     "label_propagation": _q(lambda n, e: C.detect(n, e, "label_propagation")),
+    "pattern_path": _said("MATCH (c:customer)-[:IN]->(n:nation)-[:PART_OF]->(r:region) WHERE r.name <> 'ASIA' RETURN r.name AS region, n.name AS nation, count(c) AS customers"),
+    "pattern_neighbours": _said("MATCH (a)-[x]-(b:nation) RETURN a.name AS a, type(x) AS x, b.name AS b"),
+    "pattern_values": _said("MATCH (a:customer)-[:IN]->(n) MATCH (s:supplier)-[:IN]->(m) WHERE m.name = n.name RETURN DISTINCT a.name AS customer, m.name AS nation"),
+    "pattern_merge": lambda s, d: _grouped(*load(s, d)).selectExpr("name", "array_join(nations, ', ') AS nations"),
     "sales_edges": sales,
     **{f"sales_khop_{k}": _sales_khop(k) for k in (1, 2)},
     "sales_walk": lambda s, d: G.random_walk(sales(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("element_id")), 3),
@@ -155,6 +170,12 @@ NEVER = "NULL::VARCHAR"
 
 
 ORACLES = {
+    "pattern_path": _sql("""SELECT r.name AS region, n.name AS nation, count(*) AS customers FROM nodes c JOIN edges x ON x.start_node_id = c.element_id JOIN nodes n ON n.element_id = x.end_node_id
+JOIN edges y ON y.start_node_id = n.element_id JOIN nodes r ON r.element_id = y.end_node_id WHERE c.label = 'customer' AND r.label = 'region' AND r.name <> 'ASIA' GROUP BY r.name, n.name"""),
+    "pattern_neighbours": _sql("""SELECT object AS a, relation AS x, subject AS b FROM t WHERE subject_id LIKE 'n%'
+UNION ALL SELECT subject, relation, object FROM t WHERE object_id LIKE 'n%'"""),
+    "pattern_values": """SELECT DISTINCT c_name AS customer, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey""",
+    "pattern_merge": "SELECT r_name AS name, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name",
     "sales_edges": f"WITH {SALES} SELECT subject_id AS start_node_id, relation_id AS rel_type, object_id AS end_node_id FROM sales",
     "sales_khop_1": f"WITH {SALES} SELECT * FROM sales WHERE subject_id = 's1' OR object_id = 's1'",
     "sales_khop_2": f"WITH {SALES}, r AS (SELECT 's1' AS id UNION SELECT subject_id FROM sales WHERE object_id = 's1') SELECT * FROM sales WHERE subject_id IN (SELECT id FROM r) OR object_id IN (SELECT id FROM r)",
@@ -179,8 +200,7 @@ trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_') AS o FROM part) WH
     "concatenated_triples": _sql("""SELECT object AS chunk, string_agg('{"s":"' || subject || '","r":"' || relation || '","o":"' || object || '"}', chr(10) ORDER BY '{"s":"' || subject || '","r":"' || relation || '","o":"' || object || '"}') AS text FROM t GROUP BY object"""),
     "triples_properties": _sql("SELECT rel_type, a.element_id AS n1_id, a.name AS n1_name, a.label AS n1_label, b.element_id AS n2_id, b.name AS n2_name, b.label AS n2_label FROM edges JOIN nodes a ON a.element_id = start_node_id JOIN nodes b ON b.element_id = end_node_id"),
     "triples_named": _sql("SELECT subject, relation, object FROM t"),
-    "subgraph_by_nodes": _either("(VALUES ('n1'), ('n2'), ('n3')) v(element_id)"),
-    "subgraph_by_nations": _either("(SELECT element_id FROM nodes WHERE label = 'nation')"),
+    "subgraph_by_nodes": _either("(SELECT element_id FROM nodes WHERE label = 'nation')"),
     **{f"khop_{k}": _khop(k) for k in (1, 2, 3)},
     "node_degree": _sql("SELECT * FROM deg"),
     "top_nodes_named": _sql("SELECT name, edge_count FROM rk JOIN nodes USING (element_id) WHERE place <= 10"),
@@ -191,7 +211,7 @@ trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_') AS o FROM part) WH
     "graph_ranked_verbalize": _sql(f"SELECT string_agg(subject || ' ' || relation || ' ' || object, chr(10) ORDER BY subject || ' ' || relation || ' ' || object) AS text FROM t WHERE subject_id IN (SELECT element_id FROM rk WHERE place <= {TOP})"),
     "verbalize_natural": _sql("SELECT subject || ' ' || lower(replace(relation, '_', ' ')) || ' ' || object || '.' AS line FROM t"),
     "verbalize_json": _sql("""SELECT '{"s":"' || subject || '","r":"' || relation || '","o":"' || object || '"}' AS line FROM t"""),
-    "shortest_path_len": f"WITH RECURSIVE {G_SQL}, reach(element_id, hops) AS (SELECT 'c1', 0 UNION SELECT end_node_id, hops + 1 FROM reach JOIN edges ON start_node_id = element_id WHERE hops < 6) SELECT element_id, min(hops)::INTEGER AS hops FROM reach GROUP BY element_id",
+    "shortest_path_len": f"WITH RECURSIVE {G_SQL}, reach(element_id, hops) AS (SELECT 'c1', 0 UNION SELECT end_node_id, hops + 1 FROM reach JOIN edges ON start_node_id = element_id) SELECT element_id, min(hops)::INTEGER AS hops FROM reach GROUP BY element_id",
     "community_subgraph": _sql(f"SELECT {IDS} FROM t WHERE subject_id >= 'n' AND object_id >= 'n'"),
     "undirected_pair_index": _sql("SELECT start_node_id, rel_type, end_node_id, least(start_node_id, end_node_id) AS low, greatest(start_node_id, end_node_id) AS high, (row_number() OVER (PARTITION BY least(start_node_id, end_node_id), greatest(start_node_id, end_node_id) ORDER BY start_node_id, rel_type, end_node_id) - 1)::INTEGER AS place, count(*) OVER (PARTITION BY least(start_node_id, end_node_id), greatest(start_node_id, end_node_id)) AS of FROM edges"),
     "relation_summary": _sql("SELECT relation, count(*) AS n, min(subject || ' ' || relation || ' ' || object) AS example FROM t GROUP BY relation"),
