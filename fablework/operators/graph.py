@@ -112,16 +112,34 @@ def path_lengths(edges: DataFrame, start: str, most: int | None = None) -> DataF
     return out
 
 
-def random_walk(edges: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 0) -> DataFrame:
-    """Distinct edges of directed walks; each step is picked by a hash of (walk, step, seed), so reruns agree."""
+def _numbered(edges: DataFrame, block: int) -> DataFrame:
+    """Edges with their number ``k`` among those of their start, and the start's ``out``.
+
+    A start's edges are dealt by hash into blocks of about ``block``, so that a hub's are numbered by many tasks; only
+    the sizes of blocks are summed in order.
+    """
     deg = edges.groupBy("start_node_id").agg(F.count("*").alias("out"))
-    numbered = _cut(edges.withColumn("k", F.row_number().over(Window.partitionBy("start_node_id").orderBy("rel_type", "end_node_id")) - 1).join(deg, "start_node_id"))
-    at = starts.select("element_id").distinct().join(deg.select(F.col("start_node_id").alias("element_id")), "element_id", "left_semi")
+    dealt = F.pmod(F.xxhash64("rel_type", "end_node_id"), F.ceil(F.col("out") / block))
+    e = edges.join(deg, "start_node_id").withColumn("at", dealt)
+    sizes = e.groupBy("start_node_id", "at").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("start_node_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("start_node_id", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("start_node_id", "at").orderBy("rel_type", "end_node_id")) - 1
+    return e.withColumn("k", inside).join(sizes, ["start_node_id", "at"]).withColumn("k", F.col("k") + F.col("before")).drop("at", "before")
+
+
+def random_walk(edges: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 0, block: int = 10_000) -> DataFrame:
+    """Distinct edges of directed walks; each step is picked by a hash of (walk, step, seed), so reruns agree."""
+    numbered = _cut(_numbered(edges, block))
+    sources = edges.select(F.col("start_node_id").alias("element_id")).distinct()
+    at = starts.select("element_id").distinct().join(sources, "element_id", "left_semi")
     at = at.select(F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("n"), "element_id").select(F.concat_ws("#", "element_id", "n").alias("walk"), "element_id")
     out = None
     for i in range(length):
-        pick = F.pmod(F.xxhash64("walk", F.lit(i), F.lit(seed)), "out")
-        step = _cut(at.join(numbered, at.element_id == numbered.start_node_id).where(F.col("k") == pick).select("walk", "start_node_id", "rel_type", "end_node_id"))
+        # the number of the edge is part of the join's key, so walks that meet at a hub part at once
+        pick = at.join(numbered.select(F.col("start_node_id").alias("element_id"), "out").distinct(), "element_id")
+        pick = pick.select("walk", F.col("element_id").alias("start_node_id"), F.pmod(F.xxhash64("walk", F.lit(i), F.lit(seed)), "out").alias("k"))
+        step = _cut(pick.join(numbered, ["start_node_id", "k"]).select("walk", "start_node_id", "rel_type", "end_node_id"))
         out = step if out is None else out.union(step)
         at = step.select("walk", F.col("end_node_id").alias("element_id"))
     return out.select("start_node_id", "rel_type", "end_node_id").distinct()

@@ -42,6 +42,10 @@ def test_graph(spark):
         graph.subgraph_by_nodes(t, nodes, ("nothing",))
     walk = graph.random_walk(edges, nodes, 4, 3)
     assert sorted(walk.collect()) == sorted(graph.random_walk(edges, nodes, 4, 3).collect())
+    hub = spark.createDataFrame([("h", "R", f"n{i}") for i in range(50)], "start_node_id string, rel_type string, end_node_id string")
+    numbers = graph._numbered(hub, 7).select("k", "end_node_id", "out").collect()  # in eight blocks
+    assert sorted(r["k"] for r in numbers) == list(range(50)) and len({r["end_node_id"] for r in numbers}) == 50 and {r["out"] for r in numbers} == {50}
+    assert graph.random_walk(hub, nodes.limit(0).union(spark.createDataFrame([("h", "H", "x")], nodes.schema)), 1, 400, block=7).count() > 40
     assert {r[1] for r in graph.communities(nodes, edges).where("element_id = 'd'").collect()} == {"d"}
 
 
