@@ -235,7 +235,26 @@ SELECT item_id, coalesce(sum(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN leas
 round(2.0 * coalesce(sum(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x, y) END), 0) / (coalesce(sum(x), 0) + coalesce(sum(y), 0)), 6)::DOUBLE AS f1 FROM j GROUP BY item_id"""
 
 
+#: Longest common subsequences, a row of the table of lengths at a time: the best up to a place is the greatest
+#: of the row above and of the places before that match. ``p``: (item_id, a, b), lists of words.
+LCS = """lcs(item_id, i, a, b, row) AS (
+  SELECT item_id, 0, a, b, list_transform(range(len(b) + 1), lambda x: 0) FROM p
+  UNION ALL SELECT item_id, i + 1, a, b, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: list_max(
+    list_transform(range(1, j + 1), lambda k: greatest(row[k + 1], row[k] + CASE WHEN a[i + 1] = b[k] THEN 1 ELSE 0 END))))) FROM lcs WHERE i < len(a))"""
+
 ORACLES = {
+    "rouge_l": f"""WITH RECURSIVE p AS (SELECT x.item_id, list_filter(regexp_split_to_array(lower(x.text), '\\s+'), lambda w: w <> '') AS a,
+  list_filter(regexp_split_to_array(lower(y.text), '\\s+'), lambda w: w <> '') AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1), {LCS}
+SELECT item_id, CASE WHEN row[-1] > 0 THEN 2.0::DOUBLE * row[-1] / (len(a) + len(b)) ELSE 0 END AS f1 FROM lcs WHERE i = len(a)""",
+    "fuzzy_merge": """WITH n AS (SELECT DISTINCT p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k FROM part)
+SELECT a.p_name AS l, min(b.p_name) AS r, 100.0::DOUBLE AS score FROM n a JOIN n b USING (k) GROUP BY a.p_name""",
+    "fuzzy_merge_rows": f"""WITH RECURSIVE n AS (SELECT p_name, min(p_partkey) AS key FROM part GROUP BY p_name),
+t AS (SELECT substr(p_name, 2) || substr(p_name, 1, 1) AS p_name, key FROM n WHERE key % 5 = 0),
+q AS (SELECT t.p_name AS l, t.key AS lk, n.p_name AS r, n.key AS rk, row_number() OVER () AS item_id FROM t, n),
+p AS (SELECT item_id, string_split(array_to_string(list_sort(string_split(l, ' ')), ' '), '') AS a,
+  string_split(array_to_string(list_sort(string_split(r, ' ')), ' '), '') AS b FROM q), {LCS},
+s AS (SELECT q.*, 200.0::DOUBLE * row[-1] / (len(a) + len(b)) AS score FROM lcs JOIN q USING (item_id) WHERE i = len(a))
+SELECT l AS p_name_a, lk AS key_a, r AS p_name_b, rk AS key_b, score FROM s WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1""",
     "doc_reconcile": """WITH d AS (SELECT doc_id, doc_id % 7 AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, n_chars FROM documents)
 SELECT doc_id, doc_id AS id, CASE WHEN k < 2 THEN lang END AS about_name, CASE WHEN k = 1 OR k = 4 THEN n_chars::DOUBLE END AS about_size, NULL::VARCHAR AS none FROM d WHERE k NOT IN (2, 3)
 UNION ALL SELECT doc_id, doc_id, unnest([lang, source]), NULL, NULL FROM d WHERE k = 2
