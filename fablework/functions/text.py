@@ -56,7 +56,11 @@ def title_fields(*columns: Column) -> list[Column]:
     return [F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in columns]
 
 
-def sanitize_relation(c: Column, mode: str = "UPPER_CASE", default: str = "RELATED_TO") -> Column:
+#: The relation of labels that give none, and the name of a node without one.
+DEFAULT_RELATION, MISSING_NAME = "RELATED_TO", "<MISSING NAME>"
+
+
+def sanitize_relation(c: Column, mode: str = "UPPER_CASE", default: str = DEFAULT_RELATION) -> Column:
     """Relation label in UPPER_CASE or camelCase; labels that don't begin with a letter become the default."""
     if mode not in ("UPPER_CASE", "camelCase"):
         raise ValueError(f"unknown mode {mode}")
@@ -81,7 +85,7 @@ def strip_fence(c: Column) -> Column:
 
 def node_label(name: Column, label: Column, width: int = 20) -> Column:
     """Display label: name, else label, cut to ``width`` with three dots."""
-    s = F.coalesce(F.trim(name), F.trim(label), F.lit("<MISSING NAME>"))
+    s = F.coalesce(F.trim(name), F.trim(label), F.lit(MISSING_NAME))
     return F.when(F.length(s) > width, F.concat(F.substring(s, 1, width - 3), F.lit("..."))).otherwise(s)
 
 

@@ -35,6 +35,12 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
+def sentence_rows(segments: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, sentence, text): the sentences of each segment, numbered from 0; blank ones are left out."""
+    rows = segments.select(*keys, F.posexplode(sentences(F.col(text_col))).alias("sentence", "text"))
+    return rows.where("trim(text) <> ''")
+
+
 def allowed(segments: DataFrame, heads: list[str], column: str = "head") -> DataFrame:
     """Segments whose head is one of ``heads`` (trimmed, blank ones left out); none given allows all."""
     names = [h.strip() for h in heads if h.strip()]

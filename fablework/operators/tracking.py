@@ -113,3 +113,19 @@ def display(df: DataFrame, rows: int = 20, width: int = 40) -> DataFrame:
 
     cell = lambda c: F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 3), F.lit("..."))).otherwise(c)
     return natural_sort(df).limit(rows).select(*(cell(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns))
+
+
+def chart(values: DataFrame, label: str, value: str, cap: Column | None = None, top: int = 50, width: int = 600) -> DataFrame:
+    """One row, ``svg``: a bar chart of the ``top`` rows with the greatest values, as long as ``cap`` or the greatest at most."""
+    row, gap = 20, 200
+    kept = values.where(F.col(value).isNotNull()).orderBy(F.desc(value), label).limit(top)
+    most = F.greatest(F.max(value).over(Window.partitionBy()) if cap is None else cap, F.lit(1e-9))  # of ``top`` rows
+    bar = F.round(F.least(F.col(value) / most, F.lit(1.0)) * width).cast("int").cast("string")
+    name = F.replace(F.replace(F.col(label).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    bars = kept.select(F.col(value).alias("v"), name.alias("name"), bar.alias("bar"))
+    y = lambda i, more: ((i * row) + more).cast("string")
+    line = lambda x, i: F.concat(
+        F.lit('<text x="0" y="'), y(i, 14), F.lit('">'), x["name"], F.lit(f'</text><rect x="{gap}" y="'), y(i, 2), F.lit('" width="'), x["bar"], F.lit('" height="16"/>'))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("v")).alias("v"), "name", "bar")))
+    size = F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{gap + width}" height="'), (F.count("*") * row).cast("string"), F.lit('">'))
+    return bars.agg(F.concat(size, F.array_join(F.transform(listed, line), ""), F.lit("</svg>")).alias("svg"))

@@ -165,6 +165,8 @@ def _fuzzy_rows(spark, d):
 QUERIES = {
     "doc_reconcile": _mixed, "chunk_meta": _chunk_meta, "tei_paragraphs": _tei, "status_overlay": _overlay, "callback_codes": _checked, "keyed_merge": _merged,
     "fuzzy_merge_rows": _fuzzy_rows,
+    "sentence_rows": lambda s, d: S.sentence_rows(_t(s, d, "conversations"), ["conv_id", "turn"]),
+    "timing_chart": lambda s, d: K.chart(K.timing_summary(_log(s, d)), "function", "calls"),
     "paragraph_count": lambda s, d: S.paragraph_count(S.paragraphs(_t(s, d, "documents")), ["doc_id"]),
     "chunk_oversize": lambda s, d: S.oversize(S.pack(S.paragraphs(_t(s, d, "documents")), ["doc_id"], 100), 100).select("doc_id", F.length("text").alias("chars")),
     "node_name": lambda s, d: _t(s, d, "part").select("p_partkey", Z.node_name(F.concat(F.lit("The "), "p_name", F.lit(" of it's own"))).alias("node")),
@@ -243,6 +245,11 @@ LCS = """lcs(item_id, i, a, b, row) AS (
     list_transform(range(1, j + 1), lambda k: greatest(row[k + 1], row[k] + CASE WHEN a[i + 1] = b[k] THEN 1 ELSE 0 END))))) FROM lcs WHERE i < len(a))"""
 
 ORACLES = {
+    "sentence_rows": """WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM conversations)
+SELECT conv_id, turn, (i - 1)::INTEGER AS sentence, s[i] AS text FROM s, unnest(range(1, len(s) + 1)) u(i) WHERE trim(s[i]) <> ''""",
+    "timing_chart": """WITH c AS (SELECT event_type AS f, count(*) AS n FROM events GROUP BY event_type), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) - 1 AS i, max(n) OVER () AS m FROM c)
+SELECT '<svg xmlns="http://www.w3.org/2000/svg" width="800" height="' || count(*) * 20 || '">' || string_agg('<text x="0" y="' || i * 20 + 14 || '">' || f || '</text><rect x="200" y="' || i * 20 + 2
+  || '" width="' || round(600.0::DOUBLE * (n::DOUBLE / m))::INTEGER || '" height="16"/>', '' ORDER BY i) || '</svg>' AS svg FROM r""",
     "rouge_l": f"""WITH RECURSIVE p AS (SELECT x.item_id, list_filter(regexp_split_to_array(lower(x.text), '\\s+'), lambda w: w <> '') AS a,
   list_filter(regexp_split_to_array(lower(y.text), '\\s+'), lambda w: w <> '') AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1), {LCS}
 SELECT item_id, CASE WHEN row[-1] > 0 THEN 2.0::DOUBLE * row[-1] / (len(a) + len(b)) ELSE 0 END AS f1 FROM lcs WHERE i = len(a)""",

@@ -109,6 +109,38 @@ class Collection:
         self.update(key.select(self.keys).withColumn("task", F.struct(F.lit(status).alias("status"), F.lit(result).alias("result"))))
 
 
+class Payloads:
+    """Posted score payloads in the order of arrival: add, look up by number, list."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._at = Collection(spark, path, ["number"], "number long, payload string")
+
+    def add(self, *payloads: str) -> list[int]:
+        """The numbers of the new payloads; text that is no JSON is an error, and then none is added."""
+        for p in payloads:
+            json.loads(p)
+        first = self._at.read().count()
+        rows = [(first + i, p) for i, p in enumerate(payloads)]
+        if rows:
+            self._at.insert(self._at.spark.createDataFrame(rows, self._at.schema))
+        return [n for n, _ in rows]
+
+    def get(self, number: int) -> str | None:
+        row = self._at.find_one(number=number)
+        return row and row["payload"]
+
+    def all(self) -> DataFrame:
+        return self._at.read().orderBy("number")
+
+
+def healthy(spark: SparkSession) -> bool:
+    """Whether the session answers a query."""
+    try:
+        return spark.sql("SELECT 1 AS ok").first()["ok"] == 1
+    except Exception:  # whatever is wrong, it does not answer
+        return False
+
+
 def run_command(spark: SparkSession, base: str, command: str) -> DataFrame | None:
     """One JSON command: insert, find, delete, drop or ping; documents are kept as (``_id``, ``doc``) JSON text.
 

@@ -268,3 +268,20 @@ def test_narrative_and_scores(spark):
     rows = K.sample(pairs, 2, ["i"], 7).collect()
     assert len({r.i for r in rows}) == 2 and rows == K.sample(pairs, 2, ["i"], 7).collect()
     assert K.accuracy(pairs.limit(0).select(F.lit(1.0).alias("accuracy"), F.lit(True).alias("is_correct"))).first().score == 0.0
+
+
+def test_payloads_and_health(spark, tmp_path):
+    held = W.Payloads(spark, str(tmp_path / "scores"))
+    assert held.all().count() == 0 and held.get(0) is None and held.add() == []
+    assert held.add('{"a": 1}', "[2]") == [0, 1] and held.add("3") == [2]
+    with pytest.raises(ValueError):
+        held.add("4", "no json")
+    assert [r.payload for r in held.all().collect()] == ['{"a": 1}', "[2]", "3"] and held.get(1) == "[2]"
+    assert W.healthy(spark)
+
+
+def test_chart(spark):
+    df = spark.createDataFrame([("a<b", 2.0), ("c", 4.0), ("d", None), ("e", 9.0)], "f string, v double")
+    svg = K.chart(df, "f", "v", F.lit(4.0)).first()["svg"]
+    assert svg.count("<rect") == 3 and svg.count('width="600"') == 2 and 'width="300"' in svg and "a&lt;b" in svg and svg.index(">e<") < svg.index(">c<")
+    assert K.chart(df.limit(0), "f", "v").first()["svg"].endswith('height="0"></svg>')
