@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["url_filter", "token_file", "neighbours", "toxicity", "mixing", "quality_rules", "chat_format", "byte_bpe", "token_counts", "near_dedup"]
+MODULES = ["url_filter", "token_file", "neighbours", "toxicity", "mixing", "quality_rules", "chat_format", "byte_bpe", "token_counts", "near_dedup",
+           "interval_join"]
 
 
 def queries() -> dict:
