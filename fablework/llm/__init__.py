@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["url_filter", "token_file", "neighbours", "toxicity", "mixing", "quality_rules", "chat_format", "byte_bpe", "token_counts", "near_dedup",
-           "interval_join", "filter_audit"]
+           "interval_join", "substring_dedup", "filter_audit"]
 
 
 def queries() -> dict:
