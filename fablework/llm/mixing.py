@@ -32,7 +32,8 @@ SHARE_PERCENT = 150
 MAX_COPIES = 2
 BINS = 4096
 FILLS = 3
-MAX_STEPS = 60
+#: Halving alone has a bracket of doubles closed long before; more is an error.
+MAX_STEPS = 600
 STEPS_A_JOB = 4
 TOLERANCE = 1e-9
 
@@ -122,6 +123,8 @@ def duals(hist: DataFrame, goals: DataFrame, most: int = MAX_COPIES) -> DataFram
         worst = state.agg(F.max(F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0)))).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise ArithmeticError(f"a source's words are still {worst:.3g} from its target after {MAX_STEPS} steps")
     # sums of doubles depend on the order of rows in their last bits; without these, reruns agree
     return state.withColumn("lam", F.round("lam", 9)).drop("lo", "hi", "gap")
 

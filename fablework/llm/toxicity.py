@@ -5,7 +5,7 @@ texts that mentions an identity group, the terms of a kind are swapped for those
 of that kind in turn; the loss adds the mean squared change of the sentence's logit, so that a mention
 by itself moves no score. As a swap changes identity features only, equal changes are counted before
 they leave the executors. The vocabulary is what the labelled rows separate: features with a
-chi-square of at least ``MIN_CHI2``, the ``MAX_FEATURES`` largest, and all identity terms.
+chi-square of at least ``MIN_CHI2`` in at least ``MIN_DOCS`` of them, and all identity terms.
 
 The model is fitted on at most ``MAX_TRAIN`` labelled documents, those with the least hash of their
 id (a documented bound; scoring covers all documents and whole texts). Training is full-batch and
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, table
 
 MAX_TRAIN = 12_000
-MAX_FEATURES = 20_000
 MIN_CHI2 = 10.8
 MIN_DOCS = 5
 BEGINNINGS = (4, 5)
@@ -156,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = said.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("k")).where(F.col("k") >= MIN_DOCS)
     a, k = F.col("a").cast("double"), F.col("k").cast("double")
     chi2 = total * (a * (total - pos - k + a) - (k - a) * (pos - a)) ** 2 / (k * (total - k) * pos * (total - pos))
-    best = seen.where(k < total).withColumn("c", chi2).where(F.col("c") >= MIN_CHI2).orderBy(F.desc("c"), "f").limit(MAX_FEATURES)
-    names = sorted({r["f"] for r in best.collect()} | features(set(KINDS)))  # MAX_FEATURES at most, and the identity terms
+    best = seen.where(k < total).withColumn("c", chi2).where(F.col("c") >= MIN_CHI2).select("f")
+    names = sorted({r["f"] for r in best.collect()} | features(set(KINDS)))  # of MAX_TRAIN texts at most
     index = {f: i for i, f in enumerate(names)}
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
