@@ -19,18 +19,31 @@ def _local_dir() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table below spark.checkpoint.dir and read back, computed once; the table goes with the application.
+    """``df`` written as a table below spark.checkpoint.dir and read back, computed once.
+
+    The table goes with ``discard``, at the latest with the application.
 
     Where that folder is unset, a temporary one, with local masters only: other executors would not see it.
     """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_dir()
     at = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._folder = at
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote for frames that nothing reads any more; others are left alone."""
+    for df in frames:
+        at = getattr(df, "_folder", None)
+        if at:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

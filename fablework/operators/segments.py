@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Non-blank lines with their position."""
@@ -57,44 +59,49 @@ def paragraph_count(segments: DataFrame, keys: list[str]) -> DataFrame:
     return segments.groupBy(*keys).agg(F.count("*").alias("paragraphs"))
 
 
-def pack(segments: DataFrame, keys: list[str], limit: int = 1500, order: str = "pos", first: list[str] = (), last: list[str] = ()) -> DataFrame:
+def pack(segments: DataFrame, keys: list[str], limit: int = 1500, order: str = "pos", first: list[str] = (), last: list[str] = (), block: int = folds.BLOCK) -> DataFrame:
     """Greedy packing of ordered segments into chunks of at most ``limit`` characters, joined by newlines.
 
     A segment longer than the limit is packed by sentences, joined by single spaces, into chunks of its
     own; a sentence longer than the limit stands alone. A limit of 0 or less packs everything into one
     chunk. Of the columns ``first`` a chunk has the values of its first segment, of ``last`` those of its
-    last; a column may be in both if it is renamed by the caller. An ordered fold per group (one book or
-    chapter), in the JVM.
+    last; a column may be in both if it is renamed by the caller. Segments without text are left out; those with
+    equal keys and order are taken by a hash of their text.
+
+    A book may be of any length: no row, task or group holds more than a block of its segments (``folds``),
+    but for a limit of 0 or less, where the one chunk does.
     """
-    some = lambda x, names: F.struct(F.lit(0).alias("_"), *(x[c].alias(c) for c in names))
     extra = list(dict.fromkeys([c for c in (*first, *last) if c != order]))
-    groups = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text", *extra))).alias("s"))
-
-    def units(x: Column) -> Column:
-        meta = [some(x, first).alias("first"), some(x, last).alias("last")]
-        whole = F.array(F.struct(x["text"].alias("text"), F.lit("\n").alias("sep"), F.lit(False).alias("fresh"), *meta))
-        parts = F.transform(sentences(x["text"]), lambda t, i: F.struct(t.alias("text"), F.lit(" ").alias("sep"), (i == 0).alias("fresh"), *meta))
-        return F.when((F.length(x["text"]) > limit) & F.lit(limit > 0), parts).otherwise(whole)
-
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
-    of = lambda names: ",".join(["_:int", *(f"`{c}`:{kinds[c]}" for c in names)])
-    chunk = f"struct<text:string,sep:string,first:struct<{of(first)}>,last:struct<{of(last)}>>"
-    empty = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
-
-    def step(a: Column, x: Column) -> Column:
-        o = a["open"]
-        joined = F.concat(o["text"], x["sep"], x["text"])
-        fits = o.isNotNull() & (o["sep"] == x["sep"]) & ~x["fresh"] & ((F.length(joined) <= limit) | F.lit(limit <= 0))
-        grown = F.struct(joined.alias("text"), x["sep"].alias("sep"), o["first"].alias("first"), x["last"].alias("last"))
-        fresh = F.struct(*(x[c].alias(c) for c in ("text", "sep", "first", "last")))
-        return F.struct(F.when(fits, a["done"]).otherwise(close(a)).alias("done"), F.when(fits, grown).otherwise(fresh).alias("open"))
-
-    def close(a: Column) -> Column:
-        return F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-
-    folded = F.aggregate(F.flatten(F.transform("s", units)), empty, lambda a, x: step(a, x).cast(f"struct<done:array<{chunk}>,open:{chunk}>"), close)
-    out = groups.select(*keys, F.posexplode(folded).alias("chunk", "c"))
-    return out.select(*keys, "chunk", "c.text", *(F.col(f"c.first.{c}").alias(c) for c in first), *(F.col(f"c.last.{c}").alias(c) for c in last if c not in first))
+    seg = segments.where("text IS NOT NULL").select(*keys, order, "text", *(c for c in extra if c not in keys))
+    values = lambda x, names: [x[c].alias(c) for c in names if c not in keys]
+    if limit <= 0:
+        at = F.sort_array(F.collect_list(F.struct(order, "text", *(c for c in extra if c not in keys))))
+        whole = seg.groupBy(*keys).agg(at.alias("__s"))
+        ends = F.get("__s", F.lit(0)), F.element_at("__s", -1)
+        text = F.array_join(F.transform("__s", lambda x: x["text"]), "\n").alias("text")
+        return whole.select(*keys, F.lit(0).alias("chunk"), text, *values(ends[0], first), *values(ends[1], [c for c in last if c not in first]))
+
+    long = F.transform(sentences(F.col("text")), lambda t, i: F.struct(t.alias("__text"), F.lit(" ").alias("__sep"), (i == 0).alias("__fresh"), i.alias("__sub")))
+    short = F.array(F.struct(F.col("text").alias("__text"), F.lit("\n").alias("__sep"), F.lit(False).alias("__fresh"), F.lit(0).alias("__sub")))
+    seg = seg.withColumns({"__tie": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    units = seg.select("*", F.inline(F.when(F.length("text") > limit, long).otherwise(short))).drop("text")
+    units = folds.numbered(units, [*keys, order, "__tie", "__row", "__sub"])
+    key = lambda seed: F.xxhash64(F.lit(seed), *keys)
+    sizes = units.select("pos", F.length("__text").alias("size"), F.col("__sep").alias("sep"), F.col("__fresh").alias("fresh"), key(0).alias("key_a"), key(1).alias("key_b"))
+    starts = folds.beginnings(sizes, limit, block)
+
+    size = folds.block_size(limit, block)
+    marks = starts.select("block", F.col("start").alias("pos"), F.struct("start", "number", "own").alias("__mark"))
+    rows = folds.near(units, limit + 2, size).unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy("block").orderBy("pos", F.col("__mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__in", F.last("__mark", ignorenulls=True).over(upto)).where("__mark IS NULL AND __in.own")
+    unit = F.struct("pos", "__text", "__sep", *dict.fromkeys([*keys, order, *extra]))
+    chunks = rows.groupBy("block", "__in.start", "__in.number").agg(F.sort_array(F.collect_list(unit)).alias("__s"))
+    head, tail = F.get("__s", F.lit(0)), F.element_at("__s", -1)
+    text = F.array_join(F.transform("__s", lambda x: x["__text"]), "\n")
+    text = F.when(head["__sep"] == " ", F.array_join(F.transform("__s", lambda x: x["__text"]), " ")).otherwise(text)
+    own = [head[c].alias(c) for c in keys]
+    return chunks.select(*own, F.col("number").cast("int").alias("chunk"), text.alias("text"), *values(head, first), *values(tail, [c for c in last if c not in first]))
 
 
 def oversize(chunks: DataFrame, limit: int = 1500) -> DataFrame:
