@@ -1,22 +1,24 @@
 """Substring dedup: words of passages that stand earlier in the corpus are removed, the first occurrence stays.
 
-A window is ``WINDOW`` consecutive words. Two passes over the texts:
+A window is ``WINDOW`` consecutive words. Passes over the texts:
 
 1. Each part of the input counts its windows in a count-min sketch: ``ROWS`` cells a window, each by another
-   hash. A part's sketch is sparse, the cells that it has met, once or more often, in blocks of 2^16 cells. The
-   sketches merge by adding up the counts of a block; of the merged one only a bit a cell is kept, whether it
-   counts two or more. Sketches overestimate: a window that stands twice always has two in all of its cells.
+   hash. A part's sketch is sparse, the cells that it has met, once or more often, as gaps in blocks of 2^16
+   cells. The sketches merge by adding up the counts of a block; of the merged one only a bit a cell is kept,
+   whether it counts two or more. Sketches overestimate: a window that stands twice has two in all of its cells.
 2. Windows with a bit missing stand once and are done with. Only the others, estimated repeated, are grouped
-   exactly, by two 64-bit hashes of their words: the first place of each stays. A document keeps the starts of
-   those windows whose first place it is, and loses the words of its other windows that were estimated repeated:
-   windows that turn out to stand once have their first place there, too.
+   exactly, by two 64-bit hashes of their words: the first document of each owns it. Another pass counts how
+   many such windows each document has, and hashes its words as they are.
+3. Documents that own all of their windows and repeat none inside are done. Only the texts of the others are
+   shuffled, to meet the windows they own: they lose the words of their other windows that were estimated
+   repeated. Windows that turn out to stand once are owned by their document, so nothing is lost by the estimate.
 
-The sketch has some four cells a window, at most 2^``MAX_BITS`` a row, so that its bits (64 MB at the most) can
+The sketch has some four cells a window, at most 2^``MAX_BITS`` a row, so that its bits (128 MB at the most) can
 be broadcast. With more windows more are estimated repeated, up to all of them; they then cost the shuffle of
-one short row each, and none is lost. Texts of documents without a repeated window are not shuffled.
+one short row each, and none is lost.
 
 Document order is doc_id, null ids last; rows that share an id, or have none, are ordered by a hash of their
-text, equal ones by their place in the input. So of two rows equal in id and text one keeps its words.
+text. Rows that are equal in id and text are one document: each gets the same result.
 
 Defined results: null and empty texts have no words and nothing is removed; texts of fewer words than a window
 lose nothing. Whole texts count, of any length. Other columns are ignored. An empty table gives no rows.
@@ -31,19 +33,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, materialise, small, table
 from .word_tokens import parts
 
 WINDOW = 20
 ROWS = 2
-MAX_BITS = 28
+MAX_BITS = 29
 #: Cells of a block of the sketch, and windows in a sketch before it is handed on.
 BLOCK = 1 << 16
-SKETCH_WINDOWS = 2_000_000
+SKETCH_WINDOWS = 4_000_000
 #: Characters of texts that are hashed at once.
 CHARS_AT_ONCE = 2_000_000
 SPACE = " \t\n\x0b\x0c\r"
@@ -109,6 +110,20 @@ def _cells(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((x * np.uint64(MIX[i + 1])) >> np.uint64(64 - bits)).astype(np.uint32) for i, x in enumerate([a, b][:ROWS])]
 
 
+def _gaps(cells: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of ascending cells as gaps within their blocks, 255 for each 255 of a gap; and the bytes of each cell."""
+    gaps = np.diff(cells, prepend=np.uint32(0)).astype(np.int64)
+    gaps[starts] = cells[starts] & np.uint32(BLOCK - 1)
+    sizes = gaps // 255 + 1
+    out = np.full(int(sizes.sum()), 255, np.uint8)
+    out[np.cumsum(sizes) - 1] = gaps % 255
+    return out, sizes
+
+
+def _from_gaps(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(raw, dtype=np.int64)[raw < 255]
+
+
 def _sketch(cells: list[list[np.ndarray]], bits: int) -> pa.RecordBatch:
     """(block, cells): of each block that is met the cells met once, then those met more often twice."""
     blocks, kept = [], []
@@ -118,9 +133,10 @@ def _sketch(cells: list[list[np.ndarray]], bits: int) -> pa.RecordBatch:
         again = np.concatenate([[False], ~fresh[1:] & fresh[:-1]])  # the second of equal ones; further ones add nothing
         every = every[fresh | again]
         starts = np.flatnonzero(np.concatenate([[True], (every[1:] >> 16) != (every[:-1] >> 16)]))
-        raw, ends = (every & np.uint32(BLOCK - 1)).astype("<u2").tobytes(), [*starts[1:].tolist(), len(every)]
+        raw, sizes = _gaps(every, starts)
+        ends = np.add.reduceat(sizes, starts).cumsum()
         blocks += ((every[starts] >> 16).astype(np.int64) + (row << (bits - 16))).tolist()
-        kept += [raw[2 * i : 2 * j] for i, j in zip(starts.tolist(), ends, strict=True)]
+        kept += [raw[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(kept, pa.binary())], ["block", "cells"])
 
 
@@ -154,7 +170,7 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> bytes:
                     if block is not None and (sums > 1).any():
                         yield done()
                     block, sums = b, np.zeros(BLOCK, np.uint8)
-                met = np.frombuffer(cells.as_buffer(), "<u2")
+                met = _from_gaps(np.frombuffer(cells.as_buffer(), np.uint8))
                 twice = met[1:][met[1:] == met[:-1]]
                 sums[met] = np.minimum(sums[met] + 1, 2)
                 sums[twice] = 2
@@ -165,7 +181,7 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> bytes:
     merged = materialise(sketches.mapInArrow(merge, "block long, bits binary"), "sketch")
     size = BLOCK // 8
     out = bytearray(ROWS << (bits - 3))
-    for r in merged.toLocalIterator():  # ROWS * 2^(bits - 3) bytes at the most, 64 MB
+    for r in merged.toLocalIterator():  # ROWS * 2^(bits - 3) bytes at the most, 128 MB
         out[r["block"] * size : (r["block"] + 1) * size] = r["bits"]
     discard(merged)
     return bytes(out)
@@ -192,72 +208,80 @@ def _sha(texts: list[bytes]) -> pa.Array:
     return pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
 
-def _places(words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word of the text) of numbers of words, ascending."""
-    of = np.searchsorted(words.at, places, "right") - 1
-    return of, (places - words.at[of]).astype(np.int32)
+class Repeats:
+    """The windows of some texts that are estimated repeated: number of the text, first word, two hashes."""
 
+    def __init__(self, words: Words, window: int, data: np.ndarray, bits: int) -> None:
+        at, a, b = words.windows(window)
+        met = np.flatnonzero(_estimated(data, a, b, bits))
+        self.at, self.a, self.b = at[met], a[met], b[met]
+        self.text = np.searchsorted(words.at, self.at, "right") - 1
+        # of equal windows of a text the first
+        order = np.lexsort((self.at, self.b, self.a, self.text))
+        fresh = np.ones(len(order), bool)
+        for x in (self.text, self.a, self.b):
+            fresh[1:] &= x[order][1:] == x[order][:-1]
+        fresh[1:] = ~fresh[1:]
+        self.first = np.sort(order[fresh])
 
-def _numbers(words: Words, lists: pa.Array) -> np.ndarray:
-    """Numbers of words of all texts from lists, one a text, of numbers of the text's words."""
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-    return np.repeat(words.at[:-1], lengths) + np.asarray(pc.list_flatten(lists)).astype(np.int64)
 
+def _counted(docs: DataFrame, window: int, bits: int, sketch) -> DataFrame:
+    """A row a document: its words, their hash, and how many windows are estimated repeated, how many of these differ."""
 
-def _lists(of: np.ndarray, values: pa.Array, n: int) -> pa.Array:
-    """One list a text of ``values``, whose texts are ``of``, ascending."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), values)
-
-
-FOUND = "row long, id long, tie long, n_words long, kept_sha256 string, text string, starts array<int>, firsts array<struct<a: long, b: long, start: int>>"
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(sketch.value, np.uint8)
+        for batch in batches:
+            for some in parts(batch, CHARS_AT_ONCE):
+                words = Words(some.column("text"))
+                met = Repeats(words, window, data, bits)
+                n = lambda of: pa.array(np.bincount(of, minlength=some.num_rows).astype(np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("id"), some.column("tie"), pa.array(np.diff(words.at)), _sha(_joined(words)), n(met.text), n(met.text[met.first])],
+                    ["id", "tie", "n_words", "kept_sha256", "windows", "different"])
 
+    return docs.mapInArrow(count, "id long, tie long, n_words long, kept_sha256 string, windows long, different long")
 
-def _found(docs: DataFrame, window: int, bits: int, sketch) -> DataFrame:
-    """A row a document: those without a window estimated repeated are done, others keep text and windows.
 
-    ``starts`` has all such windows, ``firsts`` of equal ones the first in the document.
-    """
+def _windows(docs: DataFrame, window: int, bits: int, sketch) -> DataFrame:
+    """(a, b, id, tie): the different windows of each document that are estimated repeated."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, number = np.frombuffer(sketch.value, np.uint8), TaskContext.get().partitionId() << 40
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
             for some in parts(batch, CHARS_AT_ONCE):
-                n = some.num_rows
-                words = Words(some.column("text"))
-                at, a, b = words.windows(window)
-                met = np.flatnonzero(_estimated(data, a, b, bits))
-                at, a, b = at[met], a[met], b[met]
-                of, starts = _places(words, at)
-                order = np.lexsort((starts, b, a, of))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (np.diff(of[order]) != 0) | (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
-                first = np.sort(order[fresh])
-                windows = pa.StructArray.from_arrays(
-                    [pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(starts[first])], ["a", "b", "start"])
-                open_ = np.isin(np.arange(n), of)
-                none = pa.scalar(None, pa.string())
+                met = Repeats(Words(some.column("text")), window, data, bits)
+                of = pa.array(met.text[met.first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(number, number + n)), some.column("id"), some.column("tie"), pa.array(np.diff(words.at)),
-                     pc.if_else(pa.array(open_), none, _sha(_joined(words))), pc.if_else(pa.array(open_), some.column("text"), none),
-                     _lists(of, pa.array(starts), n), _lists(of[first], windows, n)],
-                    ["row", "id", "tie", "n_words", "kept_sha256", "text", "starts", "firsts"])
-                number += n
+                    [pa.array(met.a[met.first].view(np.int64)), pa.array(met.b[met.first].view(np.int64)), some.column("id").take(of), some.column("tie").take(of)],
+                    ["a", "b", "id", "tie"])
 
-    return docs.mapInArrow(find, FOUND)
+    return docs.mapInArrow(list_, "a long, b long, id long, tie long")
 
 
-def _cleaned(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` (id, n_words, text, starts, own) without the words of windows that are not their own."""
+def _cleaned(docs: DataFrame, window: int, bits: int, sketch) -> DataFrame:
+    """``docs`` (id, text, own) without the words of windows that are estimated repeated and not their own."""
+    pair = np.dtype([("a", "<i8"), ("b", "<i8")])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
             for some in parts(batch, CHARS_AT_ONCE):
                 words = Words(some.column("text"))
-                starts, own = (_numbers(words, some.column(c)) for c in ("starts", "own"))
-                lost = np.setdiff1d(starts, own)
+                met = Repeats(words, window, data, bits)
+                own = some.column("own")
+                owned = pc.list_flatten(own)
+                ours = np.empty(len(owned), pair)
+                ours["a"], ours["b"] = np.asarray(owned.field("a")), np.asarray(owned.field("b"))
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(own), 0)))])
+                theirs = np.empty(len(met.first), pair)
+                theirs["a"], theirs["b"] = met.a[met.first].view(np.int64), met.b[met.first].view(np.int64)
+                spans = np.searchsorted(met.text[met.first], np.arange(some.num_rows + 1))
+                stay = [np.isin(theirs[i:j], ours[k:m]) for i, j, k, m in zip(spans[:-1], spans[1:], ends[:-1], ends[1:], strict=True)]
+                lost = np.ones(len(met.at), bool)
+                lost[met.first] = ~np.concatenate([np.empty(0, bool), *stay])
                 edges = np.zeros(int(words.at[-1]) + 1, np.int32)
-                np.add.at(edges, lost, 1)
-                np.add.at(edges, lost + window, -1)  # a window lies in one text
+                np.add.at(edges, met.at[lost], 1)
+                np.add.at(edges, met.at[lost] + window, -1)  # a window lies in one text
                 keep = np.cumsum(edges)[:-1] == 0
                 kept = np.concatenate([[0], np.cumsum(keep)])[words.at]
                 texts = _joined(words, keep)
@@ -270,24 +294,34 @@ def _cleaned(docs: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, where words were looked at, kept_text.
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, where words were removed, kept_text.
 
-    ``kept_text`` is null for documents that hold no window estimated repeated: they keep all of their words.
+    ``kept_text`` is null for documents that keep all of their words.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max_bits, max(16, int(size * 4 / 6).bit_length()))  # four cells for a word of six bytes
     sketch = spark.sparkContext.broadcast(repeated_cells(d, window, bits))
-    found = materialise(_found(d.withColumn("tie", F.xxhash64("text")), window, bits, sketch), "found")
-    sketch.destroy()
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "tie", "row", "w.start")
-    windows = found.select("id", "tie", "row", F.explode("firsts").alias("w")).groupBy("w.a", "w.b").agg(F.min(place).alias("first"))
-    own = windows.groupBy("first.row").agg(F.collect_list("first.start").alias("own"))  # of a document's windows at most
-    some = found.where("text IS NOT NULL").select("row", "id", "text", "starts")
-    met = _cleaned(some.join(own, "row", "left").select("id", "text", "starts", "own"), window)
-    done = found.where("text IS NULL").select(F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    return done.unionByName(met)
+    counted = materialise(_counted(d, window, bits, sketch), "counted")
+    # where each id names one document, it is all that the order needs: a number, which is aggregated by hash
+    plain = counted.where("id IS NULL").isEmpty() and counted.groupBy("id").agg(F.count_distinct("tie").alias("n")).where("n > 1").isEmpty()
+    place = F.min("id") if plain else F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie"))
+    first = _windows(d, window, bits, sketch).groupBy("a", "b").agg(place.alias("first"))
+    key = F.col("first") if plain else F.col("first.id")
+    first = first.select("a", "b", key.alias("id"), F.lit(0).cast("long").alias("tie") if plain else F.col("first.tie").alias("tie"))
+    own = materialise(first.groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("own")), "own")  # of a document's windows at most
+    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (F.lit(True) if plain else x["tie"] == y["tie"])
+    sizes = own.select("id", "tie", F.size("own").alias("n"))
+    met = counted.alias("c").join(sizes.alias("s"), same(counted, sizes), "left").select("c.*", F.coalesce("s.n", F.lit(0)).alias("owned"))
+    met = materialise(met.withColumn("loses", F.col("windows") > F.col("owned")), "verdicts")
+    losers = met.where("loses").select("id", "tie").distinct()
+    few = small(losers)
+    texts = d.join(few, d["id"].eqNullSafe(few["id"]) & (d["tie"] == few["tie"]), "left_semi")
+    texts = texts.join(own, same(texts, own), "left").select(texts["id"], texts["text"], own["own"])
+    done = met.where("NOT loses").select(F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
+    discard(counted)
+    return done.unionByName(_cleaned(texts, window, bits, sketch))
 
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -95,11 +96,10 @@ def test_interval_join_of_nothing(spark):
 
 
 def removed(docs, window, tie):
-    """Brute force: (id, n_words, n_removed, kept text) of each row."""
-    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, tie[docs[i][1]], i))
+    """Brute force: (id, n_words, n_removed, kept text) of each row; rows of one id and text are one document."""
     seen, out = set(), Counter()
-    for i in order:
-        words = WORD.findall(docs[i][1] or "")
+    for (doc, text), n in sorted(Counter((d, t) for d, t, *_ in docs).items(), key=lambda x: (x[0][0] is None, x[0][0] or 0, tie[x[0][1]])):
+        words = WORD.findall(text or "")
         lost = set()
         for j in range(len(words) - window + 1):
             w = tuple(words[j : j + window])
@@ -107,16 +107,18 @@ def removed(docs, window, tie):
                 lost.update(range(j, j + window))
             seen.add(w)
         kept = " ".join(x for j, x in enumerate(words) if j not in lost)
-        out[docs[i][0], len(words), len(words) - len(WORD.findall(kept)), hashlib.sha256(kept.encode()).hexdigest()] += 1
+        out[doc, len(words), len(words) - len(WORD.findall(kept)), hashlib.sha256(kept.encode()).hexdigest()] += n
     return out
 
 
-@pytest.mark.parametrize(("window", "bits"), [(20, 28), (5, 28), (3, 16)])
-def test_substring_dedup_against_sets(spark, window, bits):
+@pytest.mark.parametrize(("window", "bits", "plain"), [(20, 28, True), (5, 28, False), (3, 16, True), (3, 16, False)])
+def test_substring_dedup_against_sets(spark, window, bits, plain):
     rnd = random.Random(window)
     text = lambda: "".join(rnd.choice(["a", "b", "c ", "é", "漢"]) + rnd.choice([" ", " ", "\n", "\t  ", "\x1c"]) for _ in range(rnd.randrange(60)))
-    rows = [(i, text()) for i in range(120)] + [(None, None), (None, text()), (5, ""), (200, " \n "), (201, LONG), (202, "x " + LONG), (7, rows_text := text() * 3), (7, rows_text)]
-    rows += [(300 + i, rows[i][1]) for i in range(0, 120, 3)] + [(None, rows[9][1])]
+    rows = [(i, text()) for i in range(120)] + [(200, " \n "), (201, LONG), (202, "x " + LONG), (203, None), (204, twice := text() * 3), (204, twice)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 120, 3)]
+    if not plain:
+        rows += [(None, None), (None, text()), (None, rows[9][1]), (None, rows[9][1]), (5, ""), (7, rows[20][1]), (7, "y " + rows[20][1])]
     rnd.shuffle(rows)
     docs = spark.createDataFrame([(*r, "a", 1, 1, "x", "x") for r in rows], DOCS)
     tie = {r.text: r.tie for r in docs.select("text", F.xxhash64("text").alias("tie")).collect()}
@@ -129,7 +131,7 @@ def test_substring_dedup_against_sets(spark, window, bits):
 def test_sketch_loses_no_window(spark):
     rows = [(i, " ".join(f"w{(i * 7 + j) % 400}" for j in range(80))) for i in range(60)]
     docs = spark.createDataFrame([(*r, "a", 1, 1, "x", "x") for r in rows], DOCS).repartition(6)
-    data = substring_dedup.np.frombuffer(substring_dedup.repeated_cells(docs, 20, 18), "u1")
+    data = np.frombuffer(substring_dedup.repeated_cells(docs, 20, 18), "u1")
     words = substring_dedup.Words(pa.array([t for _, t in rows]))
     at, a, b = words.windows(20)
     times = Counter(zip(a.tolist(), b.tolist(), strict=True))
@@ -141,6 +143,17 @@ def test_sketch_loses_no_window(spark):
     assert sum(guessed) < sum(repeated) + 20
 
 
+def test_gaps_of_cells():
+    rnd = random.Random(3)
+    for _ in range(20):
+        cells = np.array(sorted(rnd.randrange(3 << 16) for _ in range(rnd.randrange(1, 900))), np.uint32)
+        starts = np.flatnonzero(np.concatenate([[True], (cells[1:] >> 16) != (cells[:-1] >> 16)]))
+        raw, sizes = substring_dedup._gaps(cells, starts)
+        ends = np.add.reduceat(sizes, starts).cumsum()
+        back = [substring_dedup._from_gaps(raw[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        assert [x.tolist() for x in back] == [(cells[cells >> 16 == b] & 0xFFFF).tolist() for b in sorted(set((cells >> 16).tolist()))]
+
+
 def audited(docs, labels):
     good, toxic = ({d for d, q, t in labels if d is not None and (q, t)[i] == 1} for i in range(2))
     out = defaultdict(Counter)
