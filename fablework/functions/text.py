@@ -72,7 +72,7 @@ def sanitize_relation(c: Column, mode: str = "UPPER_CASE", default: str = DEFAUL
     def join(w: Column) -> Column:
         if mode == "UPPER_CASE":
             return F.upper(F.array_join(w, "_"))
-        return F.concat(F.lower(F.get(w, F.lit(0))), F.array_join(F.transform(F.slice(w, 2, 1_000_000), F.initcap), ""))
+        return F.concat(F.lower(F.get(w, F.lit(0))), F.array_join(F.transform(F.slice(w, F.lit(2), F.size(w)), F.initcap), ""))
 
     made = join(words(c))
     return F.when(made.rlike("^[A-Za-z]"), made).otherwise(join(words(F.lit(default))))

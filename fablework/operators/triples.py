@@ -33,14 +33,26 @@ def _nested_list(item: Column) -> Column:
 
 
 def parse(df: DataFrame, column: str) -> DataFrame:
-    """Rows of (s, r, o) from JSON text: an object or array of objects with scalars or lists, or nested pair lists."""
+    """Rows of (s, r, o) from JSON text: an object or array of objects with scalars or lists, or nested pair lists.
+
+    Whether a value is a list is told by its kind, not by how its text begins. Text that is no JSON gives no row.
+    """
     item = "s string, subject string, r string, relation string, o string, object string, object_ string"
     text = F.regexp_replace(F.regexp_replace(F.trim(F.col(column)), r"(?i)^```json\s*", ""), r"\s*```$", "")
-    items = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), "array<string>")
-    x = df.select(F.explode(items).alias("item")).select(F.from_json("item", item).alias("x"), F.from_json(_nested_list(F.col("item")), "array<string>").alias("pairs"))
-    as_list = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
-    pick = lambda *n: F.coalesce(*(F.nullif(F.col(f"x.{c}"), F.lit("")) for c in n))
-    s, r, o = as_list(pick("s", "subject")), as_list(pick("r", "relation")), as_list(pick("o", "object", "object_"))
+    wrapped = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    # parsers stop after a value: what follows it would break a list or an object around it
+    valid = F.try_parse_json(F.concat(F.lit("["), wrapped, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), wrapped, F.lit("}"))).isNotNull()
+    items = F.when(valid, F.from_json(wrapped, "array<string>"))
+    x = df.select(F.explode(items).alias("item")).select(
+        F.from_json("item", item).alias("x"), F.from_json("item", "map<string,variant>").alias("kinds"), F.from_json(_nested_list(F.col("item")), "array<string>").alias("pairs"))
+
+    def as_list(*names: str) -> Column:
+        """The first of the fields that is not blank, as an array."""
+        is_list = lambda c: F.startswith(F.schema_of_variant(F.element_at("kinds", c)), F.lit("ARRAY"))
+        value = lambda c: F.when(is_list(c), F.from_json(F.col(f"x.{c}"), "array<string>")).otherwise(F.array(F.col(f"x.{c}")))
+        return F.coalesce(*(F.when(F.col(f"x.{c}") != "", value(c)) for c in names), F.array().cast("array<string>"))
+
+    s, r, o = as_list("s", "subject"), as_list("r", "relation"), as_list("o", "object", "object_")
     of = lambda p, *n: F.coalesce(*(F.nullif(F.get_json_object(p, f"$.{c}"), F.lit("")) for c in n))
     pairs = F.transform("pairs", lambda p: F.struct(of(p, "r", "relation").alias("r"), of(p, "o", "object", "object_").alias("o")))
     made = F.when(F.size("pairs") > 0, expand_nested(s, pairs)).otherwise(expand(s, r, o))

@@ -84,10 +84,14 @@ def _clear(spark, d):
 
 
 def _expand_rows(spark, d):
-    """Triples of every document, from JSON whose pair list has one of three names and comes before another list."""
+    """Triples of every document, from JSON whose pair list has one of three names and comes before another list.
+
+    A second object has scalars that begin like lists.
+    """
     name = F.element_at(F.array(*map(F.lit, KEYS)), (F.col("doc_id") % len(KEYS) + 1).cast("int"))
     parts = (F.lit('{"s": ["d'), F.col("doc_id").cast("string"), F.lit('", "'), F.col("source"), F.lit('"], "note": "[{", "'), name, F.lit('": [{"r": "LANG", "object_": "'), F.col("lang"),
-             F.lit('"}, {"relation": "CHARS", "o": '), F.col("n_chars").cast("string"), F.lit('}, {"r": "no", "o": ""}], "also": [{"r": "no", "o": "no"}]}'))
+             F.lit('"}, {"relation": "CHARS", "o": '), F.col("n_chars").cast("string"), F.lit('}, {"r": "no", "o": ""}], "also": [{"r": "no", "o": "no"}]}, {"s": "[d'),
+             F.col("doc_id").cast("string"), F.lit('", "r": "FROM", "o": "[draft] '), F.col("source"), F.lit('"}'))
     return J.parse(_t(spark, d, "documents").select(F.concat(*parts).alias("j")), "j")
 
 
@@ -332,7 +336,7 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "half_of_text": "SELECT item_id, substr(text, 1, length(text) // 2) AS gold FROM benchmark",
     "moderation_filter": "SELECT d.doc_id, source FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS f FROM labels GROUP BY doc_id) l USING (doc_id) WHERE coalesce(f, 0) = 0",
     "triple_expand": "SELECT * FROM (VALUES ('A', 'likes', 'B'), ('A', 'sees', 'C'), ('A', 'x', 'D'), ('A', 'y', 'D'), ('B', 'x', 'D'), ('B', 'y', 'D'), ('C', 'x', 'D'), ('C', 'y', 'D'), ('A', 'p', 'Q'), ('B', 'p', 'Q'), ('S', 'r', 'T')) v(s, r, o)",
-    "triple_expand_rows": "SELECT s, r, o FROM (SELECT unnest(['d' || doc_id, source]) AS s, lang, n_chars::VARCHAR AS chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL), LATERAL (VALUES ('LANG', lang), ('CHARS', chars)) v(r, o)",
+    "triple_expand_rows": "SELECT s, r, o FROM (SELECT unnest(['d' || doc_id, source]) AS s, lang, n_chars::VARCHAR AS chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL), LATERAL (VALUES ('LANG', lang), ('CHARS', chars)) v(r, o) UNION ALL SELECT '[d' || doc_id, 'FROM', '[draft] ' || source FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL",
     "doc_flatten": "SELECT conv_id, turn, role FROM conversations",
     "json_repair": """SELECT event_id, '{"id": ' || event_id || ', "note": "a // b, } \\" /* c */", "props" :' || props || ' }' AS json FROM events""",
     "metrics_payload": """SELECT doc_id, '{"BookID":"' || doc_id || '","BookTitle":"t","SummaryText":"s","GoldSummaryText":"g","Metrics":{"PRF1Metrics":[],"ScalarMetrics":[{"Name":"quality","Value":' || quality::DOUBLE || '}],"QA":{"QAItems":[]}},"QAResults":[]}' AS payload FROM labels""",

@@ -108,7 +108,7 @@ def tei_paragraphs(text: str) -> Iterator[tuple[int, str, int, int, int, str]]:
 def clean_tei(c: Column) -> Column:
     """TEI text with a root element and ids that are names: ``id_`` and the old id, other characters as ``_``."""
     parts = F.split(F.trim(c), 'xml:id="')
-    fixed = F.transform(F.slice(parts, 2, 1_000_000), lambda p: F.concat(
+    fixed = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(
         F.lit('id_'), F.regexp_replace(F.substring_index(p, '"', 1), "[^a-zA-Z0-9_-]", "_"), F.substr(p, F.instr(p, F.lit('"')))))
     ids = F.array_join(F.concat(F.slice(parts, 1, 1), fixed), 'xml:id="')
     return F.when(ids.rlike(r"<TEI[\s>]"), ids).otherwise(F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0">'), ids, F.lit("</TEI>")))

@@ -203,3 +203,13 @@ def test_path_lengths_of_a_long_way(spark):
     edges = spark.createDataFrame(chain, "start_node_id string, rel_type string, end_node_id string").coalesce(1)
     assert {r[0]: r[1] for r in graph.path_lengths(edges, "n0").collect()} == {f"n{i}": i for i in range(24)}
     assert graph.path_lengths(edges, "n0", 6).count() == 7
+
+
+def test_parse_tells_lists_from_scalars_by_kind(spark):
+    cases = [
+        ('{"s": "[x", "r": "r", "o": "o"}', [("[x", "r", "o")]), ('{"s": "A", "r": "likes", "o": "[draft] B"}', [("A", "likes", "[draft] B")]),
+        ('{"s": "[]", "r": ["[a", "b]"], "o": "["}', [("[]", "[a", "["), ("[]", "b]", "[")]), ('{"s": "", "subject": ["A", "[B"], "r": 1, "o": "o"}', [("A", "1", "o"), ("[B", "1", "o")]),
+        ('{"s": "[A", "facts": [{"r": "[r", "o": "[o]"}]}', [("[A", "[r", "[o]")]), ('[{"s": "A", "r": "r", "o": "o"}] trailing', []), ('{"s": [], "r": "r", "o": "o"}', []),
+    ]
+    for text, want in cases:
+        assert sorted(map(tuple, triples.parse(spark.createDataFrame([(text,)], "j string"), "j").collect())) == want, text
