@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @lru_cache(maxsize=1)
@@ -18,24 +18,30 @@ def _local_dir() -> str:
     return f"file://{made}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a table below spark.checkpoint.dir and read back, computed once.
-
-    The table goes with ``discard``, at the latest with the application.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, deleted at the latest with the application.
 
-    Where that folder is unset, a temporary one, with local masters only: other executors would not see it.
+    Where that is unset, below a temporary one, with local masters only: other executors would not see it.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_dir()
     at = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    out = spark.read.schema(df.schema).parquet(at)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table below the shared folder and read back, computed once; it goes with ``discard``."""
+    spark = df.sparkSession
+    at = shared_folder(spark)
+    df.write.parquet(f"{at}/t")
+    out = spark.read.schema(df.schema).parquet(f"{at}/t")
     out._folder = at
     return out
 

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ["plans.graph_queries", "plans.text_queries"]
+MODULES = ["plans.graph_queries", "plans.text_queries", "plans.stream_queries"]
 
 
 def queries() -> dict:
