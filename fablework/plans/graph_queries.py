@@ -112,6 +112,7 @@ QUERIES = {
     "graph_context": _q(lambda n, e: G.context(G.named(G.all_triples(n, e), n))),
     "random_walk": _q(lambda n, e: G.random_walk(e, n.where("label = 'customer'").select("element_id"), 3)),
     "community_detect": _q(C.detect),
+    "community_leiden": _q(lambda n, e: C.detect(n, e, "leiden")),
     "community_levels": _q(lambda n, e: C.detect(n, e, multi_level=True)),
     "label_propagation": _q(lambda n, e: C.detect(n, e, "label_propagation")),
     "pattern_path": _said("MATCH (c:customer)-[:IN]->(n:nation)-[:PART_OF]->(r:region) WHERE r.name <> 'ASIA' RETURN r.name AS region, n.name AS nation, count(c) AS customers"),
