@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as Z
+from ..operators import clauses as CL
 from ..operators import documents as D
 from ..operators import segments as S
 from ..operators import similarity as M
+from ..operators import tagger as TG
 from ..operators import tracking as K
 from ..operators import triples as J
 from ..sources import readers as R
@@ -26,6 +28,11 @@ def _t(spark, d, n):
     return spark.read.parquet(f"{d}/{n}.parquet")
 
 
+def _tagger(spark, d):
+    """A tagger learned from the sentences of the English documents."""
+    return TG.learn(S.sentence_rows(S.paragraphs(_t(spark, d, "documents").where("lang = 'en'")), ["doc_id", "pos"]))
+
+
 def _log(spark, d):
     e = _t(spark, d, "events")
     return e.select(F.col("event_type").alias("function"), F.col("value").alias("elapsed"), (F.col("user_id") % 10).alias("run_id"))
@@ -173,6 +180,8 @@ QUERIES = {
     "timing_chart": lambda s, d: K.chart(K.timing_summary(_log(s, d)), "function", "calls"),
     "paragraph_count": lambda s, d: S.paragraph_count(S.paragraphs(_t(s, d, "documents")), ["doc_id"]),
     "chunk_oversize": lambda s, d: S.oversize(S.pack(S.paragraphs(_t(s, d, "documents")), ["doc_id"], 100), 100).select("doc_id", F.length("text").alias("chars")),
+    "node_name_tagged": lambda s, d: TG.node_names(_t(s, d, "part").select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" of it's own")).alias("label")), "label", _tagger(s, d)).select("p_partkey", "node"),
+    "svo_triples": lambda s, d: CL.subject_verb_object(_t(s, d, "conversations").select("conv_id", "turn", "text"), "text", _tagger(s, d)),
     "node_name": lambda s, d: _t(s, d, "part").select("p_partkey", Z.node_name(F.concat(F.lit("The "), "p_name", F.lit(" of it's own"))).alias("node")),
     "status_text": lambda s, d: _t(s, d, "events").select("event_id", K.parse_status(K.encode_status(F.col("event_type"), F.nullif(F.col("value").cast("int").cast("string"), F.lit("0")))).alias("x")).select("event_id", "x.*"),
     "call_chain": lambda s, d: _t(s, d, "part").select("p_partkey", Z.call_chain(F.concat(F.array(F.lit("_inner")), F.split("p_name", " "))).alias("chain")),
@@ -296,6 +305,7 @@ SELECT event_id, CASE WHEN u IS NULL OR event_id % 3 = 2 THEN 400 WHEN u NOT IN
     "keyed_merge": """WITH n AS (SELECT c_custkey * 2 AS c_custkey, abs(c_acctbal) AS b FROM customer)
 SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, coalesce(b, c_acctbal) AS c_acctbal, CASE WHEN n.c_custkey IS NOT NULL THEN 'seen' END AS note FROM customer c FULL JOIN n ON n.c_custkey = c.c_custkey""",
     "paragraph_count": f"WITH {LINES} SELECT doc_id, count(*) AS paragraphs FROM seg GROUP BY doc_id",
+    "node_name_tagged": """SELECT p_partkey, regexp_replace(p_name || ' of own', '[^A-Za-z0-9]+', '_', 'g') AS node FROM part""",
     "node_name": """SELECT p_partkey, regexp_replace(p_name || ' of own', '[^A-Za-z0-9]+', '_', 'g') AS node FROM part""",
     "status_text": "SELECT event_id, event_type AS status, nullif(trunc(value)::INTEGER::VARCHAR, '0') AS value FROM events",
     "chunk_oversize": f"""WITH {LINES}, p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM seg WHERE length(text) > 100)
