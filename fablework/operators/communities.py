@@ -170,29 +170,36 @@ def detect(nodes: DataFrame, edges: DataFrame, method: str = "louvain", multi_le
     # which node of the level an element is part of, and its communities so far
     names = cut(ids.select("element_id", F.col("element_id").alias("a"), F.array().cast("array<string>").alias("found")))
     first, labels, level = links, links.select("a").distinct().select("a", F.col("a").alias("c")), 0
+    made = [links, names]
     while max_levels is None or level < max_levels:
         strength = cut(links.groupBy("a").agg(F.sum("w").alias("k")))
         labels = _settled(links, strength, labels, total)
+        made += [strength, labels]
         n, groups = labels.agg(F.count("*"), F.count_distinct("c")).first()
         if n == groups:  # every node is its own community
             break
         new = names.join(labels, "a", "left").withColumn("c", F.coalesce("c", "a"))
         new = new.withColumn("c", F.min("element_id").over(Window.partitionBy("c")))
-        names, old = cut(new.select("element_id", "a", F.concat("found", F.array("c")).alias("found"))), names
+        names = cut(new.select("element_id", "a", F.concat("found", F.array("c")).alias("found")))
         parts = _refined(links, strength, labels, total) if method == "leiden" else labels.select("a", F.col("c").alias("r"))
-        discard(old, strength)
+        made += [names, parts]
         if parts.agg(F.count_distinct("r")).first()[0] == n:  # no part has two nodes
             break
-        names, old = cut(names.join(parts, "a", "left").select("element_id", F.coalesce("r", "a").alias("a"), "found")), names
+        names = cut(names.join(parts, "a", "left").select("element_id", F.coalesce("r", "a").alias("a"), "found"))
         at = lambda x: parts.select(F.col("a").alias(x), F.col("r").alias(f"to_{x}"))  # noqa: B023, E731
         wider = cut(links.join(at("a"), "a").join(at("b"), "b").groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(F.sum("w").alias("w")))
         start = cut(labels.join(parts, "a").groupBy(F.col("r").alias("a")).agg(F.min("c").alias("c")) if method == "leiden" else parts.select(F.col("r").alias("a"), F.col("r").alias("c")).distinct())
-        discard(old, *([links] if links is not first else []))
+        made += [names, wider, start]
         links, labels, level = wider, start, level + 1
     levels = names.select("element_id", F.when(F.size("found") > 0, F.col("found")).otherwise(F.array("element_id")).alias("found"))
     if method == "leiden":
         last = levels.select(F.col("element_id").alias("a"), F.element_at("found", -1).alias("c"))
-        parts = _connected(first, cut(last)).withColumnRenamed("a", "element_id")
+        last = cut(last)
+        parts = _connected(first, last)
+        made += [last, parts]
+        parts = parts.withColumnRenamed("a", "element_id")
         whole = F.when(F.size("found") > 1, F.concat(F.slice("found", F.lit(1), F.size("found") - 1), F.array("c"))).otherwise(F.array("c"))
         levels = levels.join(parts, "element_id").select("element_id", whole.alias("found"))
-    return levels.select("element_id", F.col("found").alias("community_list") if multi_level else F.element_at("found", -1).alias("community_id"))
+    out = cut(levels.select("element_id", F.col("found").alias("community_list") if multi_level else F.element_at("found", -1).alias("community_id")))
+    discard(*made)
+    return out

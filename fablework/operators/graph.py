@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut as _cut
+from ..checkpoints import discard
 from ..functions.text import sanitize_node, sanitize_relation
 
 TRIPLE = ["subject_id", "relation_id", "object_id"]
@@ -85,30 +86,39 @@ def neighbourhood(triples: DataFrame, start: str, depth: int = 1) -> DataFrame:
     if depth < 1:
         return triples.limit(0)
     front = reached = triples.sparkSession.createDataFrame([(start,)], "element_id string")
+    made: list[DataFrame] = []
     if depth > 1:
         both = triples.select(F.explode(F.array(*(F.struct(F.col(a).alias("at"), F.col(b).alias("to")) for a, b in (("subject_id", "object_id"), ("object_id", "subject_id"))))).alias("e"))
         both = _cut(both.select("e.*").distinct()) if depth > 2 else both.select("e.*")
+        made.append(both)
     for _ in range(depth - 1):
         step = both.join(front.withColumnRenamed("element_id", "at"), "at", "left_semi").select(F.col("to").alias("element_id")).distinct()
         front = _cut(step.join(reached, "element_id", "left_anti"))
+        made.append(front)
         if front.isEmpty():
             break
         reached = reached.union(front)
+    if len(made) > 2:  # the ids as one table; those of single steps go
+        reached = _cut(reached)
+        discard(*made)
     return subgraph_by_nodes(triples, reached)
 
 
 def path_lengths(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
     """(element_id, hops) along directed edges, the fewest, of all nodes that can be reached, or up to ``most`` hops."""
     front = edges.sparkSession.createDataFrame([(start, 0)], "element_id string, hops int")
-    out = front
+    out, made = front, []
     for i in count(1) if most is None else range(1, most + 1):
         step = edges.join(front.select(F.col("element_id").alias("start_node_id")), "start_node_id").select(F.col("end_node_id").alias("element_id")).distinct()
         front = _cut(step.join(out, "element_id", "left_anti").withColumn("hops", F.lit(i)))
+        made.append(front)
         if front.isEmpty():
             break
         out = out.union(front)
         if i % 10 == 0:  # keeps the plan of a long way short
             out = _cut(out)
+            discard(*made[:-1])  # the last is where the next step starts
+            made = [made[-1], out]
     return out
 
 
@@ -131,18 +141,22 @@ def _numbered(edges: DataFrame, block: int) -> DataFrame:
 def random_walk(edges: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 0, block: int = 10_000) -> DataFrame:
     """Distinct edges of directed walks; each step is picked by a hash of (walk, step, seed), so reruns agree."""
     numbered = _cut(_numbered(edges, block))
-    sources = edges.select(F.col("start_node_id").alias("element_id")).distinct()
-    at = starts.select("element_id").distinct().join(sources, "element_id", "left_semi")
+    degrees = _cut(numbered.groupBy(F.col("start_node_id").alias("element_id")).agg(F.max("out").alias("out")))
+    at = starts.select("element_id").distinct().join(degrees, "element_id", "left_semi")
     at = at.select(F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("n"), "element_id").select(F.concat_ws("#", "element_id", "n").alias("walk"), "element_id")
-    out = None
+    out, made = None, [numbered, degrees]
     for i in range(length):
         # the number of the edge is part of the join's key, so walks that meet at a hub part at once
-        pick = at.join(numbered.select(F.col("start_node_id").alias("element_id"), "out").distinct(), "element_id")
+        pick = at.join(degrees, "element_id")
         pick = pick.select("walk", F.col("element_id").alias("start_node_id"), F.pmod(F.xxhash64("walk", F.lit(i), F.lit(seed)), "out").alias("k"))
         step = _cut(pick.join(numbered, ["start_node_id", "k"]).select("walk", "start_node_id", "rel_type", "end_node_id"))
+        made.append(step)
         out = step if out is None else out.union(step)
         at = step.select("walk", F.col("end_node_id").alias("element_id"))
-    return out.select("start_node_id", "rel_type", "end_node_id").distinct()
+    found = edges.limit(0) if out is None else out
+    found = _cut(found.select("start_node_id", "rel_type", "end_node_id").distinct())
+    discard(*made)
+    return found
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -155,9 +169,12 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
         votes = both.join(labels.withColumnRenamed("element_id", "b"), "b").select(F.col("a").alias("element_id"), "community_id").union(labels)
         count = votes.groupBy("element_id", "community_id").agg(F.count("*").alias("n"))
         new = _cut(count.groupBy("element_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("community_id").alias("c"))).alias("m")).select("element_id", F.col("m.c").alias("community_id")))
-        if new.exceptAll(labels).isEmpty():
-            break
+        same = new.join(labels.withColumnRenamed("community_id", "old"), "element_id").where("community_id <> old").isEmpty()
+        discard(labels)
         labels = new
+        if same:
+            break
+    discard(both)
     return labels
 
 
@@ -228,12 +245,18 @@ def context(named_triples: DataFrame, top: int = 5) -> DataFrame:
 
 
 def node_context(named_triples: DataFrame, name: str, neighbours: bool = True) -> DataFrame:
-    """(direction, line): the facts that leave and, with ``neighbours``, those that reach a node, and its neighbours' own."""
+    """(direction, line): the facts that leave a node and, with ``neighbours``, those that reach it and the neighbours' own.
+
+    A fact is told once: as one that leaves (out) or reaches (in) the node, else as one that leaves a neighbour (near).
+    """
     facts = lambda d, way: d.select(F.lit(way).alias("direction"), F.concat_ws(" ", "subject", "relation", "object").alias("line"))
-    out = facts(named_triples.where(F.col("subject") == name), "out")
+    own = F.coalesce(F.col("subject") == name, F.lit(False))
+    reaches = F.coalesce(F.col("object") == name, F.lit(False)) & ~own
+    out = facts(named_triples.where(own), "out")
     if neighbours:
-        into = named_triples.where((F.col("object") == name) & (F.col("subject") != name))
-        out = out.union(facts(into, "in"))
+        near = named_triples.where(own).select(F.col("object").alias("subject")).union(named_triples.where(reaches).select("subject"))
+        others = named_triples.where(~own & ~reaches).join(near.distinct(), "subject", "left_semi")
+        out = out.union(facts(named_triples.where(reaches), "in")).union(facts(others, "near"))
     return out.distinct()
 
 

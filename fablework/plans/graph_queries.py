@@ -127,8 +127,10 @@ QUERIES = {
     "scoped_drop": lambda s, d: (lambda n, _: P.drop_graph(n, "main", "nation").drop("_init"))(*_scoped(s, d)),
     "retagged_edges": lambda s, d: P.retag(_scoped(s, d)[1], "main"),
     "in_database": lambda s, d: P.in_database(_scoped(s, d)[0], "main"),
-    "value_join": _q(lambda n, e: P.value_join(n.where("label = 'nation'"), n.withColumn("first", F.upper("name")), "name", "first")),
-    "node_context": _q(lambda n, e: G.node_context(G.named(G.all_triples(n, e), n), "FRANCE")),
+    "value_join": lambda s, d: P.value_join(
+        load(s, d)[0].where("label = 'customer'").withColumn("number", F.regexp_extract("name", "#0*([0-9]+)", 1)),
+        s.read.parquet(f"{d}/clients.parquet").select(F.col("client_id").cast("string").alias("element_id"), F.col("master_id").cast("string").alias("master")), "number", "master"),
+    "node_context": _q(lambda n, e: G.node_context(G.named(G.all_triples(n, e), n), "NATION_1")),
     "focused_context": _q(lambda n, e: G.focused_context(G.named(G.all_triples(n, e), n), n.where("label = 'nation'").select("name"))),
     "narrative_cluster": _q(lambda n, e: G.narrative(G.named(G.all_triples(n, e), n), "cluster")),
     "narrative_summary": _q(lambda n, e: G.narrative(G.named(G.all_triples(n, e), n))),
@@ -188,8 +190,9 @@ WHERE start_node_id IN (SELECT element_id FROM own) OR end_node_id IN (SELECT el
     "scoped_drop": _sql(f"SELECT * FROM (WITH {SCOPED} SELECT * FROM scoped WHERE NOT (db = 'main' AND kg = 'nation'))"),
     "retagged_edges": _sql("SELECT *, 'main' AS db FROM edges"),
     "in_database": _sql(f"SELECT * FROM (WITH {SCOPED} SELECT * FROM scoped WHERE db = 'main' AND label <> 'region')"),
-    "value_join": _sql("SELECT a.element_id AS left_id, b.element_id AS right_id FROM nodes a JOIN nodes b ON a.name = upper(b.name) WHERE a.label = 'nation'"),
-    "node_context": _sql("SELECT DISTINCT CASE WHEN subject = 'FRANCE' THEN 'out' ELSE 'in' END AS direction, subject || ' ' || relation || ' ' || object AS line FROM t WHERE subject = 'FRANCE' OR object = 'FRANCE'"),
+    "value_join": _sql("SELECT 'c' || c_custkey AS left_id, client_id::VARCHAR AS right_id FROM customer JOIN clients ON master_id::VARCHAR = regexp_extract(c_name, '#0*([0-9]+)', 1)"),
+    "node_context": _sql("""SELECT DISTINCT CASE WHEN subject = 'NATION_1' THEN 'out' WHEN object = 'NATION_1' THEN 'in' ELSE 'near' END AS direction, subject || ' ' || relation || ' ' || object AS line
+FROM t WHERE subject = 'NATION_1' OR object = 'NATION_1' OR subject IN (SELECT object FROM t WHERE subject = 'NATION_1' UNION ALL SELECT subject FROM t WHERE object = 'NATION_1')"""),
     "focused_context": _sql("SELECT subject, string_agg(relation || ' ' || object, '; ' ORDER BY k) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY relation, object) AS k FROM t WHERE subject IN (SELECT n_name FROM nation)) WHERE k <= 5 GROUP BY subject"),
     "narrative_cluster": _sql("""SELECT (row_number() OVER (ORDER BY k, line) - 1)::INTEGER AS place, line FROM (SELECT -count(*) OVER (PARTITION BY subject) AS k,
 subject || ' ' || lower(replace(relation, '_', ' ')) || ' ' || object || '.' AS line FROM t) ORDER BY k, line LIMIT 50"""),

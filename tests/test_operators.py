@@ -213,3 +213,31 @@ def test_parse_tells_lists_from_scalars_by_kind(spark):
     ]
     for text, want in cases:
         assert sorted(map(tuple, triples.parse(spark.createDataFrame([(text,)], "j string"), "j").collect())) == want, text
+
+
+def test_node_context_tells_neighbours_facts(spark):
+    rows = [("A", "knows", "B"), ("B", "likes", "C"), ("D", "sees", "A"), ("D", "has", "E"), ("C", "is", "F"), ("A", "knows", "B"), (None, "r", "A"), ("A", "meets", "D")]
+    facts = spark.createDataFrame(rows, "subject string, relation string, object string")
+    got = sorted(map(tuple, graph.node_context(facts, "A").collect()))
+    assert got == [("in", "D sees A"), ("in", "r A"), ("near", "B likes C"), ("near", "D has E"), ("out", "A knows B"), ("out", "A meets D")]
+    assert {r.direction for r in graph.node_context(facts, "A", neighbours=False).collect()} == {"out"} and graph.node_context(facts, "X").count() == 0
+
+
+def test_tables_of_single_steps_are_deleted(spark, tmp_path, monkeypatch):
+    import os
+    import uuid
+
+    from fablework import checkpoints
+    from fablework.operators import communities
+
+    chain = [(f"n{i}", "R", f"n{i + 1}") for i in range(12)]
+    edges = spark.createDataFrame(chain, "start_node_id string, rel_type string, end_node_id string").coalesce(1)
+    nodes = edges.select(F.col("start_node_id").alias("element_id"))
+    monkeypatch.setattr(checkpoints, "shared_folder", lambda _: f"{tmp_path}/{uuid.uuid4().hex}")
+    left = []
+    for run in (lambda: graph.random_walk(edges, nodes, 3), lambda: communities.detect(nodes, edges, "label_propagation"), lambda: communities.detect(nodes, edges, "leiden"),
+                lambda: graph.path_lengths(edges, "n0"), lambda: graph.neighbourhood(graph.all_triples(nodes.union(edges.select("end_node_id")).distinct(), edges), "n3", 4)):
+        had = len(os.listdir(tmp_path))
+        assert run().count() > 0
+        left.append(len(os.listdir(tmp_path)) - had)
+    assert left[:2] == [1, 1] and left[2] <= 4 and left[3] <= 5 and left[4] == 1
