@@ -207,3 +207,14 @@ def test_filter_audit_when_hashes_meet(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, 1, 1, "x", "x") for r in rows], DOCS)
     got = filter_audit.audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert {tuple(r) for r in got.collect()} == audited(rows, labels)
+
+
+def test_url_filter_of_an_empty_table_and_a_very_long_url(spark):
+    from fablework.llm import url_filter
+
+    rules = url_filter.rules_frame(spark, url_filter.RULES)
+    long = "http://" + "sub." * 20_000 + "EXAMPLE.com/en/" + "x/" * 100_000 + "?q"
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "a" * 100_000 + ".net/es/")], "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict, len(r.host), len(r.path)) for r in url_filter.filter_urls(pages, rules).collect())
+    assert got == [(1, "example.com/en/", "block", 80_011, 200_004)] * 2 + [(2, "net/es/", "block", 100_004, 4)]
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
