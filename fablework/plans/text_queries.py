@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as Z
 from ..operators import clauses as CL
+from ..operators import coreference as CO
 from ..operators import documents as D
 from ..operators import segments as S
 from ..operators import similarity as M
@@ -33,6 +34,11 @@ def _tagger(spark, d):
     return TG.learn(S.sentence_rows(S.paragraphs(_t(spark, d, "documents").where("lang = 'en'")), ["doc_id", "pos"]))
 
 
+def _clauses(spark, d):
+    """Triples of the clauses of every document, mentions linked inside it."""
+    return CO.clause_triples(S.paragraphs(_t(spark, d, "documents")), ["doc_id"], ["pos"], "text", _tagger(spark, d))
+
+
 def _log(spark, d):
     e = _t(spark, d, "events")
     return e.select(F.col("event_type").alias("function"), F.col("value").alias("elapsed"), (F.col("user_id") % 10).alias("run_id"))
@@ -174,6 +180,7 @@ def _fuzzy_rows(spark, d):
 
 
 QUERIES = {
+    "clause_triples": _clauses,
     "doc_reconcile": _mixed, "chunk_meta": _chunk_meta, "tei_paragraphs": _tei, "status_overlay": _overlay, "callback_codes": _checked, "keyed_merge": _merged,
     "fuzzy_merge_rows": _fuzzy_rows,
     "sentence_rows": lambda s, d: S.sentence_rows(_t(s, d, "conversations"), ["conv_id", "turn"]),
