@@ -9,6 +9,7 @@ from ..operators import clauses as CL
 from ..operators import coreference as CO
 from ..operators import documents as D
 from ..operators import segments as S
+from ..operators import sentence_ends as SE
 from ..operators import similarity as M
 from ..operators import tagger as TG
 from ..operators import tracking as K
@@ -39,6 +40,14 @@ def _clauses(spark, d):
     return CO.clause_triples(S.paragraphs(_t(spark, d, "documents")), ["doc_id"], ["pos"], "text", _tagger(spark, d))
 
 
+def _learned_sentences(spark, d):
+    """Sentences of all turns and documents' lines, by what both show of stops."""
+    turns = _t(spark, d, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("int").alias("pos"), "text")
+    lines = S.paragraphs(_t(spark, d, "documents")).select(F.lit("line").alias("kind"), F.col("doc_id").cast("long").alias("id"), "pos", "text")
+    both = turns.unionByName(lines)
+    return SE.sentence_rows(both, ["kind", "id", "pos"], SE.learn(both))
+
+
 def _log(spark, d):
     e = _t(spark, d, "events")
     return e.select(F.col("event_type").alias("function"), F.col("value").alias("elapsed"), (F.col("user_id") % 10).alias("run_id"))
@@ -180,7 +189,7 @@ def _fuzzy_rows(spark, d):
 
 
 QUERIES = {
-    "clause_triples": _clauses,
+    "clause_triples": _clauses, "sentence_rows_learned": _learned_sentences,
     "doc_reconcile": _mixed, "chunk_meta": _chunk_meta, "tei_paragraphs": _tei, "status_overlay": _overlay, "callback_codes": _checked, "keyed_merge": _merged,
     "fuzzy_merge_rows": _fuzzy_rows,
     "sentence_rows": lambda s, d: S.sentence_rows(_t(s, d, "conversations"), ["conv_id", "turn"]),
