@@ -90,6 +90,38 @@ def _may_reach(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     return asked.join(rarest(right, "r"), ["c", "m"]).select("l", "r").distinct()
 
 
+_sorted_tokens = F.pandas_udf(lambda a: a.map(_token_sorted), T.StringType())
+
+
+def _segment_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """As ``_may_reach``, for thresholds over 2/3 of 100: what is compared are pairs with a common piece at nearly the same place.
+
+    Of lengths m and n, the score is reached by texts at most (m + n) * (1 - threshold / 100) insertions and deletions apart.
+    A right text is cut into one piece more than the most that any partner may have, so one piece is left whole. It is
+    moved by no more places than there are pieces before it, and its distance from the end by no more than there are
+    pieces after it: else those on the other side have fewer edits than pieces, and one of them is whole as well.
+    """
+    least, spare = threshold / (200.0 - threshold), 1 - threshold / 100.0
+    size = lambda d, n, m: d.select(F.col(n), _sorted_tokens(n).alias("t")).withColumn(m, F.length("t"))
+    left, right = size(left, "l", "n"), size(right, "r", "m")
+    longest = F.floor(F.col("m") / least + 1e-9)
+    pieces = (F.floor((F.col("m") + longest) * spare + 1e-9) + 1).cast("int").alias("k")
+    start = lambda i: F.floor(i * F.col("m") / F.col("k")).cast("int")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")
+    length = start(F.col("i") + 1) - start(F.col("i"))
+    cut_up = right.select("r", "t", "m", pieces).select("*", numbers).select("r", "m", "i", F.substr("t", start(F.col("i")) + 1, length).alias("piece"))
+
+    lengths = F.broadcast(right.select("m").distinct())  # as many rows as the longest title has characters, at the most
+    fits = (F.col("m") >= F.col("n") * least - 1e-9) & (F.col("n") >= F.col("m") * least - 1e-9)
+    asked = left.join(lengths, fits).select("*", pieces).select("*", numbers)
+    more, after = F.col("n") - F.col("m"), F.col("k") - 1 - F.col("i")
+    first = F.greatest(start(F.col("i")) + F.greatest(-F.col("i"), more - after), F.lit(0))
+    last = F.least(start(F.col("i")) + F.least(F.col("i"), more + after), F.col("n") - length)
+    asked = asked.withColumns({"first": first, "last": last, "long": length}).where("first <= last")
+    some = F.array_distinct(F.transform(F.sequence("first", "last"), lambda p: F.substr("t", p + 1, F.col("long"))))
+    return asked.select("l", "m", "i", F.explode(some).alias("piece")).join(cut_up, ["m", "i", "piece"]).select("l", "r").distinct()
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, key: str, threshold: float = 90.0, scorer=token_sort_ratio) -> DataFrame:
     """For each left row its best right row with a score of at least ``threshold``; ties to the smaller key.
 
@@ -98,7 +130,8 @@ def fuzzy_join(left: DataFrame, right: DataFrame, key: str, threshold: float = 9
     """
     l, r = (d.select(F.col(key).alias(n)).where(F.col(n).isNotNull()).distinct() for d, n in ((left, "l"), (right, "r")))
     bounded = scorer is token_sort_ratio and 0 < threshold <= 100
-    pairs = _may_reach(l, r, threshold) if bounded else l.crossJoin(r)
+    some = _segment_pairs if threshold >= 85 else _may_reach  # below, pieces are single characters or pairs of them
+    pairs = some(l, r, threshold) if bounded else l.crossJoin(r)
     scored = pairs.withColumn("score", scorer("l", "r")).where(F.col("score") >= threshold)
     best = Window.partitionBy("l").orderBy(F.desc("score"), "r")
     return scored.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import numbered
+
 
 def latest(events: DataFrame, keys: list[str], status: str, order: str) -> DataFrame:
     """Last status of each key by arrival."""
@@ -27,6 +29,20 @@ def timing_summary(log: DataFrame, function: str = "function", elapsed: str = "e
     return log.groupBy(function).agg(F.count("*").alias("calls"), F.sum(e).alias("total"), F.avg(e).alias("avg"), F.min(e).alias("min"), F.max(e).alias("max"))
 
 
+def quantile(log: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """(group, quantile) of the values that are not null, between two of them by their distance; exact.
+
+    Rows get their number in the order of group and value by ranges (``folds.numbered``), so no buffer holds a group.
+    """
+    rows = numbered(log.select(group, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL"), [group, "__v"], "__at")
+    groups = rows.groupBy(group).agg(F.min("__at").alias("__first"), ((F.count("*") - 1) * F.lit(q)).alias("__place"))
+    place, at = F.col("__place"), F.col("__at") - F.col("__first")
+    # the two values around the place, each by its nearness; one that lies on it counts whole
+    weight = F.greatest(1 - F.abs(at - place), F.lit(0.0))
+    met = rows.join(groups.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).where(weight > 0)
+    return met.groupBy(group).agg(F.sum(F.col("__v") * weight).alias("quantile"))
+
+
 def mean_of_means(log: DataFrame, run: str, function: str, elapsed: str) -> DataFrame:
     return log.groupBy(run, function).agg(F.avg(elapsed).alias("m")).groupBy(function).agg(F.avg("m").alias("avg"))
 

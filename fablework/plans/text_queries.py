@@ -68,9 +68,8 @@ def _compare(spark, d):
 
 
 def _cap(spark, d):
-    log = _log(spark, d)
-    q = lambda k: F.percentile(F.when(F.col("run_id") % 2 == k, F.col("elapsed")), 0.9)
-    return log.agg(F.round(F.greatest(q(0), q(1)), 6).alias("cap"))
+    log = _log(spark, d).withColumn("half", F.col("run_id") % 2).where("half IS NOT NULL")
+    return K.quantile(log, "half", "elapsed", 0.9).agg(F.round(F.max("quantile"), 6).alias("cap"))
 
 
 def _rouge(n):

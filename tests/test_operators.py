@@ -241,3 +241,36 @@ def test_tables_of_single_steps_are_deleted(spark, tmp_path, monkeypatch):
         assert run().count() > 0
         left.append(len(os.listdir(tmp_path)) - had)
     assert left[:2] == [1, 1] and left[2] <= 4 and left[3] <= 5 and left[4] == 1
+
+
+def test_fuzzy_join_compares_few_pairs(spark):
+    import random
+
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdeilmnorstu") for _ in range(rnd.randrange(4, 9))) for _ in range(400)]
+    titles = sorted({" ".join(rnd.sample(words, 3)) for _ in range(2000)})
+    typed = [t[:i] + "x" + t[i + 1 :] for t in titles for i in [rnd.randrange(len(t))]]
+    l, r = spark.createDataFrame([(t,) for t in titles], "l string"), spark.createDataFrame([(t,) for t in typed], "r string")
+    pairs = similarity._segment_pairs(l, r, 90.0)
+    n = pairs.count()
+    assert n < 0.01 * len(titles) * len(typed), n
+    found = pairs.withColumn("s", similarity.token_sort_ratio("l", "r")).where("s >= 90").count()
+    every = l.crossJoin(r).withColumn("s", similarity.token_sort_ratio("l", "r")).where("s >= 90").count()
+    assert found == every > 1000
+
+
+def test_quantile_is_exact(spark):
+    import random
+
+    import numpy as np
+
+    from fablework.operators import tracking
+
+    rnd = random.Random(3)
+    rows = [("a", rnd.choice([1.0, 2.5, rnd.random() * 9])) for _ in range(999)] + [("b", 4.0), (None, 1.0), (None, 2.0), ("c", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    for q in (0.0, 0.37, 0.9, 1.0):
+        got = {r.g: r.quantile for r in tracking.quantile(df, "g", "v", q).collect()}
+        want = np.quantile([v for g, v in rows if g == "a" and v is not None], q)
+        assert abs(got["a"] - want) < 1e-12 and got["b"] == 4.0 and abs(got[None] - (1 + q)) < 1e-12 and "c" not in got
+    assert tracking.quantile(df.limit(0), "g", "v", 0.5).count() == 0
