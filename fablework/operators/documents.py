@@ -132,3 +132,24 @@ def reconcile(df: DataFrame, json_col: str, order: str, merge: bool = True) -> D
             df = df.drop("__first", "__item")
         pending = again
     return df.select(F.col("__order").alias(order), *map(q, done))
+
+
+def tabular(json: Column) -> Column:
+    """Whether the JSON text of a result can become rows.
+
+    A list can if it is not empty and holds objects only; an object with a batch, ``cursor.firstBatch`` or ``firstBatch``,
+    if that is a list that is not empty; another object if a field is a list that begins with a scalar or an object, which
+    tells data from a bare status. All else cannot, nor can null and broken text.
+    """
+    v = F.try_parse_json(json)
+    kind = lambda x: F.schema_of_variant(x)
+    fields, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+    filled = lambda path: F.coalesce(F.size(F.try_variant_get(v, path, "array<variant>")) > 0, F.lit(False))
+    first = lambda x: F.try_variant_get(x, "$[0]", "variant")
+    begins = lambda x: F.coalesce(~kind(first(x)).rlike("^(ARRAY|VOID)"), F.lit(False))
+    has = lambda name: F.map_contains_key(fields, name)
+    is_list, is_object = kind(v).startswith("ARRAY"), kind(v).startswith("OBJECT")
+    objects = (F.size(items) > 0) & F.forall(items, lambda x: F.coalesce(kind(x).startswith("OBJECT"), F.lit(False)))
+    batch = F.when(has("cursor"), filled("$.cursor.firstBatch")).when(has("firstBatch"), filled("$.firstBatch"))
+    other = F.exists(F.map_values(fields), begins)
+    return F.coalesce(F.when(is_list, objects).when(is_object, F.coalesce(batch, other)), F.lit(False))

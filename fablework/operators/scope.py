@@ -39,6 +39,18 @@ def scan(nodes: DataFrame, edges: DataFrame, db: str, kg: str) -> DataFrame:
     return kind(own, NODE).unionByName(kind(met, EDGE), allowMissingColumns=True).distinct()
 
 
+def preview(nodes: DataFrame, edges: DataFrame, db: str, kg: str, limit: int = 50) -> DataFrame:
+    """The first ``limit`` edges inside one graph, ordered by their ends and type, with the names of both ends.
+
+    Only the rows of a top-k leave each task. Edges with an end outside the graph or at a dummy are left out.
+    """
+    own = without_dummies(nodes.where(same_scope(db, kg))).select("element_id", "name")
+    at = lambda c: own.select(F.col("element_id").alias(f"{c}_node_id"), F.col("name").alias(f"{c}_name"))
+    met = edges.join(at("start"), "start_node_id").join(at("end"), "end_node_id")
+    order = ["start_node_id", "rel_type", "end_node_id", "start_name", "end_name"]
+    return met.select(order).orderBy(*order).limit(limit)
+
+
 def split(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a scan, without the columns that say what and where an element is."""
     of = lambda k: elements.where(F.col("element_type") == k).drop("element_type", "db", "kg")

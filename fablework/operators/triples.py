@@ -64,6 +64,15 @@ def moderate(df: DataFrame, labels: DataFrame, key: str, flag: str) -> DataFrame
     return df.join(labels.groupBy(key).agg(F.max(flag).alias("__flag")), key, "left").where(F.coalesce("__flag", F.lit(0)) == 0).drop("__flag")
 
 
+def moderation_counts(df: DataFrame, labels: DataFrame, key: str, flag: str, by: list[str] = ()) -> DataFrame:
+    """(by, total, safe, removed): how many rows ``moderate`` keeps and takes out; rows are counted by key before the join."""
+    rows = df.groupBy(*by, key).agg(F.count("*").alias("__n"))
+    met = rows.join(labels.groupBy(key).agg(F.max(flag).alias("__flag")), key, "left")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = met.groupBy(*by).agg(count("__n").alias("total"), count(F.when(F.coalesce("__flag", F.lit(0)) == 0, F.col("__n"))).alias("safe"))
+    return out.withColumn("removed", F.col("total") - F.col("safe"))
+
+
 def from_decoded(text: Column, delimiter: str = " ") -> Column:
     """Array of (s, r, o) of a decoder's flat output: parts in threes, subject, object, relation.
 

@@ -57,6 +57,13 @@ def _sales_khop(k: int):
     return lambda spark, d: G.neighbourhood(_triples(sales(spark, d)), "s1", k)
 
 
+def _preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first edges of the graph without every second nation."""
+    nodes, edges = load(spark, d)
+    odd = (F.col("label") == "nation") & (F.substring("element_id", 2, 9).cast("int") % 2 == 1)
+    return P.preview(nodes.select("*", F.when(odd, "other").otherwise("main").alias("db"), F.lit("all").alias("kg")), edges, "main", "all")
+
+
 def _scoped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The star schema's elements, each node in a graph named by its kind, odd nations in another database, regions dummies."""
     nodes, edges = load(spark, d)
@@ -122,6 +129,7 @@ QUERIES = {
     "sales_edges": sales,
     **{f"sales_khop_{k}": _sales_khop(k) for k in (1, 2)},
     "sales_walk": lambda s, d: G.random_walk(sales(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("element_id")), 3),
+    "graph_preview": _preview,
     "scoped_scan": lambda s, d: P.scan(*_scoped(s, d), "main", "nation").drop("_init"),
     "scoped_fetch": lambda s, d: (lambda n, e: P.fetch(n, e, n.where("kg = 'supplier'")).select("element.element_id", "element.name", "element.db"))(*_scoped(s, d)),
     "scoped_drop": lambda s, d: (lambda n, _: P.drop_graph(n, "main", "nation").drop("_init"))(*_scoped(s, d)),
@@ -182,6 +190,10 @@ UNION ALL SELECT subject, relation, object FROM t WHERE object_id LIKE 'n%'"""),
     "sales_edges": f"WITH {SALES} SELECT subject_id AS start_node_id, relation_id AS rel_type, object_id AS end_node_id FROM sales",
     "sales_khop_1": f"WITH {SALES} SELECT * FROM sales WHERE subject_id = 's1' OR object_id = 's1'",
     "sales_khop_2": f"WITH {SALES}, r AS (SELECT 's1' AS id UNION SELECT subject_id FROM sales WHERE object_id = 's1') SELECT * FROM sales WHERE subject_id IN (SELECT id FROM r) OR object_id IN (SELECT id FROM r)",
+    "graph_preview": _sql("""SELECT start_node_id, rel_type, end_node_id, a.name AS start_name, b.name AS end_name
+        FROM edges JOIN nodes a ON a.element_id = start_node_id JOIN nodes b ON b.element_id = end_node_id
+        WHERE NOT (a.label = 'nation' AND substr(a.element_id, 2)::INTEGER % 2 = 1) AND NOT (b.label = 'nation' AND substr(b.element_id, 2)::INTEGER % 2 = 1)
+        ORDER BY 1, 2, 3, 4, 5 LIMIT 50"""),
     "scoped_scan": _sql(f"""SELECT * FROM (WITH {SCOPED}, own AS (SELECT * FROM scoped WHERE db = 'main' AND kg = 'nation')
 SELECT element_id, name, label, db, kg, 'node' AS element_type, {NEVER} AS start_node_id, {NEVER} AS rel_type, {NEVER} AS end_node_id FROM own
 UNION SELECT NULL, NULL, NULL, NULL, NULL, 'relationship', start_node_id, rel_type, end_node_id FROM edges

@@ -48,6 +48,18 @@ def _learned_sentences(spark, d):
     return SE.sentence_rows(both, ["kind", "id", "pos"], SE.learn(both))
 
 
+def _tabular(spark, d):
+    """Results of eight shapes, made of every document."""
+    n, lang = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit(""))
+    text = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
+    shapes = F.array(
+        text('{"cursor": {"firstBatch": [{"id": ', n, "}]}}"), F.lit('{"cursor": {"firstBatch": []}, "list": [1]}'), text('{"firstBatch": [', n, "]}"),
+        text('{"ok": 1, "n": ', n, "}"), text('{"ok": 1, "databases": [{"name": "', lang, '"}]}'), text('[{"id": ', n, '}, {"id": 2}]'),
+        text("[", n, ', {"id": 1}]'), F.lit('{"note": "[1]", "list": [[1]], "none": [null]}'))
+    made = F.element_at(shapes, (F.col("doc_id") % 8 + 1).cast("int"))
+    return _t(spark, d, "documents").select("doc_id", D.tabular(made).alias("tabular"))
+
+
 def _log(spark, d):
     e = _t(spark, d, "events")
     return e.select(F.col("event_type").alias("function"), F.col("value").alias("elapsed"), (F.col("user_id") % 10).alias("run_id"))
@@ -188,6 +200,8 @@ def _fuzzy_rows(spark, d):
 
 
 QUERIES = {
+    "result_shape": _tabular,
+    "moderation_counts": lambda s, d: J.moderation_counts(_t(s, d, "documents").select("doc_id", "source"), _t(s, d, "labels"), "doc_id", "toxic", ["source"]),
     "clause_triples": _clauses, "sentence_rows_learned": _learned_sentences,
     "doc_reconcile": _mixed, "chunk_meta": _chunk_meta, "tei_paragraphs": _tei, "status_overlay": _overlay, "callback_codes": _checked, "keyed_merge": _merged,
     "fuzzy_merge_rows": _fuzzy_rows,
@@ -359,6 +373,15 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "clean_title": "SELECT c_custkey, regexp_replace(trim(lower(c_name)), '[^\\p{L}\\p{N}]+', ' ', 'g') AS title FROM customer",
     "node_label": "SELECT p_partkey, CASE WHEN length(trim(p_name)) > 12 THEN substr(trim(p_name), 1, 9) || '...' ELSE trim(p_name) END AS label FROM part",
     "half_of_text": "SELECT item_id, substr(text, 1, length(text) // 2) AS gold FROM benchmark",
+    "moderation_counts": """SELECT source, count(*) AS total, count(*) FILTER (coalesce(f, 0) = 0) AS safe, count(*) FILTER (coalesce(f, 0) <> 0) AS removed
+        FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS f FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id GROUP BY source""",
+    "result_shape": """WITH t AS (SELECT doc_id, (CASE doc_id % 8 WHEN 0 THEN '{"cursor": {"firstBatch": [{"id": ' || doc_id || '}]}}' WHEN 1 THEN '{"cursor": {"firstBatch": []}, "list": [1]}'
+            WHEN 2 THEN '{"firstBatch": [' || doc_id || ']}' WHEN 3 THEN '{"ok": 1, "n": ' || doc_id || '}' WHEN 4 THEN '{"ok": 1, "databases": [{"name": "' || coalesce(lang, '') || '"}]}'
+            WHEN 5 THEN '[{"id": ' || doc_id || '}, {"id": 2}]' WHEN 6 THEN '[' || doc_id || ', {"id": 1}]' ELSE '{"note": "[1]", "list": [[1]], "none": [null]}' END)::JSON AS j FROM documents)
+        SELECT doc_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), x -> json_type(x) <> 'OBJECT')) = 0
+            WHEN list_contains(json_keys(j), 'cursor') THEN coalesce(json_array_length(j, '$.cursor.firstBatch'), 0) > 0
+            WHEN list_contains(json_keys(j), 'firstBatch') THEN coalesce(json_array_length(j, '$.firstBatch'), 0) > 0
+            ELSE len(list_filter(json_extract(j, '$.*'), x -> json_type(x) = 'ARRAY' AND json_type(x, '$[0]') NOT IN ('ARRAY', 'NULL'))) > 0 END AS tabular FROM t""",
     "moderation_filter": "SELECT d.doc_id, source FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS f FROM labels GROUP BY doc_id) l USING (doc_id) WHERE coalesce(f, 0) = 0",
     "triple_expand": "SELECT * FROM (VALUES ('A', 'likes', 'B'), ('A', 'sees', 'C'), ('A', 'x', 'D'), ('A', 'y', 'D'), ('B', 'x', 'D'), ('B', 'y', 'D'), ('C', 'x', 'D'), ('C', 'y', 'D'), ('A', 'p', 'Q'), ('B', 'p', 'Q'), ('S', 'r', 'T')) v(s, r, o)",
     "triple_expand_rows": "SELECT s, r, o FROM (SELECT unnest(['d' || doc_id, source]) AS s, lang, n_chars::VARCHAR AS chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL), LATERAL (VALUES ('LANG', lang), ('CHARS', chars)) v(r, o) UNION ALL SELECT '[d' || doc_id, 'FROM', '[draft] ' || source FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL",

@@ -226,3 +226,24 @@ def save_triples(triples: DataFrame, chunk: str, path: str) -> None:
 
 def load_triples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("s string, r string, o string, chunk string").json(path)
+
+
+def save_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV with a header; quotes in texts are doubled, line breaks stay inside quotes. Replaces what is there."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", nullValue="\\N")
+
+
+def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``save_csv`` wrote; null and empty texts stay apart."""
+    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\\N")
+
+
+def save_tei(books: DataFrame, path: str, name: str = "path", tei: str = "tei") -> None:
+    """Each book as XML text with a declaration in a folder of its own below ``path``, ``name=...``; null texts are left out."""
+    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), F.col(tei)).alias("value")
+    books.where(F.col(tei).isNotNull()).select(name, text).write.mode("overwrite").partitionBy(name).text(path)
+
+
+def load_tei(spark: SparkSession, path: str) -> DataFrame:
+    """(value, name): the files that ``save_tei`` wrote, each whole if a book is one row."""
+    return spark.read.text(path, wholetext=True)
