@@ -378,10 +378,10 @@ SELECT conv_id, turn, CASE WHEN contains(text, '{END}') THEN trim(substr(text, 1
     "result_shape": """WITH t AS (SELECT doc_id, (CASE doc_id % 8 WHEN 0 THEN '{"cursor": {"firstBatch": [{"id": ' || doc_id || '}]}}' WHEN 1 THEN '{"cursor": {"firstBatch": []}, "list": [1]}'
             WHEN 2 THEN '{"firstBatch": [' || doc_id || ']}' WHEN 3 THEN '{"ok": 1, "n": ' || doc_id || '}' WHEN 4 THEN '{"ok": 1, "databases": [{"name": "' || coalesce(lang, '') || '"}]}'
             WHEN 5 THEN '[{"id": ' || doc_id || '}, {"id": 2}]' WHEN 6 THEN '[' || doc_id || ', {"id": 1}]' ELSE '{"note": "[1]", "list": [[1]], "none": [null]}' END)::JSON AS j FROM documents)
-        SELECT doc_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), x -> json_type(x) <> 'OBJECT')) = 0
+        SELECT doc_id, CASE WHEN json_type(j) = 'ARRAY' THEN json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0
             WHEN list_contains(json_keys(j), 'cursor') THEN coalesce(json_array_length(j, '$.cursor.firstBatch'), 0) > 0
             WHEN list_contains(json_keys(j), 'firstBatch') THEN coalesce(json_array_length(j, '$.firstBatch'), 0) > 0
-            ELSE len(list_filter(json_extract(j, '$.*'), x -> json_type(x) = 'ARRAY' AND json_type(x, '$[0]') NOT IN ('ARRAY', 'NULL'))) > 0 END AS tabular FROM t""",
+            ELSE len(list_filter(json_extract(j, '$.*'), lambda x: json_type(x) = 'ARRAY' AND json_type(x, '$[0]') NOT IN ('ARRAY', 'NULL'))) > 0 END AS tabular FROM t""",
     "moderation_filter": "SELECT d.doc_id, source FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS f FROM labels GROUP BY doc_id) l USING (doc_id) WHERE coalesce(f, 0) = 0",
     "triple_expand": "SELECT * FROM (VALUES ('A', 'likes', 'B'), ('A', 'sees', 'C'), ('A', 'x', 'D'), ('A', 'y', 'D'), ('B', 'x', 'D'), ('B', 'y', 'D'), ('C', 'x', 'D'), ('C', 'y', 'D'), ('A', 'p', 'Q'), ('B', 'p', 'Q'), ('S', 'r', 'T')) v(s, r, o)",
     "triple_expand_rows": "SELECT s, r, o FROM (SELECT unnest(['d' || doc_id, source]) AS s, lang, n_chars::VARCHAR AS chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL), LATERAL (VALUES ('LANG', lang), ('CHARS', chars)) v(r, o) UNION ALL SELECT '[d' || doc_id, 'FROM', '[draft] ' || source FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL",
