@@ -1,7 +1,8 @@
 """Graph statements: MATCH, CREATE, MERGE, SET, DELETE and RETURN over nodes and edges as DataFrames.
 
 Clauses work on a table of bindings, a struct column a variable, so a pattern is a chain of equi-joins on
-element ids and a WHERE between two patterns becomes a join key. Properties are JSON text by name, so
+element ids and a WHERE between two patterns becomes a join key. Under RETURN DISTINCT patterns without a common
+variable are first reduced to the different values that the statement asks for, so equal ones do not multiply. Properties are JSON text by name, so
 elements of one label may differ in their properties. What a statement writes is cut from its lineage
 once, as new ids are random. Every write makes a new frame of all nodes or edges.
 
@@ -43,12 +44,13 @@ class Value:
 
 @dataclass
 class Element:
-    """A node or an edge of a pattern; ``way``: -1 to the left, 1 to the right, 0 either."""
+    """A node or an edge of a pattern; ``way``: -1 to the left, 1 to the right, 0 either; ``tied``: its properties name variables."""
 
     name: str
     kinds: list[str] = field(default_factory=list)
     props: dict[str, Value] = field(default_factory=dict)
     way: int = 0
+    tied: bool = False
 
 
 def _plain(stored: Column) -> Column:
@@ -65,6 +67,10 @@ def _outside(names: Column):
     return lambda entry: ~F.array_contains(names, entry["key"])
 
 
+def _among(names: set[str]):
+    return lambda key, _: key.isin(*names)
+
+
 class _Reader:
     """Tokens of a statement, and the grammar's parts."""
 
@@ -77,6 +83,8 @@ class _Reader:
             self.tokens.append((m.lastindex, m[m.lastindex]))
             at = m.end()
         self.at, self.fresh = 0, count()
+        # (variable, property) of all expressions so far, without a property for the whole element
+        self.used, self.aggregates = [], False
 
     def is_next(self, *words: str) -> bool:
         """Whether signs or words, in any case, come next."""
@@ -174,13 +182,17 @@ class _Reader:
             return Value(shown, F.lit(json.dumps(v, ensure_ascii=False)), isinstance(v, int | float) and not isinstance(v, bool))
         name = self.word()
         if self.accept("."):
-            stored = F.col(f"`{name}`.props")[self.word()]
+            key = self.word()
+            self.used.append((name, key))
+            stored = F.col(f"`{name}`.props")[key]
             return Value(_plain(stored), stored)
         if not self.accept("("):
+            self.used.append((name, None))
             return Value(F.col(f"`{name}`"))
         return self.call(name.lower())
 
     def call(self, name: str) -> Value:
+        self.aggregates |= name in AGGREGATES
         if name == "count" and self.accept("*", ")"):
             return Value(F.count(F.lit(1)), number=True, aggregate=True)
         once = self.accept("DISTINCT")
@@ -214,7 +226,9 @@ class _Reader:
             while not self.accept("}"):
                 key = self.word()
                 self.expect(":")
+                seen = len(self.used)
                 out.props[key] = value = self.operand()
+                out.tied |= len(self.used) > seen
                 if value.stored is None:
                     raise SyntaxError(f"{key} needs a literal or a property")
                 self.accept(",")
@@ -234,6 +248,44 @@ class _Reader:
         return out
 
 
+def _asked(statement: str) -> dict[str, set[str | None]] | None:
+    """What a statement that reads asks of its variables: properties, and None for the whole element.
+
+    None instead if equal rows count: only RETURN DISTINCT without aggregates takes them as one.
+    """
+    r, names = _Reader(statement), []
+    while r.is_next("MATCH") or r.is_next("WHERE"):
+        if r.accept("WHERE"):
+            r.any_of()
+        elif r.accept("MATCH"):
+            names += [n for path in r.several(r.path) for n in {e.name for e in path}]
+    if not r.accept("RETURN", "DISTINCT"):
+        return None
+    r.several(lambda: (r.any_of(), r.accept("AS") and r.word()))
+    if r.aggregates:
+        return None
+    out: dict[str, set[str | None]] = {n: {None} for n in names if names.count(n) > 1}  # joined by its id
+    for name, key in r.used:
+        out.setdefault(name, set()).add(key)
+    return out
+
+
+def _reduced(bound: DataFrame, asked: dict[str, set[str | None]]) -> DataFrame:
+    """Each binding of what is asked for once, with no other variables and properties."""
+    kept = []
+    for name in (c for c in bound.columns if asked.get(c)):
+        of = F.col(f"`{name}`")
+        if None not in asked[name]:
+            empty = (F.lit(None).cast(f.dataType).alias(f.name) for f in bound.schema[name].dataType if f.name != "props")
+            of = F.struct(*empty, F.map_filter(of["props"], _among(asked[name])).alias("props"))
+        kept.append(of.alias(name))
+    rows = bound.select("__one", *kept)
+    # maps are no keys: elements are compared as text
+    own = [c for c in rows.columns if c != "__one"]
+    keys = [F.to_json(F.col(f"`{c}`")).alias(f"__as_{c}") for c in own]
+    return rows.groupBy("__one", *keys).agg(F.lit(0), *(F.any_value(f"`{c}`").alias(c) for c in own)).select("__one", *(f"`{c}`" for c in own))
+
+
 class Graph:
     """Nodes and edges that statements read and change; frames once handed out stay as they were."""
 
@@ -267,10 +319,14 @@ class Graph:
         r, bound = _Reader(statement), self.spark.range(1).select(F.lit(True).alias("__one"))
         if not r.tokens:
             return None
+        one, asked = bound, _asked(statement)
         while r.at < len(r.tokens):
             if r.accept("MATCH"):
                 for path in r.several(r.path):
-                    bound = self._match(bound, path)
+                    if asked is None or bound is one or any(e.tied or e.name in bound.columns for e in path):
+                        bound = self._match(bound, path)
+                    else:  # tied to the others by conditions alone
+                        bound = _reduced(bound, asked).crossJoin(_reduced(self._match(one, path), asked).drop("__one"))
             elif r.accept("WHERE"):
                 bound = bound.where(r.any_of().column)
             elif r.accept("CREATE"):

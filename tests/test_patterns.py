@@ -61,6 +61,28 @@ def test_values_joined_across_patterns(people):
     assert rows(people, "MATCH (p:Person) MATCH (s:Said) WHERE s.by = p.name RETURN p.name, collect(s.text) AS said") == [("Ann", ["a", "b"])]
 
 
+def test_distinct_reduces_patterns_before_they_meet(spark):
+    """100,000 nodes on either side of one value: 10^10 pairs before they were made one."""
+    n = 100_000
+    nodes = spark.range(2 * n).selectExpr("cast(id as string) AS element_id", f"if(id < {n}, concat('a', id % 3), concat('b', id)) AS name", f"if(id < {n}, 'left', 'right') AS label", "'x' AS town")
+    g = Graph.of(nodes, spark.createDataFrame([], "start_node_id string, rel_type string, end_node_id string"))
+    found = g.run("MATCH (a:left) MATCH (b:right) WHERE a.town = b.town RETURN DISTINCT a.name AS name")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3 and plan.index("Aggregate", plan.index("Join"))  # either side, and the whole
+    assert sorted(r.name for r in found.collect()) == ["a0", "a1", "a2"]
+
+
+@pytest.mark.parametrize("statement", [
+    "MATCH (x:Person), (y:Person) WHERE x.age > y.age RETURN DISTINCT x.name, y.name", "MATCH (x:Person) MATCH (y:Admin)-[r]->(z) WHERE x.name <> z.name RETURN DISTINCT elementId(x) AS x, type(r) AS t",
+    "MATCH (x:Person) MATCH (y:Admin) RETURN DISTINCT x.name", "MATCH (x:Person) MATCH (y:Nobody) RETURN DISTINCT x.name", "MATCH (x:Admin)-->(z) MATCH (y:Person {name: z.name}) RETURN DISTINCT x.name, y.age",
+    "MATCH (x)-->(y) MATCH (z)-->(w) MATCH (y)-->(z) RETURN DISTINCT x.name, w.name", "MATCH (x:Person) MATCH (y:Person) WHERE y.age IS NULL RETURN DISTINCT x.likes",
+])
+def test_distinct_equals_all_rows_made_one(people, statement):
+    every = people.run(statement.replace(" DISTINCT", ""))
+    want = {str(r) for r in every.collect()}
+    assert sorted(str(r) for r in people.run(statement).collect()) == sorted(want)
+
+
 def test_delete_order_and_limits(people):
     with pytest.raises(ValueError, match="edges"):
         people.run("MATCH (x {name: 'Ann'}) DELETE x")
