@@ -89,6 +89,15 @@ def node_label(name: Column, label: Column, width: int = 20) -> Column:
     return F.when(F.length(s) > width, F.concat(F.substring(s, 1, width - 3), F.lit("..."))).otherwise(s)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` to ``digits`` places: the product with their power of ten to the nearest whole number, as SQL engines and C round doubles.
+
+    ``F.round`` goes by the shortest decimal text instead: 18.775 may lie just below, and times 100 be 1877.4999999999998.
+    """
+    power = F.lit(10.0**digits)
+    return F.round(c * power) / power
+
+
 def chunk_id(story: Column, book: Column, chapter: Column, percent: Column) -> Column:
     """``story-S_book-B_chapter-C_p.ddddd``."""
     return F.concat(

@@ -26,6 +26,9 @@ def test_text_functions(spark):
     assert one(spark, Z.strip_fence(F.lit('```JSON\n{"a": 1}\n```'))) == '{"a": 1}'
     assert one(spark, Z.node_label(F.lit(None).cast("string"), F.lit("x" * 30))) == "x" * 17 + "..."
     assert one(spark, Z.chunk_id(F.lit(1), F.lit(2), F.lit(3), F.lit(25.0))) == "story-1_book-2_chapter-3_p.25000"
+    # 751 of 4000 characters: the double of 18.775 times 100 lies below 1877.5
+    assert one(spark, Z.chunk_id(F.lit(1), F.lit(2), F.lit(3), Z.rounded(F.lit(751) * 100 / F.lit(4000), 2))) == "story-1_book-2_chapter-3_p.18770"
+    assert [one(spark, Z.rounded(F.lit(x).cast("double"), 2)) for x in (18.785, -0.125, 3.0, None)] == [18.79, -0.13, 3.0, None]
     assert one(spark, Z.chapter_list(F.lit(" a \n\n b"))) == ["a", "b"]
 
 
