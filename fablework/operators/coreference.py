@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clauses import GROUPS, LETTERS, sentences
-from .tagger import TAGS, Model, best_paths, tokens, word_class
+from .tagger import TAGS, Model, best_paths, tokens, word_classes
 
 #: Words that begin a dependent or a relative clause, pronouns by what they agree with, words for persons.
 SUBORDINATORS = {"because", "although", "though", "while", "when", "where", "if", "unless", "whereas", "whether"}
@@ -112,7 +112,7 @@ def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str,
         for frame in frames:
             texts = [tokens(t) for t in frame["__text"]]
             spans = [(row, n, i, j) for row, words in enumerate(texts) for n, (i, j) in enumerate(sentences(words))]
-            paths = best_paths(model, [[word_class(w) for w in texts[row][i:j]] for row, _, i, j in spans])
+            paths = best_paths(model, [word_classes(texts[row][i:j]) for row, _, i, j in spans])
             found = [(row, n, k, subjects, initial, [{"r": r, "o": o} for r, o in facts])
                      for (row, n, i, j), path in zip(spans, paths, strict=True)
                      for k, (subjects, initial, facts) in enumerate(split(texts[row][i:j], [TAGS[t] for t in path]))]
