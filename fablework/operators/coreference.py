@@ -25,8 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, discard
 from .clauses import GROUPS, LETTERS, sentences
-from .tagger import TAGS, Model, best_paths, tokens, word_classes
+from .tagger import TAGS, Model, best_paths, dealt, tokens, word_classes
 
 #: Words that begin a dependent or a relative clause, pronouns by what they agree with, words for persons.
 SUBORDINATORS = {"because", "although", "though", "while", "when", "where", "if", "unless", "whereas", "whether"}
@@ -122,7 +123,7 @@ def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str,
 
     texts = segments.select(*kept, F.xxhash64(column).alias("__tie"), F.col(column).alias("__text")).where("__text <> ''")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("__text").schema)
-    return texts.mapInPandas(run, f"{names}, {_CLAUSE}")
+    return dealt(texts).mapInPandas(run, f"{names}, {_CLAUSE}")
 
 
 def _head(mention: Column) -> Column:
@@ -183,9 +184,12 @@ def linked(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     facts = facts.select("*", F.posexplode("facts").alias("__f", "fact")).select("*", F.posexplode("fact.o").alias("__g", "object_"))
     object_ = resolved(F.col("object_"), F.array_append("__subjects", F.col("__all")))
     object_ = F.when(_word(F.col("object_"), REFLEXIVES), F.col("__all")).otherwise(object_)
-    triples = facts.select(*keys, *at, "s", F.col("fact.r").alias("r"), object_.alias("o"))
+    triples, made = facts.select(*keys, *at, "s", F.col("fact.r").alias("r"), object_.alias("o")), None
     for column in ("s", "o"):
-        triples = _full_names(triples, keys, at, column)
+        # each is read twice, for its names and for its mentions
+        written = cut(triples)
+        discard(made)
+        triples, made = _full_names(written, keys, at, column), written
     return triples.select(*keys, *order, "sentence", "clause", "s", "r", "o")
 
 
@@ -206,4 +210,7 @@ def _full_names(triples: DataFrame, keys: list[str], at: list[str], column: str)
 
 def clause_triples(segments: DataFrame, keys: list[str], order: list[str], column: str, model: Model) -> DataFrame:
     """(keys, order, sentence, clause, s, r, o) of all texts: ``clauses``, then ``linked``."""
-    return linked(clauses(segments, keys, order, column, model), keys, order)
+    found = cut(clauses(segments, keys, order, column, model))
+    out = linked(found, keys, order)
+    discard(found)
+    return out

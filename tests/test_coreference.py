@@ -54,3 +54,11 @@ def test_texts_do_not_meet_and_long_ones_are_whole(spark):
     got = C.clause_triples(df, ["doc"], ["pos"], "text", T.Model.prior()).collect()
     assert [(r.s, r.r, r.o) for r in got if r.doc == 1] == [("She", "left", "castle")]
     assert sum((r.s, r.r, r.o) == ("king", "left", "house") for r in got) == 2000
+
+
+def test_sentences_are_read_once(spark):
+    """What is asked for twice is written: the result reads tables, and no Python runs for it again."""
+    df = spark.createDataFrame([(0, 0, "The queen saw Ann Lee. She left Ann.")], "doc int, pos int, text string")
+    got = C.clause_triples(df, ["doc"], ["pos"], "text", T.Model.prior())
+    assert "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 1
