@@ -11,6 +11,8 @@ If two halves together have not raised modularity they are taken back, and of th
 move that gain most of all that touch the communities they leave and join; such moves do not meet, so their gains
 add up. So each step raises modularity, and rounds end when no node gains, not at a number. Of equal
 gains the smallest community wins. Everything is joins and aggregations; only sums reach the driver. Reruns agree.
+Tables of nodes, communities and links are joined where their rows lie (``_kept``): a broadcast in each of many rounds
+would send each through the driver.
 """
 
 from __future__ import annotations
@@ -18,12 +20,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, discard
+from ..checkpoints import cut as _cut
+from ..checkpoints import discard
 
 METHODS = ("leiden", "louvain", "label_propagation")
 LEAST = 1e-9
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df``, never broadcast in a join."""
+    return df.hint("merge")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    made = _cut(df)
+    out = _kept(made)
+    out._folder = made._folder
+    return out
+
+
 def _weights(edges: DataFrame) -> DataFrame:
     """(a, b, w) both ways; a loop counts twice."""
     ends = edges.select(F.col("start_node_id").alias("a"), F.col("end_node_id").alias("b"))
@@ -33,6 +48,7 @@ def _weights(edges: DataFrame) -> DataFrame:
 def _best(links: DataFrame, strength: DataFrame, labels: DataFrame, total: float) -> DataFrame:
     """(a, was, c, gain): the community that each node of ``labels`` (a, c) fits best, and what it gains by it."""
     mass = labels.join(strength, "a").groupBy("c").agg(F.sum("k").alias("mass"))
+    labels, mass = _kept(labels), _kept(mass)
     to = links.where("a <> b").join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
     own = labels.withColumn("w", F.lit(0.0)).select("a", "c", "w")
     to = to.union(own).groupBy("a", "c").agg(F.sum("w").alias("w"))
@@ -54,7 +70,9 @@ def _apart(best: DataFrame) -> DataFrame:
     wants = best.where(F.col("gain") > LEAST)
     place = F.struct((-F.col("gain")).alias("g"), "a")
     touched = wants.select(place.alias("m"), F.explode(F.array("was", "c")).alias("t")).groupBy("t").agg(F.min("m").alias("m"))
+    touched = _kept(touched)
     first = wants.select("a", F.explode(F.array("was", "c")).alias("t")).join(touched, "t").groupBy("a").agg(F.bool_and(F.col("m.a") == F.col("a")).alias("first"))
+    first = _kept(first)
     return _moved(best.join(first, "a", "left"), F.coalesce("first", F.lit(False)))
 
 
@@ -86,23 +104,24 @@ def _settled(links: DataFrame, strength: DataFrame, labels: DataFrame, total: fl
             now = held[0].select("a", "c")
             has = _quality(links, strength, now, total)
         discard(*held[:-1], labels)
-        now._folder = held[-1]._folder
+        now._folder = held[-1]._folder  # a selection of a table that is kept
         labels, had = now, has
 
 
 def _refined(links: DataFrame, strength: DataFrame, labels: DataFrame, total: float) -> DataFrame:
     """(a, r): the part that each node belongs to of its community; parts are connected."""
-    of = labels.join(strength, "a").select("a", "c", "k")
-    all_of = of.groupBy("c").agg(F.sum("k").alias("all_k"))
+    labels = _kept(labels)
+    of = _kept(labels.join(strength, "a").select("a", "c", "k"))
+    all_of = _kept(of.groupBy("c").agg(F.sum("k").alias("all_k")))
     inside = links.where("a <> b").join(labels, "a").join(labels.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").where("c = d").select("a", "b", "w")
     inside = cut(inside)
-    nodes = cut(of.join(all_of, "c").join(inside.groupBy("a").agg(F.sum("w").alias("to_all")), "a").where(F.col("to_all") >= F.col("k") * (F.col("all_k") - F.col("k")) / total))
-    parts = labels.select("a", F.col("a").alias("r"))
+    nodes = cut(of.join(all_of, "c").join(_kept(inside).groupBy("a").agg(F.sum("w").alias("to_all")), "a").where(F.col("to_all") >= F.col("k") * (F.col("all_k") - F.col("k")) / total))
+    parts = labels.select("a", F.col("a").alias("r"))  # kept, as labels are
     number = 0
     while True:
         ends = inside.join(parts, "a").join(parts.select(F.col("a").alias("b"), F.col("r").alias("s")), "b")
         size = parts.join(of, "a").groupBy("r").agg(F.count("*").alias("n"), F.sum("k").alias("mass"), F.first("c").alias("c"))
-        out = ends.where("r <> s").groupBy("r").agg(F.sum("w").alias("out"))
+        out = _kept(ends.where("r <> s").groupBy("r").agg(F.sum("w").alias("out")))
         size = size.join(all_of, "c").join(out, "r").select("r", "n", "mass", (F.col("out") >= F.col("mass") * (F.col("all_k") - F.col("mass")) / total).alias("well"))
         size = cut(size)
         turn = lambda c: F.pmod(F.xxhash64(c, F.lit(number // 2)), F.lit(2)) == number % 2  # noqa: B023, E731
@@ -124,6 +143,7 @@ def _refined(links: DataFrame, strength: DataFrame, labels: DataFrame, total: fl
 
 def _connected(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, c): ``labels`` with each community split into its connected parts, named by their smallest nodes."""
+    labels = _kept(labels)
     at = links.where("a <> b").join(labels, "a").join(labels.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").where("c = d").select("a", "b")
     at, parts = cut(at), labels.select("a", F.col("a").alias("c"))
     while True:
@@ -142,7 +162,7 @@ def _connected(links: DataFrame, labels: DataFrame) -> DataFrame:
 def modularity(edges: DataFrame, members: DataFrame, column: str = "community_id") -> float:
     """Modularity of a partition of the undirected projection."""
     links = _weights(edges)
-    of = members.select(F.col("element_id").alias("a"), F.col(column).alias("c"))
+    of = _kept(members.select(F.col("element_id").alias("a"), F.col(column).alias("c")))
     met = links.join(of, "a").join(of.toDF("b", "d"), "b")
     total = links.agg(F.sum("w")).first()[0] or 1.0
     inside = met.where("c = d").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
@@ -158,7 +178,7 @@ def detect(nodes: DataFrame, edges: DataFrame, method: str = "louvain", multi_le
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    ids = nodes.select("element_id").distinct()
+    ids = _kept(nodes.select("element_id").distinct())
     if method == "label_propagation":
         from .graph import communities
 
@@ -169,7 +189,7 @@ def detect(nodes: DataFrame, edges: DataFrame, method: str = "louvain", multi_le
     total = links.agg(F.sum("w")).first()[0] or 1.0
     # which node of the level an element is part of, and its communities so far
     names = cut(ids.select("element_id", F.col("element_id").alias("a"), F.array().cast("array<string>").alias("found")))
-    first, labels, level = links, links.select("a").distinct().select("a", F.col("a").alias("c")), 0
+    first, labels, level = links, _kept(links.select("a").distinct().select("a", F.col("a").alias("c"))), 0
     made = [links, names]
     while max_levels is None or level < max_levels:
         strength = cut(links.groupBy("a").agg(F.sum("w").alias("k")))

@@ -163,13 +163,15 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
     """(element_id, community_id) by synchronous label propagation: the most frequent label of the neighbours
     and oneself, ties to the smallest; a fixed number of rounds at most. Every label is a node of its component."""
     both = edges.select(F.col("start_node_id").alias("a"), F.col("end_node_id").alias("b")).where("a <> b")
+    # neither links nor labels are broadcast: every round would send them through the driver
     both = _cut(both.union(both.select("b", "a")).distinct())
+    links = both.hint("merge")
     labels = nodes.select("element_id", F.col("element_id").alias("community_id")).distinct()
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("element_id", "b"), "b").select(F.col("a").alias("element_id"), "community_id").union(labels)
+        votes = links.join(labels.withColumnRenamed("element_id", "b"), "b").select(F.col("a").alias("element_id"), "community_id").union(labels)
         count = votes.groupBy("element_id", "community_id").agg(F.count("*").alias("n"))
         new = _cut(count.groupBy("element_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("community_id").alias("c"))).alias("m")).select("element_id", F.col("m.c").alias("community_id")))
-        same = new.join(labels.withColumnRenamed("community_id", "old"), "element_id").where("community_id <> old").isEmpty()
+        same = new.hint("merge").join(labels.withColumnRenamed("community_id", "old"), "element_id").where("community_id <> old").isEmpty()
         discard(labels)
         labels = new
         if same:

@@ -91,3 +91,13 @@ def test_moves_that_do_not_meet(spark):
     total = links.agg(F.sum("w")).first()[0]
     moved = C._apart(C._best(links, strength, labels, total))
     assert moved.where("a <> c").count() == 1  # all of them touch the hub's community
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    """Small tables too are joined without a broadcast, as in a large graph each round would send one."""
+    links = C.cut(spark.createDataFrame([("x", "y", 1.0), ("y", "x", 1.0)], "a string, b string, w double"))
+    strength = C.cut(links.groupBy("a").agg(F.sum("w").alias("k")))
+    labels = links.select("a", F.col("a").alias("c"))
+    best = C._best(links, strength, labels, 2.0)
+    for df in (best, C._apart(C.cut(best))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
