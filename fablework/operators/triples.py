@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_fence
+from .tagger import dealt
 
 
 def expand(s: Column, r: Column, o: Column) -> Column:
@@ -38,12 +39,14 @@ def parse(df: DataFrame, column: str) -> DataFrame:
     Whether a value is a list is told by its kind, not by how its text begins. Text that is no JSON gives no row.
     """
     item = "s string, subject string, r string, relation string, o string, object string, object_ string"
-    text = F.regexp_replace(F.regexp_replace(F.trim(F.col(column)), r"(?i)^```json\s*", ""), r"\s*```$", "")
-    wrapped = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    # reading JSON costs far more than reading rows, and each step's text is made once
+    rows = dealt(df.select(F.col(column).alias("__raw"))).select(strip_fence(F.col("__raw")).alias("__text"))
+    text, wrapped = F.col("__text"), F.col("__wrapped")
+    rows = rows.select(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))).alias("__wrapped"))
     # parsers stop after a value: what follows it would break a list or an object around it
     valid = F.try_parse_json(F.concat(F.lit("["), wrapped, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), wrapped, F.lit("}"))).isNotNull()
     items = F.when(valid, F.from_json(wrapped, "array<string>"))
-    x = df.select(F.explode(items).alias("item")).select(
+    x = rows.select(F.explode(items).alias("item")).select(
         F.from_json("item", item).alias("x"), F.from_json("item", "map<string,variant>").alias("kinds"), F.from_json(_nested_list(F.col("item")), "array<string>").alias("pairs"))
 
     def as_list(*names: str) -> Column:
@@ -88,6 +91,7 @@ def from_decoded(text: Column, delimiter: str = " ") -> Column:
 
 def parse_strict(df: DataFrame, column: str) -> DataFrame:
     """``parse`` that fails on text that is no JSON object or array, as a model's caller has to ask again."""
+    df = dealt(df.select(column))
     text = strip_fence(F.col(column))
     whole = F.try_parse_json(text)
     bad = whole.isNull() | ~F.schema_of_variant(whole).rlike("^(OBJECT|ARRAY)")

@@ -277,3 +277,10 @@ def test_quantile_is_exact(spark):
         want = np.quantile([v for g, v in rows if g == "a" and v is not None], q)
         assert abs(got["a"] - want) < 1e-12 and got["b"] == 4.0 and abs(got[None] - (1 + q)) < 1e-12 and "c" not in got
     assert tracking.quantile(df.limit(0), "g", "v", 0.5).count() == 0
+
+
+def test_parsing_is_spread_over_the_cores(spark):
+    """A small file is one part, but reading its JSON is not one task."""
+    df = spark.createDataFrame([('```json\n{"s": "a", "r": ["x", "y"], "o": "b"}\n```',)] * 100, "j string").coalesce(1)
+    got = triples.parse_strict(df, "j")
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 200
