@@ -107,3 +107,13 @@ def pack(segments: DataFrame, keys: list[str], limit: int = 1500, order: str = "
 def oversize(chunks: DataFrame, limit: int = 1500) -> DataFrame:
     """Chunks beyond the limit: single sentences that are longer."""
     return chunks.where(F.length("text") > limit)
+
+
+def oversize_sentences(segments: DataFrame, keys: list[str], limit: int = 1500) -> DataFrame:
+    """(keys, text): what ``oversize`` finds among the chunks of ``pack`` for a limit above 0, without packing.
+
+    A chunk is longer than the limit only if it is one sentence, of a segment that is longer, and each such sentence is a
+    chunk of its own. So every segment tells its own, and nothing is ordered, numbered or shuffled.
+    """
+    long = segments.where(F.length("text") > limit)
+    return oversize(long.select(*keys, F.explode(sentences(F.col("text"))).alias("text")), limit)

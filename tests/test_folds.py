@@ -74,3 +74,17 @@ def test_a_long_book_over_many_partitions(spark):
             want += [length] if length is not None else []
             length = n
     assert [r.n for r in made.selectExpr("chunk", "length(text) AS n").orderBy("chunk").collect()] == [*want, length]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 30])
+def test_oversize_sentences_are_the_oversize_chunks(spark, limit):
+    rnd = random.Random(limit)
+    text = lambda: " ".join("x" * rnd.randrange(0, 40) + rnd.choice(["", ".", "!  ", "?\n"]) for _ in range(rnd.choice([1, 2, 9])))
+    rows = [(k if k else None, i % 90, text() if i % 11 else None) for k in range(5) for i in range(100)]
+    df = spark.createDataFrame(rows, "k int, pos int, text string").repartition(5)
+    got = segments.oversize_sentences(df, ["k"], limit)
+    want = segments.oversize(segments.pack(df, ["k"], limit), limit).select("k", "text")
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert key(got) == key(want) != []
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Sort" not in plan
