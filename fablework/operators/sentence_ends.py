@@ -74,25 +74,42 @@ def abbreviation_score(word: Column, stops: Column, plain: Column, share: Column
 
 
 def _pairs(segments: DataFrame, column: str) -> DataFrame:
-    """(word, stop, next, large, inside): each word with the next one of its segment.
-
-    ``inside`` is false for the first word of a segment or after a mark that may end a sentence.
-    """
+    """(token, before, after): each token with its neighbours in its segment, empty at the ends."""
     tokens = F.filter(F.split(column, r"\s+"), lambda t: t != "")
-    each = segments.select(tokens.alias("t")).where("size(t) > 0")
+    each = segments.where(F.col(column).rlike(r"\S")).select(tokens.alias("t"))  # texts are not split once more for this
     shifted = F.concat(F.array(F.lit("")), F.slice("t", 1, F.size("t") - 1))
     following = F.concat(F.slice("t", 2, F.size("t")), F.array(F.lit("")))
-    rows = each.select(F.explode(F.arrays_zip(F.col("t").alias("token"), shifted.alias("before"), following.alias("after"))).alias("x")).select("x.*")
-    inside = (F.col("before") != "") & ~F.col("before").rlike(r"[.!?:]\P{L}*$")
-    return rows.select(word(F.col("token")).alias("word"), stopped(F.col("token")).alias("stop"), word(F.col("after")).alias("next"),
-                       _bare(F.col("token")).rlike(r"^\p{Lu}").alias("large"), inside.alias("inside")).where("word <> ''")
+    return each.select(F.explode(F.arrays_zip(F.col("t").alias("token"), shifted.alias("before"), following.alias("after"))).alias("x")).select("x.*")
+
+
+def _words(pairs: DataFrame) -> DataFrame:
+    """(word, n, stops, small, inside): how often each word is there, with a stop, not written large, and large inside a sentence.
+
+    ``inside`` is false for the first word of a segment or after a mark that may end a sentence. Equal tokens are counted
+    before anything is made of them, so patterns run once for each different token.
+    """
+    marked = F.col("before").rlike(r"[.!?:]")  # most have none: one pass over few letters
+    inside = (F.col("before") != "") & ~F.when(marked, F.col("before").rlike(r"[.!?:]\P{L}*$")).otherwise(False)
+    told = pairs.groupBy("token").agg(F.count("*").alias("n"), F.sum(inside.cast("long")).alias("inside"))
+    large = _bare(F.col("token")).rlike(r"^\p{Lu}")
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    # with the number in it, the condition stays behind the counting
+    rows = told.select(F.when(F.col("n") > 0, word(F.col("token"))).alias("word"), stopped(F.col("token")).alias("stop"), large.alias("large"), "n", "inside").where("word <> ''")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), of(F.col("stop")).alias("stops"), of(~F.col("large")).alias("small"),
+                                    F.sum(F.when(F.col("large"), F.col("inside")).otherwise(0)).alias("inside"))
+
+
+def _around(pairs: DataFrame) -> DataFrame:
+    """(word, next, both): how often a stopped word is followed by another; only tokens with a stop are read, equal ones once."""
+    told = pairs.where(F.contains("token", F.lit(".")) & (F.col("after") != "")).groupBy("token", "after").agg(F.count("*").alias("n"))
+    counted = lambda c: F.when(F.col("n") > 0, c)  # noqa: E731  as above
+    rows = told.where(counted(stopped(F.col("token")))).select(counted(word(F.col("token"))).alias("word"), counted(word(F.col("after"))).alias("next"), "n")
+    return rows.where("word <> '' AND next <> ''").groupBy("word", "next").agg(F.sum("n").alias("both"))
 
 
 def learn(segments: DataFrame, column: str = "text") -> Ends:
     """The tables of all texts in ``column``. Only words and pairs are shuffled, counted before; two numbers come to the driver."""
-    count = lambda c: F.sum(c.cast("long"))
-    words = cut(_pairs(segments, column).groupBy("word").agg(
-        F.count("*").alias("n"), count(F.col("stop")).alias("stops"), count(~F.col("large")).alias("small"), count(F.col("large") & F.col("inside")).alias("inside")))
+    words = cut(_words(_pairs(segments, column)))
     all_, stops = words.agg(F.sum("n"), F.sum("stops")).first()
     all_, stops = all_ or 0, stops or 0
     share, n = F.lit(stops / max(all_, 1)), F.lit(float(all_))
@@ -100,8 +117,7 @@ def learn(segments: DataFrame, column: str = "text") -> Ends:
     lettered = F.col("word").rlike(r"\p{L}") & (F.length("word") > 1)
     abbreviations = cut(words.where((F.col("stops") > 0) & (F.lit(stops) < F.lit(all_)) & lettered).where(score >= ABBREVIATION).select("word"))
 
-    around = _pairs(segments, column).where("stop AND next <> ''").groupBy("word", "next").agg(F.count("*").alias("both"))
-    around = cut(around.join(abbreviations.withColumn("short", F.lit(True)), "word", "left").na.fill(False, ["short"]))
+    around = cut(_around(_pairs(segments, column)).join(abbreviations.withColumn("short", F.lit(True)), "word", "left").na.fill(False, ["short"]))
     unsure = F.col("short") | (F.length("word") == 1) | (F.col("word") == NUMBER)
     total = words.select(F.col("word").alias("next"), F.col("n").alias("n_next"))
     broken = around.where(~unsure).agg(F.sum("both")).first()[0] or 0
@@ -122,7 +138,7 @@ def sentence_rows(segments: DataFrame, keys: list[str], ends: Ends, column: str
     # pieces are numbered by rows that are written, so that a task that is run again gives the same numbers
     rows = cut(segments.select(*keys, pieces.alias("p"), F.concat(gaps, F.array(F.lit(""))).alias("g")).where("p IS NOT NULL").withColumn("__row", F.monotonically_increasing_id()))
     rows = rows.select(*keys, "__row", F.size("p").alias("__of"), F.posexplode(F.arrays_zip("p", "g", F.concat(F.slice("p", 2, F.size("p")), F.array(F.lit(""))).alias("then"))).alias("__pos", "x"))
-    last, then = F.regexp_extract("x.p", r"(\S+)\s*$", 1), F.regexp_extract("x.then", r"^\s*(\S+)", 1)
+    last, then = F.regexp_extract("x.p", r"(?<!\S)(\S++)\s*+$", 1), F.regexp_extract("x.then", r"^\s*(\S+)", 1)
     rows = rows.select(*keys, "__row", "__pos", F.col("x.p").alias("__p"), F.col("x.g").alias("__g"), word(last).alias("__w"), word(then).alias("__n"),
                        last.rlike(r"\.$").alias("__stop"), _bare(then).rlike(r"^\p{Lu}").alias("__large"), _bare(then).rlike(r"^\p{Ll}").alias("__low"))
     flag = lambda d, on, name: d.select(*(F.col(a).alias(b) for a, b in on.items()), F.lit(True).alias(name))

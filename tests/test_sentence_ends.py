@@ -69,3 +69,20 @@ def test_odd_texts(spark):
     empty = df.limit(0)
     assert E.sentence_rows(empty, ["id"], E.learn(empty)).count() == 0
     assert S.sentence_rows(df.where("id = 4"), ["id"]).count() == 3
+
+
+def test_patterns_run_once_for_each_different_token(spark):
+    """No pattern of words stands below the first counting, and all counts equal those of single rows."""
+    df = spark.createDataFrame([(t,) for t in [*_corpus(), None, "  ", "Mr. (A b) ... Q."]], "text string")
+    pairs = E._pairs(df, "text")
+    plan = E._words(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    # plans are written from the top; the counting of tokens is the last Aggregate
+    assert r"\p{N}" in plan and r"\p{N}" not in plan[plan.rindex("Aggregate"):]
+    each = pairs.select(E.word(pairs.token).alias("word"), E.stopped(pairs.token).alias("stop"), E._bare(pairs.token).rlike(r"^\p{Lu}").alias("large"),
+                        ((pairs.before != "") & ~pairs.before.rlike(r"[.!?:]\P{L}*$")).alias("inside"), E.word(pairs.after).alias("next")).where("word <> ''").collect()
+    n, both = {}, Counter()
+    for r in each:
+        n[r.word] = [a + b for a, b in zip(n.get(r.word, [0] * 4), [1, r.stop, not r.large, r.large and r.inside], strict=True)]
+        both[r.word, r.next] += r.stop and r.next != ""
+    assert {r.word: [r.n, r.stops, r.small, r.inside] for r in E._words(pairs).collect()} == n
+    assert {(r.word, r.next): r.both for r in E._around(pairs).collect()} == {k: v for k, v in both.items() if v}
