@@ -122,29 +122,31 @@ def path_lengths(edges: DataFrame, start: str, most: int | None = None) -> DataF
     return out
 
 
-def _numbered(edges: DataFrame, block: int) -> DataFrame:
+def _numbered(edges: DataFrame, block: int, deg: DataFrame | None = None) -> DataFrame:
     """Edges with their number ``k`` among those of their start, and the start's ``out``.
 
     A start's edges are dealt by hash into blocks of about ``block``, so that a hub's are numbered by many tasks; only
-    the sizes of blocks are summed in order.
+    the sizes of a hub's blocks are summed in order. ``deg`` (start_node_id, out) is counted if it is not given.
     """
-    deg = edges.groupBy("start_node_id").agg(F.count("*").alias("out"))
+    deg = edges.groupBy("start_node_id").agg(F.count("*").alias("out")) if deg is None else deg
     dealt = F.pmod(F.xxhash64("rel_type", "end_node_id"), F.ceil(F.col("out") / block))
     e = edges.join(deg, "start_node_id").withColumn("at", dealt)
-    sizes = e.groupBy("start_node_id", "at").agg(F.count("*").alias("n"))
+    sizes = e.where(F.col("out") > block).groupBy("start_node_id", "at").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("start_node_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("start_node_id", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("start_node_id", "at").orderBy("rel_type", "end_node_id")) - 1
-    return e.withColumn("k", inside).join(sizes, ["start_node_id", "at"]).withColumn("k", F.col("k") + F.col("before")).drop("at", "before")
+    return e.withColumn("k", inside).join(sizes, ["start_node_id", "at"], "left").withColumn("k", F.col("k") + F.coalesce("before", F.lit(0))).drop("at", "before")
 
 
 def random_walk(edges: DataFrame, starts: DataFrame, length: int, walks: int = 1, seed: int = 0, block: int = 10_000) -> DataFrame:
     """Distinct edges of directed walks; each step is picked by a hash of (walk, step, seed), so reruns agree."""
-    numbered = _cut(_numbered(edges, block))
-    degrees = _cut(numbered.groupBy(F.col("start_node_id").alias("element_id")).agg(F.max("out").alias("out")))
+    edges = _cut(edges)  # read three times, made once
+    deg = _cut(edges.groupBy("start_node_id").agg(F.count("*").alias("out")))
+    numbered = _cut(_numbered(edges, block, deg))
+    degrees = deg.select(F.col("start_node_id").alias("element_id"), "out")
     at = starts.select("element_id").distinct().join(degrees, "element_id", "left_semi")
     at = at.select(F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("n"), "element_id").select(F.concat_ws("#", "element_id", "n").alias("walk"), "element_id")
-    out, made = None, [numbered, degrees]
+    out, made = None, [edges, deg, numbered]
     for i in range(length):
         # the number of the edge is part of the join's key, so walks that meet at a hub part at once
         pick = at.join(degrees, "element_id")

@@ -246,6 +246,30 @@ def test_tables_of_single_steps_are_deleted(spark, tmp_path, monkeypatch):
     assert left[:2] == [1, 1] and left[2] <= 4 and left[3] <= 5 and left[4] == 1
 
 
+def test_walks_make_their_edges_once(spark):
+    """The edges' plan, of joins and a distinct, was run for the degrees and again for the numbers."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    seen, rnd = spark.sparkContext.accumulator(0), random.Random(4)
+    rows = sorted({(f"n{rnd.randrange(30)}", "R", f"n{rnd.randrange(30)}") for _ in range(400)} | {("hub", "R", f"n{i}") for i in range(30)})
+    names = "start_node_id string, rel_type string, end_node_id string"
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    edges = spark.createDataFrame(rows, names).mapInPandas(counted, names)
+    starts = edges.select(F.col("start_node_id").alias("element_id")).distinct().localCheckpoint()
+    before = seen.value
+    walk = graph.random_walk(edges, starts, 3, block=7)
+    assert seen.value - before == len(rows) and set(map(tuple, walk.collect())) <= set(rows)
+    numbers = {(r.start_node_id, r.k): r.end_node_id for r in graph._numbered(spark.createDataFrame(rows, names), 7).collect()}
+    assert len(numbers) == len(rows) and {k for s, k in numbers if s == "hub"} == set(range(30))
+
+
 def test_fuzzy_join_compares_few_pairs(spark):
     import random
 
