@@ -12,6 +12,8 @@ and not ended by then leaves a row with the status ``expired`` and no id.
 
 from __future__ import annotations
 
+import pickle
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,40 +26,143 @@ from ..operators.tracking import REPORTED, checked
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EXPIRED = "expired"
+#: Groups that the keys are dealt to; a group's state is read and written at once.
+GROUPS = 1024
+#: Ids of reports that a key has in its group's value; of more, each value of the map has so many on average at most.
+HELD = 1024
+#: Stands for no time of a report, so that the column stays one of longs.
+MISSING = -(2**63)
+#: Rows of a frame that is handed back.
+ROWS = 10_000
+
+
+def _bits(n: int) -> int:
+    """``n`` ids of a key are held in 2 ** bits parts."""
+    return (max(n - 1, 0) // HELD).bit_length()
+
+
+def _part(report: int, bits: int) -> int:
+    """The part of an id, by the first bits of a product that spreads the ids."""
+    return (report * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+
+
+class _Seen:
+    """The ids of a key's reports: up to HELD in the group's value, of more only those parts are read that are asked for."""
+
+    def __init__(self, key: tuple, n: int, ids: bytes, states) -> None:
+        self.n, self.states, self.owner, self.bits, self.changed = n, states, pickle.dumps(key), _bits(n), set()
+        self.parts = {} if self.bits else {0: set(array("q", ids))}
+
+    def _read(self, part: int) -> set[int]:
+        if part not in self.parts:
+            held = self.states.getValue((self.owner, part))
+            self.parts[part] = set(array("q", bytes(held[0]))) if held else set()
+        return self.parts[part]
+
+    def add(self, report: int) -> bool:
+        """Whether the id is new."""
+        part = _part(report, self.bits) if self.bits else 0
+        ids = self._read(part)
+        if report in ids:
+            return False
+        ids.add(report)
+        self.changed.add(part)
+        self.n += 1
+        return True
+
+    def write(self) -> bytes:
+        """What belongs into the group's value; the rest goes to the map, dealt anew if there are more parts than before."""
+        bits = _bits(self.n)
+        if not bits:
+            return array("q", self.parts[0]).tobytes()
+        if bits > self.bits:
+            dealt: list[set[int]] = [set() for _ in range(2**bits)]
+            for part in range(2**self.bits):
+                for report in self._read(part):
+                    dealt[_part(report, bits)].add(report)
+            self.parts = dict(enumerate(dealt))
+            self.changed = set(self.parts)
+        for part in self.changed:
+            self.states.updateValue((self.owner, part), (array("q", self.parts[part]).tobytes(),))
+        return b""
+
+    def clear(self) -> None:
+        for part in range(2**self.bits if self.bits else 0):
+            self.states.removeKey((self.owner, part))
 
 
 class _Tracker(StatefulProcessor):
+    """The state of a group of keys. Each call to the state is a message to the JVM and each call of a method makes
+    frames, so both are made for a group, not for a key; all that is decided goes by the key.
+
+    ``held`` is the last status, its time, when it expires, the count of ids and the ids by key; ``timer`` the next timer.
+    """
+
     def __init__(self, keys: list[str], keep_ms: int) -> None:
         self.keys, self.keep_ms = keys, keep_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string, at long")
-        self.seen = handle.getMapState("seen", "report long", "n int")
+        self.group = handle.getValueState("group", "timer long, held binary")
+        self.seen = handle.getMapState("seen", "owner binary, part int", "ids binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values(["arrival", "report_id"])
-        was, since = self.last.get() if self.last.exists() else (None, None)
+        timer, held = self._held()
+        now: dict[tuple, list] = {}
         out = []
-        for report, status, at in zip(frame["report_id"].tolist(), frame["status"], frame["reported_at"].astype("Int64"), strict=True):
-            if self.seen.containsKey((report,)):
+        owners = zip(*(self._column(frame[f"key_{i}"]) for i in range(len(self.keys) + 1)), strict=True)
+        for owner, report, status, at, arrival in zip(owners, *(frame[c].tolist() for c in ("report_id", "status", "reported_at", "arrival")), strict=True):
+            task = now.get(owner)
+            if task is None:
+                was, since, _, n, ids = held.get(owner, (None, MISSING, 0, 0, b""))
+                task = now[owner] = [was, since, arrival, _Seen(owner, n, ids, self.seen)]
+            task[2] = arrival
+            if not task[3].add(report):
                 continue
-            self.seen.updateValue((report,), (1,))
-            at = None if pd.isna(at) else int(at)
-            ended = was == "started" and status in ("completed", "failed") and since is not None and at is not None
-            out.append((*key, report, status, was, (at - since) / 1e6 if ended else None))
-            was, since = status, at
-        self.last.update((was, since))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(int(frame["arrival"].max()) // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms)
+            was, since = task[0], task[1]
+            ended = was == "started" and status in ("completed", "failed") and since != MISSING and at != MISSING
+            out.append((*owner, report, status, was, (at - since) / 1e6 if ended else None))
+            task[0], task[1] = status, at
+            if len(out) >= ROWS:
+                yield self._rows(out)
+                out = []
+        mark = timerValues.getCurrentWatermarkInMs()
+        for owner, (was, since, arrival, seen) in now.items():
+            ids = seen.write()
+            held[owner] = (was, since, max(arrival // 1000, mark) + self.keep_ms, seen.n, ids)
+        self._keep(timer, held, min(held[owner][2] for owner in now))
         yield self._rows(out)
 
+    def _column(self, keys: pd.Series) -> list:
+        # as keys of a dict, NaNs would all differ; they come out as null
+        return [None if k != k else k for k in keys.tolist()] if keys.dtype.kind == "f" else keys.tolist()
+
+    def _held(self) -> tuple[int | None, dict[tuple, tuple]]:
+        timer, held = self.group.get() or (None, None)
+        return timer, pickle.loads(bytes(held)) if held else {}
+
+    def _keep(self, timer: int | None, held: dict[tuple, tuple], due: int) -> None:
+        """Writes the group; a timer is registered unless an earlier one is, which will look after the later ones."""
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.group.update((timer, pickle.dumps(held)))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        was = self.last.get()[0] if self.last.exists() else None
-        self.last.clear()
-        self.seen.clear()
-        yield self._rows([(*key, None, EXPIRED, was, None)] if was == "started" else [])
+        _, held = self._held()
+        gone = [owner for owner, task in held.items() if task[2] < timerValues.getCurrentWatermarkInMs()]
+        out = []
+        for owner in gone:
+            was, _, _, n, ids = held.pop(owner)
+            _Seen(owner, n, ids, self.seen).clear()
+            if was == "started":
+                out.append((*owner, None, EXPIRED, was, None))
+        if held:
+            self._keep(None, held, min(task[2] for task in held.values()))
+        else:
+            self.group.clear()
+        yield self._rows(out)
 
     def _rows(self, rows: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame(rows, columns=[*self.keys, "task", "report", "status", "was", "elapsed"])
@@ -88,20 +193,23 @@ def _micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def track(reports: DataFrame, known: DataFrame, keys: list[str], tasks: list[str], report: str, at: str, arrived: str, keep: str = "30 days", delay: str = "1 hour") -> DataFrame:
+def track(reports: DataFrame, known: DataFrame, keys: list[str], tasks: list[str], report: str, at: str, arrived: str, keep: str = "30 days", delay: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """A stream of (keys, task, report, status, code, was, elapsed): a row for each report, for append mode.
 
     ``reports`` is a stream of keys, task, status, the id ``report`` and the times ``at`` and ``arrived``; ``known`` a
-    table of the keys that exist. Start the query in ``rocks``. Names with a leading underscore do not reach the state.
+    table of the keys that exist. Start the query in ``rocks``. The state is held by ``groups`` groups of keys, fixed for a
+    checkpoint: a batch rewrites the state of all groups that it has a key of, so very many keys ask for more groups.
     """
     judged = checked(_whole(reports, report, arrived), known, keys, tasks, REPORTED)
+    owner = [*keys, "task"]
     good = judged.where("code = 200").select(
-        *keys, "task", "status", F.col(report).cast("long").alias("report_id"), _micros(at).alias("reported_at"), _micros(arrived).alias("arrival"), F.col(arrived).cast("timestamp").alias("arrival_time"))
+        *(F.col(k).alias(f"key_{i}") for i, k in enumerate(owner)), F.pmod(F.xxhash64(*owner), F.lit(groups)).cast("int").alias("key_group"),
+        F.col(report).cast("long").alias("report_id"), "status", F.coalesce(_micros(at), F.lit(MISSING)).alias("reported_at"), _micros(arrived).alias("arrival"), F.col(arrived).cast("timestamp").alias("arrival_time"))
     good = good.withWatermark("arrival_time", delay)
     kinds = dict(reports.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "task string, report long, status string, was string, elapsed double"])
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    kept = good.groupBy(*keys, "task").transformWithStateInPandas(_Tracker(keys, keep_ms), schema, "Append", "EventTime").withColumn("code", F.lit(200))
+    kept = good.groupBy("key_group").transformWithStateInPandas(_Tracker(keys, keep_ms), schema, "Append", "EventTime").withColumn("code", F.lit(200))
     bad = judged.where("code <> 200").select(*keys, "task", F.col(report).cast("long").alias("report"), "status", F.lit(None).cast("string").alias("was"), F.lit(None).cast("double").alias("elapsed"), "code")
     return kept.unionByName(bad)
 

@@ -1,6 +1,10 @@
 """The tracker's stream, stopped and started again between batches, against the batch and a plain loop."""
 
+from collections import Counter
 from datetime import datetime, timedelta
+from types import SimpleNamespace
+
+import pandas as pd
 
 from fablework.streaming import tracker as T
 
@@ -50,3 +54,82 @@ def test_a_start_that_nothing_follows_expires(spark, tmp_path):
     assert ("x", "a", None, T.EXPIRED, "started", None, 200) in got
     assert ("x", "a", 5, "completed", None, None, 200) in got and ("y", "a", 3, "completed", "started", 300.0, 200) in got
     assert sum(r[3] == T.EXPIRED for r in got) == 1
+
+
+def test_keys_of_one_group_expire_each_by_its_own_time(spark, tmp_path):
+    batches = [[("x", "a", "started", 1, t(0), t(0)), ("y", "a", "started", 2, t(0), t(0)), ("x", "b", "completed", 6, t(0), t(0))], [("y", "a", "started", 3, t(5), t(50))],
+               [("y", "b", "started", 4, t(70), t(70))], [("x", "a", "completed", 5, t(71), t(71))], [("y", "b", "failed", 7, t(100), t(130))], [("y", "b", "failed", 7, t(100), t(131))]]
+    _, got = fed(spark, tmp_path, batches, keep="1 hour", delay="1 minute", groups=1)
+    assert [r[:3] for r in got if r[3] == T.EXPIRED] == [("x", "a", None), ("y", "a", None)]
+    assert ("x", "a", 5, "completed", None, None, 200) in got and ("y", "a", 3, "started", "started", None, 200) in got and ("y", "b", 7, "failed", "started", 1800.0, 200) in got
+    assert len(got) == 9
+
+
+class Handle:
+    """The state of one group in memory; counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = Counter(), {}, set()
+
+    def counted(self, name, f):
+        def call(*args):
+            self.calls[name] += 1
+            return f(*args)
+
+        return call
+
+    def getValueState(self, name, schema):  # noqa: N802
+        v = self.values
+        return SimpleNamespace(exists=self.counted("exists", lambda: name in v), get=self.counted("get", lambda: v.get(name)), update=self.counted("update", lambda x: v.__setitem__(name, x)), clear=self.counted("clear", lambda: v.pop(name, None)))
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        m = self.values.setdefault(f"map {name}", {})
+        return SimpleNamespace(containsKey=self.counted("containsKey", lambda k: k in m), getValue=self.counted("getValue", m.get), updateValue=self.counted("updateValue", m.__setitem__), removeKey=self.counted("removeKey", lambda k: m.pop(k, None)))
+
+    def listTimers(self):  # noqa: N802
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls["registerTimer"] += 1
+        self.timers.add(at)
+
+
+def at_watermark(ms):
+    return SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+
+def batch(rows):
+    """Rows of (key, report, status, minute) as the state gets them, in two frames."""
+    frame = pd.DataFrame([(k, "a", 0, i, s, m * 60_000_000, m * 60_000_000, t(m)) for k, i, s, m in rows], columns=["key_0", "key_1", "key_group", "report_id", "status", "reported_at", "arrival", "arrival_time"])
+    return [frame[::2], frame[1::2]]
+
+
+def test_a_batch_asks_little_of_the_state_however_many_keys_and_reports_it_has():
+    handle, tracker = Handle(), T._Tracker(["chunk"], 10**12)
+    tracker.init(handle)
+    for start in (0, 20):
+        out = pd.concat(tracker.handleInputRows((0,), batch([(f"k{k}", k * 1000 + m, "started", m) for k in range(50) for m in range(start, start + 21)]), at_watermark(0)))
+        assert len(out) == 50 * (21 if start == 0 else 20)
+    assert sum(handle.calls.values()) <= 6 and handle.calls["registerTimer"] == 1
+
+
+def test_a_key_with_many_reports_reads_only_the_parts_that_hold_their_ids():
+    handle, tracker, seen, n = Handle(), T._Tracker(["chunk"], 60_000), set(), 0
+    tracker.init(handle)
+    for size in (T.HELD, 1, 5 * T.HELD, 3 * T.HELD, 2):
+        ids = [i << 20 for i in range(max(0, n - 100), n + size)]
+        out = pd.concat(tracker.handleInputRows((0,), batch([("hot", i, "failed", n + j) for j, i in enumerate(ids)] + [("cold", -n - 1, "started", n)]), at_watermark(0)))
+        assert sorted(out["report"]) == sorted({*ids, -n - 1} - seen)
+        seen |= {*ids, -n - 1}
+        n += size
+    handle.calls.clear()
+    assert list(pd.concat(tracker.handleInputRows((0,), batch([("hot", 0, "failed", n), ("hot", n << 20, "failed", n)]), at_watermark(0)))["report"]) == [n << 20]
+    assert handle.calls["getValue"] <= 2 and handle.calls["updateValue"] == 1
+    # hot is reported to later than cold: it stays, and goes with all its parts when its own time has come
+    out = list(tracker.handleExpiredTimer((0,), at_watermark(n * 60_000 + 60_000), None))
+    assert [tuple(r) for r in pd.concat(out)[["chunk", "status", "was"]].itertuples(index=False)] == [("cold", T.EXPIRED, "started")] and handle.values["map seen"]
+    assert max(handle.timers) == n * 60_000 + 60_000
+    assert pd.concat(tracker.handleExpiredTimer((0,), at_watermark(n * 60_000 + 60_001), None)).empty and handle.values == {"map seen": {}}
