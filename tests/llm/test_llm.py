@@ -138,6 +138,26 @@ def test_neighbours(spark):
     assert len(got) == 60 and neighbours.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_neighbours_in_many_cells_without_a_broadcast(spark, monkeypatch):
+    """Queries of many groups meet candidates of many parts; nothing is sent to the driver, however many blocks."""
+    monkeypatch.setattr(neighbours, "CANDIDATES_A_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERIES_A_BLOCK", 4)
+    monkeypatch.setattr(neighbours, "HELD", 100, raising=False)
+    x = np.random.default_rng(5).normal(size=(500, 6)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (None, x[7].tolist())]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+        out = neighbours.search(df, F.col("id") % 7 == 0, 3)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect() if r.query_id != 7)
+        y, want = np.array([*x, x[7]]).astype("f4" if kind == "float" else "f8").astype(float), []
+        for q in range(0, 500, 7):
+            d = sorted((float(neighbours.exact(y[[q]], y[[i]])[0]), i if i < 500 else 7) for i in range(501) if i != q)
+            want += [(q, k + 1, i, s) for k, (s, i) in enumerate(d[:3])] if q != 7 else []
+        assert got == want
+        assert [r.score for r in out.where("query_id = 7 AND rank = 1").collect()] == [0.0, 0.0]
+
+
 def test_toxicity(spark, odd, none):
     rnd = random.Random(4)
     said = []
