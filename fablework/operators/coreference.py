@@ -5,7 +5,8 @@ subject is the noun group before them, then what is left once they are taken out
 its object, and further objects with their prepositions: ``(Ann, went to, London)``. Verbs joined by a conjunction share
 their subjects; a conjunction before a noun group with a verb of its own begins another clause.
 
-Links are made inside a text, whose segments may lie in many rows, by running windows over its clauses:
+Links are made inside a text, whose segments may lie in many rows. Tasks that split sentences note each segment's clauses in
+a row; these meet by text and in order, and are read once, with what the pronouns and names seen so far stand for:
 
 * A pronoun of the third person stands for the latest subject of an earlier clause that agrees with it, without one
   for the latest object that does; an object does not stand for a subject of its own clause. Names agree with *he*, *she* and, if nothing plural came before, *they* alike, as a name does
@@ -13,21 +14,27 @@ Links are made inside a text, whose segments may lie in many rows, by running wi
 * A name of one word stands for the latest longer name of which it is a word, its own clause's included.
 
 What finds nothing stays as it is written; so do *I*, *you* and *we*. Null and empty texts give no row. Repeated segments
-with equal keys and order are taken one after the other, by their text.
+with equal keys and order are taken one after the other, by their text; equal ones clause by clause.
 """
 
 from __future__ import annotations
 
+import marshal
 import re
 from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import lru_cache
+from itertools import chain
+from unicodedata import category
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, discard
+from ..checkpoints import cut
 from .clauses import GROUPS, LETTERS, sentences
-from .tagger import TAGS, Model, best_paths, dealt, tokens, word_classes
+from .tagger import KNOWN, TAGS, Model, Paths, dealt, tokens, uncollected, word_classes
 
 #: Words that begin a dependent or a relative clause, pronouns by what they agree with, words for persons.
 SUBORDINATORS = {"because", "although", "though", "while", "when", "where", "if", "unless", "whereas", "whether"}
@@ -50,42 +57,53 @@ MAIN = re.compile(rf"(?P<s>N(?:CN)*)(?:PN)*(?P<rest>{_VERB}(?:U?C{_VERB})*)")
 VERB = re.compile(rf"V(?P<o>(?:{_OBJECTS}){{0,2}})(?P<p>(?:P{_OBJECTS})*)")
 AFTER_PREPOSITION = re.compile(rf"P(?P<o>{_OBJECTS})")
 
-_CLAUSE = "sentence int, clause int, subjects array<string>, initial boolean, facts array<struct<r: string, o: array<string>>>"
+#: Shapes of sentences that a task keeps, their longest, characters read at once, and triples of a batch of the result.
+SHAPES, LONGEST, CHARACTERS, ROWS = 100_000, 40, 4_000_000, 50_000
+_TAG_LETTERS = bytes(ord(LETTERS[t]) for t in TAGS).ljust(256, b"?")
 
 
-def split(words: list[str], tags: list[str]) -> list[tuple[list[str], bool, list[tuple[str, list[str]]]]]:
-    """The clauses of one sentence: subjects, whether the first begins the sentence, and facts (relation, objects).
+class _Marks(dict):
+    """1 for words that begin a dependent clause, 2 for those that may begin a relative one, else 0."""
 
-    A clause without an object has one fact without objects: its verb.
-    """
-    letters = [LETTERS[t] for t in tags]
-    for i, w in enumerate(words):
-        if w.lower() in SUBORDINATORS:
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        made = self[word] = 1 if (w := word.lower()) in SUBORDINATORS else 2 if w in RELATIVES else 0
+        return made
+
+
+_mark = _Marks().__getitem__
+
+
+def _marked(line: str, marks: bytes) -> str:
+    """Letters of a sentence's tags with ``b`` for words that begin a dependent clause and ``w`` a relative one."""
+    letters = list(line)
+    for i, mark in enumerate(marks):
+        if mark == 1:
             letters[i] = "b"
-        elif w.lower() in RELATIVES and 0 < i < len(words) - 1 and letters[i - 1] in "nmu" and letters[i + 1] in "vxr":
+        elif mark == 2 and 0 < i < len(letters) - 1 and letters[i - 1] in "nmu" and letters[i + 1] in "vxr":
             letters[i] = "w"
-    line = "".join(letters)
-    groups = [(m.lastgroup if line[m.start()] != "w" else "W", m.start(), m.end()) for m in GROUPS.finditer(line)]
+    return "".join(letters)
 
-    def text(g: int) -> str:
-        kind, i, j = groups[g]
-        if kind == "N" and line[i] in "dp" and j - i > 1:
-            i += 1
-        return " ".join(w for w, x in zip(words[i:j], line[i:j], strict=True) if kind != "V" or x != "r")
 
+def _clauses_of(kinds: str) -> list[tuple[list[int], list[tuple[int, int, list[int]]]]]:
+    """The clauses of a sentence by the numbers of its groups: subjects, and facts of a verb, a preposition or -1, and objects.
+
+    A clause without an object has one fact without objects: its verb.
+    """
     out = []
 
     def read(kinds: str, at: list[int], subject: tuple[int, int], rest: tuple[int, int]) -> None:
-        listed = lambda span: [text(at[g]) for g in range(*span) if kinds[g] == "N"]
+        listed = lambda span: [at[g] for g in range(*span) if kinds[g] == "N"]
         facts = []
         for part in VERB.finditer(kinds, *rest):
-            verb = text(at[part.start()])
-            found = [(verb, listed(part.span("o")))] if part["o"] else []
-            found += [(f"{verb} {text(at[p.start()])}", listed(p.span("o"))) for p in AFTER_PREPOSITION.finditer(kinds, *part.span("p"))]
-            facts += found or [(verb, [])]
-        out.append((groups[at[subject[0]]][1], listed(subject), facts))
+            verb = at[part.start()]
+            found = [(verb, -1, listed(part.span("o")))] if part["o"] else []
+            found += [(verb, at[p.start()], listed(p.span("o"))) for p in AFTER_PREPOSITION.finditer(kinds, *part.span("p"))]
+            facts += found or [(verb, -1, [])]
+        out.append((listed(subject), facts))
 
-    kinds, at = "".join(k for k, *_ in groups), list(range(len(groups)))
+    whole, at = kinds, list(range(len(kinds)))
     left, start = [], 0
     while m := RELATIVE.search(kinds, start):
         read(kinds, at, m.span("s"), m.span("rest"))
@@ -99,118 +117,227 @@ def split(words: list[str], tags: list[str]) -> list[tuple[list[str], bool, list
             last = kinds.rfind("N", inner.start("rest"), start)
             inner = RELATIVE.match(kinds, last) if last >= 0 else None
     left += range(start, len(kinds))
-    kinds, at = "".join(kinds[g] for g in left), left
+    kinds, at = "".join(whole[g] for g in left), left
     for m in MAIN.finditer(kinds):
         read(kinds, at, m.span("s"), m.span("rest"))
-    return [(subjects, place == 0, facts) for place, subjects, facts in sorted(out, key=lambda c: c[0])]
+    return sorted(out, key=lambda c: c[0][0])
 
 
-def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str, model: Model) -> DataFrame:
-    """(keys, order, sentence, clause, subjects, initial, facts) of every sentence, numbered in its segment from 0."""
-    kept = [*keys, *order]
+def _shape(line: str) -> list[tuple[list, bool, list[tuple]]]:
+    """The clauses of a sentence by the places of their words: subjects, whether the first begins the sentence, and facts."""
+    groups = [(m.lastgroup if line[m.start()] != "w" else "W", m.start(), m.end()) for m in GROUPS.finditer(line)]
+
+    def at(g: int) -> slice | list[int]:
+        kind, i, j = groups[g]
+        if kind == "V":
+            return [k for k in range(i, j) if line[k] != "r"] if "r" in line[i:j] else slice(i, j)
+        return slice(i + 1 if line[i] in "dp" and j - i > 1 else i, j)
+
+    return [([at(g) for g in subjects], subjects[0] == 0, [(at(v), at(p) if p >= 0 else None, [at(g) for g in objects]) for v, p, objects in facts])
+            for subjects, facts in _clauses_of("".join([k for k, *_ in groups]))]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [tokens(t) for t in frame["__text"]]
-            spans = [(row, n, i, j) for row, words in enumerate(texts) for n, (i, j) in enumerate(sentences(words))]
-            paths = best_paths(model, [word_classes(texts[row][i:j]) for row, _, i, j in spans])
-            found = [(row, n, k, subjects, initial, [{"r": r, "o": o} for r, o in facts])
-                     for (row, n, i, j), path in zip(spans, paths, strict=True)
-                     for k, (subjects, initial, facts) in enumerate(split(texts[row][i:j], [TAGS[t] for t in path]))]
-            made = pd.DataFrame(found, columns=["__row", "sentence", "clause", "subjects", "initial", "facts"])
-            own = frame[[*kept, "__tie"]].iloc[made["__row"].to_numpy(int)].reset_index(drop=True)
-            yield own.assign(**{c: made[c] for c in made.columns[1:]})
 
-    texts = segments.select(*kept, F.xxhash64(column).alias("__tie"), F.col(column).alias("__text")).where("__text <> ''")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("__text").schema)
-    return dealt(texts).mapInPandas(run, f"{names}, {_CLAUSE}")
+_known_shape = lru_cache(SHAPES)(_shape)
 
 
-def _head(mention: Column) -> Column:
-    return F.element_at(F.split(mention, " "), -1)
+def _read(words: list[str], line: str) -> list[tuple[list[str], bool, list[tuple[str, list[str]]]]]:
+    """The clauses of one sentence, of which ``line`` has the words' letters."""
+    text = lambda at: " ".join(words[at] if type(at) is slice else [words[k] for k in at])
+    return [([text(x) for x in subjects], initial, [(text(v) if p is None else f"{text(v)} {text(p)}", [text(x) for x in objects]) for v, p, objects in facts])
+            for subjects, initial, facts in (_known_shape if len(line) <= LONGEST else _shape)(line)]
 
 
-def _word(mention: Column, listed: str | list[str]) -> Column:
-    return F.lower(mention).isin(listed.split() if isinstance(listed, str) else listed)
+def split(words: list[str], tags: list[str]) -> list[tuple[list[str], bool, list[tuple[str, list[str]]]]]:
+    """The clauses of one sentence: subjects, whether the first begins the sentence, and facts (relation, objects)."""
+    return _read(words, _marked("".join(LETTERS[t] for t in tags), bytes(map(_mark, words))))
 
 
-def _agrees(mention: Column, name: Column) -> dict[str, Column]:
-    """Which pronouns a mention agrees with; a pronoun agrees with none."""
-    head = F.lower(_head(mention))
-    noun = ~_word(mention, [p for ps in PRONOUNS.values() for p in ps.split()] + REFLEXIVES + OTHERS)
-    plural = ~name & (head.endswith("s") & ~head.endswith("ss") | head.isin("men", "women", "people", "children"))
-    person = {k: head.isin(v.split()) for k, v in PERSONS.items()}
-    someone = name | person["both"]
-    return {
-        "he": noun & ~plural & (someone | person["he"]), "she": noun & ~plural & (someone | person["she"]),
-        "it": noun & ~plural & ~name & ~person["he"] & ~person["she"] & ~person["both"], "they": noun & plural,
-    }
+def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str, model: Model) -> DataFrame:
+    """(keys, order, __tie, __at, __told) of every segment that has clauses.
 
+    Of a segment's rows that with ``__at`` 1 tells its clauses, as (sentence, clause, subjects, initial, facts), that with 0 the last
+    words of subjects that it has in small letters: all of a text's are asked for before its first clause.
+    """
+    kept = [*keys, *order, "__tie"]
+
+    def read(batch: pa.RecordBatch, paths: Paths) -> pa.RecordBatch:
+        texts = [tokens(t) for t in batch.column("__text").to_pylist()]
+        spans = [(row, n, i, j) for row, words in enumerate(texts) for n, (i, j) in enumerate(sentences(words))]
+        said = [texts[row][i:j] for row, _, i, j in spans]
+        line = paths.of([word_classes(words) for words in said]).translate(_TAG_LETTERS).decode("ascii")
+        marks = bytes(map(_mark, chain.from_iterable(said)))
+        told: dict[int, list] = {}
+        start = 0
+        for (row, n, _, _), words in zip(spans, said, strict=True):
+            end = start + len(words)
+            own = line[start:end]
+            if marks.count(0, start, end) < len(words):
+                own = _marked(own, marks[start:end])
+            if found := _read(words, own):
+                told.setdefault(row, []).extend((n, k, *c) for k, c in enumerate(found))
+            start = end
+        small = {row: sorted({h.lower() for c in cs if not _upper(h := c[2][0].rsplit(" ", 1)[-1])}) for row, cs in told.items()}
+        rows = [(row, 0, marshal.dumps(heads)) for row, heads in small.items() if heads] + [(row, 1, marshal.dumps(cs)) for row, cs in told.items()]
+        own = batch.select(kept).take(pa.array([r for r, _, _ in rows], pa.int32()))
+        made = pa.array([at for _, at, _ in rows], pa.int32()), pa.array([b for _, _, b in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([*own.columns, *made], names=[*kept, "__at", "__told"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = Paths(model)
+        with uncollected():
+            for batch in batches:
+                size = np.cumsum(pc.utf8_length(batch.column("__text")).to_numpy(zero_copy_only=False)) // CHARACTERS
+                cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    yield read(batch.slice(i, j - i), paths)
+
+    texts = segments.select(*keys, *order, F.xxhash64(column).alias("__tie"), F.col(column).alias("__text")).where("__text <> ''")
+    return dealt(texts).mapInArrow(run, texts.select(*kept, F.lit(0).alias("__at"), F.lit(b"").alias("__told")).schema)
+
+
+@lru_cache(KNOWN)
+def _upper(word: str) -> bool:
+    return category(word[0]) == "Lu"
+
+
+_NO_NOUNS = {p for ps in PRONOUNS.values() for p in ps.split()} | {*REFLEXIVES, *OTHERS}
+_HE, _SHE, _BOTH = ({*PERSONS[k].split()} for k in ("he", "she", "both"))
+_PRONOUN = {word: p for p, listed in PRONOUNS.items() for word in listed.split()}
+
+
+@lru_cache(KNOWN)
+def _agrees(head: str, name: bool, alone: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether a mention with this last word agrees with *he*, *she*, *it*, *they*; a pronoun agrees with none."""
+    head = head.lower()
+    if alone and head in _NO_NOUNS:
+        return False, False, False, False
+    if not name and (head.endswith("s") and not head.endswith("ss") or head in ("men", "women", "people", "children")):
+        return False, False, False, True
+    someone = name or head in _BOTH
+    return someone or head in _HE, someone or head in _SHE, not (someone or head in _HE or head in _SHE), False
+
+
+@lru_cache(KNOWN)
+def _name_words(mention: str) -> tuple[str, ...]:
+    """The words of a name of several words, none of what is no such name."""
+    words = mention.split(" ")
+    return tuple(words) if len(words) > 1 and all(map(_upper, words)) else ()
+
+
+class _Text:
+    """What the mentions of one text stand for, clause by clause."""
+
+    def __init__(self) -> None:
+        self.small: set[str] = set()
+        # of each pronoun the mentions that it may stand for, best first
+        self.stands: dict[str, list[str | None]] = {"he": [None, None], "she": [None, None], "it": [None, None], "they": [None, None, None]}
+        self.names: tuple[dict[str, str], dict[str, str]] = {}, {}
+
+    def resolved(self, mention: str, but: tuple | list = ()) -> str:
+        p = _PRONOUN.get(mention.lower())
+        return mention if p is None else next((x for x in self.stands[p] if x is not None and x not in but), mention)
+
+    def meet(self, subjects: list[str], initial: bool, facts: list[tuple[str, list[str]]]) -> list[tuple[str, str, str]]:
+        """The clause's triples, by what came before it."""
+        out, last, stands = [], None, self.stands
+        own = [self.resolved(m) for m in subjects]
+        whole = " and ".join(own)
+        for r, objects in facts:
+            for o in objects:
+                last = o
+                linked = whole if o.lower() in REFLEXIVES else self.resolved(o, [*own, whole])
+                out += [(s, r, linked) for s in own]
+        s = subjects[0]
+        head, alone = s.rsplit(" ", 1)[-1], " " not in s
+        # a first word is written large in any case: it is no name if the text has it small, or if it is a plural
+        first = initial and alone and (head.lower() in self.small or s.lower().endswith("s"))
+        he, she, it, they = _agrees(head, _upper(head) and not first, alone)
+        if len(subjects) > 1:
+            stands["they"][0] = " and ".join(subjects)
+        else:
+            for p, fits in (("he", he), ("she", she), ("it", it), ("they", they)):
+                if fits:
+                    stands[p][0] = s
+            if he or she:
+                stands["they"][2] = s
+        if last is not None:
+            head = last.rsplit(" ", 1)[-1]
+            for p, fits in zip(PRONOUNS, _agrees(head, _upper(head), " " not in last), strict=True):
+                if fits:
+                    stands[p][1] = last
+        return out
 
-def _named(mention: Column) -> Column:
-    return F.substring(_head(mention), 1, 1).rlike(r"\p{Lu}")
+    def named(self, triples: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+        """Names of one word become the latest longer name of the text that has this word: subjects first, then objects."""
+        for column, names in ((0, self.names[0]), (2, self.names[1])):
+            for name in sorted({x for t in triples for x in (t[0], t[2]) if " " in x and _name_words(x)}):
+                names.update(dict.fromkeys(_name_words(name), name))
+            if names:
+                triples = [(*t[:column], names.get(t[column], t[column]), *t[column + 1 :]) for t in triples]
+        return triples
 
 
 def linked(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, order, sentence, clause, s, r, o): the facts of ``clauses`` with their mentions linked, one row a triple."""
-    at = [*order, "__tie", "sentence", "clause"]
-    objects = F.flatten(F.transform("facts", lambda f: f["o"]))
-    rows = found.withColumns({"__s": F.get("subjects", F.lit(0)), "__o": F.element_at(F.when(F.size(objects) > 0, objects), -1)})
-    # a first word is written large in any case: it is no name if the text has it small, or if it is a plural
-    small = Window.partitionBy(*keys, F.lower(_head(F.col("__s"))))
-    seen = F.max((~_named(F.col("__s"))).cast("int")).over(small) == 1
-    first = F.col("initial") & ~F.contains("__s", F.lit(" ")) & (seen | F.lower("__s").endswith("s"))
-    rows = rows.withColumn("__name", _named(F.col("__s")) & ~first)
-    earlier = Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    latest = lambda fits, what: F.last(F.when(fits, F.col(what)), ignorenulls=True).over(earlier)
-    subject, object_ = _agrees(F.col("__s"), F.col("__name")), _agrees(F.col("__o"), _named(F.col("__o")))
-    one = F.size("subjects") == 1
-    many = F.when(~one, F.array_join("subjects", " and ")).when(subject["they"], F.col("__s"))
-    # of each pronoun the mentions that it may stand for, best first
-    stands = {p: [latest(subject[p] & one, "__s"), latest(object_[p], "__o")] for p in ("he", "she", "it")}
-    stands["they"] = [F.last(many, ignorenulls=True).over(earlier), latest(object_["they"], "__o"), latest((subject["he"] | subject["she"]) & one, "__s")]
-    rows = rows.withColumns({f"__{p}": F.array_compact(F.array(*c)) for p, c in stands.items()})
-
-    def resolved(mention: Column, but: Column | None = None) -> Column:
-        out = mention
-        for p, listed in PRONOUNS.items():
-            may = F.col(f"__{p}") if but is None else F.array_except(f"__{p}", but)
-            out = F.when(_word(mention, listed), F.coalesce(F.get(may, F.lit(0)), mention)).otherwise(out)
-        return out
+    """(keys, order, sentence, clause, s, r, o): the facts of ``clauses`` with their mentions linked, one row a triple.
 
-    rows = rows.withColumn("__subjects", F.transform("subjects", lambda m: resolved(m)))
-    rows = rows.withColumn("__all", F.array_join("__subjects", " and "))
-    facts = rows.select(*keys, *at, "__subjects", "__all", F.explode("__subjects").alias("s"), "facts", *(f"__{p}" for p in PRONOUNS))
-    facts = facts.select("*", F.posexplode("facts").alias("__f", "fact")).select("*", F.posexplode("fact.o").alias("__g", "object_"))
-    object_ = resolved(F.col("object_"), F.array_append("__subjects", F.col("__all")))
-    object_ = F.when(_word(F.col("object_"), REFLEXIVES), F.col("__all")).otherwise(object_)
-    triples, made = facts.select(*keys, *at, "s", F.col("fact.r").alias("r"), object_.alias("o")), None
-    for column in ("s", "o"):
-        # each is read twice, for its names and for its mentions
-        written = cut(triples)
-        discard(made)
-        triples, made = _full_names(written, keys, at, column), written
-    return triples.select(*keys, *order, "sentence", "clause", "s", "r", "o")
-
-
-def _full_names(triples: DataFrame, keys: list[str], at: list[str], column: str) -> DataFrame:
-    """Names of one word in ``column`` become the latest longer name of the text that has this word."""
-    row = F.struct(*triples.columns)
-    place = F.struct(*at)
-    words = F.split("name", " ")
-    names = triples.select(*keys, place.alias("__at"), F.explode(F.array("s", "o")).alias("name")).where(F.contains("name", F.lit(" ")))
-    names = names.where(F.forall(words, lambda w: w.rlike(r"^\p{Lu}"))).distinct()
-    names = names.select(*keys, "__at", F.explode(F.array_distinct(words)).alias("__word"), "name")
-    asked = triples.select(*keys, place.alias("__at"), F.col(column).alias("__word"), row.alias("__row"))
-    both = names.unionByName(asked, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys, "__word").orderBy("__at", F.col("__row").isNotNull(), "name").rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("__full", F.last("name", ignorenulls=True).over(upto)).where("__row IS NOT NULL")
-    return met.select("__row.*", "__full").withColumn(column, F.coalesce("__full", column)).drop("__full")
+    A text is read in one task, in order; the task holds the words of its names and of its subjects in small letters.
+    """
+    kept, place = [*keys, *order], [*order, "__tie"]
+    columns = {"sentence": pa.int32(), "clause": pa.int32(), "s": pa.string(), "r": pa.string(), "o": pa.string()}
+
+    def equal(a: tuple, b: tuple) -> bool:
+        return all(x == y or x != x and y != y for x, y in zip(a, b, strict=True))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(batch, row, key, at, told, copies): equal segments at one place are one; the bytes of equal ones may differ."""
+        held = had = None
+        for batch in batches:
+            told, ats = batch.column("__told").to_pylist(), batch.column("__at").to_pylist()
+            values = [batch.column(c).to_pylist() for c in (*keys, *place)]
+            for i, (at, bits, all_) in enumerate(zip(ats, told, zip(*values, strict=True), strict=True)):
+                if held and held[3] == at and equal(had, all_) and marshal.loads(held[4]) == marshal.loads(bits):
+                    held[5] += 1
+                    continue
+                if held:
+                    yield held
+                held, had = [batch, i, all_[: len(keys)], at, bits, 1], all_
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = key = source = None
+        rows, made = [], []
+
+        def batch_of() -> pa.RecordBatch:
+            arrays = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), columns.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([*source.select(kept).take(pa.array(rows, pa.int32())).columns, *arrays], names=[*kept, *columns])
+
+        with uncollected():
+            for batch, i, own, at, bits, copies in runs(batches):
+                if made and (batch is not source or len(made) >= ROWS):
+                    yield batch_of()
+                    rows, made = [], []
+                source = batch
+                if text is None or not equal(key, own):
+                    text, key = _Text(), own
+                if at == 0:
+                    text.small.update(marshal.loads(bits))
+                    continue
+                for sentence, clause, subjects, initial, facts in marshal.loads(bits):
+                    triples = [t for _ in range(copies) for t in text.meet(subjects, initial, facts)]
+                    if triples:
+                        triples = text.named(triples)
+                        rows += [i] * len(triples)
+                        made += [(sentence, clause, *t) for t in triples]
+            if made:
+                yield batch_of()
+
+    parts = 4 * found.sparkSession.sparkContext.defaultParallelism
+    texts = (found.repartition(parts, *keys) if keys else found.repartition(1)).sortWithinPartitions(*keys, "__at", *place)
+    word, number = F.lit(""), F.lit(0)
+    return texts.mapInArrow(run, texts.select(*kept, number.alias("sentence"), number.alias("clause"), word.alias("s"), word.alias("r"), word.alias("o")).schema)
 
 
 def clause_triples(segments: DataFrame, keys: list[str], order: list[str], column: str, model: Model) -> DataFrame:
     """(keys, order, sentence, clause, s, r, o) of all texts: ``clauses``, then ``linked``."""
-    found = cut(clauses(segments, keys, order, column, model))
-    out = linked(found, keys, order)
-    discard(found)
-    return out
+    return cut(linked(clauses(segments, keys, order, column, model), keys, order))

@@ -62,3 +62,25 @@ def test_sentences_are_read_once(spark):
     got = C.clause_triples(df, ["doc"], ["pos"], "text", T.Model.prior())
     assert "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 1
+
+
+def test_a_text_is_read_once_in_order(spark, monkeypatch):
+    """Clauses meet by text and nothing more; windows and two more tables were made of them before."""
+    written = []
+    monkeypatch.setattr(C, "cut", lambda df, cut=C.cut: written.append(df) or cut(df))
+    df = spark.createDataFrame([(0, 0, "The queen saw Ann Lee."), (0, 1, "She saw Ann.")], "doc int, pos int, text string")
+    assert [(r.s, r.r, r.o) for r in C.clause_triples(df, ["doc"], ["pos"], "text", T.Model.prior()).collect()] == [("queen", "saw", "Ann Lee")] * 2
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and "Window" not in plan and plan.count("Repartition") == 2
+
+
+def test_places_may_be_missing_repeated_or_no_numbers(spark):
+    """Equal segments at one place are read clause by clause; places and keys come back as they are."""
+    nan = float("nan")
+    rows = [(None, nan, "He left it."), (None, None, "Bob Lee saw the house."), (2**60 + 1, 0.0, "She left. Ann Lee saw the man."), (2**60 + 1, 0.0, "She left. Ann Lee saw the man."),
+            (2**60 + 1, 1.0, "She saw Ann."), (2**60 + 3, 1.0, "She saw Ann.")]
+    df = spark.createDataFrame(rows, "doc long, pos double, text string").repartition(3)
+    got = C.clause_triples(df, ["doc"], ["pos"], "text", T.Model.prior()).collect()
+    assert sorted((str(r.doc), str(r.pos), r.s, r.r, r.o) for r in got) == sorted([
+        ("None", "None", "Bob Lee", "saw", "house"), ("None", "nan", "Bob Lee", "left", "house"), (str(2**60 + 1), "0.0", "Ann Lee", "saw", "man"), (str(2**60 + 1), "0.0", "Ann Lee", "saw", "man"),
+        (str(2**60 + 1), "1.0", "Ann Lee", "saw", "Ann Lee"), (str(2**60 + 3), "1.0", "She", "saw", "Ann")])
