@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from .clauses import GROUPS, LETTERS, sentences
-from .tagger import KNOWN, TAGS, Model, Paths, dealt, tokens, uncollected, word_classes
+from .clauses import ENDS, GROUPS, LETTERS
+from .tagger import KNOWN, TAGS, Model, Paths, dealt, flat_classes, tokens, uncollected
 
 #: Words that begin a dependent or a relative clause, pronouns by what they agree with, words for persons.
 SUBORDINATORS = {"because", "although", "though", "while", "when", "where", "if", "unless", "whereas", "whether"}
@@ -63,19 +63,20 @@ _TAG_LETTERS = bytes(ord(LETTERS[t]) for t in TAGS).ljust(256, b"?")
 
 
 class _Marks(dict):
-    """1 for words that begin a dependent clause, 2 for those that may begin a relative one, else 0."""
+    """1 for words that begin a dependent clause, 2 for those that may begin a relative one, 3 for marks that end a sentence."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN:
             self.clear()
-        made = self[word] = 1 if (w := word.lower()) in SUBORDINATORS else 2 if w in RELATIVES else 0
+        w = word.lower()
+        made = self[word] = 1 if w in SUBORDINATORS else 2 if w in RELATIVES else 3 if w in ENDS else 0
         return made
 
 
 _mark = _Marks().__getitem__
 
 
-def _marked(line: str, marks: bytes) -> str:
+def _marked(line: str, marks: list[int]) -> str:
     """Letters of a sentence's tags with ``b`` for words that begin a dependent clause and ``w`` a relative one."""
     letters = list(line)
     for i, mark in enumerate(marks):
@@ -87,10 +88,7 @@ def _marked(line: str, marks: bytes) -> str:
 
 
 def _clauses_of(kinds: str) -> list[tuple[list[int], list[tuple[int, int, list[int]]]]]:
-    """The clauses of a sentence by the numbers of its groups: subjects, and facts of a verb, a preposition or -1, and objects.
-
-    A clause without an object has one fact without objects: its verb.
-    """
+    """The clauses of a sentence by the numbers of its groups: subjects, and facts of a verb, a preposition or -1, and objects."""
     out = []
 
     def read(kinds: str, at: list[int], subject: tuple[int, int], rest: tuple[int, int]) -> None:
@@ -98,14 +96,15 @@ def _clauses_of(kinds: str) -> list[tuple[list[int], list[tuple[int, int, list[i
         facts = []
         for part in VERB.finditer(kinds, *rest):
             verb = at[part.start()]
-            found = [(verb, -1, listed(part.span("o")))] if part["o"] else []
-            found += [(verb, at[p.start()], listed(p.span("o"))) for p in AFTER_PREPOSITION.finditer(kinds, *part.span("p"))]
-            facts += found or [(verb, -1, [])]
+            if part["o"]:
+                facts.append((verb, -1, listed(part.span("o"))))
+            if part["p"]:
+                facts += [(verb, at[p.start()], listed(p.span("o"))) for p in AFTER_PREPOSITION.finditer(kinds, *part.span("p"))]
         out.append((listed(subject), facts))
 
     whole, at = kinds, list(range(len(kinds)))
     left, start = [], 0
-    while m := RELATIVE.search(kinds, start):
+    while m := "W" in kinds and RELATIVE.search(kinds, start):
         read(kinds, at, m.span("s"), m.span("rest"))
         left += range(start, m.start("whole"))
         # the last object of a relative clause may be the subject of the next one
@@ -148,36 +147,41 @@ def _read(words: list[str], line: str) -> list[tuple[list[str], bool, list[tuple
 
 
 def split(words: list[str], tags: list[str]) -> list[tuple[list[str], bool, list[tuple[str, list[str]]]]]:
-    """The clauses of one sentence: subjects, whether the first begins the sentence, and facts (relation, objects)."""
-    return _read(words, _marked("".join(LETTERS[t] for t in tags), bytes(map(_mark, words))))
+    """The clauses of one sentence: subjects, whether the first begins the sentence, and facts (relation, objects), none without objects."""
+    return _read(words, _marked("".join(LETTERS[t] for t in tags), [*map(_mark, words)]))
 
 
 def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str, model: Model) -> DataFrame:
     """(keys, order, __tie, __at, __told) of every segment that has clauses.
 
-    Of a segment's rows that with ``__at`` 1 tells its clauses, as (sentence, clause, subjects, initial, facts), that with 0 the last
-    words of subjects that it has in small letters: all of a text's are asked for before its first clause.
+    Of a segment's rows that with ``__at`` 1 tells its clauses, as (sentence, clause, subjects, initial, facts, asks), that with 0 the last
+    words of subjects that it has in small letters: all of a text's are asked for before its first clause. Clauses without facts whose
+    mentions are replaced by others' before any is asked for are left out.
     """
     kept = [*keys, *order, "__tie"]
 
     def read(batch: pa.RecordBatch, paths: Paths) -> pa.RecordBatch:
         texts = [tokens(t) for t in batch.column("__text").to_pylist()]
-        spans = [(row, n, i, j) for row, words in enumerate(texts) for n, (i, j) in enumerate(sentences(words))]
-        said = [texts[row][i:j] for row, _, i, j in spans]
-        line = paths.of([word_classes(words) for words in said]).translate(_TAG_LETTERS).decode("ascii")
-        marks = bytes(map(_mark, chain.from_iterable(said)))
+        words, classes, text_ends = flat_classes(texts)
+        marks = np.fromiter(map(_mark, words), np.int8, len(words))
+        last = marks == 3
+        last[text_ends - 1] = True
+        ends = np.flatnonzero(last) + 1
+        rows = np.flatnonzero([bool(t) for t in texts])[np.searchsorted(text_ends, ends)]
+        first = np.searchsorted(rows, rows)
+        line = paths.of(classes, ends).translate(_TAG_LETTERS).decode("ascii")
+        marked = {*np.searchsorted(ends, np.flatnonzero((marks == 1) | (marks == 2)), "right").tolist()}
         told: dict[int, list] = {}
         start = 0
-        for (row, n, _, _), words in zip(spans, said, strict=True):
-            end = start + len(words)
+        for n, (row, end, before) in enumerate(zip(rows.tolist(), ends.tolist(), first.tolist(), strict=True)):
             own = line[start:end]
-            if marks.count(0, start, end) < len(words):
-                own = _marked(own, marks[start:end])
-            if found := _read(words, own):
-                told.setdefault(row, []).extend((n, k, *c) for k, c in enumerate(found))
+            if n in marked:
+                own = _marked(own, marks[start:end].tolist())
+            if found := _read(words[start:end], own):
+                told.setdefault(row, []).extend([(n - before, k, *c) for k, c in enumerate(found)])
             start = end
-        small = {row: sorted({h.lower() for c in cs if not _upper(h := c[2][0].rsplit(" ", 1)[-1])}) for row, cs in told.items()}
-        rows = [(row, 0, marshal.dumps(heads)) for row, heads in small.items() if heads] + [(row, 1, marshal.dumps(cs)) for row, cs in told.items()]
+        small = {row: [*{h.lower() for c in cs if not _upper(h := c[2][0].rsplit(" ", 1)[-1])}] for row, cs in told.items()}
+        rows = [(row, 0, marshal.dumps(heads)) for row, heads in small.items() if heads] + [(row, 1, marshal.dumps(_needed(cs))) for row, cs in told.items()]
         own = batch.select(kept).take(pa.array([r for r, _, _ in rows], pa.int32()))
         made = pa.array([at for _, at, _ in rows], pa.int32()), pa.array([b for _, _, b in rows], pa.binary())
         return pa.RecordBatch.from_arrays([*own.columns, *made], names=[*kept, "__at", "__told"])
@@ -202,19 +206,49 @@ def _upper(word: str) -> bool:
 
 _NO_NOUNS = {p for ps in PRONOUNS.values() for p in ps.split()} | {*REFLEXIVES, *OTHERS}
 _HE, _SHE, _BOTH = ({*PERSONS[k].split()} for k in ("he", "she", "both"))
+_ASKED = {p for ps in PRONOUNS.values() for p in ps.split()} | {*REFLEXIVES}
 _PRONOUN = {word: p for p, listed in PRONOUNS.items() for word in listed.split()}
 
 
 @lru_cache(KNOWN)
-def _agrees(head: str, name: bool, alone: bool) -> tuple[bool, bool, bool, bool]:
-    """Whether a mention with this last word agrees with *he*, *she*, *it*, *they*; a pronoun agrees with none."""
+def _agrees(head: str, name: bool, alone: bool) -> tuple[str, ...]:
+    """The pronouns that a mention with this last word agrees with; a pronoun agrees with none."""
     head = head.lower()
     if alone and head in _NO_NOUNS:
-        return False, False, False, False
+        return ()
     if not name and (head.endswith("s") and not head.endswith("ss") or head in ("men", "women", "people", "children")):
-        return False, False, False, True
-    someone = name or head in _BOTH
-    return someone or head in _HE, someone or head in _SHE, not (someone or head in _HE or head in _SHE), False
+        return ("they",)
+    he, she = (name or head in _BOTH or head in _own for _own in (_HE, _SHE))
+    return (("he",) if he else ()) + (("she",) if she else ()) or ("it",)
+
+
+def _replaces(subjects: list[str], initial: bool, facts: list) -> set[str] | None:
+    """What a clause certainly becomes the latest mention for: subjects by their pronoun, objects with a mark; None if that is open."""
+    s, out = subjects[0], set()
+    if facts:
+        last = facts[-1][1][-1]
+        head = last.rsplit(" ", 1)[-1]
+        out = {f"{p}'" for p in _agrees(head, _upper(head), " " not in last)}
+    if len(subjects) > 1:
+        return out | {"they"}
+    head, alone = s.rsplit(" ", 1)[-1], " " not in s
+    if initial and alone and _upper(head):
+        return None
+    fits = _agrees(head, _upper(head), alone)
+    return out | {*fits} | ({"one"} if "he" in fits or "she" in fits else set())
+
+
+def _needed(found: list[tuple]) -> list[tuple]:
+    """A segment's clauses without those whose mentions nothing can stand for, with whether they ask for any."""
+    out, later = [], set()
+    for n, k, subjects, initial, facts in reversed(found):
+        asks = bool(facts) and any(m.lower() in _ASKED for ms in (subjects, *(o for _, o in facts)) for m in ms)
+        made = _replaces(subjects, initial, facts)
+        if not facts and made is not None and made <= later:
+            continue
+        out.append((n, k, subjects, initial, facts, asks))
+        later = set() if asks else later | (made or set())  # a clause asks before its own mentions count
+    return out[::-1]
 
 
 @lru_cache(KNOWN)
@@ -237,34 +271,34 @@ class _Text:
         p = _PRONOUN.get(mention.lower())
         return mention if p is None else next((x for x in self.stands[p] if x is not None and x not in but), mention)
 
-    def meet(self, subjects: list[str], initial: bool, facts: list[tuple[str, list[str]]]) -> list[tuple[str, str, str]]:
+    def meet(self, subjects: list[str], initial: bool, facts: list[tuple[str, list[str]]], asks: bool) -> list[tuple[str, str, str]]:
         """The clause's triples, by what came before it."""
-        out, last, stands = [], None, self.stands
-        own = [self.resolved(m) for m in subjects]
-        whole = " and ".join(own)
-        for r, objects in facts:
-            for o in objects:
-                last = o
-                linked = whole if o.lower() in REFLEXIVES else self.resolved(o, [*own, whole])
-                out += [(s, r, linked) for s in own]
+        out, stands = [], self.stands
+        if asks:
+            own = [self.resolved(m) for m in subjects]
+            whole = " and ".join(own)
+            but = [*own, whole]
+            out = [(s, r, whole if o.lower() in REFLEXIVES else self.resolved(o, but)) for r, objects in facts for o in objects for s in own]
+        elif facts:
+            out = [(s, r, o) for r, objects in facts for o in objects for s in subjects]
         s = subjects[0]
         head, alone = s.rsplit(" ", 1)[-1], " " not in s
+        name = _upper(head)
         # a first word is written large in any case: it is no name if the text has it small, or if it is a plural
-        first = initial and alone and (head.lower() in self.small or s.lower().endswith("s"))
-        he, she, it, they = _agrees(head, _upper(head) and not first, alone)
+        if name and initial and alone and (head.lower() in self.small or head.lower().endswith("s")):
+            name = False
         if len(subjects) > 1:
             stands["they"][0] = " and ".join(subjects)
         else:
-            for p, fits in (("he", he), ("she", she), ("it", it), ("they", they)):
-                if fits:
-                    stands[p][0] = s
-            if he or she:
+            for p in (fits := _agrees(head, name, alone)):
+                stands[p][0] = s
+            if "he" in fits or "she" in fits:
                 stands["they"][2] = s
-        if last is not None:
+        if facts:
+            last = facts[-1][1][-1]
             head = last.rsplit(" ", 1)[-1]
-            for p, fits in zip(PRONOUNS, _agrees(head, _upper(head), " " not in last), strict=True):
-                if fits:
-                    stands[p][1] = last
+            for p in _agrees(head, _upper(head), " " not in last):
+                stands[p][1] = last
         return out
 
     def named(self, triples: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
@@ -323,8 +357,8 @@ def linked(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
                 if at == 0:
                     text.small.update(marshal.loads(bits))
                     continue
-                for sentence, clause, subjects, initial, facts in marshal.loads(bits):
-                    triples = [t for _ in range(copies) for t in text.meet(subjects, initial, facts)]
+                for sentence, clause, subjects, initial, facts, asks in marshal.loads(bits):
+                    triples = [t for _ in range(copies) for t in text.meet(subjects, initial, facts, asks)]
                     if triples:
                         triples = text.named(triples)
                         rows += [i] * len(triples)

@@ -84,3 +84,15 @@ def test_places_may_be_missing_repeated_or_no_numbers(spark):
     assert sorted((str(r.doc), str(r.pos), r.s, r.r, r.o) for r in got) == sorted([
         ("None", "None", "Bob Lee", "saw", "house"), ("None", "nan", "Bob Lee", "left", "house"), (str(2**60 + 1), "0.0", "Ann Lee", "saw", "man"), (str(2**60 + 1), "0.0", "Ann Lee", "saw", "man"),
         (str(2**60 + 1), "1.0", "Ann Lee", "saw", "Ann Lee"), (str(2**60 + 3), "1.0", "She", "saw", "Ann")])
+
+
+def test_clauses_that_nothing_asks_for_are_left_out():
+    """A mention that another replaces before a pronoun asks is not kept; one that a clause itself asks for is."""
+    said = ["The man walked.", "The boy walked.", "He saw the dog.", "The dog arrived.", "It saw the girl."]
+    words = [T.tokens(t) for t in said]
+    paths = T.best_paths(T.Model.prior(), [[T.word_class(w) for w in ws] for ws in words])
+    found = [(n, k, *c) for n, (ws, path) in enumerate(zip(words, paths, strict=True)) for k, c in enumerate(C.split(ws, [T.TAGS[t] for t in path]))]
+    assert [n for n, *_ in found] == [0, 1, 2, 3, 4]
+    assert [(n, c[-1]) for n, *c in C._needed(found)] == [(1, False), (2, True), (3, False), (4, True)]
+    text = C._Text()
+    assert [t for _, _, *c in C._needed(found) for t in text.meet(*c)] == [("boy", "saw", "dog"), ("dog", "saw", "girl")]
