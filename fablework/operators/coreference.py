@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from .clauses import ENDS, GROUPS, LETTERS
-from .tagger import KNOWN, TAGS, Model, Paths, dealt, flat_classes, tokens, uncollected
+from .tagger import TAGS, Model, Paths, dealt, flat_classes, tokens, uncollected
 
 #: Words that begin a dependent or a relative clause, pronouns by what they agree with, words for persons.
 SUBORDINATORS = {"because", "although", "though", "while", "when", "where", "if", "unless", "whereas", "whether"}
@@ -57,8 +57,8 @@ MAIN = re.compile(rf"(?P<s>N(?:CN)*)(?:PN)*(?P<rest>{_VERB}(?:U?C{_VERB})*)")
 VERB = re.compile(rf"V(?P<o>(?:{_OBJECTS}){{0,2}})(?P<p>(?:P{_OBJECTS})*)")
 AFTER_PREPOSITION = re.compile(rf"P(?P<o>{_OBJECTS})")
 
-#: Shapes of sentences that a task keeps, their longest, characters read at once, and triples of a batch of the result.
-SHAPES, LONGEST, CHARACTERS, ROWS = 100_000, 40, 4_000_000, 50_000
+#: Shapes of sentences and words that a task keeps, the longest such sentence, characters read at once, and triples of a batch of the result.
+SHAPES, HEADS, LONGEST, CHARACTERS, ROWS = 20_000, 50_000, 40, 4_000_000, 50_000
 _TAG_LETTERS = bytes(ord(LETTERS[t]) for t in TAGS).ljust(256, b"?")
 
 
@@ -66,7 +66,7 @@ class _Marks(dict):
     """1 for words that begin a dependent clause, 2 for those that may begin a relative one, 3 for marks that end a sentence."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN:
+        if len(self) >= HEADS:
             self.clear()
         w = word.lower()
         made = self[word] = 1 if w in SUBORDINATORS else 2 if w in RELATIVES else 3 if w in ENDS else 0
@@ -124,16 +124,17 @@ def _clauses_of(kinds: str) -> list[tuple[list[int], list[tuple[int, int, list[i
 
 def _shape(line: str) -> list[tuple[list, bool, list[tuple]]]:
     """The clauses of a sentence by the places of their words: subjects, whether the first begins the sentence, and facts."""
-    groups = [(m.lastgroup if line[m.start()] != "w" else "W", m.start(), m.end()) for m in GROUPS.finditer(line)]
+    groups = [(m.lastgroup, m.span()) for m in GROUPS.finditer(line)]
+    kinds = "".join([k for k, _ in groups]) if "w" not in line else "".join([k if line[i] != "w" else "W" for k, (i, _) in groups])
 
     def at(g: int) -> slice | list[int]:
-        kind, i, j = groups[g]
+        kind, (i, j) = groups[g]
         if kind == "V":
             return [k for k in range(i, j) if line[k] != "r"] if "r" in line[i:j] else slice(i, j)
         return slice(i + 1 if line[i] in "dp" and j - i > 1 else i, j)
 
     return [([at(g) for g in subjects], subjects[0] == 0, [(at(v), at(p) if p >= 0 else None, [at(g) for g in objects]) for v, p, objects in facts])
-            for subjects, facts in _clauses_of("".join([k for k, *_ in groups]))]
+            for subjects, facts in _clauses_of(kinds)]
 
 
 _known_shape = lru_cache(SHAPES)(_shape)
@@ -141,6 +142,8 @@ _known_shape = lru_cache(SHAPES)(_shape)
 
 def _read(words: list[str], line: str) -> list[tuple[list[str], bool, list[tuple[str, list[str]]]]]:
     """The clauses of one sentence, of which ``line`` has the words' letters."""
+    if "v" not in line and "x" not in line:
+        return []
     text = lambda at: " ".join(words[at] if type(at) is slice else [words[k] for k in at])
     return [([text(x) for x in subjects], initial, [(text(v) if p is None else f"{text(v)} {text(p)}", [text(x) for x in objects]) for v, p, objects in facts])
             for subjects, initial, facts in (_known_shape if len(line) <= LONGEST else _shape)(line)]
@@ -180,11 +183,14 @@ def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str,
             if found := _read(words[start:end], own):
                 told.setdefault(row, []).extend([(n - before, k, *c) for k, c in enumerate(found)])
             start = end
-        small = {row: [*{h.lower() for c in cs if not _upper(h := c[2][0].rsplit(" ", 1)[-1])}] for row, cs in told.items()}
-        rows = [(row, 0, marshal.dumps(heads)) for row, heads in small.items() if heads] + [(row, 1, marshal.dumps(_needed(cs))) for row, cs in told.items()]
-        own = batch.select(kept).take(pa.array([r for r, _, _ in rows], pa.int32()))
-        made = pa.array([at for _, at, _ in rows], pa.int32()), pa.array([b for _, _, b in rows], pa.binary())
-        return pa.RecordBatch.from_arrays([*own.columns, *made], names=[*kept, "__at", "__told"])
+        made = []
+        for row, found in told.items():
+            needed, small = _needed(found)
+            made += [(row, 0, marshal.dumps([*small]))] if small else []
+            made += [(row, 1, marshal.dumps(needed))] if needed else []
+        own = batch.select(kept).take(pa.array([row for row, _, _ in made], pa.int32()))
+        columns = [*own.columns, pa.array([at for _, at, _ in made], pa.int32()), pa.array([b for _, _, b in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, "__at", "__told"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths(model)
@@ -199,7 +205,7 @@ def clauses(segments: DataFrame, keys: list[str], order: list[str], column: str,
     return dealt(texts).mapInArrow(run, texts.select(*kept, F.lit(0).alias("__at"), F.lit(b"").alias("__told")).schema)
 
 
-@lru_cache(KNOWN)
+@lru_cache(HEADS)
 def _upper(word: str) -> bool:
     return category(word[0]) == "Lu"
 
@@ -207,10 +213,12 @@ def _upper(word: str) -> bool:
 _NO_NOUNS = {p for ps in PRONOUNS.values() for p in ps.split()} | {*REFLEXIVES, *OTHERS}
 _HE, _SHE, _BOTH = ({*PERSONS[k].split()} for k in ("he", "she", "both"))
 _ASKED = {p for ps in PRONOUNS.values() for p in ps.split()} | {*REFLEXIVES}
+#: A bit for each pronoun that a mention may stand for, and one for persons that *they* may stand for.
+SLOTS, ONE = {"he": 1, "she": 2, "it": 4, "they": 8}, 16
 _PRONOUN = {word: p for p, listed in PRONOUNS.items() for word in listed.split()}
 
 
-@lru_cache(KNOWN)
+@lru_cache(HEADS)
 def _agrees(head: str, name: bool, alone: bool) -> tuple[str, ...]:
     """The pronouns that a mention with this last word agrees with; a pronoun agrees with none."""
     head = head.lower()
@@ -222,36 +230,45 @@ def _agrees(head: str, name: bool, alone: bool) -> tuple[str, ...]:
     return (("he",) if he else ()) + (("she",) if she else ()) or ("it",)
 
 
-def _replaces(subjects: list[str], initial: bool, facts: list) -> set[str] | None:
-    """What a clause certainly becomes the latest mention for: subjects by their pronoun, objects with a mark; None if that is open."""
-    s, out = subjects[0], set()
-    if facts:
-        last = facts[-1][1][-1]
-        head = last.rsplit(" ", 1)[-1]
-        out = {f"{p}'" for p in _agrees(head, _upper(head), " " not in last)}
-    if len(subjects) > 1:
-        return out | {"they"}
-    head, alone = s.rsplit(" ", 1)[-1], " " not in s
-    if initial and alone and _upper(head):
-        return None
-    fits = _agrees(head, _upper(head), alone)
-    return out | {*fits} | ({"one"} if "he" in fits or "she" in fits else set())
-
-
-def _needed(found: list[tuple]) -> list[tuple]:
-    """A segment's clauses without those whose mentions nothing can stand for, with whether they ask for any."""
-    out, later = [], set()
+@lru_cache(HEADS)
+def _subject_slots(head: str, alone: bool, initial: bool) -> tuple[int, str | None]:
+    """What a subject is the latest mention for, a bit each, 0 if that is open; and its last word if that is in small letters."""
+    if _upper(head):
+        return 0 if initial and alone else sum(SLOTS[p] for p in _agrees(head, True, alone)) | (ONE if _agrees(head, True, alone) else 0), None
+    fits = _agrees(head, False, alone)
+    return sum(SLOTS[p] for p in fits) | (ONE if "he" in fits or "she" in fits else 0), head.lower()
+
+
+@lru_cache(HEADS)
+def _object_slots(head: str, alone: bool) -> int:
+    return sum(SLOTS[p] for p in _agrees(head, _upper(head), alone)) << 5
+
+
+def _needed(found: list[tuple]) -> tuple[list[tuple], set[str]]:
+    """A segment's clauses without those whose mentions nothing can stand for, with whether they ask for any; and the last words
+    of all subjects in small letters."""
+    out, small, later = [], set(), 0
     for n, k, subjects, initial, facts in reversed(found):
-        asks = bool(facts) and any(m.lower() in _ASKED for ms in (subjects, *(o for _, o in facts)) for m in ms)
-        made = _replaces(subjects, initial, facts)
-        if not facts and made is not None and made <= later:
-            continue
-        out.append((n, k, subjects, initial, facts, asks))
-        later = set() if asks else later | (made or set())  # a clause asks before its own mentions count
-    return out[::-1]
+        s = subjects[0]
+        head, alone = s.rsplit(" ", 1)[-1], " " not in s
+        made, word = _subject_slots(head, alone, initial)
+        if word:
+            small.add(word)
+        if len(subjects) > 1:
+            made = SLOTS["they"]
+        if facts:
+            asks = any(m.lower() in _ASKED for m in subjects) or any(m.lower() in _ASKED for _, o in facts for m in o)
+            out.append((n, k, subjects, initial, facts, asks))
+            last = facts[-1][1][-1]
+            # a clause asks before its own mentions count
+            later = 0 if asks else later | made | _object_slots(last.rsplit(" ", 1)[-1], " " not in last)
+        elif made & ~later or not made and initial and alone and _upper(head):
+            out.append((n, k, subjects, initial, facts, False))
+            later |= made
+    return out[::-1], small
 
 
-@lru_cache(KNOWN)
+@lru_cache(HEADS)
 def _name_words(mention: str) -> tuple[str, ...]:
     """The words of a name of several words, none of what is no such name."""
     words = mention.split(" ")

@@ -93,6 +93,6 @@ def test_clauses_that_nothing_asks_for_are_left_out():
     paths = T.best_paths(T.Model.prior(), [[T.word_class(w) for w in ws] for ws in words])
     found = [(n, k, *c) for n, (ws, path) in enumerate(zip(words, paths, strict=True)) for k, c in enumerate(C.split(ws, [T.TAGS[t] for t in path]))]
     assert [n for n, *_ in found] == [0, 1, 2, 3, 4]
-    assert [(n, c[-1]) for n, *c in C._needed(found)] == [(1, False), (2, True), (3, False), (4, True)]
+    assert [(n, c[-1]) for n, *c in C._needed(found)[0]] == [(1, False), (2, True), (3, False), (4, True)]
     text = C._Text()
-    assert [t for _, _, *c in C._needed(found) for t in text.meet(*c)] == [("boy", "saw", "dog"), ("dog", "saw", "girl")]
+    assert [t for _, _, *c in C._needed(found)[0] for t in text.meet(*c)] == [("boy", "saw", "dog"), ("dog", "saw", "girl")]
